@@ -5,20 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.mixing import mix_sources
+from marlstone.llm.secrets import count_kind, digest, scan_secrets
+from marlstone.llm.warc import archive_pages, page_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    spans = F.col("secrets")
+    base = F.filter(spans, lambda x: x["kind"].isin("assign", "access", "hex"))
+    counts = [count_kind(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(spans).alias("spans"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_records(archive_pages(table(spark, sf_dir, "pages")))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
+    "op5_secrets": op5_secrets,
     "op9_mix_sources": op9_mix_sources,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {}

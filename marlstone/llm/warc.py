@@ -57,7 +57,7 @@ def write_warc(records: DataFrame, folder: str, *, file_bytes: int = 1 << 30, da
                     path = f"{folder}/records-{uuid.uuid4().hex}.warc.gz"
                     files, inner = _open(path)
                     files.create_dir(inner.rpartition("/")[0])
-                    out, size, count = files.open_output_stream(inner), 0, 0
+                    out, size, count = files.open_output_stream(inner, compression=None), 0, 0  # the name would have it compressed once more
                 data = member(r.record_id, r.record_type, r.refers_to, r.uri, r.digest, r.payload or b"", date, level)
                 out.write(data)
                 size, count = size + len(data), count + 1
