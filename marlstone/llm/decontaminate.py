@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,12 +86,12 @@ def shared_runs(words: list[bytes], h: np.ndarray, item: str | None, window: int
     return np.cumsum(hit)[:-1] > 0
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, key="doc_id", text="text", item_key="item_id", item_text="text", window=WINDOW, gram=GRAM, keep_text=False) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, key="doc_id", text="text", item_key="item_id", item_text="text", window=WINDOW, gram=GRAM, keep_row=False) -> DataFrame:
     """Per row of docs: key, n_words, n_hit (words inside an occurrence of an item's window), n_items, items (their ids as strings, sorted), contaminated, and row_id, a number of its own.
 
     A row is contaminated if a word is hit and 20 * n_hit >= n_words. Null or empty texts have no words. Null item ids read
     'null'; equal ids count once. Repeated rows each give their row. Other columns of either table are ignored.
-    With keep_text, the text comes along.
+    With keep_row, the row of docs comes along as the struct `row`.
     """
     spark = docs.sparkSession
 
@@ -113,24 +112,21 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, key="doc_id", text=
     if theirs.agg(F.coalesce(F.sum(F.size("fps")), F.lit(0))).first()[0] <= LOCAL_FINGERPRINTS:
         wanted = spark.sparkContext.broadcast(np.array(sorted(r.fp for r in prints.select("fp").distinct().collect()), np.int64))
 
-    def of_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = (TaskContext.get().partitionId() << 40) - 1
+    def of_docs(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = wanted.value if wanted else None
         for batch in batches:
             n, fps = [], []
-            for t in batch["text"]:
+            for t in batch:
                 words = item_words(t)
                 n.append(len(words))
                 fp = fingerprints(word_hashes(words), short, window, gram).view(np.int64)
                 fps.append(fp if known is None else fp[np.isin(fp, known)])
-            ids = np.arange(at + 1, at + 1 + len(batch))
-            at += len(batch)
-            keep = batch["text"] if keep_text else [t if len(f) else None for t, f in zip(batch["text"], fps)]
-            yield pd.DataFrame({"row_id": ids, "key": batch["key"], "n_words": n, "text": keep, "fps": fps})
-
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = plain.schema["key"].dataType.simpleString()
-    rows = store(plain.mapInPandas(of_docs, f"row_id long, key {kind}, n_words long, text string, fps array<long>"), "doc-fingerprints")
+            yield pd.DataFrame({"n_words": n, "fps": fps})
+
+    found = F.pandas_udf(of_docs, "struct<n_words long, fps array<long>>")(F.col(text))
+    row = F.struct("*") if keep_row else F.lit(None).cast("int")
+    rows = store(docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), found.alias("found"))
+                 .select("row_id", "row", "key", "found.*", F.when(F.size("found.fps") > 0, F.col("text")).alias("text")), "doc-fingerprints")
     candidates = rows.select("row_id", F.explode("fps").alias("fp")).join(prints, "fp").groupBy("row_id").agg(F.collect_set(F.struct("item", "text")).alias("items"))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,11 +145,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, key="doc_id", text=
             yield pd.DataFrame({"row_id": batch["row_id"], "n_hit": hits, "items": found})
 
     checked = candidates.join(rows.filter(F.size("fps") > 0).select("row_id", "text"), "row_id").mapInPandas(extend, "row_id long, n_hit long, items array<string>")
-    out = rows.drop("fps") if keep_text else rows.select("row_id", "key", "n_words")
+    out = rows.select("row_id", "key", "n_words", *(["row"] if keep_row else []))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.join(checked, "row_id", "left").select(
         "row_id", F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *(["text"] if keep_text else []),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *(["row"] if keep_row else []),
     )
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.mixing import mix_sources
+from marlstone.llm.minhash import near_duplicates
+from marlstone.llm.quality import select_quality
 from marlstone.llm.secrets import count_kind, digest, scan_secrets
 from marlstone.llm.warc import archive_pages, page_records
 
@@ -17,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("first")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -34,13 +40,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(archive_pages(table(spark, sf_dir, "pages")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op5_secrets": op5_secrets,
+    "op7_quality": op7_quality,
     "op9_mix_sources": op9_mix_sources,
     "op10_warc": op10_warc,
 }
