@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", width=5, perc
     grouped = nodes.select("same", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("least").alias("best"))
     by_set = grouped.join(least, "root").select("same", "best")
-    same = F.coalesce("s.same", F.col("row_id").cast("binary"))  # rows without words don't meet in one task
+    same = F.coalesce("s.same", F.unhex(F.hex("row_id")))  # rows without words don't meet in one task
     out = table.select("row_id", "row", "key", "s.n", same.alias("same")).join(by_set, "same", "left")
     group = F.when(F.col("best").isNull(), F.col("key")).otherwise(F.col("best.key"))
     first = F.coalesce(F.col("best.row_id") == F.col("row_id"), F.lit(True))
