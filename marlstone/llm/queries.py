@@ -9,12 +9,21 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.mixing import mix_sources
+from marlstone.llm.katz import score_texts
+from marlstone.llm.media import sample_features, text_media
 from marlstone.llm.minhash import near_duplicates
 from marlstone.llm.quality import select_quality
 from marlstone.llm.secrets import count_kind, digest, scan_secrets
+from marlstone.llm.shared import store
+from marlstone.llm.tokens import count_tokens
 from marlstone.llm.warc import archive_pages, page_records
 
 
+#: A public vocabulary and the pattern of its pre-tokens.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +37,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The edits are the removals of secrets."""
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    edits = F.transform("secrets", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), x["kind"], F.lit(" removed]")).alias("new")))
+    return count_tokens(found.select("doc_id", "text", edits.alias("edits")), "edits", vocabulary, PATTERN)
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = store(text_media(table(spark, sf_dir, "documents")), "media")
+    return sample_features(media).drop("sniffed")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     spans = F.col("secrets")
@@ -44,6 +65,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,8 +76,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_token_counts": op3_token_counts,
+    "op4_media": op4_media,
     "op5_secrets": op5_secrets,
     "op7_quality": op7_quality,
+    "op8_katz": op8_katz,
     "op9_mix_sources": op9_mix_sources,
     "op10_warc": op10_warc,
 }
