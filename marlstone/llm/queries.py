@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.mixing import mix_sources
+from marlstone.llm.html import extract_text
 from marlstone.llm.katz import score_texts
 from marlstone.llm.media import sample_features, text_media
 from marlstone.llm.minhash import near_duplicates
@@ -61,6 +62,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(archive_pages(table(spark, sf_dir, "pages")))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_media": op4_media,
     "op5_secrets": op5_secrets,
+    "op6_html_text": op6_html_text,
     "op7_quality": op7_quality,
     "op8_katz": op8_katz,
     "op9_mix_sources": op9_mix_sources,
