@@ -1,0 +1,26 @@
+"""The series queries against their SQL, on the small tables."""
+
+import os
+
+import pytest
+
+from marlstone.plans.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.01"
+
+
+def same(rows):
+    return sorted(repr([f"{v:.9g}" if isinstance(v, float) else v if v is None else str(v) for v in row]) for row in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("name", QUERIES)
+def test_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("events", "lineitem"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got, want = QUERIES[name](spark, SF), con.sql(SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert same(got.select(*want.columns).collect()) == same(want.fetchall())
