@@ -61,7 +61,9 @@ def strength_index(df: DataFrame, value: str, keys, order, rows: int = 14) -> Da
 def rolling_line(df: DataFrame, x: str, y: str, keys, order, rows: int) -> DataFrame:
     """Adds slope and intercept of the least-squares line over the trailing window; null where x is constant or the window is not full."""
     w = trailing(keys, order, rows)
-    slope = F.try_divide(F.covar_pop(y, x).over(w), F.nullif(F.round(F.var_pop(x).over(w), 12), F.lit(0.0)))
+    mean_x, mean_y = F.avg(x).over(w), F.avg(y).over(w)
+    together = F.sum(F.col(x) * F.col(y)).over(w) / rows - mean_x * mean_y
+    slope = F.try_divide(together, F.nullif(F.round(F.sum(F.col(x) * F.col(x)).over(w) / rows - mean_x * mean_x, 12), F.lit(0.0)))
     full = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(w) == rows
     return df.withColumn("slope", F.when(full, slope)).withColumn("intercept", F.when(full, F.avg(y).over(w) - F.col("slope") * F.avg(x).over(w)))
 

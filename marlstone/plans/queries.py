@@ -37,7 +37,7 @@ def strength_index(spark, sf_dir):
 
 def rolling_line(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    return S.rolling_line(rows, "l_quantity", "l_extendedprice", ["l_partkey"], ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"], 10).select("l_orderkey", "l_linenumber", F.round("slope", 2).alias("slope"), F.round("intercept", 2).alias("intercept"))
+    return S.rolling_line(rows, "l_quantity", "l_extendedprice", ["l_partkey"], ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"], 10).select("l_orderkey", "l_linenumber", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
 def barrier_labels(spark, sf_dir):
@@ -76,7 +76,7 @@ SELECT event_id, last_value, last_type FROM (SELECT * FROM events WHERE event_ty
 SELECT event_id, CASE WHEN count(c) OVER w >= 14 THEN 100 * sum(greatest(c, 0)) OVER w / nullif(sum(greatest(c, 0)) OVER w + sum(greatest(-c, 0)) OVER w, 0) END AS rsi
 FROM (SELECT *, value - lag(value) OVER ({W}) AS c FROM events) WINDOW w AS ({W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
     "rolling_line": """
-SELECT l_orderkey, l_linenumber, round(s, 2) AS slope, round(my - s * mx, 2) AS intercept FROM (
+SELECT l_orderkey, l_linenumber, round(s, 4) AS slope, round(my - s * mx, 4) AS intercept FROM (
   SELECT *, CASE WHEN n = 10 THEN (sxy / 10 - mx * my) / nullif(round(sxx / 10 - mx * mx, 12), 0) END AS s FROM (
     SELECT l_orderkey, l_linenumber, count(*) OVER w AS n, avg(l_quantity) OVER w AS mx, avg(l_extendedprice) OVER w AS my, sum(l_quantity * l_extendedprice) OVER w AS sxy, sum(l_quantity * l_quantity) OVER w AS sxx
     FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)))""",
