@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import zlib
 
 import pytest
 
@@ -91,3 +92,13 @@ def test_quality_separates(spark):
     good = [s for s, g in found if g]
     bad = [s for s, g in found if not g]
     assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
+def test_media_digests(spark):
+    want = {}
+    for r in rows(spark, "documents"):
+        b = (r.text or "").encode()
+        p = b + b" " * (max(192, -(-len(b) // 192) * 192) - len(b))
+        want[r.doc_id] = (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+    got = {r.doc_id: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in entry.queries()["op4_media"](spark, SF).collect()}
+    assert got == want
