@@ -33,7 +33,7 @@ def ohlc(df: DataFrame, value: str, keys, time: str, order: str, every: str) ->
     """Bars per key and interval: open, high, low, close and the number of values; empty intervals give no bar."""
     at = F.struct(time, order)
     return (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, F.date_trunc(every, time).alias("bar"))
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, F.date_trunc(every, time).cast(df.schema[time].dataType).alias("bar"))
         .agg(F.min_by(value, at).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, at).alias("close"), F.count("*").alias("n"))
     )
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from marlstone.plans.queries import QUERIES, SQL
+from marlstone.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.01"
 
@@ -14,12 +14,12 @@ def same(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", SQL)
 def test_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("events", "lineitem"):
+    for table in ("events", "lineitem", "orders", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got, want = QUERIES[name](spark, SF), con.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
