@@ -75,5 +75,5 @@ def errors(df: DataFrame, truth: str, guess: str, keys) -> DataFrame:
 
 def regimes(h: str):
     """What an exponent of deviations says: above 0.65 strong trend, above 0.5 trend, above 0.35 noise, else reversion; null is insufficient."""
-    c = F.col(h)
+    c = F.expr(h)
     return F.when(c.isNull(), "insufficient").when(c > 0.65, "strong trend").when(c > 0.5, "trend").when(c > 0.35, "noise").otherwise("reversion")

@@ -1,0 +1,35 @@
+"""Synthetic inputs of the operators: seeded random functions of Spark over a range, prefix sums where values depend on those before."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def prices(spark: SparkSession, tickers: list[str], steps: int, *, drift=0.0, vol=1e-4, jump_rate=1e-4, jump_sd=2e-3, start=100.0, seed=1) -> DataFrame:
+    """(ticker, seq, price): a geometric walk per ticker with rare jumps, the volatility higher at both ends of the range."""
+    rows = spark.range(steps).withColumnRenamed("id", "seq").select("seq", F.explode(F.array(*map(F.lit, tickers))).alias("ticker"))
+    place = 2 * F.col("seq") / max(1, steps - 1) - 1
+    step = drift + vol * (0.6 + 0.8 * place * place) * F.randn(seed) + F.when(F.rand(seed + 1) < jump_rate, jump_sd * F.randn(seed + 2)).otherwise(0.0)
+    w = Window.partitionBy("ticker").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_s", step).select("ticker", "seq", (start * F.exp(F.sum("_s").over(w))).alias("price"))
+
+
+def books(spark: SparkSession, symbols: list[str], ticks: int, *, base=100.0, tick=0.01, levels=10, seed=1) -> DataFrame:
+    """(symbol, seq, bid_price, bid_size, ask_price, ask_size): levels move away from a walking mid; sizes are exponential and at least 1."""
+    mids = prices(spark, symbols, ticks, vol=5e-5, jump_rate=0.0, start=base, seed=seed).select(F.col("ticker").alias("symbol"), "seq", F.col("price").alias("mid"))
+    side = lambda sign, s: F.array(*[F.round(F.col("mid") + sign * tick * (k + 0.5 + 0.3 * F.rand(s + k)), 4) for k in range(levels)])
+    size = lambda s: F.array(*[F.floor(1 - 100 * (k + 1) * F.ln(1 - F.rand(s + k))).cast("double") for k in range(levels)])
+    return mids.select("symbol", "seq", side(-1, seed + 10).alias("bid_price"), size(seed + 30).alias("bid_size"), side(1, seed + 50).alias("ask_price"), size(seed + 70).alias("ask_size"))
+
+
+def predictions(spark: SparkSession, rows: int, *, seed=1) -> DataFrame:
+    """(timestamp, predicted_bps, realized_return), ten seconds apart."""
+    at = F.timestamp_seconds(F.lit(1704067200) + 10 * F.col("id")).cast("timestamp_ntz")
+    return spark.range(rows).select(at.alias("timestamp"), (5 * F.randn(seed)).alias("predicted_bps"), (1e-3 * F.randn(seed + 1)).alias("realized_return"))
+
+
+def winds(spark: SparkSession, rows: int, *, seed=1) -> DataFrame:
+    """(t, value): two cycles and noise, never negative."""
+    t = F.col("id").cast("double")
+    return spark.range(rows).select(F.col("id").alias("t"), F.greatest(8 + 3 * F.sin(t * 0.0436) + 1.5 * F.sin(t * 0.3) + F.randn(seed), F.lit(0.0)).alias("value"))
