@@ -31,16 +31,16 @@ def power_law_mixture(eps: float = 1.0, count: int = 10, shortest: float = 0.1,
 
 def decayed_flow(df: DataFrame, time: str, amount: str, keys, row_id: str, taus: Sequence[float], weights: Sequence[float]) -> DataFrame:
     """Per row: keys, row_id, flow, the sum over mixtures k of weights[k] times the sum of amounts up to the row, each decayed by exp(-age / taus[k]). `time` is in seconds; of rows at one time, later ids see earlier ones. A null amount counts as 0."""
-    mixed = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("tau"), F.lit(float(c)).alias("weight")) for k, (t, c) in enumerate(zip(taus, weights))]))
+    mixed = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.lit(float(t)).alias("_tau"), F.lit(float(c)).alias("_weight")) for k, (t, c) in enumerate(zip(taus, weights))]))
     rows = df.select(*keys, F.col(row_id), F.col(time).alias("_t"), F.coalesce(F.col(amount), F.lit(0.0)).alias("_q"), mixed.alias("_m")).select(*keys, row_id, "_t", "_q", "_m.*")
-    rows = rows.withColumn("_b", F.floor(F.col("_t") / (SPAN * F.col("tau")))).withColumn("_x", F.col("_t") / F.col("tau") - SPAN * F.col("_b"))
-    group = [*keys, "k", "_b"]
+    rows = rows.withColumn("_b", F.floor(F.col("_t") / (SPAN * F.col("_tau")))).withColumn("_x", F.col("_t") / F.col("_tau") - SPAN * F.col("_b"))
+    group = [*keys, "_k", "_b"]
     rows = rows.withColumn("_own", F.sum(F.col("_q") * F.exp("_x")).over(Window.partitionBy(*group).orderBy("_t", row_id).rowsBetween(Window.unboundedPreceding, 0)))
     ends = rows.groupBy(*group).agg(F.sum(F.col("_q") * F.exp(F.col("_x") - SPAN)).alias("_end"))
-    back = lambda n: ends.select(*keys, "k", (F.col("_b") + n).alias("_b"), (F.col("_end") * math.exp(-SPAN * (n - 1))).alias(f"_e{n}"))
+    back = lambda n: ends.select(*keys, "_k", (F.col("_b") + n).alias("_b"), (F.col("_end") * math.exp(-SPAN * (n - 1))).alias(f"_e{n}"))
     rows = rows.join(back(1), group, "left").join(back(2), group, "left")
     value = F.exp(-F.col("_x")) * (F.col("_own") + F.coalesce("_e1", F.lit(0.0)) + F.coalesce("_e2", F.lit(0.0)))
-    return rows.groupBy(*keys, row_id).agg(F.sum(F.col("weight") * value).alias("flow"))
+    return rows.groupBy(*keys, row_id).agg(F.sum(F.col("_weight") * value).alias("flow"))
 
 
 def weighted_mean(df: DataFrame, value: str, keys, order, span: float, tolerance: float = 1e-12) -> DataFrame:
