@@ -2,10 +2,13 @@
 
 A document's distinct shingles are hashed once; the hash's high part names a bin and each bin keeps its least hash. An
 empty bin borrows from the bin that a hash of (bin, attempt) names, attempt after attempt, until one is filled. Bins
-form bands, bands form buckets. Documents with equal sets are one node. In a bucket only star edges are made, from its
-least node to the others; they are confirmed on the full sets, and the links' components are taken. Buckets whose
-nodes are not yet all in one component get the next node as centre; what three such rounds leave is compared in full,
+form bands, bands form buckets. Documents with equal sets are one node. In a bucket only star edges are made, from a
+centre that a hash picks, so that a group's many buckets have different centres; they are confirmed on the full sets,
+and the links' components are taken. In buckets that hold several components the nodes are then compared block by block,
 across components only, so no link between bucket mates is lost.
+
+Before two full sets are compared, a bound on their difference is: every node keeps the parities of BITS counts of its
+hashes, and parities that differ are no more than the shingles that only one of both has. This loses no link.
 """
 
 from __future__ import annotations
@@ -22,7 +25,10 @@ from pyspark.sql import functions as F
 from marlstone.llm.shared import remove, store, words_of
 
 BANDS, ROWS = 32, 6
-STAR_ROUNDS = 3
+#: Parities of a set, 64 to a word.
+BITS = 1024
+#: Nodes of an unsettled bucket in one block; two blocks meet in one task.
+BLOCK = 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -31,12 +37,25 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class WordHashes(dict):
+    """The hash of each word met, forgotten when they are many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+HASHES = WordHashes()
+
+
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of `width` consecutive words; of all words if there are fewer; none without words."""
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     width = min(width, len(h))
     out = np.zeros(len(h) - width + 1, np.uint64)
     for j in range(width):
@@ -73,18 +92,24 @@ def sketch(h: np.ndarray, bands: int, rows: int, where: np.ndarray) -> np.ndarra
     return out.view(np.int64)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Of the number of hashes in each of BITS classes, as 64-bit words."""
+    return np.packbits(np.bincount((h & np.uint64(BITS - 1)).view(np.int64), minlength=BITS) & 1).view(np.int64)
+
+
 def sketches(width: int, bands: int, rows: int):
     where = probes(bands * rows)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            n, same, buckets = [], [], []
+            n, same, odd, buckets = [], [], [], []
             for text in texts:
                 h = shingle_hashes(text, width)
                 n.append(len(h))
                 same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                odd.append(parities(h) if len(h) else None)
                 buckets.append(sketch(h, bands, rows, where) if len(h) else None)
-            yield pd.DataFrame({"n": n, "same": same, "buckets": buckets})
+            yield pd.DataFrame({"n": n, "same": same, "odd": odd, "buckets": buckets})
 
     return run
 
@@ -140,48 +165,47 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", width=5, perc
     whatever their names, are ignored, or come along in the struct `row` with keep_row.
     """
     spark = docs.sparkSession
-    prepare = F.pandas_udf(sketches(width, bands, rows), "struct<n long, same binary, buckets array<long>>")
+    prepare = F.pandas_udf(sketches(width, bands, rows), "struct<n long, same binary, odd array<long>, buckets array<long>>")
     row = F.struct("*") if keep_row else F.struct(F.col(key), F.col(text))
     table = store(docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row"), F.col(key).alias("key"), prepare(F.col(text)).alias("s")), "sketches")
-    flat = table.select("row_id", "key", "s.n", "s.same", "s.buckets")
+    flat = table.select("row_id", "key", "s.n", "s.same", "s.odd", "s.buckets")
 
     # Documents with equal sets: one node, named by its least row.
-    sets = flat.filter("n > 0").groupBy("same").agg(F.min(F.struct("row_id", "n", "buckets")).alias("s"), F.min(F.struct(F.col("key").isNull(), "key", "row_id")).alias("least"))
-    nodes = store(sets.select("same", F.col("s.row_id").alias("node"), "s.n", "s.buckets", "least"), "nodes")
-    members = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("c")).filter("m > 1")
-    mates = store(members.join(shared.select("bucket", "c"), "bucket").select("bucket", "node", "n", F.col("c.node").alias("c_node"), F.col("c.n").alias("c_n")), "bucket-mates")
-    texts = table.select(F.col("row_id").alias("node"), F.col(f"row.`{text}`").alias("text")).join(mates.select("node").distinct(), "node", "left_semi")
-    texts = store(texts, "mate-texts")
+    sets = flat.filter("n > 0").groupBy("same").agg(F.min(F.struct("row_id", "n", "odd", "buckets")).alias("s"), F.min(F.struct(F.col("key").isNull(), "key", "row_id")).alias("least"))
+    nodes = store(sets.select("same", F.col("s.row_id").alias("node"), "s.n", "s.odd", "s.buckets", "least"), "nodes")
+    # A set so small that one more shingle is too many links with equal ones alone.
+    members = nodes.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).select("node", F.explode("buckets").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("bucket", "node"), "node")).alias("c")).filter("m > 1")
+    mates = store(members.join(shared.select("bucket", "m", F.col("c.node").alias("centre")), "bucket"), "bucket-mates")
+    some = mates.select("node").distinct()
+    odd = store(nodes.select("node", "n", "odd").join(some, "node", "left_semi"), "parities")
+    texts = store(table.select(F.col("row_id").alias("node"), F.col(f"row.`{text}`").alias("text")).join(some, "node", "left_semi"), "mate-texts")
     check = F.pandas_udf(confirm(width, percent), "boolean")
+    differing = sum((F.bit_count(F.col("a_odd")[i].bitwiseXOR(F.col("b_odd")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col("a_odd")[0].bitwiseXOR(F.col("b_odd")[0])))
+    close = (percent + 100) * differing <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Confirms pairs (a, b, a_n, b_n); sizes alone rule out many."""
-        close = pairs.filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b").distinct()
-        wide = close.join(texts.withColumnsRenamed({"node": "a", "text": "a_text"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "b_text"}), "b")
-        return wide.filter(check("a_text", "b_text")).select("a", "b")
+    def named(rows: DataFrame, side: str) -> DataFrame:
+        return rows.withColumnsRenamed({c: f"{side}_{c}" for c in rows.columns if c != "node"} | {"node": side})
 
-    star = mates.filter("node != c_node").select(F.col("c_node").alias("a"), F.col("node").alias("b"), F.col("c_n").alias("a_n"), F.col("n").alias("b_n"))
-    links = store(linked(star), "near-links")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = store(pairs, "near-pairs")
+        return store(pairs.join(named(texts, "a"), "a").join(named(texts, "b"), "b").filter(check("a_text", "b_text")).select("a", "b"), "near-links")
+
+    star = mates.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = confirmed(star.join(named(odd, "a"), "a").join(named(odd, "b"), "b").filter(close).select("a", "b"))
     roots = store(components(links), "roots")
-    for turn in range(1, STAR_ROUNDS + 1):
-        named = mates.select("bucket", "node", "n", "c_node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spread = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-        left = store(named.join(spread, "bucket"), "unsettled")
-        last = turn == STAR_ROUNDS
-        if last:
-            a = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"), "c_node")
-            b = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-            pairs = a.join(b, "bucket").filter("a < b AND a > c_node AND a_root != b_root")
-        else:  # the next node after the last centre is compared with all that follow
-            after = left.filter("node > c_node").groupBy("bucket").agg(F.min(F.struct("node", "n", "root")).alias("c"))
-            mates = store(left.drop("c_node").join(after, "bucket").filter("node >= c.node").withColumn("c_node", F.col("c.node")), "bucket-mates")
-            pairs = mates.filter("node > c_node AND root != c.root").select(F.col("c_node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("a_n"), F.col("n").alias("b_n"))
-        more = store(linked(pairs), "near-links")
-        found = not more.isEmpty()
-        if found:
-            roots = store(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
-        remove(spark, left)
+
+    placed = mates.select("bucket", "m", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spread = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    rest = store(placed.join(spread, "bucket").join(odd, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks)), "unsettled")
+    cells = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    left, right = named(cells.drop("m"), "a"), named(cells.drop("m"), "b")
+    meet = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_block") == F.col("b_other")) & (F.col("a_other") == F.col("b_block"))
+    pairs = left.join(right, meet & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & close).select("a", "b").distinct()
+    more = confirmed(pairs)
+    if not more.isEmpty():
+        roots = store(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
 
     grouped = nodes.select("same", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("least").alias("best"))
