@@ -1,6 +1,9 @@
 """Quality selection by importance resampling over hashed n-grams.
 
-Two generative models are estimated from labelled documents: of the target (good ones) and of raw text (all of them).
+Two generative models are estimated: of the target, from good labelled documents, and of raw text, from all documents,
+equal texts once. The raw counts are exact for each feature that can count. A first pass counts all features in buckets,
+which bounds each feature's count from above; a second keeps, per document, the few features that under this bound may
+be rare enough in the target, and only these are counted one by one. No feature that counts is lost.
 Features are 64-bit hashes of word 1- and 2-grams and of 1- to 3-grams of token shapes. A feature's importance is
 (t + 1) / (e + 1), t the target documents that have it and e what the raw share lets expect. Only features well below 1
 count, so a long typical text doesn't outweigh what is wrong with it. A document's log weight is the sum over its distinct
@@ -11,12 +14,13 @@ separates held-out labels best.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.decontaminate import gram_hashes, item_words, word_hashes
@@ -31,6 +35,8 @@ RARER = 4.0
 #: How much a log weight counts against the Gumbel noise.
 SHARPNESS = 20.0
 HELD_OUT = 5
+#: Buckets of the first count of raw features, and the pieces in which tasks hand them on.
+BUCKET_BITS, PIECES = 23, 256
 #: Capital letters, small letters and bytes above 127, digits; the rest stand for themselves.
 SHAPES = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b > 127 else 57 if 48 <= b <= 57 else b for b in range(256))
 RUNS = re.compile(rb"(?s)([^\s])\1+")
@@ -54,26 +60,93 @@ def features(text: str | None) -> np.ndarray:
 def count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [features(t) for t in batch["text"]]
-        if not found:
-            continue
-        f, at = np.unique(np.concatenate(found), return_inverse=True)
-        good = np.repeat(batch["good"].to_numpy(bool), [len(x) for x in found])
-        yield pd.DataFrame({"feature": f.view(np.int64), "t": np.bincount(at, good, len(f)).astype(np.int64), "r": np.bincount(at, minlength=len(f))})
+        if found:
+            f, t = np.unique(np.concatenate(found), return_counts=True)
+            yield pd.DataFrame({"feature": f.view(np.int64), "t": t})
+
+
+def places(f: np.ndarray) -> np.ndarray:
+    """The bucket of each feature."""
+    return (f >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features by bucket, in pieces, as packed integers as narrow as they fit."""
+    counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+    for batch in batches:
+        for t in batch["text"].drop_duplicates():
+            np.add.at(counts, places(features(t)), 1)
+    some = [(i, x.astype(np.min_scalar_type(x.max()))) for i, x in enumerate(np.split(counts, PIECES)) if x.any()]
+    yield pd.DataFrame({"piece": [i for i, _ in some], "counts": [zlib.compress(x.tobytes(), 1) for _, x in some]})
+
+
+def levels(expected: float):
+    """Per piece and bucket the least t at which no feature of so many in raw text counts; expected: raw texts to one of the target."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((1 << BUCKET_BITS) // PIECES)
+        for packed in group["counts"]:
+            raw = zlib.decompress(packed)
+            total += np.frombuffer(raw, f"u{len(raw) // len(total)}")
+        least = np.ceil((total / expected * (1 + 1e-9) + 1) / RARER - 1)
+        return pd.DataFrame({"piece": group["piece"].iloc[:1], "levels": [zlib.compress(np.clip(least, 0, 65535).astype(np.uint16).tobytes(), 1)]})
+
+    return run
+
+
+def unpacked(levels: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(levels), np.uint16)
+
+
+def cleared(levels: bytes):
+    """Whether the target has a feature so often that it can't count, though its bucket is full enough for others."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        least = unpacked(levels)
+        for feature, t in batches:
+            at = least[places(feature.to_numpy(np.int64).view(np.uint64))]
+            yield pd.Series((at > 0) & (at <= t.to_numpy()), dtype=bool)
+
+    return run
+
+
+def suspects(levels: bytes, cleared: np.ndarray):
+    """The features of a text that may count."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        full = unpacked(levels) > 0
+        for texts in batches:
+            out = []
+            for t in texts:
+                f = features(t)
+                f = f[full[places(f)]].view(np.int64)
+                if len(cleared) and len(f):
+                    f = f[cleared[np.minimum(np.searchsorted(cleared, f), len(cleared) - 1)] != f]
+                out.append(f)
+            yield pd.Series(out, dtype=object)
+
+    return run
+
+
+def summed(names: np.ndarray, weights: np.ndarray):
+    """The log weight of features, each given once."""
+
+    def one(f: np.ndarray) -> float:
+        if not len(names) or not len(f):
+            return 0.0
+        at = np.minimum(np.searchsorted(names, f), len(names) - 1)
+        return float(np.sort(weights[at[names[at] == f]]).sum())
+
+    return lambda found: pd.Series([one(f) for f in found], dtype=float)
 
 
 def scorer(names: np.ndarray, weights: np.ndarray):
-    def score(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            f = features(t).view(np.int64)
-            if not len(names) or not len(f):
-                out.append(0.0)
-                continue
-            at = np.minimum(np.searchsorted(names, f), len(names) - 1)
-            out.append(float(np.sort(weights[at[names[at] == f]]).sum()))
-        return pd.Series(out, dtype=float)
+    score = summed(names, weights)
+    return lambda texts: score(features(t).view(np.int64) for t in texts)
+
 
-    return score
+def sha(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text), 256))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, most: int) -> DataFrame:
@@ -86,20 +159,41 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, most: int)
     return once.select("x.text", "x.good", F.pmod(F.xxhash64("sha"), F.lit(HELD_OUT)).alias("fold"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", max_labels=MAX_LABELS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, log weights, cut). Without labels of either kind, no feature counts and all documents pass."""
-    rows = store(labelled(docs, labels, key, text, max_labels), "labelled")
-    train = rows.filter("fold > 0")
-    n_raw, n_target = train.agg(F.count("*"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0))).first()
-    none = np.zeros(0, np.int64), np.zeros(0), -np.inf
-    if not n_raw or not n_target or n_raw == n_target:
-        return none
-    counts = train.mapInPandas(count_features, "feature long, t long, r long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
-    weight = F.log((F.col("t") + 1) / (F.col("r") * (n_target / n_raw) + 1)) + float(np.log(RARER))
-    model = counts.select("feature", weight.alias("w")).filter("w < 0").orderBy("w", "feature").limit(MAX_FEATURES).toPandas().sort_values("feature")
-    names, weights = model["feature"].to_numpy(np.int64), model["w"].to_numpy(float)
-    held = rows.filter("fold = 0").select("good", F.pandas_udf(scorer(names, weights), "double")("text").alias("score")).toPandas()
-    return names, weights, best_cut(held["score"].to_numpy(float), held["good"].to_numpy(bool))
+class Model:
+    """Of the target and of raw text. Without labels of either kind, no feature counts and all documents pass."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, key: str, text: str, max_labels: int):
+        self.rows = store(labelled(docs, labels, key, text, max_labels), "labelled")
+        n_train, self.n_target = self.rows.filter("fold > 0").agg(F.count("*"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0))).first()
+        self.usable = 0 < self.n_target < n_train
+        if not self.usable:
+            return
+        texts = docs.select(F.col(text).alias("text")).filter("text IS NOT NULL")
+        self.n_raw = texts.select(sha("text")).distinct().count()
+        pieces = texts.mapInPandas(tally, "piece int, counts binary").groupBy("piece").applyInPandas(levels(self.n_raw / self.n_target), "piece int, levels binary").collect()  # PIECES rows at most
+        least = np.zeros((PIECES, (1 << BUCKET_BITS) // PIECES), np.uint16)
+        for row in pieces:
+            least[row.piece] = unpacked(row.levels)
+        self.levels = zlib.compress(least.tobytes(), 1)
+        train = self.rows.filter("fold > 0 AND good")
+        self.target = store(train.mapInPandas(count_features, "feature long, t long").groupBy("feature").agg(F.sum("t").alias("t")), "target-features")
+        self.cleared = np.sort(self.target.filter(F.pandas_udf(cleared(self.levels), "boolean")("feature", "t")).select("feature").toPandas()["feature"].to_numpy(np.int64))
+
+    def suspects(self, text: str) -> Column:
+        return F.pandas_udf(suspects(self.levels, self.cleared), "array<long>")(F.col(text)) if self.usable else F.array().cast("array<long>")
+
+    def weigh(self, found: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+        """(features, log weights, cut) from (sha, suspects) of all documents."""
+        if not self.usable:
+            return np.zeros(0, np.int64), np.zeros(0), -np.inf
+        once = found.filter(F.size("suspects") > 0).groupBy("sha").agg(F.first("suspects").alias("suspects"))  # equal texts have equal ones
+        raw = once.select(F.explode("suspects").alias("feature")).groupBy("feature").agg(F.count("*").alias("r"))
+        weight = F.log((F.coalesce("t", F.lit(0)) + 1) / (F.col("r") * (self.n_target / self.n_raw) + 1)) + float(np.log(RARER))
+        counts = raw.join(self.target, "feature", "left").select("feature", weight.alias("w"))
+        model = counts.filter("w < 0").orderBy("w", "feature").limit(MAX_FEATURES).toPandas().sort_values("feature")
+        names, weights = model["feature"].to_numpy(np.int64), model["w"].to_numpy(float)
+        held = self.rows.filter("fold = 0").select("good", F.pandas_udf(scorer(names, weights), "double")("text").alias("score")).toPandas()
+        return names, weights, best_cut(held["score"].to_numpy(float), held["good"].to_numpy(bool))
 
 
 def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
@@ -114,14 +208,18 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
     return -np.inf if gain[at] <= 0 else float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else float(np.nextafter(s[at], np.inf))
 
 
-def top_k(scored: DataFrame, k: int, bins: int = 4096, few: int = 10_000) -> DataFrame:
-    """Adds selected: among the k rows of greatest `draw` (ties by row_id). The k-th is found by counts of ever finer bins; only its bin is ranked."""
-    lo, hi = scored.agg(F.min("draw"), F.max("draw")).first()
+def top_k(scored: DataFrame, k: int, bins: int = 4096, few: int = 10_000, *, draws: DataFrame | None = None) -> DataFrame:
+    """Adds selected: among the k rows of greatest `draw` (ties by row_id). The k-th is found by counts of ever finer bins; only its bin is ranked.
+
+    draws: row_id and draw of the same rows, if these are at hand in a smaller table.
+    """
+    draws = scored if draws is None else draws
+    lo, hi = draws.agg(F.min("draw"), F.max("draw")).first()
     above = 0
     if lo is None or k <= 0:
         return scored.withColumn("selected", F.lit(False))
     while True:
-        inside = scored.filter((F.col("draw") >= lo) & (F.col("draw") <= hi))
+        inside = draws.filter((F.col("draw") >= lo) & (F.col("draw") <= hi))
         width = (hi - lo) / bins
         if width <= 0 or lo + width <= lo:
             break
@@ -135,7 +233,7 @@ def top_k(scored: DataFrame, k: int, bins: int = 4096, few: int = 10_000) -> Dat
             lo, hi = row.lo, row.hi
             break
         lo, hi = row.lo, row.hi
-    edge = scored.filter((F.col("draw") >= lo) & (F.col("draw") <= hi)).select("row_id", "draw").orderBy(F.desc("draw"), "row_id").limit(max(0, k - above))
+    edge = draws.filter((F.col("draw") >= lo) & (F.col("draw") <= hi)).select("row_id", "draw").orderBy(F.desc("draw"), "row_id").limit(max(0, k - above))
     edge = edge.select("row_id", F.lit(True).alias("edge"))
     return scored.join(edge, "row_id", "left").withColumn("selected", (F.col("draw") > hi) | F.coalesce("edge", F.lit(False))).drop("edge")
 
@@ -148,11 +246,14 @@ def select_quality(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="te
     so equal rows draw alike and ties go by place. Without usable labels all rows are selected. Other columns of docs
     are ignored, or come along in the struct `row` with keep_row.
     """
-    names, weights, cut = fit(docs, labels, key=key, text=text, max_labels=max_labels)
+    model = Model(docs, labels, key, text, max_labels)
     row = F.struct("*") if keep_row else F.struct(F.col(key))
     unit = (F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    plain = docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row"), F.col(key).alias("key"), unit.alias("unit"), F.pandas_udf(scorer(names, weights), "double")(F.col(text)).alias("log_weight"))
-    draw = SHARPNESS * F.col("log_weight") - F.log(-F.log("unit"))
-    scored = store(plain.withColumn("draw", draw).withColumn("passes", F.col("log_weight") >= cut).drop("unit"), "quality-scores")
-    k = scored.filter("passes").count()
-    return top_k(scored, k).select(F.col("key").alias(key), "log_weight", "draw", "passes", "selected", *(["row"] if keep_row else []))
+    noise = -F.log(-F.log(unit))
+    table = store(docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row"), F.col(key).alias("key"), noise.alias("noise"), sha(text).alias("sha"), model.suspects(text).alias("suspects")), "quality-suspects")
+    names, weights, cut = model.weigh(table)
+    scored = table.withColumn("log_weight", F.pandas_udf(summed(names, weights), "double")("suspects"))
+    scored = scored.withColumn("draw", SHARPNESS * F.col("log_weight") + F.col("noise")).withColumn("passes", F.col("log_weight") >= cut).drop("noise", "sha", "suspects")
+    draws = store(scored.select("row_id", "draw", "passes"), "quality-draws")
+    k = draws.filter("passes").count()
+    return top_k(scored, k, draws=draws).select(F.col("key").alias(key), "log_weight", "draw", "passes", "selected", *(["row"] if keep_row else []))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from marlstone.llm import html, media, queries, tokens
+from marlstone.llm import html, media, quality, queries, tokens
 from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.katz import discounts, score_texts
 from marlstone.llm.minhash import near_duplicates
@@ -174,3 +174,21 @@ def test_blocks_are_labelled_as_held_out_pages():
             got = html.decode(html.features_of(blocks), weights, tuple(map(tuple, trans)))
             right, total = right + int(np.sum(np.array(got) == labels)), total + len(labels)
     assert right >= 0.97 * total
+
+
+def test_raw_features_are_counted_in_all_documents(spark):
+    r = random.Random(8)
+    plain = lambda: " ".join(r.choice(("river", "stone", "light", "walks", "under", "green", "slowly", "house")) for _ in range(12))
+    texts = [plain() for _ in range(300)] + [plain() + " @@x9 @@x9z" for _ in range(60)] + [plain() + f" {{{{spam}}}} ==#{i}== buy##now" for i in range(80)]
+    texts += texts[-1:] * 50 + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in (*range(200), *range(300, 340))], LABELS)
+    got = {row.doc_id: row for row in select_quality(docs, labels).collect()}
+    train = {row.text for row in quality.labelled(docs, labels, "doc_id", "text", 10_000).filter("fold > 0 AND good").collect()}
+    known = set(filter(None, texts))
+    raw, target = (Counter(f for t in some for f in quality.features(t).tolist()) for some in (known, train))
+    weight = {f: math.log((target[f] + 1) / (n * len(train) / len(known) + 1)) + math.log(quality.RARER) for f, n in raw.items()}
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i].log_weight, sum(min(0.0, weight[f]) for f in quality.features(t).tolist()), abs_tol=1e-9)
+    assert all(got[i].log_weight < 0 and not got[i].passes for i in range(360, 490))  # a form that no labelled row has
+    assert sum(got[i].selected for i in range(300)) >= 285
