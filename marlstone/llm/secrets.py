@@ -122,7 +122,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def spans_of(text: str | None) -> list[tuple[int, int, str]]:
-    """All spans by start, then kind; what the lexer adds lies outside the base spans."""
+    """All spans by start, then kind; of what the lexer finds, the parts that no base span covers are added."""
     if not text:
         return []
     base = base_spans(text)
@@ -133,7 +133,15 @@ def spans_of(text: str | None) -> list[tuple[int, int, str]]:
         else:
             starts.append(s)
             ends.append(e)
-    added = {x for x in lexed_spans(text) if (i := bisect.bisect_left(starts, x[1])) == 0 or ends[i - 1] <= x[0]}
+    added = set()
+    for s, e, kind in lexed_spans(text):
+        i = bisect.bisect_right(ends, s)
+        while i < len(starts) and starts[i] < e:
+            if s < starts[i]:
+                added.add((s, starts[i], kind))
+            s, i = ends[i], i + 1
+        if s < e:
+            added.add((s, e, kind))
     return sorted({*base, *added}, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from marlstone.llm import html, media, quality, queries, tokens
+from marlstone.llm import html, media, quality, queries, secrets, tokens
 from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.katz import discounts, score_texts
 from marlstone.llm.minhash import near_duplicates
@@ -192,3 +192,13 @@ def test_raw_features_are_counted_in_all_documents(spark):
         assert math.isclose(got[i].log_weight, sum(min(0.0, weight[f]) for f in quality.features(t).tolist()), abs_tol=1e-9)
     assert all(got[i].log_weight < 0 and not got[i].passes for i in range(360, 490))  # a form that no labelled row has
     assert sum(got[i].selected for i in range(300)) >= 285
+
+
+def test_rest_of_a_literal_beside_a_base_span_is_found():
+    for text in ('password = "correct!horse9battery"', "db_secret = \"0123456789abcdef01234567!Zq9+x\"", "api_token = 'Zq!9+0123456789abcdef01234567'", "password = 'ab!0123456789abcdef01234567!cd!Q9'"):
+        spans = spans_of(text)
+        literal = range(text.index(text[-1]) + 1, len(text) - 1)
+        assert all(any(s <= i < e for s, e, _ in spans) for i in literal)
+        base = secrets.base_spans(text)
+        assert set(base) <= set(spans)
+        assert all(a[1] <= b[0] or b[1] <= a[0] for a in set(spans) - set(base) for b in base)
