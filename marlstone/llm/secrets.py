@@ -28,15 +28,17 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.6, "secret": 0.9, "token": 0.8, "credential": 0.8, "credentials": 0.8,
     "apikey": 0.9, "auth": 0.5, "bearer": 0.7, "private": 0.5, "access": 0.3, "key": 0.4, "api": 0.4, "signing": 0.4, "encryption": 0.4, "session": 0.3, "salt": 0.4, "pin": 0.5,
 }
-PLACEHOLDER = re.compile(r"(?i)^(?:true|false|none|null|nil|undefined|required|optional|string|str|int|example|changeme|redacted|x+|\*+|\.+|todo|your[-_ ].*|<.*>|\$\{?.*|%.*%|\{\{.*)$")
+PLACEHOLDER = re.compile(r"(?i)^(?:true|false|none|null|nil|undefined|required|optional|string|str|int|example|changeme|redacted|x+|\*+|\.+|todo|your(?:[-_ ][a-z0-9]+)+|<[a-z][\w .:-]*>|\$(?:[a-z_]\w*|\{[a-z_][\w.]*\}|\([^()]*\))|%[a-z_]\w*%|\$?\{\{[-\s\w.$|]*\}\})$")
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s"'`,;(){}\[\]<>+=:]++=*+))""")
 PLUS = re.compile(r"[ \t]*\+")
 BINDS = re.compile("[:=]")
-#: A constant joined from more literals than this is no credential and is not followed.
-CONSTANT_LITERALS = 64
 NAMES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 THRESHOLD = 0.8
+#: Names from this score on make a literal with spaces a passphrase.
+STRONG = 0.9
+#: Longer values are no placeholders.
+PLACEHOLDER_CHARS = 256
 SPANS = "array<struct<kind string, start int, `end` int>>"
 
 
@@ -54,14 +56,31 @@ def name_score(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in set(parts)))
 
 
-def literal_score(value: str) -> float:
-    """0 for what is plainly no secret; more for long values of many kinds of characters in no order."""
-    if len(value) < 6 or PLACEHOLDER.match(value):
+class Joined:
+    """A value joined from own literals (value, start, end) and constants, which are shared and not copied."""
+
+    __slots__ = ("own", "constants", "length", "counts", "value")
+
+    def __init__(self, parts: list):
+        self.own = [p for p in parts if not isinstance(p, Joined)]
+        self.constants = list(dict.fromkeys(p for p in parts if isinstance(p, Joined)))
+        self.length, self.counts, values = 0, Counter(), []
+        for p in parts:
+            shared = isinstance(p, Joined)
+            self.length += p.length if shared else len(p[0])
+            self.counts.update(p.counts if shared else p[0])
+            values.append(p.value if shared else p[0])
+        self.value = "".join(values) if self.length <= PLACEHOLDER_CHARS else None
+
+
+def literal_score(joined: Joined, strong: bool) -> float:
+    """0 for what is plainly no secret; more for long values of many kinds of characters in no order. strong: spaces tell nothing."""
+    n, counts = joined.length, joined.counts
+    if n < 6 or joined.value is not None and PLACEHOLDER.match(joined.value):
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
+    entropy = -sum(x / n * math.log2(x / n) for x in counts.values() if x / n)
     kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
-    return min(1.0, 0.25 + 0.12 * entropy + 0.1 * (kinds - 1) - (0.5 if " " in value else 0.0))
+    return min(1.0, 0.25 + 0.12 * entropy + 0.1 * (kinds - 1) - (0.5 if " " in counts and not strong else 0.0))
 
 
 def pairs(text: str):
@@ -102,22 +121,24 @@ def pairs(text: str):
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    found = []
+    constants: dict[str, Joined] = {}
+    found, reported = [], set()
     for name, terms in pairs(text):
-        score, parts = name_score(name), []
-        for value, ref, start, end in terms:
-            if value is not None:
-                parts.append((value, start, end, "named"))
-            elif ref in constants:
-                parts += [(v, s, e, "constant") for v, s, e in constants[ref]]
-            else:
-                parts.append((ref, start, end, "named"))
-        if terms[0][0] is not None or terms[0][1] in constants:
-            literals = list(dict.fromkeys((v, s, e) for v, s, e, _ in parts))
-            constants[name] = literals if len(literals) <= CONSTANT_LITERALS else []
-        if score and score * literal_score("".join(v for v, *_ in parts)) >= THRESHOLD * 0.5:
-            found += [(s, e, kind) for _, s, e, kind in parts if e > s]
+        score, keep = name_score(name), terms[0][0] is not None or terms[0][1] in constants
+        if not score and not keep:
+            continue
+        joined = Joined([constants[ref] if value is None and ref in constants else (ref if value is None else value, start, end) for value, ref, start, end in terms])
+        if keep:
+            constants[name] = joined
+        if score and score * literal_score(joined, score >= STRONG) >= THRESHOLD * 0.5:
+            found += [(s, e, "named") for _, s, e in joined.own if e > s]
+            ahead = list(joined.constants)
+            while ahead:
+                one = ahead.pop()
+                if one not in reported:
+                    reported.add(one)
+                    found += [(s, e, "constant") for _, s, e in one.own if e > s]
+                    ahead += one.constants
     return found
 
 

@@ -202,3 +202,16 @@ def test_rest_of_a_literal_beside_a_base_span_is_found():
         base = secrets.base_spans(text)
         assert set(base) <= set(spans)
         assert all(a[1] <= b[0] or b[1] <= a[0] for a in set(spans) - set(base) for b in base)
+
+
+def test_templates_spaces_and_long_joins_hide_no_secret():
+    found = lambda t: [t[s:e] for s, e, _ in spans_of(t)]
+    for secret in ("$2b$12$EixZaYVK1fsbw1ZfbX3OXe", "$uperS3cret!9", "<k9#Qz!7Lm>x", "%aB3$xY9!k", "{{Zx9!k#2q", "your_Xy9$kLmn!2"):
+        assert found(f'db_pwd = "{secret}"') == [secret]
+    assert found('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+    for template in ("$DB_PASSWORD", "${DB_PASSWORD}", "$(pass show db)", "<your password>", "%DB_PASSWORD%", "{{ vault.db_password }}", "your-password-here"):
+        assert found(f'db_pwd = "{template}"') == []
+    parts = [f"q{i}Z!k" for i in range(200)]
+    text = 'part = "start"\n' + "".join(f'part = part + "{p}"\n' for p in parts) + "db_pwd = part\n"
+    assert set(parts) <= set(found(text))
+    assert len(found('a = "Xy9$kLmn!2Qw"\n' + "a = a + a\n" * 5000 + "db_pwd = a\n" * 5000)) == 1
