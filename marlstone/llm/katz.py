@@ -1,9 +1,18 @@
-"""Language-model scoring by a Katz backoff bigram model.
+"""Language-model scoring by Katz backoff over n-grams of any order up to MOST_ORDER.
 
-Counts up to GOOD are discounted by Good-Turing; what that frees goes to unseen words (unigrams: one class for all of
-them) or, by exactly normalised backoff weights, to the words not seen after a context. Tables, partitioned by hash
-and stored: unigrams (w, c, p), contexts (v, alpha), and the log probability of every bigram that occurs in a text.
-Words are 64-bit hashes in all of them; hot words meet in no task, as bigrams are counted before they are shuffled.
+P_m(w | context) is the Good-Turing discounted share of the counts after the context where the n-gram was seen, and
+alpha(context) * P_{m-1}(w | shorter context) where it was not; alpha is what the discounts free, over what P_{m-1} leaves
+for the words not seen after the context, so that each distribution sums to 1. P_1 gives one class of all unseen words
+what the discounts of the single words free. Each token is scored by that recursion, from order 1 up.
+
+Chunks. Texts are cut into chunks of about `chunk_tokens` tokens and kept as numbers: a chunk's sorted distinct word hashes,
+and every token's place among them. A chunk asks for each distinct word, and for each distinct n-gram, once.
+
+Tables. The n-grams that chunks hold are dealt by the word before the last, v, so that all n-grams of all orders that
+end in (v, w), and all contexts that end in v, lie in one partition of the stored table. Words v too frequent for
+a partition (`bucket_tokens`) are dealt by the whole n-gram instead, and the counts and sums of their shorter n-grams
+and contexts are added up over partitions, an entry a partition and key. Nothing is broadcast; what goes to the driver is
+a few numbers an order.
 """
 
 from __future__ import annotations
@@ -12,91 +21,439 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import store, words_of
-
-GOOD = 5
-#: Hashes that stand for the place before a text and for its end.
-BEGIN, END = np.int64(-(2**63)), np.int64(2**63 - 1)
-
-
-def token_hashes(text: str | None) -> np.ndarray:
-    words = words_of(text)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-    return np.concatenate([h, [END]])
-
-
-def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(row_id, train, v, w, n): the distinct bigrams of each text."""
-    for batch in batches:
-        for begin in range(0, len(batch), 500):
-            part = batch.iloc[begin : begin + 500]
-            rows = [token_hashes(t) for t in part["text"]]
-            sizes = [len(r) for r in rows]
-            pairs = np.rec.fromarrays([np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.concatenate([[BEGIN], r[:-1]]) for r in rows]), np.concatenate(rows)], names="d,v,w")
-            order = np.lexsort((pairs.w, pairs.v, pairs.d))
-            pairs = pairs[order]
-            new = np.flatnonzero(np.concatenate([[True], (pairs.d[1:] != pairs.d[:-1]) | (pairs.v[1:] != pairs.v[:-1]) | (pairs.w[1:] != pairs.w[:-1])]))
-            first = pairs[new]
-            yield pd.DataFrame({"row_id": part["row_id"].to_numpy()[first.d], "train": part["train"].to_numpy()[first.d], "v": first.v, "w": first.w, "n": np.diff(np.append(new, len(pairs)))})
-
-
-def discounts(counts: DataFrame, good: int = GOOD) -> list[float]:
-    """Good-Turing's factor for each count up to `good`; where the counts of counts give none below 1, half a count is taken off."""
-    seen = {r.c: r.n for r in counts.filter(F.col("c") <= good + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    over = (good + 1) * seen.get(good + 1, 0) / seen[1] if seen.get(1) else 1.0
-    out = []
-    for r in range(1, good + 1):
-        d = ((r + 1) * seen.get(r + 1, 0) / (r * seen[r]) - over) / (1 - over) if seen.get(r) and over < 1 else 0.0
-        out.append(d if 0 < d < 1 else (r - 0.5) / r)
+from marlstone.llm.shared import HASHES, remove, store, words_of
+
+ORDER, MOST_ORDER, GOOD = 3, 7, 5
+CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 1_500_000
+#: Hashes that stand for the place before a text, the least one, and for its end.
+BEGIN, END = np.uint64(0), np.uint64(2**64 - 1)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+CONTEXT_TAG, TAGS = 8, 16
+CHUNK = "chunk long, n long, keys array<string>, held binary, words binary, counts binary, ids binary, lens binary"
+BLOCK = "bucket long, chunk long, words binary, totals binary, cols array<binary>, counts binary"
+TABLE = "bucket long, words binary, totals binary, cols array<binary>, counts binary, chunks array<long>, places array<binary>, seen array<double>, hot boolean, keys binary, vals binary"
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Whole numbers as narrow as they fit, after a letter that names their type."""
+    narrow = np.asarray(a).astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
+    return narrow.dtype.char.encode() + narrow.tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, b[:1].decode(), offset=1).astype(np.int64)
+
+
+def floats(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.float64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def ranges(buckets: int) -> np.ndarray:
+    """The first hash of every bucket but the first."""
+    return np.array([-(-b * 2**64 // buckets) for b in range(1, buckets)], np.uint64)
+
+
+def ranked(cols: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of numbers below `size`: the place of one row of each kind, in order of columns, and the kind of every row."""
+    key, room = cols[0], size
+    for col in cols[1:]:
+        if room * size >= 2**62:
+            key = np.unique(key, return_inverse=True)[1]
+            room = len(key) + 1
+        key, room = key * size + col, room * size
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return first, inverse
+
+
+def chunks(chunk_tokens: int):
+    """Of (key, held_out, text), the chunks of one task."""
+
+    def flush(name, keys, held, rows):
+        lens = np.array([len(r) for r in rows])
+        words, ids = np.unique(np.concatenate(rows), return_inverse=True)
+        held = np.array(held)
+        counts = np.bincount(ids[np.repeat(~held, lens)], minlength=len(words))
+        # The place before a text counts as a word that comes once a text.
+        return pd.DataFrame({
+            "chunk": [name], "n": [len(ids)], "keys": [keys], "held": [held.tobytes()], "words": [np.concatenate([[BEGIN], words]).tobytes()],
+            "counts": [packed(np.concatenate([[np.count_nonzero(~held)], counts]))], "ids": [packed(ids + 1)], "lens": [packed(lens)],
+        })
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = TaskContext.get().partitionId() << 32
+        keys, held, rows, n = [], [], [], 0
+        for batch in batches:
+            for k, h, t in zip(batch["key"], batch["held_out"], batch["text"]):
+                words = words_of(t)
+                one = np.empty(len(words) + 1, np.uint64)
+                one[:-1] = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+                one[-1] = END
+                keys.append(k)
+                held.append(bool(h))
+                rows.append(one)
+                n += len(one)
+                if n >= chunk_tokens:
+                    yield flush(name, keys, held, rows)
+                    name, keys, held, rows, n = name + 1, [], [], [], 0
+        if rows:
+            yield flush(name, keys, held, rows)
+
+    return run
+
+
+def count_of_counts(c: np.ndarray) -> np.ndarray:
+    """How many are 1, 2, ... GOOD + 1."""
+    return np.bincount(c[(c >= 1) & (c <= GOOD + 1)].astype(np.int64), minlength=GOOD + 2)[1:].astype(float)
+
+
+def added_up(requests: DataFrame, entries: int, width: int) -> DataFrame:
+    """(src, parts, seen): for each src the sums over all of them of the values of its keys, in order of keys.
+
+    requests: (src, keys, vals), sorted distinct hashes and `width` rows of numbers. A key meets in a task one entry from
+    each src. seen: the number and sum of the first totals and their counts of counts, by tag (the low bits of a key).
+    """
+    buckets = max(1, -(-entries // BUCKET_TOKENS))
+    bounds = ranges(buckets)
+
+    def deal(batches):
+        for batch in batches:
+            for src, keys, vals in zip(batch["src"], batch["keys"], batch["vals"]):
+                keys, vals = np.frombuffer(keys, np.uint64), floats(vals).reshape(width, -1)
+                cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+                own = [(b, x, y) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+                if not own:
+                    continue
+                yield pd.DataFrame({"bucket": [b for b, _, _ in own], "src": src, "keys": [keys[x:y].tobytes() for _, x, y in own], "vals": [vals[:, x:y].tobytes() for _, x, y in own]})
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(k, np.uint64) for k in group["keys"]]
+        vals = np.concatenate([floats(v).reshape(width, -1) for v in group["vals"]], axis=1)
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.stack([np.bincount(inverse, weights=v, minlength=len(every)) for v in vals])
+        tags = (every & np.uint64(TAGS - 1)).astype(int)
+        real = (every != BEGIN) & (totals[0] > 0)
+        seen = np.concatenate([[np.count_nonzero(real & (tags == t)), totals[0][real & (tags == t)].sum(), *count_of_counts(totals[0][real & (tags == t)])] for t in range(TAGS)])
+        ends = np.cumsum([len(k) for k in keys])
+        parts = [totals[:, inverse[e - len(k) : e]].tobytes() for k, e in zip(keys, ends)]
+        return pd.DataFrame({"src": group["src"], "bucket": group["bucket"], "part": parts, "seen": [seen] + [None] * (len(keys) - 1)})
+
+    answered = store(requests.mapInPandas(deal, "bucket long, src long, keys binary, vals binary").groupBy("bucket").applyInPandas(answer, "src long, bucket long, part binary, seen array<double>"), "lm-sums")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"])
+    out = answered.groupBy("src").agg(parts.alias("parts"))
+    out.answered = answered
     return out
 
 
-def discounted(c, factors: list[float]):
-    out = c.cast("double")
-    for r, d in enumerate(factors, 1):
-        out = F.when(c == r, F.lit(r * d)).otherwise(out)
+def stats(table: DataFrame, size: int) -> np.ndarray:
+    """The sum of the arrays `seen`, on the driver: `size` numbers."""
+    out = np.zeros(size)
+    for row in table.filter("seen IS NOT NULL").select(F.posexplode("seen")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        out[row.pos] = row.n
     return out
 
 
-def score_texts(docs: DataFrame, *, key="doc_id", text="text", held_out=(7, 2)) -> DataFrame:
+def discounts(seen: np.ndarray) -> np.ndarray:
+    """Good-Turing's factor for counts 0 (none), 1 to GOOD and above (1), from counts of counts; where these give none below 1, half a count is taken off."""
+    over = (GOOD + 1) * seen[GOOD] / seen[0] if seen[0] else 1.0
+    out = [0.0]
+    for r in range(1, GOOD + 1):
+        d = ((r + 1) * seen[r] / (r * seen[r - 1]) - over) / (1 - over) if seen[r - 1] and over < 1 else 0.0
+        out.append(d if 0 < d < 1 else (r - 0.5) / r)
+    return np.array([*out, 1.0])
+
+
+def discounted(c: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    return c * factors[np.minimum(c, GOOD + 1).astype(np.int64)]
+
+
+class Typed:
+    """The distinct n-grams of a chunk by bucket: columns are the words before the last, the nearest first, and the last."""
+
+    def __init__(self, row, order: int, bounds: np.ndarray, hot_tokens: int):
+        self.words = np.frombuffer(row.words, np.uint64)
+        self.totals = np.concatenate([floats(p) for p in row.parts])
+        self.lens, self.ids = unpacked(row.lens), unpacked(row.ids)
+        self.held = np.frombuffer(row.held, bool)
+        self.starts = np.cumsum(self.lens) - self.lens
+        within = np.arange(len(self.ids)) - np.repeat(self.starts, self.lens)
+        before = []
+        for k in range(1, order):
+            shifted = np.zeros_like(self.ids)
+            shifted[k:] = self.ids[:-k]
+            before.append(np.where(within >= k, shifted, 0))
+        cols = [*before, self.ids]
+        first, self.kind = ranked(cols, len(self.words))
+        self.cols = [c[first] for c in cols]
+        self.counts = np.bincount(self.kind, weights=np.repeat(~self.held, self.lens), minlength=len(first))
+        v = self.cols[0]
+        at = self.words[v].copy()
+        hot = self.totals[v] > hot_tokens
+        whole = np.zeros(np.count_nonzero(hot), np.uint64)
+        for c in self.cols:
+            whole = mixed(whole * MIX + self.words[c[hot]])
+        at[hot] = whole
+        bucket = np.searchsorted(bounds, at, side="right")
+        self.order = np.argsort(bucket, kind="stable")
+        self.buckets, self.begins = np.unique(bucket[self.order], return_index=True)
+
+
+def blocks(order: int, bounds: np.ndarray, hot_tokens: int):
+    """A chunk's n-grams, a row for each bucket, with the words that they hold and these words' counts in all chunks."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                t = Typed(row, order, bounds, hot_tokens)
+                rows = []
+                for b, x, y in zip(t.buckets, t.begins, [*t.begins[1:], len(t.order)]):
+                    some = t.order[x:y]
+                    own, inside = np.unique(np.concatenate([c[some] for c in t.cols]), return_inverse=True)
+                    rows.append((int(b), row.chunk, t.words[own].tobytes(), packed(t.totals[own]), [packed(c) for c in inside.reshape(order, -1)], packed(t.counts[some])))
+                yield pd.DataFrame(rows, columns=["bucket", "chunk", "words", "totals", "cols", "counts"])
+
+    return run
+
+
+class Bucket:
+    """The distinct n-grams of a bucket in order of columns, and for each order m their m-gram and its context, numbered."""
+
+    def __init__(self, words: np.ndarray, totals: np.ndarray, cols: list[np.ndarray], counts: np.ndarray, hot_tokens: int):
+        self.words, self.totals, self.cols, self.counts, self.n = words, totals, cols, counts, len(cols)
+        self.hot = totals[cols[0]] > hot_tokens
+        self.context, self.gram, new = {}, {}, np.zeros(len(counts), bool)
+        new[:1] = True
+        for m in range(2, self.n + 1):
+            col = cols[m - 2]
+            new[1:] |= col[1:] != col[:-1]
+            self.context[m] = np.cumsum(new) - 1
+            self.gram[m] = np.arange(len(counts)) if m == self.n else np.unique(self.context[m] * len(words) + cols[-1], return_inverse=True)[1]
+        self.c = {m: np.bincount(g, weights=counts)[g] for m, g in self.gram.items()}
+        self.after = {m: np.bincount(x, weights=counts)[x] for m, x in self.context.items()}
+        self.after[2] = np.where(self.hot, totals[cols[0]], self.after[2])
+
+    def keys(self, m: int, context: bool) -> np.ndarray:
+        h = np.zeros(np.count_nonzero(self.hot), np.uint64)
+        for col in self.cols[: m - 1] + ([] if context else self.cols[-1:]):
+            h = mixed(h * MIX + self.words[col[self.hot]])
+        return h & ~np.uint64(TAGS - 1) | np.uint64(m + CONTEXT_TAG * context)
+
+    def partial(self) -> tuple[np.ndarray, np.ndarray]:
+        """What other buckets must add to: the counts of shorter n-grams and of contexts after hot words."""
+        keys = np.concatenate([np.zeros(0, np.uint64), *[self.keys(m, False) for m in range(2, self.n)], *[self.keys(m, True) for m in range(3, self.n + 1)]])
+        every, first = np.unique(keys, return_index=True)
+        own = np.concatenate([np.zeros(0), *[self.c[m][self.hot] for m in range(2, self.n)], *[self.after[m][self.hot] for m in range(3, self.n + 1)]])
+        return every, own[first]
+
+    def complete(self, keys: np.ndarray, totals: np.ndarray) -> None:
+        self.part = {m: c.copy() for m, c in self.c.items()}
+        for context, table in ((False, self.c), (True, self.after)):
+            for m in range(2 + context, self.n + context):
+                table[m][self.hot] = totals[np.searchsorted(keys, self.keys(m, context))]
+
+    def whole_counts(self) -> list[np.ndarray]:
+        """Counts of counts of each order from 2, of what lies in this bucket alone."""
+        out = []
+        for m in range(2, self.n + 1):
+            first = np.unique(self.gram[m], return_index=True)[1]
+            own = first if m == self.n else first[~self.hot[first]]
+            out.append(count_of_counts(self.c[m][own]))
+        return out
+
+
+def merge(order: int, hot_tokens: int):
+    """One row of the table from a bucket's blocks."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        words = [np.frombuffer(w, np.uint64) for w in group["words"]]
+        every, first = np.unique(np.concatenate(words), return_index=True)
+        totals = np.concatenate([unpacked(t) for t in group["totals"]])[first]
+        cols = [[] for _ in range(order)]
+        for own, some in zip(words, group["cols"]):
+            place = np.searchsorted(every, own)
+            for into, c in zip(cols, some):
+                into.append(place[unpacked(c)])
+        cols = [np.concatenate(c) for c in cols]
+        counts = [unpacked(c) for c in group["counts"]]
+        first, kind = ranked(cols, len(every))
+        cols = [c[first] for c in cols]
+        bucket = Bucket(every, totals.astype(float), cols, np.bincount(kind, weights=np.concatenate(counts), minlength=len(first)), hot_tokens)
+        ends = np.cumsum([len(c) for c in counts])
+        places = [packed(np.diff(kind[e - len(c) : e], prepend=0)) for c, e in zip(counts, ends)]  # they rise
+        keys, vals = bucket.partial()
+        return pd.DataFrame({
+            "bucket": group["bucket"].iloc[:1], "words": [every.tobytes()], "totals": [packed(totals)], "cols": [[packed(c) for c in cols]], "counts": [packed(bucket.counts)],
+            "chunks": [group["chunk"].tolist()], "places": [places], "seen": [np.concatenate(bucket.whole_counts())], "hot": [bool(bucket.hot.any())], "keys": [keys.tobytes()], "vals": [vals.tobytes()],
+        })
+
+    return run
+
+
+class Model:
+    """The numbers that all tasks need: the discount factors of each order, and what single words have."""
+
+    def __init__(self, n: float, distinct: float, factors: list[np.ndarray], seen: np.ndarray):
+        self.n, self.distinct, self.factors = n, distinct, factors
+        counts = np.arange(1, GOOD + 1)
+        free = float((seen[:GOOD] * (counts - discounted(counts, factors[0]))).sum())  # one count if nothing was discounted
+        self.whole, self.unseen = (n, free / n) if free > 0 else (n + 1, 1 / (n + 1))
+
+    def single(self, totals: np.ndarray) -> np.ndarray:
+        return np.where(totals > 0, discounted(totals, self.factors[0]) / self.whole, self.unseen)
+
+
+def probabilities(b: Bucket, model: Model, sums: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """log10 P of each n-gram by the recursion, or, at the first order m whose contexts after hot words lack their sums, (keys, vals) to add up. sums: per order (keys, [kept, below])."""
+    p = model.single(b.totals)[b.cols[-1]]
+    floor = np.full(len(p), model.unseen)  # the probability of the unseen class: no more can be missing below it
+    for m in range(2, b.n + 1):
+        x, g, c, after = b.context[m], b.gram[m], b.c[m], b.after[m]
+        given = discounted(c, model.factors[m - 1])
+        one = np.zeros(len(p))
+        one[np.unique(g, return_index=True)[1]] = 1  # each m-gram once
+        if b.hot.any():
+            one[b.hot] = b.counts[b.hot] / np.maximum(c[b.hot], 1)  # over all buckets, the shares of one m-gram add up to 1
+        one[c == 0] = 0
+        kept, below = (np.bincount(x, weights=one * y)[x] for y in (given, p))
+        if b.hot.any():
+            keys = b.keys(m, True)
+            if m not in sums:
+                every, first = np.unique(keys, return_index=True)
+                return every, np.stack([kept[b.hot][first], below[b.hot][first]])
+            at = np.searchsorted(sums[m][0], keys)
+            kept[b.hot], below[b.hot] = sums[m][1][0][at], sums[m][1][1][at]
+        scale = np.where(kept < after * (1 - 1e-12), after, after + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            alpha = np.where(after > 0, np.maximum(1 - kept / scale, 0) / np.maximum(1 - below, floor), 1.0)
+        p = np.where(c > 0, given / scale, alpha * p)
+        floor = alpha * floor
+    return np.log10(p)
+
+
+def read_bucket(row, hot_tokens: int) -> Bucket:
+    b = Bucket(np.frombuffer(row.words, np.uint64), unpacked(row.totals).astype(float), [unpacked(c) for c in row.cols], unpacked(row.counts).astype(float), hot_tokens)
+    if len(row.keys):
+        b.complete(np.frombuffer(row.keys, np.uint64), np.concatenate([floats(p) for p in row.parts]))
+    return b
+
+
+def asked(model: Model, order: int, hot_tokens: int):
+    """What buckets ask at an order: the sums of contexts after hot words."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                b = read_bucket(row, hot_tokens)
+                keys, vals = probabilities(b, model, sums_of(row, order))
+                yield pd.DataFrame({"bucket": [row.bucket], "keys": [keys.tobytes()], "vals": [vals.tobytes()]})
+
+    return run
+
+
+def sums_of(row, upto: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    out = {}
+    for m in range(2, upto):
+        keys = getattr(row, f"keys_{m}")
+        if keys is not None:
+            out[m] = (np.frombuffer(keys, np.uint64), np.concatenate([floats(p).reshape(2, -1) for p in getattr(row, f"parts_{m}")], axis=1))
+    return out
+
+
+def answers(model: Model, order: int, hot_tokens: int):
+    """(chunk, bucket, part): log10 P of the n-grams that a chunk has in a bucket, in its order."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                logs = probabilities(read_bucket(row, hot_tokens), model, sums_of(row, order + 1))
+                yield pd.DataFrame({"chunk": row.chunks, "bucket": row.bucket, "part": [logs[np.cumsum(unpacked(p))].tobytes() for p in row.places]})
+
+    return run
+
+
+def scored(model: Model, order: int, bounds: np.ndarray, hot_tokens: int):
+    """The rows of a chunk with the sums of their tokens."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                t = Typed(row, order, bounds, hot_tokens)
+                logs = np.empty(len(t.order))
+                logs[t.order] = np.concatenate([floats(p) for p in row.logs])
+                c = t.totals[t.ids]
+                sums = [np.add.reduceat(x, t.starts) for x in (c > 0, np.log10((c + 1) / (model.n + model.distinct + 1)), logs[t.kind])]
+                yield pd.DataFrame({"key": row.keys, "held_out": t.held, "n_tokens": t.lens, "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2]})
+
+    return run
+
+
+def score_texts(docs: DataFrame, *, key="doc_id", text="text", held_out=(7, 2), order=ORDER, chunk_tokens=CHUNK_TOKENS, bucket_tokens=BUCKET_TOKENS) -> DataFrame:
     """Per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(key as text) modulo held_out[0] is held_out[1] are not learned from. A null or empty text has one
-    token, its end. A null key counts as an empty key text. Repeated rows each count. If there is nothing to learn from,
-    every token has the probability of the unseen class, 1. Other columns are ignored.
+    token, its end. A null key counts as an empty key text. Repeated rows each count and each give their row; there are no
+    ties to break. A long text is one chunk, of its own length. If there is nothing to learn from, every token has the
+    probability of the unseen class, 1; an empty table gives an empty result. Other columns are ignored, whatever
+    their names. key: of a type that can be read back from its text. order: 2 to MOST_ORDER.
     """
+    if not 2 <= order <= MOST_ORDER:
+        raise ValueError(f"order must be 2 to {MOST_ORDER}")
+    spark = docs.sparkSession
     mod, out = held_out
-    held = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(mod)) == out
-    rows = store(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).alias("key"), held.alias("held_out"), F.col(text).alias("text")), "lm-texts")
-    own = store(rows.select("row_id", (~F.col("held_out")).alias("train"), "text").mapInPandas(bigrams, "row_id long, train boolean, v long, w long, n long"), "lm-bigrams")
-
-    seen = store(own.groupBy("v", "w").agg(F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).alias("c")), "lm-counts")
-    words = store(seen.groupBy("w").agg(F.sum("c").alias("c")).filter("c > 0"), "lm-words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    d1, d2 = discounts(words), discounts(seen.filter("c > 0"))
-    mass = words.agg(F.coalesce(F.sum(discounted(F.col("c"), d1)), F.lit(0.0))).first()[0]
-    free = total - mass  # what unseen words get; one count if nothing was discounted
-    whole, free = (total, free) if free > 0 else (total + 1, 1.0)
-    unseen = free / whole
-    uni = store(words.select("w", "c", (discounted(F.col("c"), d1) / whole).alias("p")), "lm-unigrams")
-
-    after = seen.filter("c > 0").join(uni.select("w", "p"), "w")
-    ctx = after.groupBy("v").agg(F.sum("c").alias("n"), F.sum(discounted(F.col("c"), d2)).alias("kept"), F.sum("p").alias("below"))
-    scale = F.when(F.col("kept") < F.col("n"), F.col("n")).otherwise(F.col("n") + 1).cast("double")
-    # Where rounding leaves nothing below, the unseen class is what is not seen after the context.
-    ctx = store(ctx.select("v", scale.alias("n"), (F.greatest(1 - F.col("kept") / scale, F.lit(0.0)) / F.greatest(1 - F.col("below"), F.lit(unseen))).alias("alpha")), "lm-contexts")
-
-    p = F.coalesce("p", F.lit(unseen))
-    direct = discounted(F.col("c"), d2) / F.col("ctx_n")
-    logp = F.log10(F.when(F.col("c") > 0, direct).otherwise(F.coalesce("alpha", F.lit(1.0)) * p))
-    base = F.log10((F.coalesce("wc", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
-    table = seen.join(uni.select("w", "p", F.col("c").alias("wc")), "w", "left").join(ctx.withColumnRenamed("n", "ctx_n"), "v", "left")
-    table = store(table.select("v", "w", logp.alias("logp"), base.alias("base"), F.col("wc").isNotNull().alias("known")), "lm-model")
-    sums = own.join(table, ["v", "w"]).groupBy("row_id").agg(
-        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * F.col("base")).alias("base_score"), F.sum(F.col("n") * F.col("logp")).alias("score")
-    )
-    return rows.drop("text").join(sums, "row_id").select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    name = F.col(key).cast("string")
+    held = F.pmod(F.crc32(F.coalesce(name, F.lit("")).cast("binary")), F.lit(mod)) == out
+    rows = docs.select(name.alias("key"), held.alias("held_out"), F.col(text).alias("text"))
+    texts = store(rows.mapInPandas(chunks(chunk_tokens), CHUNK), "lm-chunks")
+
+    def as_request(batches):
+        for batch in batches:
+            yield pd.DataFrame({"src": batch["chunk"], "keys": batch["words"], "vals": [unpacked(c).astype(float).tobytes() for c in batch["counts"]]})
+
+    entries, n_all = texts.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0)).cast("long"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    totals = added_up(texts.select("chunk", "words", "counts").mapInPandas(as_request, "src long, keys binary, vals binary"), entries, 1)
+    seen = stats(totals.answered, TAGS * (GOOD + 3)).reshape(TAGS, -1).sum(0)
+    distinct, n, first_order = seen[0], seen[1], seen[2:]
+    sized = store(texts.drop("counts", "n").join(totals.withColumnRenamed("src", "chunk"), "chunk"), "lm-sized")
+    remove(spark, texts, totals.answered)
+
+    hot_tokens, buckets = bucket_tokens, max(1, -(-n_all // bucket_tokens))
+    bounds = ranges(buckets)
+    dealt = sized.select("chunk", "held", "words", "ids", "lens", "parts").mapInPandas(blocks(order, bounds, hot_tokens), BLOCK)
+    table = store(dealt.groupBy("bucket").applyInPandas(merge(order, hot_tokens), TABLE), "lm-table")
+    by_order = stats(table, (order - 1) * (GOOD + 1)).reshape(order - 1, -1)
+
+    # Counts and sums of what hot words spread over buckets.
+    hot = table.filter("hot")
+    n_hot, hot_entries = hot.agg(F.count("*"), F.coalesce(F.sum(F.length("keys") / 8), F.lit(0)).cast("long")).first()
+    temporary, full = [], table.withColumn("parts", F.lit(None).cast("array<binary>"))
+    if n_hot:
+        whole = added_up(hot.select(F.col("bucket").alias("src"), "keys", "vals"), hot_entries, 1)
+        temporary.append(whole.answered)
+        by_order[:-1] += stats(whole.answered, TAGS * (GOOD + 3)).reshape(TAGS, -1)[2:order, 2:]
+        full = table.join(whole.withColumnRenamed("src", "bucket"), "bucket", "left")
+    model = Model(n, distinct, [discounts(first_order), *map(discounts, by_order)], first_order)
+    for m in range(2, order + 1):
+        if n_hot:
+            asks = store(full.filter("hot").mapInPandas(asked(model, m, hot_tokens), "bucket long, keys binary, vals binary"), "lm-asked")
+            sums = added_up(asks.select(F.col("bucket").alias("src"), "keys", "vals"), hot_entries, 2)
+            temporary += [asks, sums.answered]
+            sums = sums.select(F.col("src").alias("bucket"), F.col("parts").alias(f"parts_{m}")).join(asks.select("bucket", F.col("keys").alias(f"keys_{m}")), "bucket")
+            full = full.join(sums, "bucket", "left")
+        else:
+            full = full.withColumns({f"keys_{m}": F.lit(None).cast("binary"), f"parts_{m}": F.lit(None).cast("array<binary>")})
+    logs = store(full.mapInPandas(answers(model, order, hot_tokens), "chunk long, bucket long, part binary"), "lm-logs")
+    remove(spark, table, *temporary)
+
+    gathered = logs.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"]).alias("logs"))
+    result = sized.join(gathered, "chunk").mapInPandas(scored(model, order, bounds, hot_tokens), "key string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    kind = docs.schema[key].dataType
+    return result.select(F.col("key").cast(kind).alias(key), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import remove, store, words_of
+from marlstone.llm.shared import HASHES, remove, store, words_of
 
 BANDS, ROWS = 32, 6
 #: Parities of a set, 64 to a word.
@@ -37,19 +36,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class WordHashes(dict):
-    """The hash of each word met, forgotten when they are many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = WordHashes()
-
-
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of `width` consecutive words; of all words if there are fewer; none without words."""
     words = words_of(text)

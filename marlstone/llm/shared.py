@@ -6,21 +6,26 @@ import atexit
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Between words, by the contract of the corpus queries: space and the five control characters from tab on.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Shuffle files go when the query that wrote them has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder becomes the checkpoint folder."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder serves if driver and executors are one process (local[n], as in tests); on a cluster that is an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get()
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marlstone-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -38,7 +43,12 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -62,3 +72,16 @@ def _remove_all() -> None:
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cases A-Z and splits at the separators of WORD; bytes.split() knows exactly these six."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+class WordHashes(dict):
+    """The hash of each word met, forgotten when they are many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+HASHES = WordHashes()
