@@ -6,21 +6,26 @@ for the words not seen after the context, so that each distribution sums to 1. P
 what the discounts of the single words free. Each token is scored by that recursion, from order 1 up.
 
 Chunks. Texts are cut into chunks of about `chunk_tokens` tokens and kept as numbers: a chunk's sorted distinct word hashes,
-and every token's place among them. A chunk asks for each distinct word, and for each distinct n-gram, once.
+and every token's place among them. A chunk asks for each distinct word, and for each distinct n-gram, once. With a
+word's count it is told the word's number, which is shorter than the hash once sorted ones are written as steps.
 
 Tables. The n-grams that chunks hold are dealt by the word before the last, v, so that all n-grams of all orders that
-end in (v, w), and all contexts that end in v, lie in one partition of the stored table. Words v too frequent for
-a partition (`bucket_tokens`) are dealt by the whole n-gram instead, and the counts and sums of their shorter n-grams
-and contexts are added up over partitions, an entry a partition and key. Nothing is broadcast; what goes to the driver is
+end in (v, w), and all contexts that end in v, lie in one row of the stored table, which holds some `bucket_tokens` of
+them. Words v too frequent for that (more than 2 * bucket_tokens, or than 1 / BALANCE of all tokens) are dealt by the whole
+n-gram instead, and the counts and sums of their shorter n-grams and contexts are added up over rows, an entry a
+row and key. Nothing is broadcast; what goes to the driver is
 a few numbers an order.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,28 +33,50 @@ from pyspark.sql import functions as F
 from marlstone.llm.shared import HASHES, remove, store, words_of
 
 ORDER, MOST_ORDER, GOOD = 3, 7, 5
-CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 1_500_000
-#: Hashes that stand for the place before a text, the least one, and for its end.
+CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 1_000_000
+#: Rows of the table whose n-grams are shuffled together: larger groups repeat fewer word numbers.
+GROUP = 4
+#: A word with a greater share than 1 / BALANCE is spread, so that no task has much more to do than others.
+BALANCE = 64
+#: Frequent words that a partition of the words reports to size the spread part of the table.
+REPORTED = 64
+#: Hashes that stand for the place before a text, the least one, whose number is 0, and for its end.
 BEGIN, END = np.uint64(0), np.uint64(2**64 - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CONTEXT_TAG, TAGS = 8, 16
-CHUNK = "chunk long, n long, keys array<string>, held binary, words binary, counts binary, ids binary, lens binary"
+CHUNK = "chunk long, n long, n_words long, keys array<string>, held binary, words binary, counts binary, ids binary, lens binary"
 BLOCK = "bucket long, chunk long, words binary, totals binary, cols array<binary>, counts binary"
-TABLE = "bucket long, words binary, totals binary, cols array<binary>, counts binary, chunks array<long>, places array<binary>, seen array<double>, hot boolean, keys binary, vals binary"
+TABLE = "bucket long, words binary, totals binary, cols array<binary>, counts binary, chunks array<long>, places array<binary>, seen array<double>, hot boolean, keys binary, vals binary, n_keys long"
 
 
-def packed(a: np.ndarray) -> bytes:
-    """Whole numbers as narrow as they fit, after a letter that names their type."""
-    narrow = np.asarray(a).astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
-    return narrow.dtype.char.encode() + narrow.tobytes()
+def packed(a: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers as narrow as they fit, compressed by planes of bytes, after a letter that names their type. rising: their steps instead."""
+    a = np.asarray(a)
+    if rising and len(a):
+        a = np.concatenate([a[:1], a[1:] - a[:-1]])
+    narrow = a.astype(np.min_scalar_type(a.max()) if a.dtype.kind == "u" and len(a) else np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
+    planes = narrow.view(np.uint8).reshape(len(narrow), narrow.itemsize).T
+    return narrow.dtype.char.encode() + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
-def unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, b[:1].decode(), offset=1).astype(np.int64)
+def unpacked(b: bytes, rising: bool = False, kind=np.int64) -> np.ndarray:
+    narrow = np.dtype(b[:1].decode())
+    planes = np.frombuffer(zstandard.decompress(b[1:]), np.uint8).reshape(narrow.itemsize, -1)
+    a = np.ascontiguousarray(planes.T).view(narrow).reshape(-1).astype(kind)
+    return np.cumsum(a, dtype=kind) if rising else a
+
+
+def hashes(b: bytes) -> np.ndarray:
+    """Sorted hashes or numbers that packed(..., rising=True) wrote."""
+    return unpacked(b, True, np.uint64)
+
+
+def packed_floats(a: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(a, np.float64).tobytes(), 1)
 
 
 def floats(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.float64)
+    return np.frombuffer(zstandard.decompress(b), np.float64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -64,14 +91,14 @@ def ranges(buckets: int) -> np.ndarray:
 
 def ranked(cols: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of numbers below `size`: the place of one row of each kind, in order of columns, and the kind of every row."""
-    key, room = cols[0], size
+    key, room = cols[0].astype(np.int64), size
     for col in cols[1:]:
         if room * size >= 2**62:
             key = np.unique(key, return_inverse=True)[1]
             room = len(key) + 1
         key, room = key * size + col, room * size
     _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return first, inverse
+    return first, inverse.astype(np.int32)
 
 
 def chunks(chunk_tokens: int):
@@ -84,7 +111,7 @@ def chunks(chunk_tokens: int):
         counts = np.bincount(ids[np.repeat(~held, lens)], minlength=len(words))
         # The place before a text counts as a word that comes once a text.
         return pd.DataFrame({
-            "chunk": [name], "n": [len(ids)], "keys": [keys], "held": [held.tobytes()], "words": [np.concatenate([[BEGIN], words]).tobytes()],
+            "chunk": [name], "n": [len(ids)], "n_words": [len(words) + 1], "keys": [keys], "held": [held.tobytes()], "words": [packed(np.concatenate([[BEGIN], words]), True)],
             "counts": [packed(np.concatenate([[np.count_nonzero(~held)], counts]))], "ids": [packed(ids + 1)], "lens": [packed(lens)],
         })
 
@@ -116,10 +143,11 @@ def count_of_counts(c: np.ndarray) -> np.ndarray:
 
 
 def added_up(requests: DataFrame, entries: int, width: int) -> DataFrame:
-    """(src, parts, seen): for each src the sums over all of them of the values of its keys, in order of keys.
+    """(src, parts, numbers): for each src the sums over all of them of the values of its keys, in order of keys, and the keys' numbers.
 
     requests: (src, keys, vals), sorted distinct hashes and `width` rows of numbers. A key meets in a task one entry from
-    each src. seen: the number and sum of the first totals and their counts of counts, by tag (the low bits of a key).
+    each src. Numbers rise with the keys: the partition and the place in it. The stored table, `answered`, also has seen:
+    the number and sum of the first totals and their counts of counts, by tag (the low bits of a key).
     """
     buckets = max(1, -(-entries // BUCKET_TOKENS))
     bounds = ranges(buckets)
@@ -127,15 +155,15 @@ def added_up(requests: DataFrame, entries: int, width: int) -> DataFrame:
     def deal(batches):
         for batch in batches:
             for src, keys, vals in zip(batch["src"], batch["keys"], batch["vals"]):
-                keys, vals = np.frombuffer(keys, np.uint64), floats(vals).reshape(width, -1)
+                keys, vals = hashes(keys), floats(vals).reshape(width, -1)
                 cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
                 own = [(b, x, y) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
                 if not own:
                     continue
-                yield pd.DataFrame({"bucket": [b for b, _, _ in own], "src": src, "keys": [keys[x:y].tobytes() for _, x, y in own], "vals": [vals[:, x:y].tobytes() for _, x, y in own]})
+                yield pd.DataFrame({"bucket": [b for b, _, _ in own], "src": src, "keys": [packed(keys[x:y], True) for _, x, y in own], "vals": [packed_floats(vals[:, x:y]) for _, x, y in own]})
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in group["keys"]]
+        keys = [hashes(k) for k in group["keys"]]
         vals = np.concatenate([floats(v).reshape(width, -1) for v in group["vals"]], axis=1)
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.stack([np.bincount(inverse, weights=v, minlength=len(every)) for v in vals])
@@ -143,12 +171,15 @@ def added_up(requests: DataFrame, entries: int, width: int) -> DataFrame:
         real = (every != BEGIN) & (totals[0] > 0)
         seen = np.concatenate([[np.count_nonzero(real & (tags == t)), totals[0][real & (tags == t)].sum(), *count_of_counts(totals[0][real & (tags == t)])] for t in range(TAGS)])
         ends = np.cumsum([len(k) for k in keys])
-        parts = [totals[:, inverse[e - len(k) : e]].tobytes() for k, e in zip(keys, ends)]
-        return pd.DataFrame({"src": group["src"], "bucket": group["bucket"], "part": parts, "seen": [seen] + [None] * (len(keys) - 1)})
-
-    answered = store(requests.mapInPandas(deal, "bucket long, src long, keys binary, vals binary").groupBy("bucket").applyInPandas(answer, "src long, bucket long, part binary, seen array<double>"), "lm-sums")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"])
-    out = answered.groupBy("src").agg(parts.alias("parts"))
+        parts = [packed_floats(totals[:, inverse[e - len(k) : e]]) for k, e in zip(keys, ends)]
+        base = np.uint64(int(group["bucket"].iloc[0]) << 32)
+        numbers = [packed(base + inverse[e - len(k) : e].astype(np.uint64), True) for k, e in zip(keys, ends)]
+        none = [None] * (len(keys) - 1)
+        return pd.DataFrame({"src": group["src"], "bucket": group["bucket"], "part": parts, "number": numbers, "seen": [seen, *none], "most": [np.sort(totals[0])[-REPORTED:], *none]})
+
+    answered = store(requests.mapInPandas(deal, "bucket long, src long, keys binary, vals binary").groupBy("bucket").applyInPandas(answer, "src long, bucket long, part binary, number binary, seen array<double>, most array<double>"), "lm-sums", 16)
+    parts = F.sort_array(F.collect_list(F.struct("bucket", "part", "number")))
+    out = answered.groupBy("src").agg(parts.alias("all")).select("src", F.transform("all", lambda x: x["part"]).alias("parts"), F.transform("all", lambda x: x["number"]).alias("numbers"))
     out.answered = answered
     return out
 
@@ -175,13 +206,20 @@ def discounted(c: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return c * factors[np.minimum(c, GOOD + 1).astype(np.int64)]
 
 
+class Deal:
+    """Where n-grams go: to one of `groups` by the word before the last, those after hot words to one of `hot_groups` more."""
+
+    def __init__(self, groups: int, hot_groups: int, hot_tokens: float):
+        self.bounds, self.hot_bounds, self.hot_tokens, self.groups = ranges(groups), ranges(hot_groups), hot_tokens, groups
+
+
 class Typed:
     """The distinct n-grams of a chunk by bucket: columns are the words before the last, the nearest first, and the last."""
 
-    def __init__(self, row, order: int, bounds: np.ndarray, hot_tokens: int):
-        self.words = np.frombuffer(row.words, np.uint64)
+    def __init__(self, row, order: int, deal: Deal):
+        self.words = np.concatenate([hashes(n) for n in row.numbers])
         self.totals = np.concatenate([floats(p) for p in row.parts])
-        self.lens, self.ids = unpacked(row.lens), unpacked(row.ids)
+        self.lens, self.ids = unpacked(row.lens), unpacked(row.ids, kind=np.int32)
         self.held = np.frombuffer(row.held, bool)
         self.starts = np.cumsum(self.lens) - self.lens
         within = np.arange(len(self.ids)) - np.repeat(self.starts, self.lens)
@@ -189,35 +227,40 @@ class Typed:
         for k in range(1, order):
             shifted = np.zeros_like(self.ids)
             shifted[k:] = self.ids[:-k]
-            before.append(np.where(within >= k, shifted, 0))
+            before.append(np.where(within >= k, shifted, np.int32(0)))
         cols = [*before, self.ids]
         first, self.kind = ranked(cols, len(self.words))
         self.cols = [c[first] for c in cols]
         self.counts = np.bincount(self.kind, weights=np.repeat(~self.held, self.lens), minlength=len(first))
         v = self.cols[0]
-        at = self.words[v].copy()
-        hot = self.totals[v] > hot_tokens
+        at = mixed(self.words * MIX)[v]
+        hot = self.totals[v] > deal.hot_tokens
         whole = np.zeros(np.count_nonzero(hot), np.uint64)
         for c in self.cols:
             whole = mixed(whole * MIX + self.words[c[hot]])
-        at[hot] = whole
-        bucket = np.searchsorted(bounds, at, side="right")
+        bucket = np.searchsorted(deal.bounds, at, side="right")
+        bucket[hot] = len(deal.bounds) + 1 + np.searchsorted(deal.hot_bounds, whole, side="right")
         self.order = np.argsort(bucket, kind="stable")
         self.buckets, self.begins = np.unique(bucket[self.order], return_index=True)
 
 
-def blocks(order: int, bounds: np.ndarray, hot_tokens: int):
+def packed_columns(cols) -> list[bytes]:
+    """The first of the sorted columns rises."""
+    return [packed(c, i == 0) for i, c in enumerate(cols)]
+
+
+def blocks(order: int, deal: Deal):
     """A chunk's n-grams, a row for each bucket, with the words that they hold and these words' counts in all chunks."""
 
     def run(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
-                t = Typed(row, order, bounds, hot_tokens)
+                t = Typed(row, order, deal)
                 rows = []
                 for b, x, y in zip(t.buckets, t.begins, [*t.begins[1:], len(t.order)]):
                     some = t.order[x:y]
                     own, inside = np.unique(np.concatenate([c[some] for c in t.cols]), return_inverse=True)
-                    rows.append((int(b), row.chunk, t.words[own].tobytes(), packed(t.totals[own]), [packed(c) for c in inside.reshape(order, -1)], packed(t.counts[some])))
+                    rows.append((int(b), row.chunk, packed(t.words[own], True), packed(t.totals[own]), packed_columns(inside.reshape(order, -1)), packed(t.counts[some])))
                 yield pd.DataFrame(rows, columns=["bucket", "chunk", "words", "totals", "cols", "counts"])
 
     return run
@@ -234,8 +277,8 @@ class Bucket:
         for m in range(2, self.n + 1):
             col = cols[m - 2]
             new[1:] |= col[1:] != col[:-1]
-            self.context[m] = np.cumsum(new) - 1
-            self.gram[m] = np.arange(len(counts)) if m == self.n else np.unique(self.context[m] * len(words) + cols[-1], return_inverse=True)[1]
+            self.context[m] = np.cumsum(new, dtype=np.int32) - 1
+            self.gram[m] = np.arange(len(counts), dtype=np.int32) if m == self.n else ranked([self.context[m], cols[-1]], max(len(words), len(counts)))[1]
         self.c = {m: np.bincount(g, weights=counts)[g] for m, g in self.gram.items()}
         self.after = {m: np.bincount(x, weights=counts)[x] for m, x in self.context.items()}
         self.after[2] = np.where(self.hot, totals[cols[0]], self.after[2])
@@ -269,35 +312,55 @@ class Bucket:
         return out
 
 
-def merge(order: int, hot_tokens: int):
-    """One row of the table from a bucket's blocks."""
+def merge(order: int, deal: Deal, bucket_tokens: int):
+    """Rows of the table from a group's blocks, each of some bucket_tokens n-grams: cut between words v, but not where hot ones are dealt."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        words = [np.frombuffer(w, np.uint64) for w in group["words"]]
+        name, chunks = int(group["bucket"].iloc[0]), group["chunk"].to_numpy()
+        words = [hashes(w) for w in group["words"]]
         every, first = np.unique(np.concatenate(words), return_index=True)
         totals = np.concatenate([unpacked(t) for t in group["totals"]])[first]
         cols = [[] for _ in range(order)]
         for own, some in zip(words, group["cols"]):
-            place = np.searchsorted(every, own)
-            for into, c in zip(cols, some):
-                into.append(place[unpacked(c)])
-        cols = [np.concatenate(c) for c in cols]
-        counts = [unpacked(c) for c in group["counts"]]
-        first, kind = ranked(cols, len(every))
-        cols = [c[first] for c in cols]
-        bucket = Bucket(every, totals.astype(float), cols, np.bincount(kind, weights=np.concatenate(counts), minlength=len(first)), hot_tokens)
-        ends = np.cumsum([len(c) for c in counts])
-        places = [packed(np.diff(kind[e - len(c) : e], prepend=0)) for c, e in zip(counts, ends)]  # they rise
-        keys, vals = bucket.partial()
-        return pd.DataFrame({
-            "bucket": group["bucket"].iloc[:1], "words": [every.tobytes()], "totals": [packed(totals)], "cols": [[packed(c) for c in cols]], "counts": [packed(bucket.counts)],
-            "chunks": [group["chunk"].tolist()], "places": [places], "seen": [np.concatenate(bucket.whole_counts())], "hot": [bool(bucket.hot.any())], "keys": [keys.tobytes()], "vals": [vals.tobytes()],
-        })
+            place = np.searchsorted(every, own).astype(np.int32)
+            for i, c in enumerate(some):
+                cols[i].append(place[unpacked(c, i == 0)])
+        del words
+        counts = [unpacked(c, kind=np.int32) for c in group["counts"]]
+        of_v = sum(np.bincount(c, minlength=len(every)) for c in cols[0])
+        piece = (np.cumsum(of_v) - of_v) // bucket_tokens if name < deal.groups else np.zeros(len(every), np.int64)
+        edges = np.flatnonzero(np.diff(piece, prepend=-1))
+        cuts = [np.searchsorted(c, edges).tolist() + [len(c)] for c in cols[0]]  # v rises in a block
+        rows = []
+        for k in range(len(edges)):
+            held = [(i, x[k], x[k + 1]) for i, x in enumerate(cuts) if x[k] < x[k + 1]]
+            if held:
+                part = [np.concatenate([c[i][x:y] for i, x, y in held]) for c in cols]
+                rows.append(table_row(name << 20 | k, every, totals, part, [counts[i][x:y] for i, x, y in held], chunks[[i for i, _, _ in held]], deal.hot_tokens))
+        return pd.DataFrame(rows)
 
     return run
 
 
+def table_row(name: int, every: np.ndarray, totals: np.ndarray, cols: list[np.ndarray], counts: list[np.ndarray], chunks: np.ndarray, hot_tokens: float) -> dict:
+    used = np.unique(np.concatenate([np.unique(c) for c in cols]))
+    place = np.zeros(len(every), np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    cols = [place[c] for c in cols]
+    every, totals = every[used], totals[used]
+    first, kind = ranked(cols, len(every))
+    cols = [c[first] for c in cols]
+    bucket = Bucket(every, totals.astype(float), cols, np.bincount(kind, weights=np.concatenate(counts), minlength=len(first)), hot_tokens)
+    ends = np.cumsum([len(c) for c in counts])
+    places = [packed(kind[e - len(c) : e], True) for c, e in zip(counts, ends)]
+    keys, vals = bucket.partial()
+    return {
+        "bucket": name, "words": packed(every, True), "totals": packed(totals), "cols": packed_columns(cols), "counts": packed(bucket.counts), "chunks": chunks.tolist(), "places": places,
+        "seen": np.concatenate(bucket.whole_counts()), "hot": bool(bucket.hot.any()), "keys": packed(keys, True), "vals": packed_floats(vals), "n_keys": len(keys),
+    }
+
+
 class Model:
     """The numbers that all tasks need: the discount factors of each order, and what single words have."""
 
@@ -340,9 +403,9 @@ def probabilities(b: Bucket, model: Model, sums: dict[int, tuple[np.ndarray, np.
 
 
 def read_bucket(row, hot_tokens: int) -> Bucket:
-    b = Bucket(np.frombuffer(row.words, np.uint64), unpacked(row.totals).astype(float), [unpacked(c) for c in row.cols], unpacked(row.counts).astype(float), hot_tokens)
-    if len(row.keys):
-        b.complete(np.frombuffer(row.keys, np.uint64), np.concatenate([floats(p) for p in row.parts]))
+    b = Bucket(hashes(row.words), unpacked(row.totals).astype(float), [unpacked(c, i == 0, np.int32) for i, c in enumerate(row.cols)], unpacked(row.counts).astype(float), hot_tokens)
+    if row.n_keys:
+        b.complete(hashes(row.keys), np.concatenate([floats(p) for p in row.parts]))
     return b
 
 
@@ -354,7 +417,7 @@ def asked(model: Model, order: int, hot_tokens: int):
             for row in batch.itertuples(index=False):
                 b = read_bucket(row, hot_tokens)
                 keys, vals = probabilities(b, model, sums_of(row, order))
-                yield pd.DataFrame({"bucket": [row.bucket], "keys": [keys.tobytes()], "vals": [vals.tobytes()]})
+                yield pd.DataFrame({"bucket": [row.bucket], "keys": [packed(keys, True)], "vals": [packed_floats(vals)]})
 
     return run
 
@@ -362,9 +425,9 @@ def asked(model: Model, order: int, hot_tokens: int):
 def sums_of(row, upto: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     out = {}
     for m in range(2, upto):
-        keys = getattr(row, f"keys_{m}")
+        keys = getattr(row, f"keys_{m}", None)
         if keys is not None:
-            out[m] = (np.frombuffer(keys, np.uint64), np.concatenate([floats(p).reshape(2, -1) for p in getattr(row, f"parts_{m}")], axis=1))
+            out[m] = (hashes(keys), np.concatenate([floats(p).reshape(2, -1) for p in getattr(row, f"parts_{m}")], axis=1))
     return out
 
 
@@ -375,18 +438,18 @@ def answers(model: Model, order: int, hot_tokens: int):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 logs = probabilities(read_bucket(row, hot_tokens), model, sums_of(row, order + 1))
-                yield pd.DataFrame({"chunk": row.chunks, "bucket": row.bucket, "part": [logs[np.cumsum(unpacked(p))].tobytes() for p in row.places]})
+                yield pd.DataFrame({"chunk": row.chunks, "bucket": row.bucket, "part": [packed_floats(logs[unpacked(p, True)]) for p in row.places]})
 
     return run
 
 
-def scored(model: Model, order: int, bounds: np.ndarray, hot_tokens: int):
+def scored(model: Model, order: int, deal: Deal):
     """The rows of a chunk with the sums of their tokens."""
 
     def run(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
-                t = Typed(row, order, bounds, hot_tokens)
+                t = Typed(row, order, deal)
                 logs = np.empty(len(t.order))
                 logs[t.order] = np.concatenate([floats(p) for p in row.logs])
                 c = t.totals[t.ids]
@@ -416,44 +479,49 @@ def score_texts(docs: DataFrame, *, key="doc_id", text="text", held_out=(7, 2),
 
     def as_request(batches):
         for batch in batches:
-            yield pd.DataFrame({"src": batch["chunk"], "keys": batch["words"], "vals": [unpacked(c).astype(float).tobytes() for c in batch["counts"]]})
+            yield pd.DataFrame({"src": batch["chunk"], "keys": batch["words"], "vals": [packed_floats(unpacked(c)) for c in batch["counts"]]})
 
-    entries, n_all = texts.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0)).cast("long"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    entries, n_all = texts.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     totals = added_up(texts.select("chunk", "words", "counts").mapInPandas(as_request, "src long, keys binary, vals binary"), entries, 1)
     seen = stats(totals.answered, TAGS * (GOOD + 3)).reshape(TAGS, -1).sum(0)
     distinct, n, first_order = seen[0], seen[1], seen[2:]
-    sized = store(texts.drop("counts", "n").join(totals.withColumnRenamed("src", "chunk"), "chunk"), "lm-sized")
-    remove(spark, texts, totals.answered)
+    sized = store(texts.drop("words", "counts", "n", "n_words").join(totals.withColumnRenamed("src", "chunk"), "chunk"), "lm-sized")
 
-    hot_tokens, buckets = bucket_tokens, max(1, -(-n_all // bucket_tokens))
-    bounds = ranges(buckets)
-    dealt = sized.select("chunk", "held", "words", "ids", "lens", "parts").mapInPandas(blocks(order, bounds, hot_tokens), BLOCK)
-    table = store(dealt.groupBy("bucket").applyInPandas(merge(order, hot_tokens), TABLE), "lm-table")
+    hot_tokens = min(2 * bucket_tokens, n_all / BALANCE)
+    hot_sum = totals.answered.select(F.explode("most").alias("t")).filter(F.col("t") > hot_tokens).agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0]
+    remove(spark, texts, totals.answered)
+    deal = Deal(max(1, -(-n_all // (GROUP * bucket_tokens))), max(1, math.ceil(hot_sum / bucket_tokens)), hot_tokens)
+    dealt = sized.select("chunk", "held", "ids", "lens", "parts", "numbers").mapInPandas(blocks(order, deal), BLOCK)
+    table = store(dealt.groupBy("bucket").applyInPandas(merge(order, deal, bucket_tokens), TABLE), "lm-table", 1)
     by_order = stats(table, (order - 1) * (GOOD + 1)).reshape(order - 1, -1)
 
-    # Counts and sums of what hot words spread over buckets.
+    # Counts and sums of what hot words spread over rows; the other rows need no more than their own.
     hot = table.filter("hot")
-    n_hot, hot_entries = hot.agg(F.count("*"), F.coalesce(F.sum(F.length("keys") / 8), F.lit(0)).cast("long")).first()
-    temporary, full = [], table.withColumn("parts", F.lit(None).cast("array<binary>"))
+    n_hot, hot_entries = hot.agg(F.count("*"), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+    temporary, logs = [], []
     if n_hot:
         whole = added_up(hot.select(F.col("bucket").alias("src"), "keys", "vals"), hot_entries, 1)
         temporary.append(whole.answered)
         by_order[:-1] += stats(whole.answered, TAGS * (GOOD + 3)).reshape(TAGS, -1)[2:order, 2:]
-        full = table.join(whole.withColumnRenamed("src", "bucket"), "bucket", "left")
     model = Model(n, distinct, [discounts(first_order), *map(discounts, by_order)], first_order)
-    for m in range(2, order + 1):
-        if n_hot:
-            asks = store(full.filter("hot").mapInPandas(asked(model, m, hot_tokens), "bucket long, keys binary, vals binary"), "lm-asked")
+    part = "chunk long, bucket long, part binary"
+    if n_hot:
+        hot = store(hot.join(whole.select(F.col("src").alias("bucket"), "parts"), "bucket", "left"), "lm-hot")
+        temporary.append(hot)
+        for m in range(2, order + 1):
+            asks = store(hot.mapInPandas(asked(model, m, hot_tokens), "bucket long, keys binary, vals binary"), "lm-asked", 1)
             sums = added_up(asks.select(F.col("bucket").alias("src"), "keys", "vals"), hot_entries, 2)
             temporary += [asks, sums.answered]
             sums = sums.select(F.col("src").alias("bucket"), F.col("parts").alias(f"parts_{m}")).join(asks.select("bucket", F.col("keys").alias(f"keys_{m}")), "bucket")
-            full = full.join(sums, "bucket", "left")
-        else:
-            full = full.withColumns({f"keys_{m}": F.lit(None).cast("binary"), f"parts_{m}": F.lit(None).cast("array<binary>")})
-    logs = store(full.mapInPandas(answers(model, order, hot_tokens), "chunk long, bucket long, part binary"), "lm-logs")
-    remove(spark, table, *temporary)
-
-    gathered = logs.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"]).alias("logs"))
-    result = sized.join(gathered, "chunk").mapInPandas(scored(model, order, bounds, hot_tokens), "key string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+            hot = hot.join(sums, "bucket", "left")
+        logs.append(store(hot.mapInPandas(answers(model, order, hot_tokens), part), "lm-hot-logs", 1))
+        remove(spark, *temporary)
+    logs.append(store(table.filter("NOT hot").mapInPandas(answers(model, order, hot_tokens), part), "lm-logs", 1))
+    remove(spark, table)
+
+    gathered = functools.reduce(DataFrame.unionByName, logs).groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"]).alias("logs"))
+    result = sized.join(gathered, "chunk").mapInPandas(scored(model, order, deal), "key string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    result = store(result, "lm-scores", 1)
+    remove(spark, sized, *logs)
     kind = docs.schema[key].dataType
     return result.select(F.col("key").cast(kind).alias(key), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

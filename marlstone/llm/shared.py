@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 #: Shuffle files go when the query that wrote them has ended.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -39,16 +40,22 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
+def store(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing.
+
+    rows: how many rows at most Python workers take at once meanwhile, where single rows are megabytes.
+    """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
+    wanted = {CLEAN: "true"} | ({BATCH: str(rows)} if rows else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
