@@ -1,211 +1,112 @@
 """Quality selection by importance resampling over hashed n-grams.
 
-Two generative models are estimated: of the target, from good labelled documents, and of raw text, from all documents,
-equal texts once. The raw counts are exact for each feature that can count. A first pass counts all features in buckets,
-which bounds each feature's count from above; a second keeps, per document, the few features that under this bound may
-be rare enough in the target, and only these are counted one by one. No feature that counts is lost.
-Features are 64-bit hashes of word 1- and 2-grams and of 1- to 3-grams of token shapes. A feature's importance is
-(t + 1) / (e + 1), t the target documents that have it and e what the raw share lets expect. Only features well below 1
-count, so a long typical text doesn't outweigh what is wrong with it. A document's log weight is the sum over its distinct
-features; documents are drawn without replacement by Gumbel top-k, k being the number whose weight passes the cut that
-separates held-out labels best.
+Two generative models of bags of n-grams are estimated: of the target, from good labelled documents, and of raw text, from
+all documents. An n-gram is one or two words, or one to three shapes of tokens, hashed to one of BUCKETS places; a model is
+the share of each place among all n-grams, the target's smoothed towards the raw one. A document's log weight is
+log p_target - log p_raw, summed over all its n-grams as often as they occur. Documents are drawn without replacement,
+in proportion to their weights, by Gumbel top-k: the k rows of greatest log weight + noise.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.decontaminate import gram_hashes, item_words, word_hashes
-from marlstone.llm.shared import store
+from marlstone.llm.decontaminate import gram_hashes, item_words
+from marlstone.llm.shared import HASHES, store
 
-#: Labelled documents that the models are fitted on, at most: the rows with the least hash.
+#: Labelled documents that the target is fitted on, at most: the rows with the least hash.
 MAX_LABELS = 10_000
-#: Features of the model, at most: those that count most. 16 bytes each go to all tasks.
-MAX_FEATURES = 1 << 20
-#: A feature counts if it is so many times rarer in the target than in raw text.
-RARER = 4.0
-#: How much a log weight counts against the Gumbel noise.
-SHARPNESS = 20.0
+#: Places of the hashed n-grams. The table of log ratios, 8 bytes a place, goes to all tasks.
+BUCKETS = 1 << 16
+#: How many raw n-grams a place the target is smoothed with.
+PRIOR = 1.0
+#: One labelled text of so many is kept from the fit.
 HELD_OUT = 5
-#: Buckets of the first count of raw features, and the pieces in which tasks hand them on.
-BUCKET_BITS, PIECES = 23, 256
+#: Tables of counts are handed on in pieces, and added up in two steps so that no task holds those of all tasks.
+PIECES, LANES = 16, 256
 #: Capital letters, small letters and bytes above 127, digits; the rest stand for themselves.
 SHAPES = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b > 127 else 57 if 48 <= b <= 57 else b for b in range(256))
 RUNS = re.compile(rb"(?s)([^\s])\1+")
-REPEATED = np.uint64(0x5DEECE66D)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(text: str | None) -> np.ndarray:
-    """The distinct features of a text."""
+def grams(text: str | None) -> np.ndarray:
+    """The place of every n-gram of a text."""
     if not text:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(item_words(text))
+        return np.zeros(0, np.int64)
+    words = item_words(text)
+    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     shapes = RUNS.sub(rb"\1", text.encode("utf-8", "surrogatepass").translate(SHAPES)).split()
-    seen: dict[bytes, int] = {s: xxhash.xxh3_64_intdigest(s, 1) for s in set(shapes)}
-    s = np.fromiter(map(seen.__getitem__, shapes), np.uint64, len(shapes))
-    raw = word_hashes(text.encode("utf-8", "surrogatepass").split())
-    s[1:][raw[1:] == raw[:-1]] = REPEATED
-    parts = [h, gram_hashes(h, 2), *(gram_hashes(s, k) ^ np.uint64(k) for k in (1, 2, 3))]
-    return np.unique(np.concatenate(parts))
-
-
-def count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [features(t) for t in batch["text"]]
-        if found:
-            f, t = np.unique(np.concatenate(found), return_counts=True)
-            yield pd.DataFrame({"feature": f.view(np.int64), "t": t})
-
-
-def places(f: np.ndarray) -> np.ndarray:
-    """The bucket of each feature."""
-    return (f >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    s = np.fromiter(map(HASHES.__getitem__, shapes), np.uint64, len(shapes))
+    parts = [h, gram_hashes(h, 2), *(gram_hashes(s, k) + np.uint64(k) for k in (1, 2, 3))]
+    return (np.concatenate(parts) * SPREAD >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
 def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Features by bucket, in pieces, as packed integers as narrow as they fit."""
-    counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+    """A task's counts, raw and of the target, in pieces."""
+    counts = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        for t in batch["text"].drop_duplicates():
-            np.add.at(counts, places(features(t)), 1)
-    some = [(i, x.astype(np.min_scalar_type(x.max()))) for i, x in enumerate(np.split(counts, PIECES)) if x.any()]
-    yield pd.DataFrame({"piece": [i for i, _ in some], "counts": [zlib.compress(x.tobytes(), 1) for _, x in some]})
-
-
-def levels(expected: float):
-    """Per piece and bucket the least t at which no feature of so many in raw text counts; expected: raw texts to one of the target."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << BUCKET_BITS) // PIECES)
-        for packed in group["counts"]:
-            raw = zlib.decompress(packed)
-            total += np.frombuffer(raw, f"u{len(raw) // len(total)}")
-        least = np.ceil((total / expected * (1 + 1e-9) + 1) / RARER - 1)
-        return pd.DataFrame({"piece": group["piece"].iloc[:1], "levels": [zlib.compress(np.clip(least, 0, 65535).astype(np.uint16).tobytes(), 1)]})
-
-    return run
-
-
-def unpacked(levels: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(levels), np.uint16)
-
-
-def cleared(levels: bytes):
-    """Whether the target has a feature so often that it can't count, though its bucket is full enough for others."""
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        least = unpacked(levels)
-        for feature, t in batches:
-            at = least[places(feature.to_numpy(np.int64).view(np.uint64))]
-            yield pd.Series((at > 0) & (at <= t.to_numpy()), dtype=bool)
-
-    return run
+        for text, target in zip(batch["text"], batch["target"]):
+            places = grams(text)
+            np.add.at(counts[0], places, 1)
+            if target:
+                np.add.at(counts[1], places, 1)
+    lane = TaskContext.get().partitionId() % LANES
+    yield pd.DataFrame({"lane": lane, "piece": range(PIECES), "counts": [np.ascontiguousarray(x).tobytes() for x in np.split(counts, PIECES, axis=1)]})
 
 
-def suspects(levels: bytes, cleared: np.ndarray):
-    """The features of a text that may count."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        full = unpacked(levels) > 0
-        for texts in batches:
-            out = []
-            for t in texts:
-                f = features(t)
-                f = f[full[places(f)]].view(np.int64)
-                if len(cleared) and len(f):
-                    f = f[cleared[np.minimum(np.searchsorted(cleared, f), len(cleared) - 1)] != f]
-                out.append(f)
-            yield pd.Series(out, dtype=object)
-
-    return run
-
-
-def summed(names: np.ndarray, weights: np.ndarray):
-    """The log weight of features, each given once."""
-
-    def one(f: np.ndarray) -> float:
-        if not len(names) or not len(f):
-            return 0.0
-        at = np.minimum(np.searchsorted(names, f), len(names) - 1)
-        return float(np.sort(weights[at[names[at] == f]]).sum())
-
-    return lambda found: pd.Series([one(f) for f in found], dtype=float)
-
-
-def scorer(names: np.ndarray, weights: np.ndarray):
-    score = summed(names, weights)
-    return lambda texts: score(features(t).view(np.int64) for t in texts)
-
-
-def sha(text: str) -> Column:
-    return F.unhex(F.sha2(F.col(text), 256))
+def add_tables(group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(c, np.int64) for c in group["counts"])
+    return pd.DataFrame({"lane": group["lane"].iloc[:1], "piece": group["piece"].iloc[:1], "counts": [total.tobytes()]})
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, most: int) -> DataFrame:
-    """(text, good, fold): equal texts once, good only if all their labels say so."""
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    some = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("label_key")).agg(F.min(good).alias("good")).filter("label_key IS NOT NULL")
+    """(text, target, known, held): every row of docs; known is null without a label, 1 or 0 for its quality, target for texts to fit on."""
+    quality = (F.col("quality") == 1).cast("int")
+    some = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("label_key")).agg(F.min(quality).alias("known"), F.max(F.coalesce("toxic", F.lit(0))).alias("harm"))
     some = some.orderBy(F.xxhash64("label_key"), "label_key").limit(most)
-    rows = docs.select(F.col(key).alias("label_key"), F.col(text).alias("text")).join(F.broadcast(some), "label_key").filter("text IS NOT NULL")
-    once = rows.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("good", "text")).alias("x"))
-    return once.select("x.text", "x.good", F.pmod(F.xxhash64("sha"), F.lit(HELD_OUT)).alias("fold"))
+    held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    rows = docs.select(F.col(key).alias("label_key"), F.col(text).alias("text")).join(F.broadcast(some), "label_key", "left")
+    return rows.select("text", "known", held.alias("held"), F.coalesce((F.col("known") == 1) & (F.col("harm") == 0) & ~held, F.lit(False)).alias("target"))
 
 
 class Model:
-    """Of the target and of raw text. Without labels of either kind, no feature counts and all documents pass."""
+    """ratio: log p_target - log p_raw by place. share: of the labelled rows that are fitted on, the part of quality 1. usable: there are labelled texts of both kinds."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, key: str, text: str, max_labels: int):
-        self.rows = store(labelled(docs, labels, key, text, max_labels), "labelled")
-        n_train, self.n_target = self.rows.filter("fold > 0").agg(F.count("*"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0))).first()
-        self.usable = 0 < self.n_target < n_train
+        rows = labelled(docs, labels, key, text, max_labels)
+        known = rows.filter("known IS NOT NULL AND NOT held").agg(F.count("*"), F.sum("known")).first()
+        self.share = known[1] / known[0] if known[0] else 1.0
+        self.usable = 0 < self.share < 1
+        self.ratio = np.zeros(BUCKETS)
         if not self.usable:
             return
-        texts = docs.select(F.col(text).alias("text")).filter("text IS NOT NULL")
-        self.n_raw = texts.select(sha("text")).distinct().count()
-        pieces = texts.mapInPandas(tally, "piece int, counts binary").groupBy("piece").applyInPandas(levels(self.n_raw / self.n_target), "piece int, levels binary").collect()  # PIECES rows at most
-        least = np.zeros((PIECES, (1 << BUCKET_BITS) // PIECES), np.uint16)
-        for row in pieces:
-            least[row.piece] = unpacked(row.levels)
-        self.levels = zlib.compress(least.tobytes(), 1)
-        train = self.rows.filter("fold > 0 AND good")
-        self.target = store(train.mapInPandas(count_features, "feature long, t long").groupBy("feature").agg(F.sum("t").alias("t")), "target-features")
-        self.cleared = np.sort(self.target.filter(F.pandas_udf(cleared(self.levels), "boolean")("feature", "t")).select("feature").toPandas()["feature"].to_numpy(np.int64))
+        tables = rows.select("text", "target").mapInPandas(tally, "lane int, piece int, counts binary")
+        for keys in (["lane", "piece"], ["piece"]):
+            tables = tables.groupBy(*keys).applyInPandas(add_tables, "lane int, piece int, counts binary")
+        counts = {r.piece: np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in tables.collect()}  # PIECES rows
+        raw, target = np.concatenate([counts[i] for i in range(PIECES)], axis=1).astype(float)
+        p_raw = (raw + PRIOR) / (raw + PRIOR).sum()
+        p_target = (target + PRIOR * BUCKETS * p_raw) / (target.sum() + PRIOR * BUCKETS)
+        self.ratio = np.log(p_target / p_raw)
 
-    def suspects(self, text: str) -> Column:
-        return F.pandas_udf(suspects(self.levels, self.cleared), "array<long>")(F.col(text)) if self.usable else F.array().cast("array<long>")
 
-    def weigh(self, found: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-        """(features, log weights, cut) from (sha, suspects) of all documents."""
-        if not self.usable:
-            return np.zeros(0, np.int64), np.zeros(0), -np.inf
-        once = found.filter(F.size("suspects") > 0).groupBy("sha").agg(F.first("suspects").alias("suspects"))  # equal texts have equal ones
-        raw = once.select(F.explode("suspects").alias("feature")).groupBy("feature").agg(F.count("*").alias("r"))
-        weight = F.log((F.coalesce("t", F.lit(0)) + 1) / (F.col("r") * (self.n_target / self.n_raw) + 1)) + float(np.log(RARER))
-        counts = raw.join(self.target, "feature", "left").select("feature", weight.alias("w"))
-        model = counts.filter("w < 0").orderBy("w", "feature").limit(MAX_FEATURES).toPandas().sort_values("feature")
-        names, weights = model["feature"].to_numpy(np.int64), model["w"].to_numpy(float)
-        held = self.rows.filter("fold = 0").select("good", F.pandas_udf(scorer(names, weights), "double")("text").alias("score")).toPandas()
-        return names, weights, best_cut(held["score"].to_numpy(float), held["good"].to_numpy(bool))
+def weigh(ratio: np.ndarray):
+    """The log weight of each text."""
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([float(ratio[grams(t)].sum()) for t in texts], dtype=float)
 
-def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
-    """Between the two scores where the shares of good ones kept and of others rejected add up to most; the lowest such place."""
-    if good.all() or not good.any():
-        return -np.inf
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    gain = np.cumsum(np.where(g, -1 / g.sum(), 1 / (~g).sum()))  # of rejecting all up to here
-    gain[:-1][s[:-1] == s[1:]] = -np.inf
-    at = int(np.argmax(gain))
-    return -np.inf if gain[at] <= 0 else float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else float(np.nextafter(s[at], np.inf))
+    return run
 
 
 def top_k(scored: DataFrame, k: int, bins: int = 4096, few: int = 10_000, *, draws: DataFrame | None = None) -> DataFrame:
@@ -238,22 +139,22 @@ def top_k(scored: DataFrame, k: int, bins: int = 4096, few: int = 10_000, *, dra
     return scored.join(edge, "row_id", "left").withColumn("selected", (F.col("draw") > hi) | F.coalesce("edge", F.lit(False))).drop("edge")
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", seed=7, max_labels=MAX_LABELS, keep_row=False) -> DataFrame:
-    """Per row of docs: key, log_weight, draw (with its Gumbel noise), passes (log_weight >= cut), selected.
+def select_quality(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", share=None, seed=7, max_labels=MAX_LABELS, keep_row=False) -> DataFrame:
+    """Per row of docs: key, log_weight, draw (log_weight and Gumbel noise), selected: whether it is among the k rows of greatest draw.
 
-    labels (doc_id, quality, toxic): good is quality 1 and toxic 0 (null toxic: 0); null quality or id is no label, of several
-    labels for an id the worst counts. Null and empty texts weigh 0, as a text without fault. The noise depends on key and text,
-    so equal rows draw alike and ties go by place. Without usable labels all rows are selected. Other columns of docs
-    are ignored, or come along in the struct `row` with keep_row.
+    k is `share` of the rows, rounded; without `share`, the share of quality 1 among the labelled rows fitted on. labels
+    (doc_id, quality, toxic): the target is quality 1 and toxic 0 (null toxic: 0); null quality or id is no label, of several
+    labels for an id the worst counts. Null and empty texts weigh 0 and are drawn like others. The noise depends on
+    key and text, so equal rows draw alike and ties go by place. Without labels of both qualities all weigh 0, and all
+    are selected unless `share` is given. A long text weighs as all its n-grams. An empty table gives an empty result.
+    Other columns of docs, whatever their names, are ignored, or come along in the struct `row` with keep_row.
     """
     model = Model(docs, labels, key, text, max_labels)
     row = F.struct("*") if keep_row else F.struct(F.col(key))
     unit = (F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noise = -F.log(-F.log(unit))
-    table = store(docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row"), F.col(key).alias("key"), noise.alias("noise"), sha(text).alias("sha"), model.suspects(text).alias("suspects")), "quality-suspects")
-    names, weights, cut = model.weigh(table)
-    scored = table.withColumn("log_weight", F.pandas_udf(summed(names, weights), "double")("suspects"))
-    scored = scored.withColumn("draw", SHARPNESS * F.col("log_weight") + F.col("noise")).withColumn("passes", F.col("log_weight") >= cut).drop("noise", "sha", "suspects")
-    draws = store(scored.select("row_id", "draw", "passes"), "quality-draws")
-    k = draws.filter("passes").count()
-    return top_k(scored, k, draws=draws).select(F.col("key").alias(key), "log_weight", "draw", "passes", "selected", *(["row"] if keep_row else []))
+    weight = F.pandas_udf(weigh(model.ratio), "double")(F.col(text)) if model.usable else F.lit(0.0)
+    scored = docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row"), F.col(key).alias("key"), weight.alias("log_weight"), (-F.log(-F.log(unit))).alias("noise"))
+    scored = store(scored.select("row_id", "row", "key", "log_weight", (F.col("log_weight") + F.col("noise")).alias("draw")), "quality-draws")
+    part = share if share is not None else model.share if model.usable else 1.0
+    k = round(part * scored.count())
+    return top_k(scored, k, draws=scored.select("row_id", "draw")).select(F.col("key").alias(key), "log_weight", "draw", "selected", *(["row"] if keep_row else []))
