@@ -3,7 +3,7 @@
 A page becomes its blocks of text in order, each with the tags and class words it lies in. The chain labels every
 block main or other: weights of features and of label pairs are trained by gradient ascent on labelled pages, the
 likelihood's gradient coming from forward and backward sums, and the best labelling is found by Viterbi's recursion.
-The labelled pages are composed here, from many layouts and invented words.
+The labelled pages are composed here, from many layouts and invented words; on half of them no tag or class tells the parts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import functools
 import html as entities
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,133 +20,242 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|select|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+NAME = re.compile(r"/?[A-Za-z][A-Za-z0-9:-]*")
+#: From a tag's name to its end; a > within quotes does not end it.
+TAG_END = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
 ATTRIBUTE = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORDS = re.compile(r"[a-z]+")
-# Elements that are no block of their own, that have no end, and that end an open p.
+# Elements whose text is none of the page's, elements that are no block of their own, that have no end, that end an open one of their kind, and that end an open p.
+SILENT = frozenset("script style noscript template svg iframe select button title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SAME = frozenset("p li dt dd tr td th option".split())
+ENDS_P = SAME - {"p"} | frozenset("ul ol div table section article aside form footer".split())
 
-PAGES, EPOCHS, RATE, DECAY = 300, 6, 0.2, 1e-4
+PAGES, EPOCHS, RATE, DECAY = 800, 8, 0.2, 1e-4
 
 
-def blocks_of(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...], float]]:
-    """(text, open tags, class words of these, share of the text in links)."""
-    out, stack, text, linked, at = [], [], [], 0, 0
-    page = page or ""
+def pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) in order, kind text, open or close. Each character is passed a bounded number of times.
+
+    A < that begins no tag is text, and so is the rest of a page in which no tag ends any more. A comment or silent element
+    without end takes the rest. Once a quote in a tag finds no end, quotes count for nothing in the tags that follow.
+    """
+    at, quotes = 0, True
+    while (lt := page.find("<", at)) >= 0:
+        name = NAME.match(page, lt + 1)
+        if name is None:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4) + 3
+            elif page[lt + 1 : lt + 2] in ("!", "?"):
+                end = page.find(">", lt) + 1
+            else:
+                yield "text", page[at : lt + 1], ""
+                at = lt + 1
+                continue
+            yield "text", page[at:lt], ""
+            if end < 3:
+                return
+            at = end
+            continue
+        end = -1
+        if quotes:
+            m = TAG_END.match(page, name.end())
+            quotes = m is not None
+            end = m.end() if m else -1
+        if end < 0 and (end := page.find(">", name.end()) + 1) <= 0:
+            break
+        yield "text", page[at:lt], ""
+        tag, at = name[0].lower(), end
+        if tag[0] == "/":
+            yield "close", tag[1:], ""
+            continue
+        yield "open", tag, page[name.end() : end - 1]
+        if tag in SILENT:
+            m = ending(tag).search(page, at)
+            if m is None:
+                return
+            at = m.end()
+            yield "close", tag, ""
+    yield "text", page[at:], ""
+
+
+@functools.cache
+def ending(tag: str) -> re.Pattern:
+    return re.compile(rf"(?i)</{tag}\s*+>")
+
+
+class Open:
+    """The open elements, with counts of what is open by name and of their class words (of `known` ones if given)."""
+
+    def __init__(self, known: frozenset | None):
+        self.known, self.stack, self.blocks = known, [], []
+        self.names, self.tags, self.words = Counter(), Counter(), Counter()
+
+    def count(self, counter: Counter, key: str, prefix: str, by: int) -> None:
+        if self.known is None or prefix + key in self.known:
+            counter[key] += by
+            if not counter[key]:
+                del counter[key]
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        self.stack.append((tag, words))
+        self._change(tag, words, 1)
+        if tag not in INLINE:
+            self.blocks.append(tag)
+
+    def pop(self) -> str:
+        tag, words = self.stack.pop()
+        self._change(tag, words, -1)
+        if tag not in INLINE:
+            self.blocks.pop()
+        return tag
+
+    def _change(self, tag: str, words: tuple[str, ...], by: int) -> None:
+        self.names[tag] += by
+        if tag not in INLINE:
+            self.count(self.tags, tag, "in:", by)
+        for w in words:
+            self.count(self.words, w, "class:", by)
+
+
+def blocks_of(page: str | None, known: frozenset | None = None) -> list[tuple[str, str, tuple[str, ...], tuple[str, ...], float]]:
+    """(text, innermost block, open tags, class words of these, share of the text in links). known: the features that matter, all if None."""
+    out, text, linked, tree = [], [], 0, Open(known)
 
     def flush():
         nonlocal linked
         whole = " ".join("".join(text).split())
         if whole:
-            out.append((whole, tuple(t for t, _ in stack if t not in INLINE), tuple(w for _, ws in stack for w in ws), min(1.0, linked / len(whole))))
+            out.append((whole, tree.blocks[-1] if tree.blocks else "", tuple(tree.tags), tuple(tree.words), min(1.0, linked / len(whole))))
         text.clear()
         linked = 0
 
-    def say(raw):
-        nonlocal linked
-        if raw:
-            plain = entities.unescape(raw)
-            text.append(plain)
-            if any(t == "a" for t, _ in stack):
-                linked += len(plain.strip())
-
-    for m in PIECE.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+    for kind, what, attributes in pieces(page or ""):
+        if kind == "text":
+            if what:
+                plain = entities.unescape(what)
+                text.append(plain)
+                if tree.names["a"] > 0:
+                    linked += len(plain.strip())
             continue
-        if tag == "br":
+        if what == "br":
             text.append(" ")
-        if tag not in INLINE:
+        if what not in INLINE:
             flush()
-        if page[m.start() + 1] == "/":
-            if any(t == tag for t, _ in stack[-40:]):
-                while stack.pop()[0] != tag:
+        if kind == "close":
+            if tree.names[what] > 0:
+                while tree.pop() != what:
                     pass
-        elif tag not in VOID and not m[3].endswith("/"):
-            if tag not in INLINE:
-                while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" and tag != "p" and tag in SAME | {"ul", "ol", "div", "table", "section", "article", "aside", "form", "footer"}):
-                    stack.pop()
-                if stack and stack[-1][0] == tag and tag in SAME:
-                    stack.pop()
-            words = tuple(w for a in ATTRIBUTE.findall(m[3]) for w in WORDS.findall("".join(a).lower()))
-            stack.append((tag, words))
-    say(page[at:])
+        elif what not in VOID and not attributes.endswith("/"):
+            if what not in INLINE:
+                while tree.stack and (tree.stack[-1][0] in INLINE or tree.stack[-1][0] == "p" and what in ENDS_P):
+                    tree.pop()
+                if tree.stack and tree.stack[-1][0] == what and what in SAME:
+                    tree.pop()
+            tree.push(what, tuple(w for a in ATTRIBUTE.findall(attributes) for w in WORDS.findall("".join(a).lower())))
     flush()
     return out
 
 
+def shape(text: str, linked: float) -> str:
+    """What a block looks like from the next one: its length, and whether it is of links."""
+    return f"{min(6, len(text).bit_length() // 2)}{'l' if linked > 0.5 else ''}"
+
+
 def features_of(blocks) -> list[list[str]]:
     out = []
-    for text, tags, words, linked in blocks:
-        n = len(text)
-        f = ["bias", f"tag:{tags[-1] if tags else ''}", f"length:{min(6, n.bit_length() // 2)}", f"links:{int(linked * 4)}", f"stop:{text[-1] in '.!?:;'}"]
-        f += {f"in:{t}" for t in tags} | {f"class:{w}" for w in words}
-        if "\xa9" in text or "copyright" in text[:200].lower():
+    shapes = ["", *(shape(b[0], b[4]) for b in blocks), ""]
+    for i, (text, tag, tags, words, linked) in enumerate(blocks):
+        n, spaces, ends = len(text), text.count(" "), text[-1] in ".!?:;\"'»”…"
+        f = ["bias", f"tag:{tag}", f"length:{min(6, n.bit_length() // 2)}", f"links:{int(linked * 4)}", f"stop:{ends}", f"words:{min(6, (spaces + 1).bit_length())}:{ends}"]
+        f += [f"commas:{min(3, text.count(','))}", f"before:{shapes[i]}", f"after:{shapes[i + 2]}", f"sentences:{min(3, text.count('. '))}"]
+        f += [f"in:{t}" for t in tags] + [f"class:{w}" for w in words]
+        if "\xa9" in text or "copyright" in text.lower():
             f.append("copyright")
         out.append(f)
     return out
 
 
 MAIN = ("article", "main", "div.content", "div.post-body", "div.entry", "section.story", "div.article-text", "div#main")
+#: Places that say nothing: half of the labelled pages have their parts in these.
+PLAIN = ("", "div", "td", "section", "div.x", "div#a", "div.col")
 OTHER = (
     "nav", "nav.menu", "header", "footer", "aside", "aside.sidebar", "div.sidebar", "div.ad", "div.advert", "div.ads", "div.banner", "div.promo", "div.sponsored", "div.cookie-notice", "div.notice", "div.cookie", "div.consent", "div.popup", "div.comments", "section.comments",
-    "div.comment", "section#comments", "ol.comment-list", "div.replies", "div.related", "div.share", "div.social", "div.newsletter", "div.breadcrumb", "ul.menu", "div.navbar", "form", "form.search", "div.footer", "div.header", "div.widget", "div.login", "div.subscribe", "div.disclaimer",
+    "div.comment", "section#comments", "ol.comment-list", "div.replies", "section.discussion", "div.responses", "div.feedback", "div.reader-reactions", "div.respond", "div.related", "div.share", "div.social", "div.newsletter", "div.breadcrumb", "ul.menu", "div.navbar", "form", "form.search", "div.footer", "div.header", "div.widget", "div.login", "div.subscribe", "div.disclaimer",
 )
+#: What readers add, often inside the main part.
+COMMENTS = tuple(k for k in OTHER if re.search("comment|repl|discuss|respon|feedback|react", k))
 
 
 def labelled_page(r: random.Random) -> tuple[str, list[int]]:
-    """A page and the labels of its blocks."""
-    out, labels = ["<html><head><title>x</title></head><body>"], []
+    """A page and the labels of its blocks. On half of the pages no tag or class tells the parts, only what their text is like."""
+    out, labels, plain = ["<html><head><title>x</title></head><body>"], [], r.random() < 0.5
     word = lambda: "".join(r.choice(("an", "er", "tion", "le", "de", "ch", "ou", "sta", "ri")) for _ in range(r.randint(1, 4)))
-    words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+
+    def words(a, b):
+        said = [word() for _ in range(r.randint(a, b))]
+        return " ".join(w + r.choice(("", "", "", "", "", "", ",", ".")) if len(said) > 6 else w for w in said)
 
     def around(kind, inner):
         name = re.split("[.#]", kind)[0]
         extra = f' class="{kind.split(".")[1]}"' if "." in kind else f' id="{kind.split("#")[1]}"' if "#" in kind else ""
-        out.append(f"<{name}{extra}>")
+        out.append((f"<table><tr><{name}{extra}>" if name == "td" else f"<{name}{extra}>") if name else "")
         inner()
-        out.append(f"</{name}>")
+        out.append((f"</{name}></tr></table>" if name == "td" else f"</{name}>") if name else "")
 
     def block(tag, text, label):
         out.append(f"<{tag}>{text}</{tag}>")
         labels.append(label)
 
-    def other(kinds=OTHER):
+    def link():
+        return f'<a href="/x">{words(1, 3)}</a>'
+
+    def other(kinds):
         def inner():
             for _ in range(r.randint(1, 4)):
                 style = r.random()
                 if style < 0.35:
-                    block("li", f'<a href="/x">{words(1, 3)}</a>', 0)
+                    block("li", link(), 0)
                 elif style < 0.8:
-                    block(r.choice(("p", "div", "p", "h3", "label")) if style < 0.7 else "p", words(2, 40) + r.choice((".", ".", "")), 0) if style < 0.6 else block("p", words(10, 60) + ".", 0)
+                    block(r.choice(("p", "div", "h3", "label")), words(2, 40) + r.choice((".", ".", "")), 0) if style < 0.6 else block("p", words(10, 60) + ".", 0)
                 else:
                     block("div", f"&copy; {words(1, 4)}", 0)
 
-        around(r.choice(kinds), inner)
+        def untold():
+            for _ in range(r.randint(2, 6)):
+                style = r.random()
+                if style < 0.6:
+                    block(r.choice(("li", "div", "p", "td")), r.choice((link(), link() + " | " + link() + " | " + link())), 0)
+                elif style < 0.85:
+                    block(r.choice(("div", "p", "h4", "label")), words(1, 4), 0)
+                else:
+                    block(r.choice(("div", "p")), r.choice(("&copy; ", "Copyright ")) + words(1, 6), 0)
+
+        around(r.choice(kinds), untold if kinds is PLAIN else inner)
 
     def main():
         if r.random() < 0.8:
             block("h1", words(2, 10) + r.choice((".", "")), 1)
-        for _ in range(r.randint(1, 8)):
+        for i in range(r.randint(1, 8)):
             style = r.random()
-            if style < 0.7:
-                block("p", words(1, 80) + r.choice((".", ".", ".", "")), 1)
+            if style < 0.7 or i == 0 and plain:
+                block("p" if r.random() < 0.85 else "div", words(12, 80) + "." if plain else words(1, 4 if r.random() < 0.3 else 80) + r.choice((".", ".", "")), 1)
             elif style < 0.8:
                 block(r.choice(("h2", "h3", "blockquote", "pre")), words(1, 12), 1)
-            elif style < 0.9:
-                block("li", words(1, 15), 1)
-            else:
+            elif style < 0.85:
+                block("li", words(3, 15), 1)
+            elif not plain:
                 other([k for k in OTHER if k not in ("nav", "header", "footer")])
-
-    for _ in range(r.randint(1, 4)):
-        other()
-    around(r.choice(MAIN), main) if r.random() < 0.7 else around("div", lambda: around(r.choice(MAIN), main))
-    for _ in range(r.randint(1, 4)):
-        other()
+        if not plain and r.random() < 0.4:
+            other(COMMENTS)
+
+    for _ in range(r.randint(0, 4)):
+        other(PLAIN if plain and r.random() < 0.7 else OTHER)
+    place = r.choice(PLAIN if plain else MAIN)
+    around(place, main) if r.random() < 0.7 else around("div", lambda: around(place, main))
+    for _ in range(r.randint(0, 4)):
+        other(PLAIN if plain and r.random() < 0.7 else OTHER)
     return "".join(out) + "</body></html>", labels
 
 
@@ -210,15 +319,21 @@ def decode(rows: list[list[str]], weights: dict[str, float], trans) -> list[int]
 
 
 def extract_text(pages: DataFrame, *, html="html", into="text", model=None) -> DataFrame:
-    """Adds `into`, the main blocks of the page joined by line ends; empty for null, empty or textless pages. Other columns stay, one named `into` is replaced. model: as train() gives it."""
+    """Adds `into`, the main blocks of the page joined by line ends; empty for null, empty or textless pages.
+
+    Rows, repeated ones too, and all other columns stay; a column named `into` is replaced. An empty table gives an empty
+    result. Time and memory grow in proportion to a page, however malformed. There are no ties: of equal labellings
+    Viterbi's recursion prefers "other". model: as train() gives it.
+    """
     weights, trans = model or train()
+    known = frozenset(weights)
     trans = tuple(map(tuple, trans))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
             for page in batch:
-                blocks = blocks_of(page)
+                blocks = blocks_of(page, known)
                 out.append("\n".join(b[0] for b, y in zip(blocks, decode(features_of(blocks), weights, trans)) if y))
             yield pd.Series(out, dtype=object)
 
