@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer of source and configuration syntax.
 
-The lexer reads name-literal pairs (`name = "x"`, `name: x`, `"name": 'x'`, `name := x`, `name => x`), also where the
-right side joins literals and names by `+`. Names that hold literals are constants; a constant that reaches a
-sensitive name is reported at the place of its literal. A pair is reported if the name is sensitive enough for what
-the literal looks like.
+The lexer reads name-literal pairs: assignments and mappings (`name = "x"`, `name: x`, `"name": 'x'`, `name := x`,
+`name => x`, `table["name"] = x`), calls (`set("name", "x")`), and block scalars (`name: |` and the lines indented below it).
+The right side may join literals and names by `+`, be a call of literals, or be a literal in triple quotes. Names that
+hold literals are constants; a constant that reaches a sensitive name is reported at the place of its literal. A pair is
+reported if the name is sensitive enough for what the literal looks like. Comments are read like code.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import bisect
 import math
 import re
 from collections import Counter
+from itertools import chain, repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,6 +34,14 @@ PLACEHOLDER = re.compile(r"(?i)^(?:true|false|none|null|nil|undefined|required|o
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s"'`,;(){}\[\]<>+=:]++=*+))""")
 PLUS = re.compile(r"[ \t]*\+")
+#: A call's literals, up to the first parenthesis or line end.
+ARGUMENTS = re.compile(r"\(([^()\n]*+)\)")
+COMMA = re.compile(r"[ \t]*,")
+#: A name given as a call's argument, before the next one.
+NAMED = re.compile(r"""\([ \t]*+(["'])([A-Za-z_][\w.-]*+)\1[ \t]*+,""")
+SCALAR = re.compile(r"[ \t]*[|>][-+0-9]*[ \t]*\r?\n")
+LINE = re.compile(r"([ \t]*)([^\n]*)(?:\n|\Z)")
+WORD_ONLY = re.compile(r"[A-Za-z_][A-Za-z_0-9.-]*")
 BINDS = re.compile("[:=]")
 NAMES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 THRESHOLD = 0.8
@@ -83,14 +93,71 @@ def literal_score(joined: Joined, strong: bool) -> float:
     return min(1.0, 0.25 + 0.12 * entropy + 0.1 * (kinds - 1) - (0.5 if " " in counts and not strong else 0.0))
 
 
+def called(text: str, begin: int, end: int) -> list:
+    """The literals between commas, but for those that are names of secrets themselves."""
+    terms, place = [], begin
+    while place < end and (t := TERM.match(text, place, end)) is not None:
+        k = t.lastindex
+        if k < 4 and not (WORD_ONLY.fullmatch(t[k]) and name_score(t[k])):
+            terms.append((t[k], None, t.start(k), t.end(k)))
+        if (p := COMMA.match(text, t.end(), end)) is None:
+            break
+        place = p.end()
+    return terms
+
+
+def terms_at(text: str, place: int) -> list:
+    """(value or None, name or None, start, end) of what stands at `place`, joined by +."""
+    terms = []
+    while True:
+        bare = place
+        while text[bare : bare + 1] in (" ", "\t"):
+            bare += 1
+        quote = text[bare : bare + 3]
+        end = text.find(quote, bare + 3) if quote in ('"""', "'''") else -1
+        if end >= 0:
+            terms.append((text[bare + 3 : end], None, bare + 3, end))
+            place = end + 3
+        else:
+            if (t := TERM.match(text, place)) is None:
+                break
+            k, place = t.lastindex, t.end()
+            inside = ARGUMENTS.match(text, place) if k == 4 else None
+            if inside:
+                terms += called(text, inside.start(1), inside.end(1))
+                place = inside.end()
+            else:
+                terms.append((t[k] if k < 4 else None, t[4], t.start(k), t.end(k)))
+        if (p := PLUS.match(text, place)) is None:
+            break
+        place = p.end()
+    return terms
+
+
+def scalar_lines(text: str, name_at: int, place: int) -> list:
+    """The lines below a name that are indented more than its own."""
+    own = LINE.match(text, text.rfind("\n", 0, name_at) + 1)
+    indent, terms = len(own[1]), []
+    while place < len(text):
+        line = LINE.match(text, place)
+        if line[2].strip():
+            if len(line[1]) <= indent:
+                break
+            terms.append((line[2].rstrip(), None, line.start(2), line.start(2) + len(line[2].rstrip())))
+        place = line.end()
+    return terms
+
+
 def pairs(text: str):
-    """Yields (name, terms); a term is (value or None, name or None, start, end)."""
+    """Yields (name, terms) of assignments, mappings and block scalars."""
     at = 0
     while (m := BINDS.search(text, at)) is not None:
         at = m.end()
         stop = m.start()
         while stop and text[stop - 1] in " \t":
             stop -= 1
+        if stop and text[stop - 1] == "]":
+            stop -= 1
         if stop and text[stop - 1] in "\"'":
             stop -= 1
         start = stop
@@ -103,30 +170,39 @@ def pairs(text: str):
                     continue
         if start == stop or not (text[start].isalpha() or text[start] == "_"):
             continue
-        terms, place = [], at
-        while (t := TERM.match(text, place)) is not None:
-            value = next((t[k] for k in (1, 2, 3) if t[k] is not None), None)
-            k = t.lastindex
-            terms.append((value, t[4], t.start(k), t.end(k)))
-            place = t.end()
-            if (p := PLUS.match(text, place)) is None:
-                break
-            place = p.end()
-        if terms:
-            yield text[start:stop], terms
+        name = text[start:stop]
+        if m.group() == ":" and name_score(name) and (block := SCALAR.match(text, at)) is not None:
+            if terms := scalar_lines(text, start, block.end()):
+                yield name, terms
+                at = terms[-1][3]
+            continue
+        if terms := terms_at(text, at):
+            yield name, terms
             if terms[0][0] is not None:  # a quoted literal may hold : and =
-                at = max(at, place)
+                at = max(at, terms[-1][3])
+
+
+def named_arguments(text: str):
+    """Yields (name, terms) of calls that give a name and then its value."""
+    for m in NAMED.finditer(text):
+        if name_score(m[2]):
+            t = TERM.match(text, m.end())
+            k = t.lastindex if t else 0
+            if k and not (WORD_ONLY.fullmatch(t[k]) and name_score(t[k])):
+                yield m[2], [(t[k] if k < 4 else None, t[4], t.start(k), t.end(k))]
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
-    if "=" not in text and ":" not in text:
-        return []
     constants: dict[str, Joined] = {}
     found, reported = [], set()
-    for name, terms in pairs(text):
-        score, keep = name_score(name), terms[0][0] is not None or terms[0][1] in constants
+    bound = pairs(text) if "=" in text or ":" in text else ()
+    given = named_arguments(text) if "," in text else ()
+    for assigned, (name, terms) in chain(zip(repeat(True), bound), zip(repeat(False), given)):
+        score, keep = name_score(name), assigned and (terms[0][0] is not None or terms[0][1] in constants)
         if not score and not keep:
             continue
+        if not assigned and terms[0][0] is None and terms[0][1] not in constants:
+            continue
         joined = Joined([constants[ref] if value is None and ref in constants else (ref if value is None else value, start, end) for value, ref, start, end in terms])
         if keep:
             constants[name] = joined
@@ -183,12 +259,17 @@ def redacted(texts: pd.Series) -> pd.Series:
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
-    """Adds `into`, the spans (kind, start, end in code points, end exclusive) in order; none for a null or empty text. A column of that name is replaced; rows, their order and all other columns stay."""
+    """Adds `into`, the spans (kind, start, end in code points, end exclusive) in order; none for a null or empty text.
+
+    Spans that begin alike are ordered by kind as KINDS lists them, then by end. A column named `into` is replaced; rows,
+    repeated ones too, and all other columns stay. A long text is read whole, in time proportional to its length. An
+    empty table gives an empty result.
+    """
     return docs.withColumn(into, F.pandas_udf(secret_spans, SPANS)(F.col(text)))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces every span in the text by its kind; null stays null, clean texts stay as they are."""
+    """Replaces every span in the text by its kind; spans that overlap are replaced as one. Null stays null, clean and empty texts stay as they are, repeated rows are treated alike, all other columns stay."""
     return docs.withColumn(text, F.pandas_udf(redacted, "string")(F.col(text)))
 
 
