@@ -1,8 +1,8 @@
 """Near-duplicate groups by one-permutation MinHash with optimal densification.
 
 A document's distinct shingles are hashed once; the hash's high part names a bin and each bin keeps its least hash. An
-empty bin borrows from the bin that a hash of (bin, attempt) names, attempt after attempt, until one is filled. Bins
-form bands, bands form buckets. Documents with equal sets are one node. In a bucket only star edges are made, from a
+empty bin borrows from the first filled one of its probes, an order of all bins that a hash of (bin, attempt) gives, the
+same for every document; so every empty bin of a set with a shingle finds one. Bins form bands, bands form buckets. Documents with equal sets are one node. In a bucket only star edges are made, from a
 centre that a hash picks, so that a group's many buckets have different centres; they are confirmed on the full sets,
 and the links' components are taken. In buckets that hold several components the nodes are then compared block by block,
 across components only, so no link between bucket mates is lost.
@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 6
 BITS = 1024
 #: Nodes of an unsettled bucket in one block; two blocks meet in one task.
 BLOCK = 512
+#: Partners of a centre that are compared with one copy of its set.
+PARTNERS = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,10 +51,10 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def probes(bins: int, attempts: int = 64) -> np.ndarray:
-    """Where bin i looks on attempt j: the same for every document."""
+def probes(bins: int) -> np.ndarray:
+    """Where bin i looks on attempt j, a permutation of all bins: the same for every document."""
     i = np.arange(bins, dtype=np.uint64)
-    return np.stack([_mixed(_mixed(i + np.uint64(1)) + np.uint64(j)) % np.uint64(bins) for j in range(attempts)]).astype(np.int64)
+    return np.argsort(_mixed(_mixed(i + np.uint64(1))[None, :] + i[:, None] * MIX), axis=0, kind="stable")
 
 
 def sketch(h: np.ndarray, bands: int, rows: int, where: np.ndarray) -> np.ndarray:
@@ -64,16 +66,12 @@ def sketch(h: np.ndarray, bands: int, rows: int, where: np.ndarray) -> np.ndarra
     least[at[first]] = h[first]
     full = np.zeros(bins, bool)
     full[at] = True
-    empty, source = np.flatnonzero(~full), np.arange(bins)
-    for step in where:
-        if not len(empty):
-            break
-        found = full[step[empty]]
-        source[empty[found]] = step[empty[found]]
-        empty = empty[~found]
-    source[empty] = at[0]  # nothing in all attempts: a set's first filled bin
+    empty = np.flatnonzero(~full)
+    if len(empty):
+        tries = where[:, empty]
+        least[empty] = least[tries[full[tries].argmax(axis=0), np.arange(len(empty))]]
     out = np.arange(bands, dtype=np.uint64)
-    for column in least[source].reshape(bands, rows).T:
+    for column in least.reshape(bands, rows).T:
         out = _mixed(out * MIX + column)
     return out.view(np.int64)
 
@@ -100,17 +98,19 @@ def sketches(width: int, bands: int, rows: int):
     return run
 
 
-def confirm(width: int, percent: int):
+def set_bytes(width: int):
+    return lambda texts: texts.map(lambda t: shingle_hashes(t, width).tobytes())
+
+
+def confirm(percent: int):
+    """Whether two full sets, as sorted hashes, are linked."""
+
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        text = theirs = None  # a centre has many partners in a row
         for left, right in batches:
             out = []
             for a, b in zip(left, right):
-                if a != text:
-                    text, theirs = a, shingle_hashes(a, width)
-                mine = shingle_hashes(b, width)
-                shared = len(np.intersect1d(theirs, mine, assume_unique=True))
-                out.append(100 * shared >= percent * (len(theirs) + len(mine) - shared))
+                shared = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+                out.append(8 * 100 * shared >= percent * (len(a) + len(b) - 8 * shared))
             yield pd.Series(out, dtype=bool)
 
     return run
@@ -146,9 +146,9 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", width=5, perc
 
     Two rows are linked if 100 * |intersection| >= percent * |union| of their distinct `width`-word shingles. Null or
     empty texts have no set and no link: they are kept. Repeated rows are one group and those with the least key are
-    all kept, but only one of them is `first`. A null key is never a group's least unless all are null; such rows have
-    component_id null and are kept if they are first. An empty table gives an empty result. Other columns of docs,
-    whatever their names, are ignored, or come along in the struct `row` with keep_row.
+    all kept, but only one of them is `first`; ties between their rows go to the least place in the table. A null key is never a group's least unless all are null; such rows have
+    component_id null and are kept if they are first. An empty table gives an empty result. Long texts are
+    read whole. Other columns of docs, whatever their names, are ignored, or come along in the struct `row` with keep_row.
     """
     spark = docs.sparkSession
     prepare = F.pandas_udf(sketches(width, bands, rows), "struct<n long, same binary, odd array<long>, buckets array<long>>")
@@ -157,16 +157,17 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", width=5, perc
     flat = table.select("row_id", "key", "s.n", "s.same", "s.odd", "s.buckets")
 
     # Documents with equal sets: one node, named by its least row.
-    sets = flat.filter("n > 0").groupBy("same").agg(F.min(F.struct("row_id", "n", "odd", "buckets")).alias("s"), F.min(F.struct(F.col("key").isNull(), "key", "row_id")).alias("least"))
-    nodes = store(sets.select("same", F.col("s.row_id").alias("node"), "s.n", "s.odd", "s.buckets", "least"), "nodes")
+    alike = flat.filter("n > 0").groupBy("same").agg(F.min(F.struct("row_id", "n", "odd", "buckets")).alias("s"), F.min(F.struct(F.col("key").isNull(), "key", "row_id")).alias("least"))
+    nodes = store(alike.select("same", F.col("s.row_id").alias("node"), "s.n", "s.odd", "s.buckets", "least"), "nodes")
     # A set so small that one more shingle is too many links with equal ones alone.
     members = nodes.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).select("node", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("bucket", "node"), "node")).alias("c")).filter("m > 1")
     mates = store(members.join(shared.select("bucket", "m", F.col("c.node").alias("centre")), "bucket"), "bucket-mates")
     some = mates.select("node").distinct()
     odd = store(nodes.select("node", "n", "odd").join(some, "node", "left_semi"), "parities")
-    texts = store(table.select(F.col("row_id").alias("node"), F.col(f"row.`{text}`").alias("text")).join(some, "node", "left_semi"), "mate-texts")
-    check = F.pandas_udf(confirm(width, percent), "boolean")
+    texts = table.select(F.col("row_id").alias("node"), F.col(f"row.`{text}`").alias("text")).join(some, "node", "left_semi")
+    sets = store(texts.select("node", F.pandas_udf(set_bytes(width), "binary")("text").alias("set")), "mate-sets")
+    check = F.pandas_udf(confirm(percent), "boolean")
     differing = sum((F.bit_count(F.col("a_odd")[i].bitwiseXOR(F.col("b_odd")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col("a_odd")[0].bitwiseXOR(F.col("b_odd")[0])))
     close = (percent + 100) * differing <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
 
@@ -174,8 +175,12 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", width=5, perc
         return rows.withColumnsRenamed({c: f"{side}_{c}" for c in rows.columns if c != "node"} | {"node": side})
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """A centre's partners are dealt in parts of PARTNERS, each with a copy of the centre's set."""
         pairs = store(pairs, "near-pairs")
-        return store(pairs.join(named(texts, "a"), "a").join(named(texts, "b"), "b").filter(check("a_text", "b_text")).select("a", "b"), "near-links")
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+        copies = parts.join(named(sets, "a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+        return store(dealt.join(copies.drop("parts"), ["a", "part"]).join(named(sets, "b"), "b").filter(check("a_set", "b_set")).select("a", "b"), "near-links")
 
     star = mates.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(star.join(named(odd, "a"), "a").join(named(odd, "b"), "b").filter(close).select("a", "b"))
@@ -198,6 +203,7 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", width=5, perc
     by_set = grouped.join(least, "root").select("same", "best")
     same = F.coalesce("s.same", F.unhex(F.hex("row_id")))  # rows without words don't meet in one task
     out = table.select("row_id", "row", "key", "s.n", same.alias("same")).join(by_set, "same", "left")
+    remove(spark, mates, odd, sets, rest)
     group = F.when(F.col("best").isNull(), F.col("key")).otherwise(F.col("best.key"))
     first = F.coalesce(F.col("best.row_id") == F.col("row_id"), F.lit(True))
     return out.select(
