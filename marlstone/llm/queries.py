@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm import oracles
 from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.mixing import mix_sources
 from marlstone.llm.html import extract_text
@@ -20,7 +21,7 @@ from marlstone.llm.tokens import count_tokens
 from marlstone.llm.warc import archive_pages, page_records
 
 
-#: A public vocabulary and the pattern of its pre-tokens.
+#: A public vocabulary, where no setting spark.marlstone.vocabulary names another file that all executors can open, and the pattern of its pre-tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -38,8 +39,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """The edits are the removals of secrets."""
+    vocabulary = vocabulary or spark.conf.get("spark.marlstone.vocabulary", VOCABULARY)
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     edits = F.transform("secrets", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), x["kind"], F.lit(" removed]")).alias("new")))
     return count_tokens(found.select("doc_id", "text", edits.alias("edits")), "edits", vocabulary, PATTERN)
@@ -92,7 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
 
 SQL["op9_mix_sources"] = r"""
 WITH d AS (

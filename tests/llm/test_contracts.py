@@ -85,15 +85,6 @@ def test_archives(spark):
     assert got == want
 
 
-def test_quality_separates(spark):
-    got = entry.queries()["op7_quality"](spark, SF.replace("0.001", "0.01"))
-    labels = spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet")
-    found = [(r.selected, r.quality == 1 and r.toxic == 0) for r in got.join(labels, "doc_id").collect()]
-    good = [s for s, g in found if g]
-    bad = [s for s, g in found if not g]
-    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.2 * len(bad)
-
-
 def test_media_digests(spark):
     want = {}
     for r in rows(spark, "documents"):
