@@ -1,7 +1,9 @@
 """From documents to a training mix: the stages in order, each one operator on what the stage before kept.
 
 A stage takes (spark, docs, sf_dir); what it returns is written and reread as the next one's docs. All but the last
-return the columns of docs. Null texts pass every filter; extra columns come along until the last stage.
+return the columns of docs. A null or empty text weighs 0 in the first stage and passes the other filters. Repeated rows are
+one group in near_dedup, which keeps one of them. Extra columns, whatever their names, come along until the last stage;
+an empty table passes through as such. Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from marlstone.llm.minhash import near_duplicates
 from marlstone.llm.mixing import mix_sources
 from marlstone.llm.quality import select_quality
 from marlstone.llm.secrets import redact_secrets
-from marlstone.llm.shared import store
+from marlstone.llm.shared import remove, store
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            remove(spark, before)  # only the last stage's table is read from here on
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1 +1 @@
-"""To be built: see README."""
+"""Array and scalar rules that operators share."""

@@ -84,8 +84,9 @@ def _before(df: DataFrame, keys, order, columns) -> DataFrame:
     return df.withColumns({f"_{c}": F.coalesce(F.lag(c).over(w), F.col(c)) for c in columns})
 
 
-def _drop(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+def _drop(df: DataFrame, given: list[str]) -> DataFrame:
+    """Without the columns that were added meanwhile to compute others; those given stay."""
+    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in given])
 
 
 DEPTHS = (1, 3, 5, 10)
@@ -93,6 +94,7 @@ DEPTHS = (1, 3, 5, 10)
 
 def dynamic_features(df: DataFrame, keys, order) -> DataFrame:
     """Adds flows, returns of mid, first and second differences of spread and imbalances, stability and flips of levels, migration and momentum of depth."""
+    given = df.columns
     moving = ["spread", *[f"imbalance_L{k}" for k in DEPTHS]]
     df = _before(df, keys, order, ["mid", "total_notional", "bid_notional", "ask_notional", "bid_price", "ask_price", *moving])
     change = lambda c: F.col(c) - F.col(f"_{c}")
@@ -109,11 +111,12 @@ def dynamic_features(df: DataFrame, keys, order) -> DataFrame:
     named = {"spread": ("spread_velocity", "spread_accel")} | {f"imbalance_L{k}": (f"imbalance_velocity_L{k}", f"imbalance_accel_L{k}") for k in DEPTHS}
     df = df.withColumns(out | {velocity: change(c) for c, (velocity, _) in named.items()})
     w = Window.partitionBy(*keys).orderBy(*order)
-    return _drop(df.withColumns({accel: F.col(velocity) - F.coalesce(F.lag(velocity).over(w), F.col(velocity)) for velocity, accel in named.values()}))
+    return _drop(df.withColumns({accel: F.col(velocity) - F.coalesce(F.lag(velocity).over(w), F.col(velocity)) for velocity, accel in named.values()}), given)
 
 
 def hidden_features(df: DataFrame, keys, order) -> DataFrame:
     """Adds divergence of near and deep book, iceberg shares, the product of the return with that five snapshots on, toxicity, entropy of the flow, likeness of the bid's halves and aggression at the best price."""
+    given = df.columns
     df = _before(df, keys, order, ["mid", "bid_notional", "ask_notional", "bid_price", "ask_price", "bid_size", "ask_size"])
     w = Window.partitionBy(*keys).orderBy(*order)
     out, used, moved = {"book_divergence": imbalance(1, 3) - imbalance(4, LEVELS)}, {}, []
@@ -131,18 +134,19 @@ def hidden_features(df: DataFrame, keys, order) -> DataFrame:
     return _drop(df.withColumns({
         "iceberg_net": F.col("iceberg_bid") - F.col("iceberg_ask"), "queue_aggression_net": F.col("queue_aggression_bid") - F.col("queue_aggression_ask"),
         "flow_entropy": A.entropy(F.col("_moved"), EPS), "realized_spread_lead5": F.col("_r") * F.coalesce(F.lead("_r", 5).over(w), F.lit(0.0)),
-    }))
+    }), given)
 
 
 def targets(df: DataFrame, keys, order, horizons=(10, 30, 100, 500, 1000)) -> DataFrame:
     """Adds per horizon N: ret_N, ret_spread_N, direction_N and vol_N, the population deviation of the N returns from the own row on; null on a key's last N rows."""
     w = Window.partitionBy(*keys).orderBy(*order)
+    given = df.columns
     df = df.withColumn("_r", (F.col("mid") - F.coalesce(F.lag("mid").over(w), F.col("mid"))) / (F.col("mid") + EPS))
     for n in horizons:
         ahead = F.lead("mid", n).over(w)
         df = df.withColumns({f"ret_{n}": (ahead - F.col("mid")) / (F.col("mid") + EPS), f"ret_spread_{n}": (ahead - F.col("mid")) / (F.col("spread") + EPS)})
         df = df.withColumns({f"direction_{n}": F.signum(f"ret_{n}"), f"vol_{n}": F.when(F.col(f"ret_{n}").isNotNull(), F.stddev_pop("_r").over(w.rowsBetween(0, n - 1)))})
-    return _drop(df)
+    return _drop(df, given)
 
 
 def level_rows(df: DataFrame, keys, order) -> DataFrame:

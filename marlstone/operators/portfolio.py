@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,22 +12,24 @@ from pyspark.sql import functions as F
 def capped_strategy(df: DataFrame, score: str, ret: str, keys, order, threshold: float = 5.0, hold: int = 60, most: int = 5) -> DataFrame:
     """Adds opened and pnl: a score beyond +-threshold opens a position of its sign, held `hold` rows, its own row's return included, with at most `most` open at once.
 
-    Whether a row may open depends on those before it, so each key's rows are folded in order, in Arrow batches per
-    key; the fold's state is the ends of at most `most` positions. A null score opens nothing; a null return counts as 0.
+    Whether a row may open depends on those before it: the rows beyond the threshold are visited in order, a key in one
+    task; what is held is a running sum of openings less endings. A null score opens nothing; a null return counts as 0.
     """
     schema = df.select("*", F.lit(False).alias("opened"), F.lit(0.0).alias("pnl")).schema
 
     def fold(pdf):
         pdf = pdf.sort_values(list(order), kind="stable")
-        held, opened, pnl, n = [], [], [], len(pdf)
-        for i, (s, r) in enumerate(zip(pdf[score].to_numpy(), pdf[ret].fillna(0.0).to_numpy())):
-            held = [p for p in held if i < p[0]]
-            way = 1 if s > threshold else -1 if s < -threshold else 0
-            opened.append(bool(way) and len(held) < most)
-            if opened[-1]:
-                held.append((min(i + hold, n - 1), way))
-            pnl.append(sum(p[1] for p in held) * r)
-        return pdf.assign(opened=opened, pnl=pnl)
+        n, scores = len(pdf), pdf[score].to_numpy(float)
+        opened, net, ends = np.zeros(n, bool), np.zeros(n + 1), deque(maxlen=most)
+        # All positions last equally long, so they end in the order in which they begin: a place is free if the oldest of the last `most` has ended.
+        for i in np.flatnonzero(np.abs(scores) > threshold).tolist():
+            if len(ends) < most or ends[0] <= i:
+                end = min(i + hold, n - 1)
+                ends.append(end)
+                opened[i] = True
+                net[i] += np.sign(scores[i])
+                net[max(end, i + 1)] -= np.sign(scores[i])
+        return pdf.assign(opened=opened, pnl=np.cumsum(net[:n]) * pdf[ret].fillna(0.0).to_numpy())
 
     return df.groupBy(*keys).applyInPandas(fold, schema)
 
@@ -55,6 +60,15 @@ def performance(df: DataFrame, ret: str, opened: str, keys, order, day, fee: flo
     return whole.join(days.select(*keys, "daily_sd", over("daily_sd").alias("sharpe"), over("_down").alias("sortino")), list(keys))
 
 
+def forecast_strategy(df: DataFrame, guess: str, actual: str, by, periods: float = 252.0 * 39) -> DataFrame:
+    """Per group: n, rmse, mae, corr and direction (share of equal signs) of the forecasts, and sharpe of holding their sign, times the root of `periods` a year; 0 for a constant result."""
+    rows = df.filter(F.col(guess).isNotNull() & F.col(actual).isNotNull())
+    gap, held = F.col(guess) - F.col(actual), F.signum(guess) * F.col(actual)
+    sharpe = F.when(F.stddev_samp(held) > 1e-12, F.avg(held) / F.stddev_samp(held) * periods**0.5).otherwise(0.0)
+    same = F.avg((F.signum(guess) == F.signum(actual)).cast("double"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"), F.corr(guess, actual).alias("corr"), same.alias("direction"), sharpe.alias("sharpe"))
+
+
 def position_sizes(df: DataFrame, score: str, risk: str, by, gross: float = 1.0, cap: float = 0.1) -> DataFrame:
     """Adds weight: score / risk held in +-cap, then scaled so that a group's absolute weights sum to `gross`; 0 where risk is missing or 0. The scaling may lift a weight over the cap."""
     raw = F.coalesce(F.try_divide(F.col(score), F.col(risk)), F.lit(0.0))
@@ -76,11 +90,11 @@ def embargoed_folds(df: DataFrame, keys, order, folds: int = 3, embargo: int = 0
 
 
 def feature_types(df: DataFrame, value: str, by) -> DataFrame:
-    """Per feature: type 0 for values in {0, 0.1}, 1 for {0, -0.1}, 2 for [0, 0.1], 3 for [-0.1, 0], to six places; a feature of both signs goes by the sign that more of its values have."""
+    """Per feature: type 0 for values in {0, 0.1}, 1 for {0, -0.1}, 2 for [0, 0.1], 3 for [-0.1, 0], to six places; a feature of both signs goes by the sign of its value farthest from 0, up on a tie."""
     v = F.round(F.col(value), 6)
     is_in = lambda x: F.coalesce(F.bool_and((v == 0) | (v == x)), F.lit(False))
-    stats = df.groupBy(*by).agg(is_in(0.1).alias("a"), is_in(-0.1).alias("b"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_if(v > 0).alias("up"), F.count_if(v < 0).alias("down"))
-    return stats.select(*by, F.when(F.col("a"), 0).when(F.col("b"), 1).when(F.col("lo") >= 0, 2).when(F.col("hi") <= 0, 3).when(F.col("up") >= F.col("down"), 2).otherwise(3).alias("type"))
+    stats = df.groupBy(*by).agg(is_in(0.1).alias("a"), is_in(-0.1).alias("b"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    return stats.select(*by, F.when(F.col("a"), 0).when(F.col("b"), 1).when(F.col("lo") >= 0, 2).when(F.col("hi") <= 0, 3).when(F.col("hi") >= -F.col("lo"), 2).otherwise(3).alias("type"))
 
 
 def violations(df: DataFrame, value: str, kind: str, by) -> DataFrame:
@@ -97,7 +111,9 @@ def threshold_regression(df: DataFrame, y: str, x: str, z: str, keys, points: in
     are aggregated (at most `points` + 1 rows a key) and prefix sums over them give both sides of every split. Values
     are taken from the key's means first, so that the sums do not cancel.
     """
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
+    named = {c: f"key_{i}" for i, c in enumerate(keys)}  # no name of the caller's meets one of ours
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*[F.col(c).alias(n) for c, n in named.items()], F.col(x).alias("x_in"), F.col(y).alias("y_in"), F.col(z).alias("z_in"))
+    own, keys, (x, y, z) = list(keys), list(named.values()), ("x_in", "y_in", "z_in")
     span = rows.groupBy(*keys).agg(F.min(z).alias("_lo"), F.max(z).alias("_hi"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
     step = (F.col("_hi") - F.col("_lo")) / (points - 1)
     at = F.coalesce(F.ceil(F.try_divide(F.col(z) - F.col("_lo"), step)), F.lit(0)).cast("int")
@@ -118,7 +134,7 @@ def threshold_regression(df: DataFrame, y: str, x: str, z: str, keys, points: in
     (ls, li, le), (rs, ri, re) = fit("l"), fit("r")
     tried = cells.select(*keys, "k", (F.col("_lo") + F.col("k") * step).alias("threshold"), (le + re).alias("ssr"), li.alias("low_intercept"), ls.alias("low_slope"), ri.alias("high_intercept"), rs.alias("high_slope")).filter("ssr IS NOT NULL")
     best = tried.groupBy(*keys).agg(F.min(F.struct("ssr", "k", "threshold", "low_intercept", "low_slope", "high_intercept", "high_slope")).alias("b"))
-    return best.select(*keys, "b.threshold", "b.ssr", "b.low_intercept", "b.low_slope", "b.high_intercept", "b.high_slope")
+    return best.select(*[F.col(n).alias(c) for c, n in zip(own, keys)], "b.threshold", "b.ssr", "b.low_intercept", "b.low_slope", "b.high_intercept", "b.high_slope")
 
 
 def information(df: DataFrame, features, target: str, by=()) -> DataFrame:

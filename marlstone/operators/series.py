@@ -51,11 +51,21 @@ def as_of(left: DataFrame, right: DataFrame, keys, time: str, order: str, column
 
 
 def strength_index(df: DataFrame, value: str, keys, order, rows: int = 14) -> DataFrame:
-    """Adds rsi: 100 without losses, null without gains and losses or before `rows` changes are there."""
+    """Adds rsi over the last `rows` changes, or as many as there are, the first row's counting as 0: 100 without losses, null without gains and losses."""
     w = trailing(keys, order, rows)
-    change = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
+    change = F.coalesce(F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)), F.lit(0.0))
     up, down = F.sum(F.greatest("_change", F.lit(0.0))).over(w), F.sum(F.greatest(-F.col("_change"), F.lit(0.0))).over(w)
-    return df.withColumn("_change", change).withColumn("rsi", at_least(rows, "_change", w, 100 * F.try_divide(up, up + down))).drop("_change")
+    return df.withColumn("_change", change).withColumn("rsi", 100 * F.try_divide(up, up + down)).drop("_change")
+
+
+def wilder_index(df: DataFrame, value: str, keys, order, rows: int = 14) -> DataFrame:
+    """As strength_index, with gains and losses averaged exponentially, each new change weighing 1 / rows."""
+    from marlstone.operators.windows import decayed_mean
+
+    change = F.coalesce(F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)), F.lit(0.0))
+    df = df.withColumn("change_now", change).withColumns({"gain_now": F.greatest("change_now", F.lit(0.0)), "loss_now": F.greatest(-F.col("change_now"), F.lit(0.0))})
+    up, down = (decayed_mean(c, keys, order, 1 / rows) for c in ("gain_now", "loss_now"))
+    return df.withColumns({"gain_mean": up, "loss_mean": down}).withColumn("rsi", 100 * F.try_divide("gain_mean", F.col("gain_mean") + F.col("loss_mean"))).drop("change_now", "gain_now", "loss_now", "gain_mean", "loss_mean")
 
 
 def rolling_line(df: DataFrame, x: str, y: str, keys, order, rows: int) -> DataFrame:

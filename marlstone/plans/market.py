@@ -166,7 +166,7 @@ def embargoed_folds(spark, sf_dir):
 
 
 def _typed(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("feature", "x"))
+    part = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("feature", "x"))
     x = F.col("x").cast("double")
     shaped = F.when(F.col("feature") % 4 == 0, F.when(x > 0, 0.1).otherwise(0.0)).when(F.col("feature") % 4 == 1, F.when(x > 0, -0.1).otherwise(0.0)).when(F.col("feature") % 4 == 2, F.least(F.abs(x), F.lit(0.1))).otherwise(x)
     return part.withColumn("x", shaped)
@@ -215,7 +215,7 @@ def back(n, end="CURRENT ROW"):
 _SIGMAS = "SELECT *, (value - 250) / 10 AS score, (value - 250) / 10000 AS r FROM events"
 _OPEN = f"SELECT *, sum(way) {back(5)} * r AS pnl, way != 0 AS opened FROM (SELECT *, CASE WHEN score > 5 THEN 1 WHEN score < -5 THEN -1 ELSE 0 END AS way FROM ({_SIGMAS}))"
 _TYPED = """SELECT vec_id, CAST(i AS INTEGER) AS feature, round(CASE i % 4 WHEN 0 THEN CASE WHEN x > 0 THEN 1e-1 ELSE 0e0 END WHEN 1 THEN CASE WHEN x > 0 THEN -1e-1 ELSE 0e0 END WHEN 2 THEN least(abs(x), 1e-1) ELSE x END, 6) AS x
-FROM (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, unnest(range(0, 8)) AS t(i))"""
+FROM (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, unnest(range(0, 64)) AS t(i))"""
 _X = "(SELECT *, ln(value) - lag(ln(value)) OVER (" + BY + ") AS x1 FROM events)"
 _LOGX = {1: 0.0, 2: 0.6931471805599453, 4: 1.3862943611198906, 8: 2.0794415416798357, 16: 2.772588722239781}
 _HX = "1.3862943611198906e0"
@@ -331,7 +331,7 @@ WITH n AS (SELECT event_id, row_number() OVER ({BY}) - 1 AS i, count(*) OVER (PA
 f AS (SELECT *, f * (n // 3) + least(f, n % 3) AS a, f * (n // 3) + least(f, n % 3) + n // 3 + CASE WHEN f < n % 3 THEN 1 ELSE 0 END AS b FROM n, (VALUES (0), (1), (2)) AS t(f))
 SELECT event_id, f AS fold, CASE WHEN i >= a AND i < b THEN 'test' WHEN i >= b AND i < b + 4 THEN 'embargo' WHEN i < a AND i >= a - 2 THEN 'purged' ELSE 'train' END AS role FROM f""",
     "feature_types": f"""
-SELECT feature, CAST(CASE WHEN bool_and(x = 0 OR x = 1e-1) THEN 0 WHEN bool_and(x = 0 OR x = -1e-1) THEN 1 WHEN min(x) >= 0 THEN 2 WHEN max(x) <= 0 THEN 3 WHEN count(*) FILTER (x > 0) >= count(*) FILTER (x < 0) THEN 2 ELSE 3 END AS INTEGER) AS type
+SELECT feature, CAST(CASE WHEN bool_and(x = 0 OR x = 1e-1) THEN 0 WHEN bool_and(x = 0 OR x = -1e-1) THEN 1 WHEN min(x) >= 0 THEN 2 WHEN max(x) <= 0 THEN 3 WHEN max(x) >= -min(x) THEN 2 ELSE 3 END AS INTEGER) AS type
 FROM ({_TYPED}) GROUP BY 1""",
     "constraint_check": f"""
 SELECT feature, count(*) FILTER (NOT CASE feature % 4 WHEN 0 THEN x IN (0e0, 1e-1) WHEN 1 THEN x IN (0e0, -1e-1) WHEN 2 THEN x BETWEEN 0e0 AND 1e-1 ELSE x BETWEEN -1e-1 AND 0e0 END) AS broken, count(x) AS n FROM ({_TYPED}) GROUP BY 1""",

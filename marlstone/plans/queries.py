@@ -73,8 +73,8 @@ FROM events WHERE value IS NOT NULL GROUP BY ALL""",
 WITH r AS (SELECT user_id, ts, arg_max(value, event_id) AS last_value, arg_max(event_type, event_id) AS last_type FROM events WHERE event_type != 'click' GROUP BY ALL)
 SELECT event_id, last_value, last_type FROM (SELECT * FROM events WHERE event_type = 'click') l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""",
     "strength_index": f"""
-SELECT event_id, CASE WHEN count(c) OVER w >= 14 THEN 100 * sum(greatest(c, 0)) OVER w / nullif(sum(greatest(c, 0)) OVER w + sum(greatest(-c, 0)) OVER w, 0) END AS rsi
-FROM (SELECT *, value - lag(value) OVER ({W}) AS c FROM events) WINDOW w AS ({W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
+SELECT event_id, 100 * sum(greatest(c, 0)) OVER w / nullif(sum(greatest(c, 0)) OVER w + sum(greatest(-c, 0)) OVER w, 0) AS rsi
+FROM (SELECT *, coalesce(value - lag(value) OVER ({W}), 0) AS c FROM events) WINDOW w AS ({W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
     "rolling_line": """
 SELECT l_orderkey, l_linenumber, round(s, 4) AS slope, round(my - s * mx, 4) AS intercept FROM (
   SELECT *, CASE WHEN n = 10 THEN (sxy / 10 - mx * my) / nullif(round(sxx / 10 - mx * mx, 12), 0) END AS s FROM (

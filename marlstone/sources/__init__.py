@@ -1 +1 @@
-"""To be built: see README."""
+"""Calendars of sessions."""

@@ -1 +1 @@
-"""To be built: see README."""
+"""Structured Streaming: bars with a watermark, decayed flow as keyed state."""

@@ -1,10 +1,9 @@
-"""Calendars, simulators and streams."""
+"""Calendars and streams."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import book
-from marlstone.sources import calendar, simulate
+from marlstone.sources import calendar
 from marlstone.streaming import bars
 
 
@@ -13,13 +12,6 @@ def test_sessions_skip_weekends_and_follow_summer_time(spark):
     assert got == ["2024-03-29 08:00:00", "2024-03-29 09:00:00", "2024-04-01 07:00:00", "2024-04-01 08:00:00"]
 
 
-def test_simulated_books_are_books(spark):
-    df = book.static_features(book.normalize(simulate.books(spark, ["a", "b"], 50)))
-    assert df.count() == 100 and df.filter("spread <= 1e-10 OR abs(imbalance_L1) > 1 OR bid_size[0] < 1").count() == 0
-    assert simulate.prices(spark, ["a"], 20).filter("price > 0").count() == 20
-    assert simulate.predictions(spark, 7).count() == 7 and simulate.winds(spark, 9).filter("value < 0").count() == 0
-
-
 @pytest.fixture
 def stream(spark, tmp_path):
     rows = [(f"2024-01-01 00:{m:02d}:00", m % 2, m, float(m * m % 7)) for m in range(0, 60, 3)]
