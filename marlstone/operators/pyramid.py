@@ -47,7 +47,8 @@ def rolling_pyramid(df: DataFrame, features: Sequence[str], keys, order, windows
             F.when(enough & (n >= 3) & (m2 > 1e-14), m3 / F.pow(m2, F.lit(1.5)) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
             F.when(F.col("feature").isin(*trended) & (n == size), (si - (F.col("i") - (size - 1) / 2) * s1) / (squares + B.EPS)).alias("slope"),
         ))
-    return long.select(*keys, *order, "feature", F.explode(F.array(*found)).alias("m")).select(*keys, *order, "feature", "m.*")
+    moments = long.select(*keys, *order, "feature", F.array(*found).alias("m"))
+    return moments.select(*keys, *order, "feature", F.explode("m").alias("m")).select(*keys, *order, "feature", "m.*")
 
 
 def surprise(df: DataFrame, keys, order, span: float = 50.0, quiet: int = 50) -> DataFrame:
