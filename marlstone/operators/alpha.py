@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import decay as D
@@ -13,6 +13,7 @@ from marlstone.operators import models as M
 from marlstone.operators import portfolio as P
 from marlstone.operators import series as S
 from marlstone.operators import windows as W
+from marlstone.operators.joins import hops
 
 PATH = [*[f"s1_{i}" for i in range(4)], *[f"s2_{i}_{j}" for i in range(4) for j in range(4)]]
 
@@ -34,6 +35,27 @@ def model_samples(
     return labelled.select(*keys, *order, F.col("own_return").alias("ret"), *names, "label")
 
 
+def wavelet_clusters(df: DataFrame, value: str, keys, order, rows: int = 3600, step: int = 60, clusters: int = 4, levels: int = 5, seed: int = 42) -> DataFrame:
+    """Adds cluster: the k-means class of the Haar energies, forward and backward in time, of the `rows` values up to the next anchor; after the last anchor, its class; null for keys without one.
+
+    Anchors stand at row `rows` (from 0) and each `step` rows on. A row goes to the windows that hold it, rows / step of
+    them. The classes are fitted by MLlib on the anchors of all keys together, so they mean the same for each key.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    placed = df.withColumn("row_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    inside = hops(placed.select(*keys, (F.col("row_at") - 1).alias("i"), F.col(value).cast("double").alias("v")).filter("i >= 0"), "i", F.lit(0), rows - 1, step)
+    whole = inside.groupBy(*keys, "hop").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("forward")).filter(F.size("forward") == rows)
+    found = M.wavelet_energies(whole.withColumn("backward", F.reverse("forward")), "forward", levels).withColumnRenamed("energies", "ahead")
+    found = M.wavelet_energies(found, "backward", levels).select(*keys, "hop", array_to_vector(F.concat("ahead", "energies")).alias("vector"))
+    fitted = KMeans(k=clusters, seed=seed, featuresCol="vector", predictionCol="cluster").fit(found)
+    classes = fitted.transform(found).select(*keys, "hop", "cluster")
+    last = classes.groupBy(*keys).agg(F.max("hop").alias("last_hop"))
+    hop = F.least(F.greatest(F.ceil((F.col("row_at") - rows) / step), F.lit(0)).cast("long"), F.col("last_hop"))
+    return placed.join(last, list(keys), "left").withColumn("hop", hop).join(classes, [*keys, "hop"], "left").drop("row_at", "last_hop", "hop")
+
+
 def out_of_fold(df: DataFrame, features: Sequence[str], label: str, keys, order, folds: int = 3, embargo: int = 1800, classifier=None) -> DataFrame:
     """keys, order, fold, label and p_up, the probability of label 1 against -1 by a model of the other folds.
 

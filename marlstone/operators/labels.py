@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.joins import hops
 from marlstone.operators.series import trailing
 
 
@@ -80,11 +81,12 @@ def sample_scores(df: DataFrame, value: str, by, floor: float = 1e-6) -> DataFra
 
 def strided_windows(df: DataFrame, value: str, keys, order, rows: int, stride: int, horizon: int = 0, scale: float | None = None) -> DataFrame:
     """Per key, a row each `stride` rows from the first on that has `rows` rows, and `horizon` after them: keys, begin (from 0), x and y, the values of both. scale: divided by it and held in -1..1."""
-    w = Window.partitionBy(*keys).orderBy(*order)
     v = F.col(value) if scale is None else F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(value) / scale))
-    marked = df.select(*keys, *order, v.alias("v"), (F.row_number().over(w) - 1).alias("begin"))
-    framed = marked.select(*keys, "begin", F.collect_list("v").over(w.rowsBetween(0, rows - 1)).alias("x"), F.collect_list("v").over(w.rowsBetween(rows, rows + horizon - 1)).alias("y") if horizon else F.array().cast("array<double>").alias("y"))
-    return framed.filter((F.col("begin") % stride == 0) & (F.size("x") == rows) & (F.size("y") == horizon))
+    marked = df.select(*keys, v.alias("v"), (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).alias("i"))
+    # A row goes to the few windows that hold it; no other window is gathered.
+    inside = hops(marked, "i", F.lit(0), rows + horizon - 1, stride)
+    whole = inside.groupBy(*keys, "hop").agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("all")).filter(F.col("n") == rows + horizon)
+    return whole.select(*keys, (F.col("hop") * stride).cast("int").alias("begin"), F.slice("all", 1, rows).alias("x"), F.slice("all", rows + 1, horizon).alias("y"))
 
 
 def type_masks(types: DataFrame, kind: str = "type", kinds: int = 4) -> DataFrame:

@@ -150,6 +150,10 @@ def out_of_fold(spark, sf_dir):
     return A.out_of_fold(rows, ["diff", "logret", "zscore"], "label", KEYS, ORDER, 3, 10).select(ID, "fold", "label", F.round("p_up", 3).alias("p_up"))
 
 
+def wavelet_clusters(spark, sf_dir):
+    return A.wavelet_clusters(events(spark, sf_dir), "value", KEYS, ORDER, 32, 4, 4).select(ID, "cluster")
+
+
 def forecast_strategy(spark, sf_dir):
     rows = W.returns(events(spark, sf_dir), "value", KEYS, ORDER)
     rows = L.split_by_time(rows.withColumns({"guess": F.lag("diff").over(W.ordered(KEYS, ORDER)) / -2}), KEYS, ORDER, 0.7).filter("role = 'test'")
@@ -160,7 +164,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_features, rolling_pyramid, surprise_scores, feature_matrix, information_report, clean_feature_set, triple_barriers, pre_averaged_variance, wilder_index, flow_on_grid, flow_engine,
-        detected_metaorders, mapped_metaorders, split_by_time, category_codes, sample_scores, strided_windows, type_masks, row_batches, largest_elements, shared_keys, forecast_strategy, model_samples, out_of_fold,
+        detected_metaorders, mapped_metaorders, split_by_time, category_codes, sample_scores, strided_windows, type_masks, row_batches, largest_elements, shared_keys, forecast_strategy, model_samples, out_of_fold, wavelet_clusters,
     )
 }
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars
-from marlstone.operators import book, flow, labels, portfolio, pyramid
+from marlstone.operators import alpha, book, flow, labels, portfolio, pyramid
 from marlstone.operators.decay import power_law_mixture
 
 
@@ -134,3 +134,11 @@ def test_capped_strategy_counts_what_is_open(spark, hold, most):
     df = spark.createDataFrame(rows, "k string, i int, score double, ret double")
     got = [(x.opened, x.pnl) for x in portfolio.capped_strategy(df, "score", "ret", ["k"], ["i"], 5.0, hold, most).orderBy("i").collect()]
     assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+
+
+def test_wavelet_clusters_tell_rough_from_smooth(spark):
+    r = random.Random(5)
+    rows = [(k, i, 5.0 * (-1) ** i + 0.01 * r.random() if k == "rough" else 0.001 * i) for k in ("rough", "smooth") for i in range(60)] + [("short", 0, 1.0)]
+    got = alpha.wavelet_clusters(spark.createDataFrame(rows, "k string, i int, v double"), "v", ["k"], ["i"], 16, 4, 2, 3).collect()
+    classes = {k: {x.cluster for x in got if x.k == k} for k in ("rough", "smooth", "short")}
+    assert len(got) == 121 and classes["short"] == {None} and len(classes["rough"]) == len(classes["smooth"]) == 1 and classes["rough"] != classes["smooth"]
