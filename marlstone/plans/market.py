@@ -314,6 +314,16 @@ FROM (SELECT *, CASE WHEN abs(mean - lag(mean) OVER (PARTITION BY event_type ORD
 SELECT event_type, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e) / (abs(value) + 1e-9)), 6) AS mape, round(1 - sum(e * e) / (var_pop(value) * count(*)), 6) AS r2
 FROM (SELECT *, value - lag(value) OVER ({BY}) AS e FROM events) WHERE e IS NOT NULL GROUP BY 1""",
     "open_strategy": f"SELECT event_id, opened, round(pnl, 6) + 0e0 AS pnl FROM ({_OPEN})",
+    "capped_strategy": f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, score, r, row_number() OVER ({BY}) - 1 AS i, count(*) OVER (PARTITION BY user_id) - 1 AS last FROM ({_SIGMAS})),
+n AS (SELECT *, abs(score) > 5 AS wants, struct_pack(e := greatest(least(i + 6, last), i + 1), w := sign(score)) AS one FROM e),
+m AS (
+  SELECT user_id, event_id, i, r, wants AS opened, CASE WHEN wants THEN [one] ELSE list_filter([one], lambda h: false) END AS held FROM n WHERE i = 0
+  UNION ALL
+  SELECT n.user_id, n.event_id, n.i, n.r, n.wants AND len(list_filter(m.held, lambda h: h.e > n.i)) < 2,
+    CASE WHEN n.wants AND len(list_filter(m.held, lambda h: h.e > n.i)) < 2 THEN list_append(list_filter(m.held, lambda h: h.e > n.i), n.one) ELSE list_filter(m.held, lambda h: h.e > n.i) END
+  FROM m JOIN n ON n.user_id = m.user_id AND n.i = m.i + 1)
+SELECT event_id, opened, round(coalesce(list_sum(list_transform(held, lambda h: h.w)), 0) * r, 6) + 0e0 AS pnl FROM m""",
     "strategy_performance": f"""
 WITH o AS ({_OPEN}), n AS (SELECT *, pnl - CASE WHEN opened THEN 5e-4 ELSE 0e0 END AS net FROM o),
 c AS (SELECT *, exp(sum(ln(1 + net)) OVER ({BY} ROWS UNBOUNDED PRECEDING)) - 1 AS c FROM n), d AS (SELECT *, c - max(c) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS dd FROM c),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import decay as D
 from marlstone.operators import models as M
 from marlstone.operators import windows as W
-from marlstone.plans.book import rounded, snapshots
+from marlstone.plans.book import BOOK, rounded, snapshots
 from marlstone.plans.queries import KEYS, ORDER, events
 
 ID = "event_id"
@@ -90,6 +90,10 @@ _MEANS = """WITH w AS (SELECT a.{id} AS id, sum(pow({keep}, a.i - b.i)) AS w, su
 FROM n a JOIN n b ON a.k = b.k AND b.i <= a.i GROUP BY 1)"""
 
 SQL = {
+    "inventory_pressure": f"""{BOOK},
+g AS (SELECT symbol, seq, list_sum(bn) - list_sum(an) AS gap, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i FROM b),
+f AS (SELECT symbol, seq, i, gap - coalesce(lag(gap) OVER (PARTITION BY symbol ORDER BY seq), gap) AS flow FROM g)
+SELECT a.symbol, a.seq, round(sum(pow(99e0 / 101, a.i - b.i) * b.flow) / sum(pow(99e0 / 101, a.i - b.i)), 4) + 0e0 AS pressure FROM f a JOIN f b ON b.symbol = a.symbol AND b.i <= a.i GROUP BY ALL""",
     "decayed_flow": """
 WITH e AS (SELECT event_id, user_id, value, epoch_us(ts) / 1e6 AS at FROM events)
 SELECT a.event_id, round(sum(b.value * (exp((b.at - a.at) / 3600) + 5e-1 * exp((b.at - a.at) / 86400))), 4) + 0e0 AS flow
