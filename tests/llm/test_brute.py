@@ -407,6 +407,27 @@ def test_long_pages_and_clashing_names(spark):
     assert got[2] == (400_000, hashlib.sha256(long.encode()).hexdigest(), "revisit", 1) and got[3][2] == "response"
 
 
+# -- op9
+
+
+def test_mix_of_odd_rows_equals_sql(spark):
+    import duckdb
+
+    from marlstone.llm.mixing import mix_sources
+
+    rows = [(i, "w " * (i % 90), "abc"[i % 3]) for i in range(60)] + [(60, None, "a"), (61, "", "b"), (62, "x y z " * 40, None), (63, "long " * 70000, "c"), (64, "one", "only")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, source string, rank string, size int")
+    got = [tuple(r) for r in mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken").collect()]
+    digits = lambda found: sorted((a, b, c, round(d, 3), e) for a, b, c, d, e in found)
+    assert digits(got) == digits(con.sql(queries.SQL["op9_mix_sources"]).fetchall())
+    assert all(t <= 3 * n for _, n, _, _, t in got) and mix_sources(docs.limit(0)).count() == 0
+    twice = mix_sources(docs.filter("doc_id < 10").unionByName(docs.filter("doc_id < 10"))).collect()
+    assert len(twice) == 20 and all(r.taken <= 3 * r["size"] for r in twice)
+
+
 # -- pipeline
 
 
