@@ -180,7 +180,9 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", width=5, perc
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
         copies = parts.join(named(sets, "a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-        return store(dealt.join(copies.drop("parts"), ["a", "part"]).join(named(sets, "b"), "b").filter(check("a_set", "b_set")).select("a", "b"), "near-links")
+        links = store(dealt.join(copies.drop("parts"), ["a", "part"]).join(named(sets, "b"), "b").filter(check("a_set", "b_set")).select("a", "b"), "near-links")
+        remove(spark, pairs)
+        return links
 
     star = mates.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(star.join(named(odd, "a"), "a").join(named(odd, "b"), "b").filter(close).select("a", "b"))
