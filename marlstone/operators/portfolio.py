@@ -153,3 +153,18 @@ def correlations(df: DataFrame, columns) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs]).alias("p"))
     return row.select(F.explode("p").alias("p")).select("p.*")
+
+
+def covariances(df: DataFrame, columns) -> DataFrame:
+    """One row per pair of columns a <= b: cov, the sample covariance over the rows where neither is null, all in one aggregation; with a = b the variance."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.covar_samp(a, b).alias("cov")) for a, b in pairs]).alias("p"))
+    return row.select(F.explode("p").alias("p")).select("p.*")
+
+
+def weighted_moments(df: DataFrame, value: str, weight: str, by) -> DataFrame:
+    """Per group: weight (their sum), mean and sd (population) of the values under their weights; null where the weights add up to 0. Null values or weights count nothing."""
+    rows = df.filter(F.col(value).isNotNull() & F.col(weight).isNotNull()).select(*by, F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
+    sums = rows.groupBy(*by).agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("wvv"))
+    mean = F.try_divide("wv", F.nullif("weight", F.lit(0.0)))
+    return sums.select(*by, "weight", mean.alias("mean"), F.sqrt(F.greatest(F.try_divide("wvv", F.nullif("weight", F.lit(0.0))) - mean * mean, F.lit(0.0))).alias("sd"))

@@ -38,6 +38,14 @@ def ohlc(df: DataFrame, value: str, keys, time: str, order: str, every: str) ->
     )
 
 
+def padded(bars: DataFrame, keys, every: str) -> DataFrame:
+    """Bars as ohlc() gives them, with a row for each interval of `every` (such as '1 hour') from a key's first bar to its last: an empty one has the close before it in all four prices and n 0."""
+    spine = bars.groupBy(*keys).agg(F.min("bar").alias("begin"), F.max("bar").alias("until")).select(*keys, F.explode(F.sequence("begin", "until", F.expr(f"INTERVAL {every}"))).alias("bar"))
+    close = F.last("close", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0))
+    rows = spine.join(bars, [*keys, "bar"], "left").withColumn("close", close)
+    return rows.withColumns({c: F.coalesce(c, "close") for c in ("open", "high", "low")} | {"n": F.coalesce("n", F.lit(0).cast("long"))})
+
+
 def as_of(left: DataFrame, right: DataFrame, keys, time: str, order: str, columns: Sequence[str]) -> DataFrame:
     """Adds to each left row the columns of the last right row of its key at or before its time, null if there is none.
 

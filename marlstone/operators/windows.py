@@ -122,6 +122,12 @@ def standardized(df: DataFrame, value: str, keys) -> DataFrame:
     return df.join(stats, list(keys)).withColumns({"z": F.when(F.col("_s") > 1e-12, (c - F.col("_m")) / F.col("_s")), "unit": ratio(c - F.col("_lo"), F.col("_hi") - F.col("_lo"))}).drop("_m", "_s", "_lo", "_hi")
 
 
+def unscaled(df: DataFrame, value: str, unit: str, keys) -> DataFrame:
+    """Adds restored: the inverse of `unit` as standardized() gives it, from the key's minimum and maximum of `value`."""
+    stats = df.groupBy(*keys).agg(F.min(value).alias("least_value"), F.max(value).alias("greatest_value"))
+    return df.join(stats, list(keys)).withColumn("restored", F.col("least_value") + F.col(unit) * (F.col("greatest_value") - F.col("least_value"))).drop("least_value", "greatest_value")
+
+
 def exceedances(df: DataFrame, value: str, scale: str, theta: float) -> DataFrame:
     """Adds event: 1 where |value| is above theta * scale, else 0; a zero or missing scale gives 0."""
     return df.withColumn("event", F.coalesce(F.abs(F.col(value)) > theta * F.nullif(F.col(scale), F.lit(0.0)), F.lit(False)).cast("int"))

@@ -150,6 +150,25 @@ def out_of_fold(spark, sf_dir):
     return A.out_of_fold(rows, ["diff", "logret", "zscore"], "label", KEYS, ORDER, 3, 10).select(ID, "fold", "label", F.round("p_up", 3).alias("p_up"))
 
 
+def padded_bars(spark, sf_dir):
+    return S.padded(S.ohlc(events(spark, sf_dir), "value", KEYS, "ts", ID, "hour"), KEYS, "1 hour")
+
+
+def covariance_matrix(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return rounded(P.covariances(rows, rows.columns), "a", "b", places=3)
+
+
+def weighted_moments(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linestatus", "l_discount", "l_quantity")
+    return rounded(P.weighted_moments(rows, "l_discount", "l_quantity", ["l_returnflag", "l_linestatus"]), "l_returnflag", "l_linestatus")
+
+
+def restored_values(spark, sf_dir):
+    rows = W.standardized(events(spark, sf_dir), "value", ["event_type"])
+    return rounded(W.unscaled(rows, "value", "unit", ["event_type"]).select(ID, "restored"), ID)
+
+
 def wavelet_clusters(spark, sf_dir):
     return A.wavelet_clusters(events(spark, sf_dir), "value", KEYS, ORDER, 32, 4, 4).select(ID, "cluster")
 
@@ -164,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_features, rolling_pyramid, surprise_scores, feature_matrix, information_report, clean_feature_set, triple_barriers, pre_averaged_variance, wilder_index, flow_on_grid, flow_engine,
-        detected_metaorders, mapped_metaorders, split_by_time, category_codes, sample_scores, strided_windows, type_masks, row_batches, largest_elements, shared_keys, forecast_strategy, model_samples, out_of_fold, wavelet_clusters,
+        detected_metaorders, mapped_metaorders, split_by_time, category_codes, sample_scores, strided_windows, type_masks, row_batches, largest_elements, shared_keys, forecast_strategy, model_samples, out_of_fold, wavelet_clusters, padded_bars, covariance_matrix, weighted_moments, restored_values,
     )
 }
 
@@ -245,6 +264,21 @@ SELECT event_type, count(*) AS n, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse
   round(CASE WHEN stddev_samp(s) > 1e-12 THEN avg(s) / stddev_samp(s) * sqrt(252e0 * 39) ELSE 0e0 END, 4) + 0e0 AS sharpe FROM t GROUP BY 1""",
 }
 
+SQL |= {
+    "padded_bars": """
+WITH b AS (SELECT user_id, date_trunc('hour', ts) AS bar, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM events GROUP BY ALL),
+s AS (SELECT user_id, unnest(generate_series(min(bar), max(bar), INTERVAL 1 HOUR)) AS bar FROM b GROUP BY 1),
+f AS (SELECT s.user_id, s.bar, open, high, low, n, last_value(close IGNORE NULLS) OVER (PARTITION BY s.user_id ORDER BY s.bar ROWS UNBOUNDED PRECEDING) AS close FROM s LEFT JOIN b USING (user_id, bar))
+SELECT user_id, bar, coalesce(open, close) AS open, coalesce(high, close) AS high, coalesce(low, close) AS low, close, coalesce(n, 0) AS n FROM f""",
+    "covariance_matrix": " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 3) + 0e0 AS cov FROM lineitem" for i, a in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"]) for b in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"][i:]
+    ),
+    "weighted_moments": """
+SELECT l_returnflag, l_linestatus, round(w, 6) AS weight, round(wv / w, 6) AS mean, round(sqrt(greatest(wvv / w - (wv / w) * (wv / w), 0e0)), 6) AS sd
+FROM (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS w, sum(l_quantity * l_discount) AS wv, sum(l_quantity * l_discount * l_discount) AS wvv FROM lineitem GROUP BY ALL)""",
+    "restored_values": "SELECT event_id, round(value, 6) + 0e0 AS restored FROM events",
+}
+
 SQL["rolling_pyramid"] = f"""{BOOK},
 s AS (SELECT symbol, seq, rel_spread, {', '.join(f'{book_plans._stat[n]} AS {n}' for n in PYRAMID if n != 'rel_spread')} FROM b),
 l AS (SELECT symbol, seq, feature, x, row_number() OVER (PARTITION BY symbol, feature ORDER BY seq) AS i FROM (UNPIVOT s ON {', '.join(PYRAMID)} INTO NAME feature VALUE x))
