@@ -11,7 +11,7 @@ word's count it is told the word's number, which is shorter than the hash once s
 
 Tables. The n-grams that chunks hold are dealt by the word before the last, v, so that all n-grams of all orders that
 end in (v, w), and all contexts that end in v, lie in one row of the stored table, which holds some `bucket_tokens` of
-them. Words v too frequent for that (more than 2 * bucket_tokens, or than 1 / BALANCE of all tokens) are dealt by the whole
+them. Words v too frequent for that (more than HOT * bucket_tokens, or than 1 / BALANCE of all tokens) are dealt by the whole
 n-gram instead, and the counts and sums of their shorter n-grams and contexts are added up over rows, an entry a
 row and key. Nothing is broadcast; what goes to the driver is
 a few numbers an order.
@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from marlstone.llm.shared import HASHES, remove, store, words_of
 
 ORDER, MOST_ORDER, GOOD = 3, 7, 5
-CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 1_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 600_000
 #: Rows of the table whose n-grams are shuffled together: larger groups repeat fewer word numbers.
 GROUP = 4
+#: A word that comes more than HOT * bucket_tokens times is spread over rows.
+HOT = 1.5
 #: A word with a greater share than 1 / BALANCE is spread, so that no task has much more to do than others.
-BALANCE = 64
+BALANCE = 150
 #: Frequent words that a partition of the words reports to size the spread part of the table.
 REPORTED = 64
 #: Hashes that stand for the place before a text, the least one, whose number is 0, and for its end.
@@ -306,7 +308,7 @@ class Bucket:
         """Counts of counts of each order from 2, of what lies in this bucket alone."""
         out = []
         for m in range(2, self.n + 1):
-            first = np.unique(self.gram[m], return_index=True)[1]
+            first = first_places(self.gram[m])
             own = first if m == self.n else first[~self.hot[first]]
             out.append(count_of_counts(self.c[m][own]))
         return out
@@ -329,8 +331,7 @@ def merge(order: int, deal: Deal, bucket_tokens: int):
         del words
         counts = [unpacked(c, kind=np.int32) for c in group["counts"]]
         of_v = sum(np.bincount(c, minlength=len(every)) for c in cols[0])
-        piece = (np.cumsum(of_v) - of_v) // bucket_tokens if name < deal.groups else np.zeros(len(every), np.int64)
-        edges = np.flatnonzero(np.diff(piece, prepend=-1))
+        edges = slices(of_v, bucket_tokens) if name < deal.groups else np.zeros(1, np.int64)
         cuts = [np.searchsorted(c, edges).tolist() + [len(c)] for c in cols[0]]  # v rises in a block
         rows = []
         for k in range(len(edges)):
@@ -343,6 +344,26 @@ def merge(order: int, deal: Deal, bucket_tokens: int):
     return run
 
 
+def slices(tokens: np.ndarray, most: int) -> np.ndarray:
+    """Where to cut words so that a slice has some `most` tokens; a word with more than half as many is a slice of its own."""
+    heavy = tokens > most / 2
+    light = np.where(heavy, 0, tokens)
+    piece = np.cumsum(light) // most
+    new = np.diff(piece, prepend=-1) > 0
+    new |= heavy
+    new[1:] |= heavy[:-1]
+    return np.flatnonzero(new)
+
+
+def count_stats(cols: list[np.ndarray], counts: np.ndarray, size: int) -> list[np.ndarray]:
+    """Counts of counts of each order from 2, of n-grams that lie in one row of the table whole, an order at a time."""
+    out = []
+    for m in range(2, len(cols)):
+        kind = ranked([*cols[: m - 1], cols[-1]], size)[1]
+        out.append(count_of_counts(np.bincount(kind, weights=counts)))
+    return [*out, count_of_counts(counts)]
+
+
 def table_row(name: int, every: np.ndarray, totals: np.ndarray, cols: list[np.ndarray], counts: list[np.ndarray], chunks: np.ndarray, hot_tokens: float) -> dict:
     used = np.unique(np.concatenate([np.unique(c) for c in cols]))
     place = np.zeros(len(every), np.int32)
@@ -351,13 +372,19 @@ def table_row(name: int, every: np.ndarray, totals: np.ndarray, cols: list[np.nd
     every, totals = every[used], totals[used]
     first, kind = ranked(cols, len(every))
     cols = [c[first] for c in cols]
-    bucket = Bucket(every, totals.astype(float), cols, np.bincount(kind, weights=np.concatenate(counts), minlength=len(first)), hot_tokens)
     ends = np.cumsum([len(c) for c in counts])
     places = [packed(kind[e - len(c) : e], True) for c, e in zip(counts, ends)]
-    keys, vals = bucket.partial()
+    counts = np.bincount(kind, weights=np.concatenate(counts), minlength=len(first))
+    del first, kind
+    hot, keys, vals = bool((totals[cols[0]] > hot_tokens).any()), np.zeros(0, np.uint64), np.zeros(0)
+    if hot:
+        bucket = Bucket(every, totals.astype(float), cols, counts, hot_tokens)
+        (keys, vals), seen = bucket.partial(), bucket.whole_counts()
+    else:
+        seen = count_stats(cols, counts, len(every))
     return {
-        "bucket": name, "words": packed(every, True), "totals": packed(totals), "cols": packed_columns(cols), "counts": packed(bucket.counts), "chunks": chunks.tolist(), "places": places,
-        "seen": np.concatenate(bucket.whole_counts()), "hot": bool(bucket.hot.any()), "keys": packed(keys, True), "vals": packed_floats(vals), "n_keys": len(keys),
+        "bucket": name, "words": packed(every, True), "totals": packed(totals), "cols": packed_columns(cols), "counts": packed(counts), "chunks": chunks.tolist(), "places": places,
+        "seen": np.concatenate(seen), "hot": hot, "keys": packed(keys, True), "vals": packed_floats(vals), "n_keys": len(keys),
     }
 
 
@@ -374,6 +401,13 @@ class Model:
         return np.where(totals > 0, discounted(totals, self.factors[0]) / self.whole, self.unseen)
 
 
+def first_places(kinds: np.ndarray) -> np.ndarray:
+    """The first place of each kind, kinds being numbered from 0 without gaps."""
+    first = np.empty(int(kinds.max()) + 1 if len(kinds) else 0, np.int64)
+    first[kinds[::-1]] = np.arange(len(kinds) - 1, -1, -1)
+    return first
+
+
 def probabilities(b: Bucket, model: Model, sums: dict[int, tuple[np.ndarray, np.ndarray]]):
     """log10 P of each n-gram by the recursion, or, at the first order m whose contexts after hot words lack their sums, (keys, vals) to add up. sums: per order (keys, [kept, below])."""
     p = model.single(b.totals)[b.cols[-1]]
@@ -381,9 +415,10 @@ def probabilities(b: Bucket, model: Model, sums: dict[int, tuple[np.ndarray, np.
     for m in range(2, b.n + 1):
         x, g, c, after = b.context[m], b.gram[m], b.c[m], b.after[m]
         given = discounted(c, model.factors[m - 1])
-        one = np.zeros(len(p))
-        one[np.unique(g, return_index=True)[1]] = 1  # each m-gram once
+        one = np.zeros(len(p), np.float32)
+        one[first_places(g)] = 1  # each m-gram once
         if b.hot.any():
+            one = one.astype(float)
             one[b.hot] = b.counts[b.hot] / np.maximum(c[b.hot], 1)  # over all buckets, the shares of one m-gram add up to 1
         one[c == 0] = 0
         kept, below = (np.bincount(x, weights=one * y)[x] for y in (given, p))
@@ -487,7 +522,7 @@ def score_texts(docs: DataFrame, *, key="doc_id", text="text", held_out=(7, 2),
     distinct, n, first_order = seen[0], seen[1], seen[2:]
     sized = store(texts.drop("words", "counts", "n", "n_words").join(totals.withColumnRenamed("src", "chunk"), "chunk"), "lm-sized")
 
-    hot_tokens = min(2 * bucket_tokens, n_all / BALANCE)
+    hot_tokens = min(HOT * bucket_tokens, n_all / BALANCE)
     hot_sum = totals.answered.select(F.explode("most").alias("t")).filter(F.col("t") > hot_tokens).agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0]
     remove(spark, texts, totals.answered)
     deal = Deal(max(1, -(-n_all // (GROUP * bucket_tokens))), max(1, math.ceil(hot_sum / bucket_tokens)), hot_tokens)
