@@ -158,7 +158,7 @@ def strategy_performance(spark, sf_dir):
 
 def position_sizes(spark, sf_dir):
     days = events(spark, sf_dir).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id").agg((F.avg("value") - 250).alias("score"), F.max("value").alias("risk"))
-    return rounded(P.position_sizes(days, "score", "risk", ["day"], 1.0, 0.1).select("day", "user_id", "weight"), "day", "user_id")
+    return rounded(P.position_sizes(days, "score", "risk", ["day"], 1.0, 0.1).select("day", "user_id", "weight"), "day", "user_id", places=10)
 
 
 def embargoed_folds(spark, sf_dir):
@@ -335,7 +335,7 @@ SELECT user_id, trades, round(5e-4 * trades, 6) AS fees, round(hit_rate, 6) AS h
   CASE WHEN sd > 1e-12 THEN round(m / sd * sqrt(252e0), 6) + 0e0 END AS sharpe, CASE WHEN down > 1e-12 THEN round(m / down * sqrt(252e0), 6) + 0e0 END AS sortino FROM w JOIN s USING (user_id)""",
     "position_sizes": """
 WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, greatest(-1e-1, least(1e-1, (avg(value) - 250) / max(value))) AS raw FROM events GROUP BY ALL)
-SELECT day, user_id, round(raw / sum(abs(raw)) OVER (PARTITION BY day), 6) + 0e0 AS weight FROM d""",
+SELECT day, user_id, round(raw / sum(abs(raw)) OVER (PARTITION BY day), 10) + 0e0 AS weight FROM d""",
     "embargoed_folds": f"""
 WITH n AS (SELECT event_id, row_number() OVER ({BY}) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 f AS (SELECT *, f * (n // 3) + least(f, n % 3) AS a, f * (n // 3) + least(f, n % 3) + n // 3 + CASE WHEN f < n % 3 THEN 1 ELSE 0 END AS b FROM n, (VALUES (0), (1), (2)) AS t(f))
