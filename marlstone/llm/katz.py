@@ -19,6 +19,7 @@ a few numbers an order.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import math
 from collections.abc import Iterator
@@ -51,6 +52,20 @@ BLOCK = "bucket long, chunk long, words binary, totals binary, cols array<binary
 TABLE = "bucket long, words binary, totals binary, cols array<binary>, counts binary, chunks array<long>, places array<binary>, seen array<double>, hot boolean, keys binary, vals binary, n_keys long"
 
 
+@functools.cache
+def libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library keeps its own ways
+        return None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which the C library else keeps for a worker that may do something small next."""
+    if libc() is not None:
+        libc().malloc_trim(0)
+
+
 def packed(a: np.ndarray, rising: bool = False) -> bytes:
     """Whole numbers as narrow as they fit, compressed by planes of bytes, after a letter that names their type. rising: their steps instead."""
     a = np.asarray(a)
@@ -133,6 +148,7 @@ def chunks(chunk_tokens: int):
                 if n >= chunk_tokens:
                     yield flush(name, keys, held, rows)
                     name, keys, held, rows, n = name + 1, [], [], [], 0
+                    give_back()
         if rows:
             yield flush(name, keys, held, rows)
 
@@ -263,7 +279,9 @@ def blocks(order: int, deal: Deal):
                     some = t.order[x:y]
                     own, inside = np.unique(np.concatenate([c[some] for c in t.cols]), return_inverse=True)
                     rows.append((int(b), row.chunk, packed(t.words[own], True), packed(t.totals[own]), packed_columns(inside.reshape(order, -1)), packed(t.counts[some])))
+                del t
                 yield pd.DataFrame(rows, columns=["bucket", "chunk", "words", "totals", "cols", "counts"])
+                give_back()
 
     return run
 
@@ -339,6 +357,8 @@ def merge(order: int, deal: Deal, bucket_tokens: int):
             if held:
                 part = [np.concatenate([c[i][x:y] for i, x, y in held]) for c in cols]
                 rows.append(table_row(name << 20 | k, every, totals, part, [counts[i][x:y] for i, x, y in held], chunks[[i for i, _, _ in held]], deal.hot_tokens))
+        del cols, counts, every, totals
+        give_back()
         return pd.DataFrame(rows)
 
     return run
@@ -474,6 +494,8 @@ def answers(model: Model, order: int, hot_tokens: int):
             for row in batch.itertuples(index=False):
                 logs = probabilities(read_bucket(row, hot_tokens), model, sums_of(row, order + 1))
                 yield pd.DataFrame({"chunk": row.chunks, "bucket": row.bucket, "part": [packed_floats(logs[unpacked(p, True)]) for p in row.places]})
+                del logs
+                give_back()
 
     return run
 
@@ -490,6 +512,8 @@ def scored(model: Model, order: int, deal: Deal):
                 c = t.totals[t.ids]
                 sums = [np.add.reduceat(x, t.starts) for x in (c > 0, np.log10((c + 1) / (model.n + model.distinct + 1)), logs[t.kind])]
                 yield pd.DataFrame({"key": row.keys, "held_out": t.held, "n_tokens": t.lens, "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2]})
+                del t, logs, c, sums
+                give_back()
 
     return run
 
