@@ -28,6 +28,12 @@ def ratio_or_zero(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(F.try_divide(a, b))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """An aggregate: Pearson's correlation of the rows where neither is null; null where either is constant, which Spark's own raises for in ANSI mode."""
+    sd = lambda a, b: F.stddev_pop(F.when(b.isNotNull(), a))
+    return F.try_divide(F.covar_pop(x, y), F.nullif(sd(x, y) * sd(y, x), F.lit(0.0)))
+
+
 def sample_skewness(population: Column, n: Column) -> Column:
     """The bias-adjusted skewness from the population skewness of n values; null below three."""
     return F.when(n >= 3, population * F.sqrt(n * (n - 1)) / (n - 2))

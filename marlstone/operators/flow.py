@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.scalars import correlation
 from marlstone.operators.decay import decayed_flow, power_law_mixture
 from marlstone.operators.models import metaorders
 from marlstone.operators.series import as_of
@@ -103,7 +104,7 @@ def flow_engine(
     done = F.when(F.col("y").isNotNull(), F.col("guess"))
     n = F.count(done)
     return rows.groupBy(*keys).agg(
-        F.when(n > 10, F.corr(done, F.col("y"))).alias("corr_pred_realized"), F.max_by("b", time).alias("beta_hat"), F.count_if("traded").alias("n_trades"), F.coalesce(F.sum(result), F.lit(0.0)).alias("pnl_price_units"),
+        F.when(n > 10, correlation(done, F.col("y"))).alias("corr_pred_realized"), F.max_by("b", time).alias("beta_hat"), F.count_if("traded").alias("n_trades"), F.coalesce(F.sum(result), F.lit(0.0)).alias("pnl_price_units"),
         (F.coalesce(F.sum(F.when(F.col("traded"), F.col("price_now"))), F.lit(0.0)) / F.greatest(F.count_if("traded"), F.lit(1))).alias("avg_trade_notional"), n.alias("obs_count"),
         F.when(n > 1, F.avg(done) / (F.stddev_pop(done) + 1e-9)).alias("sharpe_like_of_preds"),
     )

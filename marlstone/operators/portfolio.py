@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.scalars import correlation
+
 
 def capped_strategy(df: DataFrame, score: str, ret: str, keys, order, threshold: float = 5.0, hold: int = 60, most: int = 5) -> DataFrame:
     """Adds opened and pnl: a score beyond +-threshold opens a position of its sign, held `hold` rows, its own row's return included, with at most `most` open at once.
@@ -66,7 +68,7 @@ def forecast_strategy(df: DataFrame, guess: str, actual: str, by, periods: float
     gap, held = F.col(guess) - F.col(actual), F.signum(guess) * F.col(actual)
     sharpe = F.when(F.stddev_samp(held) > 1e-12, F.avg(held) / F.stddev_samp(held) * periods**0.5).otherwise(0.0)
     same = F.avg((F.signum(guess) == F.signum(actual)).cast("double"))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"), F.corr(guess, actual).alias("corr"), same.alias("direction"), sharpe.alias("sharpe"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"), correlation(F.col(guess), F.col(actual)).alias("corr"), same.alias("direction"), sharpe.alias("sharpe"))
 
 
 def position_sizes(df: DataFrame, score: str, risk: str, by, gross: float = 1.0, cap: float = 0.1) -> DataFrame:
@@ -151,7 +153,7 @@ def information(df: DataFrame, features, target: str, by=()) -> DataFrame:
 def correlations(df: DataFrame, columns) -> DataFrame:
     """One row per pair of columns a < b: corr over the rows where neither is null, all in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs]).alias("p"))
+    row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col(a), F.col(b)).alias("corr")) for a, b in pairs]).alias("p"))
     return row.select(F.explode("p").alias("p")).select("p.*")
 
 

@@ -95,7 +95,7 @@ def t_tail(t: float, freedom: float) -> float:
 
 
 def information_report(df: DataFrame, features, target: str, level: float = 0.05) -> DataFrame:
-    """One row a feature of at least 30 complete rows, by falling size of the rank correlation: feature, n, ic, t, p_value, significant."""
+    """One row a feature of at least 30 complete rows, by falling size of the rank correlation: feature, n, ic, t, p_value, significant. A constant feature has no correlation and no row."""
     rows = information(df, features, target).collect()  # as many rows as there are features
     out = []
     for r in rows:

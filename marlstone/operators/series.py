@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from marlstone.functions.scalars import correlation
+
 
 def trailing(keys: Sequence[str], order: Sequence[str], rows: int) -> WindowSpec:
     """The current row and the rows before it, `rows` in all."""
@@ -109,7 +111,7 @@ def rank_correlation(df: DataFrame, x: str, y: str, by) -> DataFrame:
         return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
 
     ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": ranks(x), "_y": ranks(y)})
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("ic")).withColumn("ic", F.when(F.col("n") >= 3, F.col("ic")))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation(F.col("_x"), F.col("_y")).alias("ic")).withColumn("ic", F.when(F.col("n") >= 3, F.col("ic")))
 
 
 def volume_bars(df: DataFrame, price: str, quantity: str, keys, order, size: float) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars
-from marlstone.operators import alpha, book, flow, labels, portfolio, pyramid
+from marlstone.operators import alpha, book, flow, labels, portfolio, pyramid, series
 from marlstone.operators.decay import power_law_mixture
 
 
@@ -142,3 +142,15 @@ def test_wavelet_clusters_tell_rough_from_smooth(spark):
     got = alpha.wavelet_clusters(spark.createDataFrame(rows, "k string, i int, v double"), "v", ["k"], ["i"], 16, 4, 2, 3).collect()
     classes = {k: {x.cluster for x in got if x.k == k} for k in ("rough", "smooth", "short")}
     assert len(got) == 121 and classes["short"] == {None} and len(classes["rough"]) == len(classes["smooth"]) == 1 and classes["rough"] != classes["smooth"]
+
+
+def test_constant_groups_have_no_correlation(spark):
+    rows = spark.createDataFrame([(g, float(i % 7) if g else 1.0, float(i), 0.0) for g in (0, 1) for i in range(40)], "g int, x double, y double, z double")
+    ranks = {r.g: r.ic for r in series.rank_correlation(rows, "x", "y", ["g"]).collect()}
+    assert ranks[0] is None and ranks[1] is not None
+    assert {(r.a, r.b): r["corr"] is None for r in portfolio.correlations(rows, ["x", "y", "z"]).collect()} == {("x", "y"): False, ("x", "z"): True, ("y", "z"): True}
+    held = {r.g: r["corr"] for r in portfolio.forecast_strategy(rows, "x", "y", ["g"]).collect()}
+    assert held[0] is None and held[1] is not None
+    report = {r.feature: r.ic for r in pyramid.information_report(rows, ["x", "z"], "y").collect()}
+    assert set(report) == {"x"}
+    assert "z" not in pyramid.clean_features(rows.withColumn("w", F.col("y") + F.col("x")), ["w", "z"], "y")
