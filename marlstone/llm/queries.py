@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import oracles
+from marlstone.llm import more_oracles, oracles
+from marlstone.llm.centroids import centroid_clusters
 from marlstone.llm.decontaminate import find_contamination
 from marlstone.llm.mixing import mix_sources
 from marlstone.llm.html import extract_text
+from marlstone.llm.infill import infill, restored
 from marlstone.llm.katz import score_texts
 from marlstone.llm.media import sample_features, text_media
 from marlstone.llm.minhash import near_duplicates
 from marlstone.llm.quality import select_quality
+from marlstone.llm.rules import judge_quality
 from marlstone.llm.secrets import count_kind, digest, scan_secrets
 from marlstone.llm.shared import store
 from marlstone.llm.tokens import count_tokens
@@ -81,6 +84,19 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents")).withColumn("posterior", F.round("posterior", 6)).drop("votes")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -92,9 +108,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": op8_katz,
     "op9_mix_sources": op9_mix_sources,
     "op10_warc": op10_warc,
+    "op11_infill": op11_infill,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_centroids": op13_centroids,
 }
 
-SQL: dict[str, str] = dict(oracles.SQL)
+SQL: dict[str, str] = oracles.SQL | more_oracles.SQL
 
 SQL["op9_mix_sources"] = r"""
 WITH d AS (

@@ -20,7 +20,7 @@ def test_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got, want = entry.queries()[name](spark, SF), con.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
