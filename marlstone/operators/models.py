@@ -21,80 +21,6 @@ def per_series(df: DataFrame, keys, order, added: dict, fit) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(lambda pdf: (p := pdf.sort_values(list(order), kind="stable")).assign(**fit(p)), schema)
 
 
-def kalman_line(df: DataFrame, x: str, y: str, keys, order, drift: float = 1e-3, noise: float = 1.0) -> DataFrame:
-    """Adds alpha, beta and their sds: y = alpha + beta * x with coefficients that walk at random, filtered; `drift` and `noise` are variances relative to y's. A row without x or y only widens the sds."""
-
-    def fit(p):
-        xs, ys = p[x].to_numpy(float), p[y].to_numpy(float)
-        scale = np.nanvar(ys) if np.isfinite(ys).any() else 1.0
-        scale = scale if scale > 0 else 1.0
-        m, c = np.zeros(2), np.eye(2) * 1e6 * scale
-        out = np.empty((len(p), 4))
-        for i, (a, b) in enumerate(zip(xs, ys)):
-            c = c + np.eye(2) * drift * scale
-            if np.isfinite(a) and np.isfinite(b):
-                h = np.array([1.0, a])
-                gain = c @ h / (h @ c @ h + noise * scale)
-                m, c = m + gain * (b - h @ m), c - np.outer(gain, h @ c)
-                c = (c + c.T) / 2
-            out[i] = *m, *np.sqrt(np.maximum(np.diag(c), 0))
-        return dict(zip(("alpha", "beta", "alpha_sd", "beta_sd"), out.T))
-
-    return per_series(df, keys, order, dict.fromkeys(("alpha", "beta", "alpha_sd", "beta_sd"), DoubleType()), fit)
-
-
-def _regime_em(xs: np.ndarray, y: np.ndarray, k: int, rounds: int, tol: float, ridge: float) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(smoothed probabilities, coefficients, log likelihoods) of a hidden Markov chain of k linear regressions."""
-    n, d = xs.shape
-    group = np.searchsorted(np.quantile(y - xs @ np.linalg.lstsq(xs, y, rcond=None)[0], np.arange(1, k) / k), y)
-    post = np.full((n, k), 0.1 / k)
-    post[np.arange(n), np.minimum(group, k - 1)] += 0.9
-    move, start, found = np.full((k, k), 0.1 / k) + 0.9 * np.eye(k), np.full(k, 1 / k), []
-    for _ in range(rounds):
-        coef, sd = np.empty((k, d)), np.empty(k)
-        for s in range(k):
-            w = post[:, s]
-            coef[s] = np.linalg.solve((xs * w[:, None]).T @ xs + ridge * np.eye(d), (xs * w[:, None]).T @ y)
-            sd[s] = max(np.sqrt((w * (y - xs @ coef[s]) ** 2).sum() / max(w.sum(), 1e-12)), 1e-6)
-        logp = -0.5 * ((y[:, None] - xs @ coef.T) / sd) ** 2 - np.log(sd) - 0.5 * np.log(2 * np.pi)
-        top = logp.max(1)
-        like = np.exp(logp - top[:, None])
-        ahead, scale, back = np.empty((n, k)), np.empty(n), np.ones((n, k))
-        for t in range(n):
-            a = (start if t == 0 else ahead[t - 1] @ move) * like[t]
-            scale[t] = a.sum()
-            ahead[t] = a / scale[t]
-        for t in range(n - 2, -1, -1):
-            back[t] = move @ (like[t + 1] * back[t + 1]) / scale[t + 1]
-        post = ahead * back
-        post /= post.sum(1, keepdims=True)
-        both = move * (ahead[:-1].T @ (like[1:] * back[1:] / scale[1:, None])) + 1e-12
-        move, start = both / both.sum(1, keepdims=True), post[0]
-        found.append(float((np.log(scale) + top).sum()))
-        if len(found) > 5 and abs(found[-1] - found[-2]) < tol:
-            break
-    return post, coef, found
-
-
-def regime_regression(df: DataFrame, features, y: str, keys, order, states: int = 2, rounds: int = 80, tol: float = 1e-4, ridge: float = 1e-6, intercept: bool = True) -> DataFrame:
-    """Adds state (the likeliest by smoothed probability; states are numbered by rising fitted mean), p_state, fitted, loglik: a Markov chain of linear regressions with their own variances, fitted by expectation maximisation."""
-
-    def fit(p):
-        x, v = p[list(features)].to_numpy(float), p[y].to_numpy(float)
-        x = np.column_stack([np.ones(len(p)), x]) if intercept else x
-        ok = np.isfinite(x).all(1) & np.isfinite(v)
-        out = {n: np.full(len(p), np.nan) for n in ("state", "p_state", "fitted", "loglik")}
-        if ok.sum() >= max(10, states * (x.shape[1] + 2)):
-            post, coef, ll = _regime_em(x[ok], v[ok], states, rounds, tol, ridge)
-            rank = np.argsort(np.argsort((x[ok] @ coef.T).mean(0)))
-            best = post.argmax(1)
-            for name, values in (("state", rank[best]), ("p_state", post.max(1)), ("fitted", (post * (x[ok] @ coef.T)).sum(1)), ("loglik", ll[-1])):
-                out[name][ok] = values
-        return out
-
-    return per_series(df, keys, order, dict.fromkeys(("state", "p_state", "fitted", "loglik"), DoubleType()), fit)
-
-
 def fluctuation_exponents(df: DataFrame, value: str, keys, order, qs=(-5, -3, -1, 1, 2, 3, 5), smallest: int = 8, scales: int = 6) -> DataFrame:
     """Per key: n and h, the array of generalised Hurst exponents by detrended fluctuation analysis of the values' profile: straight lines are taken out of segments from both ends. Null below 4 * smallest values."""
 

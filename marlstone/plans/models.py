@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import decay as D
 from marlstone.operators import models as M
+from marlstone.operators import portfolio as P
+from marlstone.operators import regimes as R
+from marlstone.operators import statespace as SP
 from marlstone.operators import windows as W
 from marlstone.plans.book import BOOK, rounded, snapshots
 from marlstone.plans.queries import KEYS, ORDER, events
@@ -37,14 +40,47 @@ def inventory_pressure(spark, sf_dir):
     return rounded(D.weighted_mean(flow, "flow", ["symbol"], ["seq"], 100).select("symbol", "seq", F.col("ewm").alias("pressure")), "symbol", "seq", places=4)
 
 
+def _before(spark, sf_dir):
+    """Events with the value before, in hundreds."""
+    rows = events(spark, sf_dir)
+    return rows.withColumn("before", F.lag("value").over(W.ordered(KEYS, ORDER)) / 100).select(ID, "user_id", "ts", "before", "value")
+
+
 def kalman_line(spark, sf_dir):
-    rows = W.returns(events(spark, sf_dir), "value", KEYS, ORDER).withColumn("before", F.col("value") - F.col("diff"))
-    return M.kalman_line(rows.select(ID, "user_id", "ts", "before", "value"), "before", "value", KEYS, ORDER).select(ID, "alpha", "beta", "alpha_sd", "beta_sd")
+    return rounded(SP.kalman_line(_before(spark, sf_dir), "before", "value", KEYS, ORDER, prior=100.0).select(ID, "alpha", "beta", "alpha_sd", "beta_sd"), ID, places=4)
+
+
+def smoothed_line(spark, sf_dir):
+    found = SP.walking_regression(_before(spark, sf_dir), ["before"], "value", KEYS, ORDER, prior=100.0)
+    named = {f"{n}{tail}": F.col(f"coef{tail}")[i] for tail in ("", "_sd") for i, n in enumerate(("alpha", "beta"))}
+    return rounded(found.select(ID, *[c.alias(n) for n, c in named.items()], "ahead", "ahead_sd", "fitted", "fitted_sd"), ID, places=4)
+
+
+def fitted_line(spark, sf_dir):
+    """One series an event type, so a few long ones, with variances of its own; the last tenth of each is forecast."""
+    w = W.ordered(["event_type"], ORDER)
+    rows = events(spark, sf_dir).withColumn("before", F.lag("value").over(w) / 100).withColumn("late", F.percent_rank().over(w) > 0.9)
+    rows = rows.select(ID, "event_type", "user_id", "ts", "before", F.when(~F.col("late"), F.col("value")).alias("value"))
+    found = SP.walking_regression(rows, ["before"], "value", ["event_type"], ORDER, rounds=4)
+    return found.select(ID, "coef", "coef_sd", "fitted", "fitted_sd", "noise", "drift", "loglik")
 
 
 def regime_regression(spark, sf_dir):
     rows = W.returns(events(spark, sf_dir), "value", KEYS, ORDER).withColumn("before", F.lag("diff").over(W.ordered(KEYS, ORDER)))
-    return M.regime_regression(rows.select(ID, "user_id", "ts", "before", "diff"), ["before"], "diff", KEYS, ORDER, rounds=30).select(ID, "state", "p_state", "fitted", "loglik")
+    return R.regime_regression(rows.select(ID, "user_id", "ts", "before", "diff"), ["before"], "diff", KEYS, ORDER, rounds=8).select(ID, "state", "p_state", "fitted", "loglik")
+
+
+def regime_forecasts(spark, sf_dir):
+    """The next change, by regimes fitted on the first 70 % of each event type's rows."""
+    w = W.ordered(["event_type"], ORDER)
+    rows = W.returns(events(spark, sf_dir), "value", ["event_type"], ORDER).withColumns({"before": F.lag("diff").over(w), "next": F.lead("diff").over(w)})
+    found = R.walk_forward(rows.select(ID, "event_type", "user_id", "ts", "before", "diff", "next"), ["before", "diff"], "next", ["event_type"], ORDER, states=2, rounds=8)
+    return found.select(ID, "event_type", "is_train", "p_ahead", "p_filtered", "state", "path", "guess", "next")
+
+
+def regime_report(spark, sf_dir):
+    """How good those forecasts are on the rest."""
+    return P.forecast_strategy(regime_forecasts(spark, sf_dir).filter("NOT is_train"), "guess", "next", ["event_type"])
 
 
 def fluctuation_exponents(spark, sf_dir):
@@ -83,13 +119,33 @@ def metaorders(spark, sf_dir):
     return M.metaorders(rows, "at", "score", "sign", KEYS, ORDER, 0.7, 0.4, 5 * 86400.0, 3)
 
 
-QUERIES = {f.__name__: f for f in (decayed_flow, weighted_mean, online_slope, inventory_pressure, kalman_line, regime_regression, fluctuation_exponents, mode_decomposition, rolling_factors, precision_strength, wavelet_energies, self_excitation, metaorders)}
+QUERIES = {f.__name__: f for f in (decayed_flow, weighted_mean, online_slope, inventory_pressure, kalman_line, smoothed_line, fitted_line, regime_regression, regime_forecasts, regime_report, fluctuation_exponents, mode_decomposition, rolling_factors, precision_strength, wavelet_energies, self_excitation, metaorders)}
 
 _BY = "PARTITION BY user_id ORDER BY ts, event_id"
 _MEANS = """WITH w AS (SELECT a.{id} AS id, sum(pow({keep}, a.i - b.i)) AS w, sum(pow({keep}, 2 * (a.i - b.i))) AS w2, sum(pow({keep}, a.i - b.i) * b.v) AS x, sum(pow({keep}, a.i - b.i) * b.v * b.v) AS xx
 FROM n a JOIN n b ON a.k = b.k AND b.i <= a.i GROUP BY 1)"""
 
+#: Filtered coefficients and their covariances, row by row: z is what the row before left, q the drift, r the noise.
+_FILTER = f"""WITH RECURSIVE v AS (SELECT user_id, CASE WHEN var_pop(value) > 0 THEN var_pop(value) ELSE 1e0 END AS s FROM events GROUP BY 1),
+n AS (SELECT event_id, user_id, s, x, value AS y, row_number() OVER ({_BY}) AS i, x IS NOT NULL AND value IS NOT NULL AS seen FROM (SELECT *, lag(value) OVER ({_BY}) / 100 AS x FROM events) JOIN v USING (user_id)),
+z AS (SELECT CAST(NULL AS BIGINT) AS event_id, user_id, 0 AS i, 0e0 AS a, 0e0 AS b, 100 * s AS p, 0e0 AS o, 100 * s AS u, CAST(NULL AS DOUBLE) AS ahead, CAST(NULL AS DOUBLE) AS width FROM v
+  UNION ALL SELECT event_id, user_id, i, a + CASE WHEN seen THEN g / w * (y - a - b * x) ELSE 0e0 END, b + CASE WHEN seen THEN h / w * (y - a - b * x) ELSE 0e0 END,
+    p - CASE WHEN seen THEN g * g / w ELSE 0e0 END, o - CASE WHEN seen THEN g * h / w ELSE 0e0 END, u - CASE WHEN seen THEN h * h / w ELSE 0e0 END, CASE WHEN x IS NOT NULL THEN a + b * x END, sqrt(w)
+  FROM (SELECT *, g + h * x + s AS w FROM (SELECT n.event_id, n.user_id, n.i, n.x, n.y, n.seen, n.s, a, b, p + 1e-3 * s AS p, o, u + 1e-3 * s AS u, p + 1e-3 * s + o * x AS g, o + (u + 1e-3 * s) * x AS h FROM z JOIN n ON n.user_id = z.user_id AND n.i = z.i + 1)))"""
+#: The same backwards: from the last row on, each row's smoothed coefficients from those of the row after it.
+_SMOOTH = """,
+f AS (SELECT z.*, s, x, lead(z.i) OVER (PARTITION BY z.user_id ORDER BY z.i) IS NULL AS final FROM z JOIN n USING (event_id)),
+e AS (SELECT *, (p * wu - o * o) / d AS e11, (o * wp - p * o) / d AS e12, (o * wu - u * o) / d AS e21, (u * wp - o * o) / d AS e22 FROM (SELECT *, wp * wu - o * o AS d FROM (SELECT *, p + 1e-3 * s AS wp, u + 1e-3 * s AS wu FROM f))),
+k AS (SELECT event_id, user_id, i, a, b, p, o, u FROM e WHERE final
+  UNION ALL SELECT e.event_id, e.user_id, e.i, e.a + e11 * (k.a - e.a) + e12 * (k.b - e.b), e.b + e21 * (k.a - e.a) + e22 * (k.b - e.b),
+    e.p + e11 * e11 * (k.p - wp) + 2 * e11 * e12 * (k.o - e.o) + e12 * e12 * (k.u - wu), e.o + e11 * e21 * (k.p - wp) + (e11 * e22 + e12 * e21) * (k.o - e.o) + e12 * e22 * (k.u - wu),
+    e.u + e21 * e21 * (k.p - wp) + 2 * e21 * e22 * (k.o - e.o) + e22 * e22 * (k.u - wu) FROM k JOIN e ON e.user_id = k.user_id AND e.i = k.i - 1)"""
+
 SQL = {
+    "kalman_line": f"{_FILTER} SELECT event_id, round(a, 4) + 0e0 AS alpha, round(b, 4) + 0e0 AS beta, round(sqrt(p), 4) + 0e0 AS alpha_sd, round(sqrt(u), 4) + 0e0 AS beta_sd FROM z WHERE i > 0",
+    "smoothed_line": f"""{_FILTER}{_SMOOTH}
+SELECT k.event_id, round(k.a, 4) + 0e0 AS alpha, round(k.b, 4) + 0e0 AS beta, round(sqrt(k.p), 4) + 0e0 AS alpha_sd, round(sqrt(k.u), 4) + 0e0 AS beta_sd, round(f.ahead, 4) + 0e0 AS ahead, round(CASE WHEN f.x IS NOT NULL THEN f.width END, 4) + 0e0 AS ahead_sd,
+  round(k.a + k.b * f.x, 4) + 0e0 AS fitted, round(sqrt(k.p + 2 * k.o * f.x + k.u * f.x * f.x + f.s), 4) + 0e0 AS fitted_sd FROM k JOIN f USING (event_id)""",
     "inventory_pressure": f"""{BOOK},
 g AS (SELECT symbol, seq, list_sum(bn) - list_sum(an) AS gap, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i FROM b),
 f AS (SELECT symbol, seq, i, gap - coalesce(lag(gap) OVER (PARTITION BY symbol ORDER BY seq), gap) AS flow FROM g)

@@ -5,6 +5,8 @@ import pytest
 
 from marlstone.operators import models as M
 from marlstone.operators import portfolio as P
+from marlstone.operators import regimes as R
+from marlstone.operators import statespace as S
 
 
 def series(spark, **columns):
@@ -19,7 +21,7 @@ def column(df, name):
 def test_kalman_finds_the_line(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=300)
-    out = M.kalman_line(series(spark, x=x, y=2 + 3 * x + 0.01 * rng.normal(size=300)), "x", "y", ["k"], ["t"], drift=1e-6, noise=1e-3)
+    out = S.kalman_line(series(spark, x=x, y=2 + 3 * x + 0.01 * rng.normal(size=300)), "x", "y", ["k"], ["t"], drift=1e-6, noise=1e-3)
     assert column(out, "alpha")[-1] == pytest.approx(2, abs=0.05) and column(out, "beta")[-1] == pytest.approx(3, abs=0.05)
 
 
@@ -27,11 +29,11 @@ def test_regimes_are_told_apart(spark):
     rng = np.random.default_rng(2)
     x, truth = rng.normal(size=400), np.repeat([0, 1, 0, 1], 100)
     y = np.where(truth == 0, 2 + 0.5 * x, 10 - 1.5 * x) + 0.3 * rng.normal(size=400)
-    assert (column(M.regime_regression(series(spark, x=x, y=y), ["x"], "y", ["k"], ["t"]), "state") == truth).mean() > 0.98
+    assert (column(R.regime_regression(series(spark, x=x, y=y), ["x"], "y", ["k"], ["t"]), "state") == truth).mean() > 0.98
 
 
 def test_short_series_give_null(spark):
-    out = M.regime_regression(series(spark, x=[1, 2], y=[1, 2]), ["x"], "y", ["k"], ["t"])
+    out = R.regime_regression(series(spark, x=[1, 2], y=[1, 2]), ["x"], "y", ["k"], ["t"])
     assert out.filter("state IS NOT NULL AND NOT isnan(state)").count() == 0
     assert M.fluctuation_exponents(series(spark, v=[1, 2]), "v", ["k"], ["t"]).first().h is None
 
