@@ -98,37 +98,6 @@ def mode_decomposition(df: DataFrame, value: str, keys, order, most: int = 9, ro
     return per_series(df, keys, order, {"modes": ArrayType(DoubleType())}, fit)
 
 
-def rolling_factors(df: DataFrame, vector: str, keys, order, rows: int = 200, count: int = 8) -> DataFrame:
-    """Adds factors: a row's standardised vector on the leading components of the `rows` rows before it, signs such that the largest loading is positive; null before the window is full."""
-
-    def fit(p):
-        x = np.stack(p[vector].to_numpy()).astype(float)
-        out = [None] * len(p)
-        for t in range(rows, len(p)):
-            past = x[t - rows : t]
-            m, s = past.mean(0), past.std(0)
-            s = np.where(s > 1e-12, s, 1.0)
-            axes = np.linalg.svd((past - m) / s, full_matrices=False)[2][:count]
-            axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
-            out[t] = axes @ ((x[t] - m) / s)
-        return {"factors": out}
-
-    return per_series(df, keys, order, {"factors": ArrayType(DoubleType())}, fit)
-
-
-def precision_strength(df: DataFrame, series: str, time: str, value: str, by, ridge: float = 1e-3) -> DataFrame:
-    """Per window `by` and series: strength, the sum of absolute off-diagonal entries of the inverse of the ridge-regularised covariance of the series' values at the times where all are there."""
-
-    def fit(pdf):
-        wide = pdf.pivot_table(index=time, columns=series, values=value).dropna()
-        inverse = np.linalg.inv(np.atleast_2d(np.cov(wide.to_numpy().T)) + ridge * np.eye(wide.shape[1])) if len(wide) > 1 else np.full((wide.shape[1],) * 2, np.nan)
-        strength = np.abs(inverse).sum(1) - np.abs(np.diag(inverse))
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, series: wide.columns, "strength": strength})
-
-    schema = StructType([df.schema[k] for k in by]).add(df.schema[series]).add("strength", "double")
-    return df.groupBy(*by).applyInPandas(fit, schema)
-
-
 def wavelet_energies(df: DataFrame, vector: str, levels: int = 5) -> DataFrame:
     """Adds energies: the mean square of the Haar details at each level, finest first; a level of odd length loses its last element, one of fewer than two gives null."""
     half = lambda a, sign: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size(a) / 2).cast("int"))), lambda i: (F.try_element_at(a, 2 * i - 1) + sign * F.try_element_at(a, 2 * i)) / 2**0.5)
@@ -140,21 +109,6 @@ def wavelet_energies(df: DataFrame, vector: str, levels: int = 5) -> DataFrame:
     return out.withColumn("energies", F.array(*names)).drop(*[f"_a{i}" for i in range(levels + 1)], *[f"_d{i}" for i in range(levels)])
 
 
-def self_excitation(df: DataFrame, event: str, keys, order, lags: int = 60, ridge: float = 1e-3) -> DataFrame:
-    """Adds intensity (at least 1e-6): a base rate plus `lags` weighted past events, fitted per key by ridge least squares; the mean of short series."""
-
-    def fit(p):
-        e = p[event].fillna(0).to_numpy(float)
-        if len(e) <= 2 * lags:
-            return {"intensity": np.full(len(e), e.mean())}
-        past = np.lib.stride_tricks.sliding_window_view(e, lags)[:-1, ::-1]
-        a = np.linalg.solve(past.T @ past + ridge * np.eye(lags), past.T @ e[lags:])
-        base = max(1e-6, e[lags:].mean() - past.mean(0) @ a)
-        return {"intensity": np.concatenate([np.full(lags, base), np.maximum(base + past @ a, 1e-6)])}
-
-    return per_series(df, keys, order, {"intensity": DoubleType()}, fit)
-
-
 def metaorders(df: DataFrame, time: str, score: str, sign: str, keys, order, start: float = 0.98, stop: float = 0.85, gap: float = 2.0, least: int = 5, lasting: float = 5.0) -> DataFrame:
     """Per key: t0, t1, sign, n_child of stretches that begin where the score's size reaches its `start` quantile and end below its `stop` quantile or at a change of sign; those of one sign at most `gap` seconds apart are one; only those of `least` rows and `lasting` seconds stay. Windows only."""
     from pyspark.sql import Window

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.scalars import finite
 from marlstone.operators import book as B
 from marlstone.operators import decay as D
+from marlstone.operators.halo import rolling_factors
 from marlstone.operators.portfolio import correlations, information
 
 # The scales of the pyramid and the features whose trend is taken.
@@ -62,11 +63,32 @@ def surprise(df: DataFrame, keys, order, span: float = 50.0, quiet: int = 50) ->
     return mean.groupBy(*keys, *order).agg(F.sum(gap).alias("surprise_score"))
 
 
-def feature_matrix(book: DataFrame, keys, order, horizons: Sequence[int] = (10, 30, 100, 500, 1000)) -> DataFrame:
-    """keys, order, all static, dynamic and hidden features and the targets of a normalised book, one row a snapshot; infinite values are null. Scales: rolling_pyramid of its features."""
-    full = B.targets(B.hidden_features(B.dynamic_features(B.static_features(book), keys, order), keys, order), keys, order, horizons)
-    given = {*book.columns, *keys, *order}
-    return full.select(*keys, *order, *[finite(F.col(c)).alias(c) for c in full.columns if c not in given])
+def feature_matrix(book: DataFrame, keys, order, horizons: Sequence[int] = (10, 30, 100, 500, 1000), *, quiet: int = 50, rows: int = 200, components: int = 8, windows: Sequence[int] = ()) -> DataFrame:
+    """keys, order, all static, dynamic and hidden features and the targets of a normalised book, one row a snapshot; infinite values are null.
+
+    Among them spread, rel_spread, the costs of sweeping either side, surprise_score (0 on the first `quiet` snapshots),
+    mm_inventory_pressure (the signed net flow, decayed over a span of 100) and pca_factor_1 to `components` of the book's shape over
+    the `rows` snapshots before; no factors with components = 0. With windows, <feature>_<mean, sd, skew or slope>_<window> of all
+    features (slope of trended ones only), as rolling_pyramid() gives them in long form.
+    """
+    full = B.targets(B.hidden_features(B.dynamic_features(B.static_features(B.impact(book)), keys, order), keys, order), keys, order, horizons)
+    full = D.weighted_mean(full, "net_flow_signed", keys, order, 100).withColumnRenamed("ewm", "mm_inventory_pressure").drop("ewm_sd")
+    own = [c for c in order if c not in keys]
+    found = [c for c in full.columns if c not in {*book.columns, *keys, *order}]
+    out = full.select(*keys, *own, *[finite(F.col(c)).alias(c) for c in ["spread", "rel_spread", *found]]).join(surprise(book, keys, order, quiet=quiet), [*keys, *own])
+    if components:
+        shape = book.select(*keys, *own, F.concat("bid_size_norm", "ask_size_norm", "bid_price_norm", "ask_price_norm").alias("_shape"))
+        factors = rolling_factors(shape, "_shape", 4 * B.LEVELS, keys, order, rows, components)
+        out = out.join(factors.select(*keys, *own, *[F.col("factors")[i].alias(f"pca_factor_{i + 1}") for i in range(components)]), [*keys, *own])
+    if windows:
+        named = sorted(c for c in out.columns if c not in {*keys, *own} and not c.startswith(("ret_", "direction_", "vol_")))
+        stats = ("mean", "sd", "skew", "slope")
+        long = rolling_pyramid(out, named, keys, order, windows)
+        wide = long.groupBy(*keys, *own).agg(F.sort_array(F.collect_list(F.struct("feature", "window", *stats))).alias("_m"))
+        places = {(c, w): i for i, (c, w) in enumerate((c, w) for c in named for w in sorted(windows))}
+        wide = wide.select(*keys, *own, *[F.col("_m")[i][stat].alias(f"{c}_{stat}_{w}") for (c, w), i in places.items() for stat in stats if stat != "slope" or c in TRENDED])
+        out = out.join(wide, [*keys, *own])
+    return out
 
 
 def t_tail(t: float, freedom: float) -> float:

@@ -71,9 +71,3 @@ def errors(df: DataFrame, truth: str, guess: str, keys) -> DataFrame:
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e) / (F.abs(truth) + 1e-9)).alias("mape"),
         (1 - F.try_divide(F.sum(e * e), F.nullif(F.var_pop(truth) * F.count("*"), F.lit(0.0)))).alias("r2"),
     )
-
-
-def regimes(h: str):
-    """What an exponent of deviations says: above 0.65 strong trend, above 0.5 trend, above 0.35 noise, else reversion; null is insufficient."""
-    c = F.expr(h)
-    return F.when(c.isNull(), "insufficient").when(c > 0.65, "strong trend").when(c > 0.5, "trend").when(c > 0.35, "noise").otherwise("reversion")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.operators import decay as D
+from marlstone.operators import fractal as FR
+from marlstone.operators import halo as H
 from marlstone.operators import models as M
 from marlstone.operators import portfolio as P
 from marlstone.operators import regimes as R
@@ -14,6 +16,7 @@ from marlstone.plans.book import BOOK, rounded, snapshots
 from marlstone.plans.queries import KEYS, ORDER, events
 
 ID = "event_id"
+LAGS = 10
 TAUS, WEIGHTS = (3600.0, 86400.0), (1.0, 0.5)
 
 
@@ -84,10 +87,15 @@ def regime_report(spark, sf_dir):
 
 
 def fluctuation_exponents(spark, sf_dir):
-    from marlstone.operators.signals import regimes
-
     found = M.fluctuation_exponents(events(spark, sf_dir).select(ID, "ts", "user_id", "value"), "value", KEYS, ORDER)
-    return found.withColumn("regime", regimes("h[4]"))
+    return found.withColumn("regime", FR.regime(F.col("h")[0], F.col("h")[3], F.col("h")[6]))
+
+
+def window_exponents(spark, sf_dir):
+    """Of the log returns of each event type's values, windows of 256 every 60 rows."""
+    rows = W.returns(events(spark, sf_dir), "value", ["event_type"], ORDER).select(ID, "ts", "event_type", "logret")
+    found = FR.window_exponents(rows, "logret", ["event_type"], ORDER)
+    return rounded(found.select("event_type", "window", ID, *[F.col("h")[i].alias(f"h{i + 1}") for i in range(7)]), "event_type", "window", ID).withColumn("regime", FR.regime(F.col("h1"), F.col("h4"), F.col("h7")))
 
 
 def mode_decomposition(spark, sf_dir):
@@ -95,13 +103,26 @@ def mode_decomposition(spark, sf_dir):
 
 
 def rolling_factors(spark, sf_dir):
-    rows = snapshots(spark, sf_dir).select("symbol", "seq", F.concat("bid_size", "ask_size").alias("v"))
-    return M.rolling_factors(rows, "v", ["symbol"], ["seq"], 30, 3).select("symbol", "seq", "factors")
+    """The whole table as one series of books, at the default sizes: 40 columns, windows of 200, eight components."""
+    rows = snapshots(spark, sf_dir).select("seq", F.concat("bid_size_norm", "ask_size_norm", "bid_price_norm", "ask_price_norm").alias("v"))
+    return H.rolling_factors(rows, "v", 40, [], ["seq"]).select("seq", "factors")
+
+
+def _panel(spark, sf_dir):
+    """The mean value of each event type in each hour that has all five, in hundreds."""
+    hours = events(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg((F.avg("value") / 100).alias("x"))
+    whole = hours.filter("x IS NOT NULL").groupBy("hour").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_type", "x"))), lambda e: e["x"]).alias("v"))
+    return whole.filter(F.size("v") == 5)
 
 
 def precision_strength(spark, sf_dir):
-    rows = events(spark, sf_dir).groupBy("event_type", F.date_trunc("day", "ts").cast("string").alias("day")).agg(F.avg("value").alias("mean")).withColumn("month", F.substring("day", 1, 7))
-    return M.precision_strength(rows, "event_type", "day", "mean", ["month"])
+    """With the intensity of shrinkage of each window."""
+    return H.rolling_precision(_panel(spark, sf_dir), "v", 5, [], ["hour"], 100).select("hour", "strength")
+
+
+def ridge_precision(spark, sf_dir):
+    found = H.rolling_precision(_panel(spark, sf_dir), "v", 5, [], ["hour"], 100, shrink=False)
+    return found.select("hour", *[(F.round(F.col("strength")[i], 5) + F.lit(0.0)).alias(f"s{i + 1}") for i in range(5)])
 
 
 def wavelet_energies(spark, sf_dir):
@@ -110,8 +131,9 @@ def wavelet_energies(spark, sf_dir):
 
 
 def self_excitation(spark, sf_dir):
+    """Large values of each user, fitted on the first three weeks."""
     rows = events(spark, sf_dir).select(ID, "ts", "user_id", (F.col("value") > 400).cast("int").alias("large"))
-    return M.self_excitation(rows, "large", KEYS, ORDER, 10).select(ID, "intensity")
+    return rounded(H.self_excitation(rows, "large", KEYS, ORDER, LAGS, fit_until=F.col("ts") < F.lit("2024-01-22").cast("timestamp_ntz")).select(ID, "intensity", "slope"), ID)
 
 
 def metaorders(spark, sf_dir):
@@ -119,7 +141,7 @@ def metaorders(spark, sf_dir):
     return M.metaorders(rows, "at", "score", "sign", KEYS, ORDER, 0.7, 0.4, 5 * 86400.0, 3)
 
 
-QUERIES = {f.__name__: f for f in (decayed_flow, weighted_mean, online_slope, inventory_pressure, kalman_line, smoothed_line, fitted_line, regime_regression, regime_forecasts, regime_report, fluctuation_exponents, mode_decomposition, rolling_factors, precision_strength, wavelet_energies, self_excitation, metaorders)}
+QUERIES = {f.__name__: f for f in (decayed_flow, weighted_mean, online_slope, inventory_pressure, kalman_line, smoothed_line, fitted_line, regime_regression, regime_forecasts, regime_report, fluctuation_exponents, window_exponents, mode_decomposition, rolling_factors, precision_strength, ridge_precision, wavelet_energies, self_excitation, metaorders)}
 
 _BY = "PARTITION BY user_id ORDER BY ts, event_id"
 _MEANS = """WITH w AS (SELECT a.{id} AS id, sum(pow({keep}, a.i - b.i)) AS w, sum(pow({keep}, 2 * (a.i - b.i))) AS w2, sum(pow({keep}, a.i - b.i) * b.v) AS x, sum(pow({keep}, a.i - b.i) * b.v * b.v) AS xx
@@ -141,7 +163,49 @@ k AS (SELECT event_id, user_id, i, a, b, p, o, u FROM e WHERE final
     e.p + e11 * e11 * (k.p - wp) + 2 * e11 * e12 * (k.o - e.o) + e12 * e12 * (k.u - wu), e.o + e11 * e21 * (k.p - wp) + (e11 * e22 + e12 * e21) * (k.o - e.o) + e12 * e22 * (k.u - wu),
     e.u + e21 * e21 * (k.p - wp) + 2 * e21 * e22 * (k.o - e.o) + e22 * e22 * (k.u - wu) FROM k JOIN e ON e.user_id = k.user_id AND e.i = k.i - 1)"""
 
+def _eliminated(n: int) -> str:
+    """Steps of elimination on e0 (id, r, v: row r of an n x n system with what stands right of it): in the last one the left half is the identity."""
+    row = "list_transform(list_zip(a.v, p.v), lambda t: t[1] - a.v[{k}] / p.v[{k}] * t[2])"
+    return ",\n".join(f"e{k} AS MATERIALIZED (SELECT a.id, a.r, CASE WHEN a.r = {k} THEN list_transform(a.v, lambda x: x / a.v[{k}]) ELSE {row.format(k=k)} END AS v FROM e{k - 1} a JOIN e{k - 1} p ON p.id = a.id AND p.r = {k})" for k in range(1, n + 1))
+
+
+_SCALES = FR.scales_of(256)
+_STARTS = ", ".join(f"({s}, {u}, {k})" for s in _SCALES for k, u in enumerate(FR.starts_of(256, s)))
+
 SQL = {
+    "ridge_precision": f"""
+WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type, avg(value) / 100 AS x FROM events GROUP BY ALL),
+g AS (SELECT hour, list(x ORDER BY event_type) AS v FROM h WHERE x IS NOT NULL GROUP BY hour HAVING count(*) = 5),
+n AS (SELECT *, row_number() OVER (ORDER BY hour) AS i FROM g),
+c AS (SELECT a.i AS id, r, c, covar_samp(b.v[r], b.v[c]) + CASE WHEN r = c THEN 2e-3 ELSE 0e0 END AS x FROM n a JOIN n b ON b.i >= a.i - 100 AND b.i < a.i, range(1, 6) t(r), range(1, 6) u(c) WHERE a.i > 100 GROUP BY a.i, r, c),
+e0 AS (SELECT id, r, list(x ORDER BY c) || list_transform(range(1, 6), lambda c: CASE WHEN c = r THEN 1e0 ELSE 0e0 END) AS v FROM c GROUP BY id, r),
+{_eliminated(5)},
+s AS (SELECT id, r, list_sum(list_transform(v[6:10], lambda x: abs(x))) - abs(v[5 + r]) AS s FROM e5)
+SELECT n.hour, {', '.join(f"round(max(CASE WHEN r = {k} THEN s END), 5) + 0e0 AS s{k}" for k in range(1, 6))} FROM n LEFT JOIN s ON s.id = n.i GROUP BY n.hour""",
+    "self_excitation": f"""
+WITH n AS (SELECT event_id, user_id, ts, CASE WHEN value > 400 THEN 1e0 ELSE 0e0 END AS e, ts < TIMESTAMP '2024-01-22' AS fits, row_number() OVER ({_BY}) AS i FROM events),
+p AS (SELECT *, [{', '.join(f'lag(e, {k}) OVER ({_BY})' for k in range(1, LAGS + 1))}] AS x FROM n),
+k AS (SELECT user_id, count(*) AS m, avg(e) AS mean FROM n WHERE fits GROUP BY 1),
+f AS (SELECT user_id AS id, e, x FROM p JOIN k USING (user_id) WHERE fits AND i > {LAGS} AND m > {LAGS + 1}),
+g AS (SELECT id, r, c, sum(x[r] * CASE WHEN c <= {LAGS} THEN x[c] ELSE e END) + CASE WHEN r = c THEN 1e-3 ELSE 0e0 END AS x FROM f, range(1, {LAGS + 1}) t(r), range(1, {LAGS + 2}) u(c) GROUP BY id, r, c),
+e0 AS (SELECT id, r, list(x ORDER BY c) AS v FROM g GROUP BY id, r),
+{_eliminated(LAGS)},
+a AS (SELECT id, list(v[{LAGS + 1}] ORDER BY r) AS a FROM e{LAGS} GROUP BY id),
+b AS (SELECT id, any_value(a) AS a, greatest(1e-6, avg(e) - avg(list_sum(list_transform(list_zip(x, a), lambda t: t[1] * t[2])))) AS mu FROM f JOIN a USING (id) GROUP BY id),
+r AS (SELECT event_id, p.user_id, i, CASE WHEN b.id IS NULL THEN coalesce(k.mean, 0e0) WHEN i <= {LAGS} THEN mu ELSE greatest(mu + list_sum(list_transform(list_zip(x, a), lambda t: t[1] * t[2])), 1e-6) END AS rate FROM p LEFT JOIN b ON b.id = p.user_id LEFT JOIN k ON k.user_id = p.user_id)
+SELECT event_id, round(rate, 6) + 0e0 AS intensity, round(coalesce(rate - lag(rate) OVER (PARTITION BY user_id ORDER BY i), 0e0), 6) + 0e0 AS slope FROM r""",
+    "window_exponents": f"""
+WITH r AS (SELECT event_type, event_id, ts, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS b FROM events),
+l AS (SELECT event_type, event_id, ln(value) - ln(b) AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM r WHERE value > 0 AND b > 0),
+w AS (SELECT event_type, k, i - 60 * k AS j, y, event_id FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((i - 255) / 60e0) AS BIGINT)), i // 60 + 1)) AS k FROM l) WHERE 60 * k < n - 256),
+p AS (SELECT *, sum(y - m) OVER (PARTITION BY event_type, k ORDER BY j) AS p FROM (SELECT *, avg(y) OVER (PARTITION BY event_type, k) AS m FROM w)),
+c AS (SELECT * FROM (VALUES {_STARTS}) t(s, u, g)),
+f AS (SELECT event_type, k, s, g, (regr_syy(p, j) - pow(regr_sxy(p, j), 2) / regr_sxx(p, j)) / s AS f, sum(p * p) AS yy FROM p JOIN c ON j >= u AND j < u + s GROUP BY event_type, k, s, g),
+q AS (SELECT event_type, k, s, q, ln(avg(pow(f, q / 2e0))) / q AS lf, min(f * s / yy) AS least FROM f, (VALUES (-5), (-3), (-1), (1), (2), (3), (5)) t(q) GROUP BY event_type, k, s, q),
+h AS (SELECT event_type, k, q, CASE WHEN min(least) > 1e-11 THEN round(regr_slope(lf, ln(s)), 6) + 0e0 END AS h FROM q GROUP BY event_type, k, q),
+o AS (SELECT event_type, k AS "window", {', '.join(f"max(CASE WHEN q = {q} THEN h END) AS h{i + 1}" for i, q in enumerate(FR.QS))} FROM h GROUP BY event_type, k)
+SELECT o.*, event_id, CASE WHEN h1 IS NULL THEN 'insufficient' WHEN h7 > 65e-2 AND h4 > 5e-1 THEN 'strong trend' WHEN h1 < 35e-2 AND h4 < 5e-1 THEN 'strong reversion' WHEN h7 > 5e-1 AND h1 < 5e-1 THEN 'mixed' ELSE 'random' END AS regime
+FROM o JOIN w ON w.event_type = o.event_type AND w.k = o."window" AND w.j = 255""",
     "kalman_line": f"{_FILTER} SELECT event_id, round(a, 4) + 0e0 AS alpha, round(b, 4) + 0e0 AS beta, round(sqrt(p), 4) + 0e0 AS alpha_sd, round(sqrt(u), 4) + 0e0 AS beta_sd FROM z WHERE i > 0",
     "smoothed_line": f"""{_FILTER}{_SMOOTH}
 SELECT k.event_id, round(k.a, 4) + 0e0 AS alpha, round(k.b, 4) + 0e0 AS beta, round(sqrt(k.p), 4) + 0e0 AS alpha_sd, round(sqrt(k.u), 4) + 0e0 AS beta_sd, round(f.ahead, 4) + 0e0 AS ahead, round(CASE WHEN f.x IS NOT NULL THEN f.width END, 4) + 0e0 AS ahead_sd,

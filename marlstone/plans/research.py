@@ -15,6 +15,7 @@ from marlstone.operators import snapshots as N
 from marlstone.operators import windows as W
 from marlstone.plans import book as book_plans
 from marlstone.plans import market
+from marlstone.plans import models as model_plans
 from marlstone.plans.book import BOOK, DYNAMIC, HIDDEN, HORIZONS, STATIC, TARGETS, rounded, snapshots
 from marlstone.plans.queries import KEYS, ORDER, events
 
@@ -39,12 +40,23 @@ def surprise_scores(spark, sf_dir):
     return rounded(Y.surprise(snapshots(spark, sf_dir), SYMBOL, SEQ, 50.0, 10), "symbol", "seq", places=2)
 
 
+SWEEPS = ["vwap_ask_impact", "vwap_bid_impact", "vwap_impact_asymmetry"]
+
+
 def feature_matrix(spark, sf_dir):
-    return rounded(Y.feature_matrix(snapshots(spark, sf_dir), SYMBOL, SEQ, HORIZONS).select("symbol", "seq", *STATIC, *DYNAMIC, *HIDDEN, *TARGETS), "symbol", "seq")
+    """All features but the principal components, which SQL cannot express."""
+    found = Y.feature_matrix(snapshots(spark, sf_dir), SYMBOL, SEQ, HORIZONS, quiet=10, components=0)
+    places = dict.fromkeys(SWEEPS, 8) | {"surprise_score": 2, "mm_inventory_pressure": 4}
+    return found.select("symbol", "seq", *[(F.round(c, places.get(c, 6)) + F.lit(0.0)).alias(c) for c in ("spread", "rel_spread", *SWEEPS, *STATIC, *DYNAMIC, *HIDDEN, *TARGETS, "surprise_score", "mm_inventory_pressure")])
+
+
+def full_feature_matrix(spark, sf_dir):
+    """Every column, with eight components over 40 snapshots and the rolling moments of two windows."""
+    return Y.feature_matrix(snapshots(spark, sf_dir), SYMBOL, SEQ, HORIZONS, rows=40, windows=(5, 10))
 
 
 def _informative(spark, sf_dir):
-    return Y.feature_matrix(snapshots(spark, sf_dir), SYMBOL, SEQ, HORIZONS).select(*STATIC, *DYNAMIC, "ret_spread_5").withColumns({c: F.round(c, 9) for c in [*STATIC, *DYNAMIC, "ret_spread_5"]})
+    return Y.feature_matrix(snapshots(spark, sf_dir), SYMBOL, SEQ, HORIZONS, components=0).select(*STATIC, *DYNAMIC, "ret_spread_5").withColumns({c: F.round(c, 9) for c in [*STATIC, *DYNAMIC, "ret_spread_5"]})
 
 
 def information_report(spark, sf_dir):
@@ -182,7 +194,7 @@ def forecast_strategy(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        snapshot_features, rolling_pyramid, surprise_scores, feature_matrix, information_report, clean_feature_set, triple_barriers, pre_averaged_variance, wilder_index, flow_on_grid, flow_engine,
+        snapshot_features, rolling_pyramid, surprise_scores, feature_matrix, full_feature_matrix, information_report, clean_feature_set, triple_barriers, pre_averaged_variance, wilder_index, flow_on_grid, flow_engine,
         detected_metaorders, mapped_metaorders, split_by_time, category_codes, sample_scores, strided_windows, type_masks, row_batches, largest_elements, shared_keys, forecast_strategy, model_samples, out_of_fold, wavelet_clusters, padded_bars, covariance_matrix, weighted_moments, restored_values,
     )
 }
@@ -223,7 +235,6 @@ SELECT symbol, hop, CAST(floor(max(sec)) AS BIGINT) AS time, count(*) AS n_rows,
   {_slope('imbalance')} AS slope_imbalance, round(avg(imbalance), 8) + 0e0 AS mean_imbalance, max(bid_new) AS n_bid_levels, max(ask_new) AS n_ask_levels,
   round(coalesce(max(bid_new) * 1e0 / nullif(max(ask_new), 0), 0e0), 8) AS breadth_ratio, {_slope('mid')} AS slope_mid, round(arg_max(mid, seq) - arg_min(mid, seq), 8) + 0e0 AS drift_mid
 FROM r GROUP BY symbol, hop""",
-    "feature_matrix": f"SELECT * FROM ({book_plans.SQL['book_static']}) JOIN ({book_plans.SQL['book_dynamic']}) USING (symbol, seq) JOIN ({book_plans.SQL['book_hidden']}) USING (symbol, seq) JOIN ({book_plans.SQL['book_targets']}) USING (symbol, seq)",
     "triple_barriers": f"""
 WITH s AS (SELECT *, row_number() OVER ({BY}) - 1 AS i, last_value(CASE WHEN event_id % 5 != 0 THEN abs(value - 250) / 1000 END IGNORE NULLS) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS sigma FROM events),
 t AS (SELECT a.user_id, a.i, min(b.i) FILTER (b.value >= a.value * (1 + 2 * a.sigma)) AS up, min(b.i) FILTER (b.value <= a.value * (1 - 15e-1 * a.sigma)) AS down, max(b.i) AS last FROM s a JOIN s b ON b.user_id = a.user_id AND b.i > a.i AND b.i <= a.i + 45 GROUP BY ALL),
@@ -294,3 +305,7 @@ m AS (SELECT i.symbol, i.seq, i.r, i.k, any_value(i.d) AS d, sum({_RECENT} * j.d
 SELECT symbol, seq, round(sum(CASE WHEN r >= 10 THEN (d - m) * (d - m) / (m + {_EPS}) ELSE 0e0 END), 2) AS surprise_score FROM m GROUP BY ALL"""
 
 SQL["type_masks"] = f"SELECT feature, list_aggregate(list_transform(range(0, 4), lambda k: CASE WHEN type = k THEN '1' ELSE '0' END), 'string_agg', '') AS mask FROM ({market.SQL["feature_types"]})"
+
+SQL["feature_matrix"] = f"""SELECT * FROM ({book_plans.SQL['book_static']}) JOIN ({book_plans.SQL['book_dynamic']}) USING (symbol, seq) JOIN ({book_plans.SQL['book_hidden']}) USING (symbol, seq) JOIN ({book_plans.SQL['book_targets']}) USING (symbol, seq)
+JOIN (SELECT symbol, seq, spread, rel_spread FROM ({book_plans.SQL['book_normalize']})) USING (symbol, seq) JOIN ({book_plans.SQL['vwap_impact']}) USING (symbol, seq) JOIN ({SQL['surprise_scores']}) USING (symbol, seq)
+JOIN (SELECT symbol, seq, pressure AS mm_inventory_pressure FROM ({model_plans.SQL['inventory_pressure']})) USING (symbol, seq)"""
