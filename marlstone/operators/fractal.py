@@ -76,7 +76,8 @@ def window_exponents(df: DataFrame, value: str, keys, order, rows: int = 256, st
     centre = sum(logs) / len(logs)
     spread = sum((v - centre) ** 2 for v in logs)
     slope = lambda q: sum(((v - centre) / spread) * F.ln(mean(F.get("f", F.lit(i)), q)) / q for i, v in enumerate(logs))
-    h = cut.select(*keys, "window", "at.*", F.array(*[slope(float(q)) for q in qs]).alias("h"))
+    # Exploding a single element keeps later steps, which name h many times, from working it out as often.
+    h = cut.select(*keys, "window", "at.*", F.explode(F.array(F.array(*[slope(float(q)) for q in qs]))).alias("h"))
     h = h.withColumn("h", F.when(F.forall("h", lambda x: x.isNotNull()), F.col("h")))
     near = lambda q: F.get("h", F.lit(min(range(len(qs)), key=lambda i: abs(qs[i] - q))))
     return h.withColumn("regime", regime(near(min(qs)), F.get("h", F.lit(len(qs) // 2)), near(max(qs))))
