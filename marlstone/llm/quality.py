@@ -11,7 +11,6 @@ log weight + noise. By default k is how many rows weigh at least what all but SP
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,8 @@ HELD_OUT = 5
 PIECES, LANES = 17, 256
 #: Capital letters, small letters and bytes above 127, digits; the rest stand for themselves.
 SHAPES = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b > 127 else 57 if 48 <= b <= 57 else b for b in range(256))
-RUNS = re.compile(rb"(?s)([^\s])\1+")
+#: Which bytes part tokens.
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,7 +52,9 @@ def grams(text: str | None) -> np.ndarray:
     place = lambda h, size: (h * SPREAD >> np.uint64(65 - size.bit_length())).astype(np.int64)
     words = item_words(text)
     h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    shapes = RUNS.sub(rb"\1", text.encode("utf-8", "surrogatepass").translate(SHAPES)).split()
+    signs = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(SHAPES), np.uint8)
+    alone = np.concatenate([[True], (signs[1:] != signs[:-1]) | BLANK[signs[1:]]])  # of a run of one sign, the first
+    shapes = signs[alone].tobytes().split()
     s = np.fromiter(map(HASHES.__getitem__, shapes), np.uint64, len(shapes))
     of_shapes = np.concatenate([gram_hashes(s, k) + np.uint64(k) for k in (1, 2, 3)])
     return np.concatenate([np.unique(place(np.concatenate([h, gram_hashes(h, 2)]), WORDS)), WORDS + place(of_shapes, SHAPED)])
@@ -62,11 +64,16 @@ def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A task's counts, raw and of the target, in pieces of 4 bytes a count."""
     counts = np.zeros((2, BUCKETS), np.int32)
     for batch in batches:
+        shapes = ([], [])
         for text, target in zip(batch["text"], batch["target"]):
             places = grams(text)
-            np.add.at(counts[0], places, 1)
-            if target:
-                np.add.at(counts[1], places, 1)
+            words = places[: np.searchsorted(places >= WORDS, True)]
+            for kind in (0, 1) if target else (0,):
+                counts[kind][words] += 1  # each once in a text
+                shapes[kind].append(places[len(words) :] - WORDS)
+        for kind, found in enumerate(shapes):
+            if found:
+                counts[kind][WORDS:] += np.bincount(np.concatenate(found), minlength=SHAPED).astype(np.int32)
     lane = TaskContext.get().partitionId() % LANES
     yield pd.DataFrame({"lane": lane, "piece": range(PIECES), "width": 4, "counts": [np.ascontiguousarray(x).tobytes() for x in np.split(counts, PIECES, axis=1)]})
 
