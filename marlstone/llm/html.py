@@ -27,21 +27,30 @@ ATTRIBUTE = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 WORDS = re.compile(r"[a-z]+")
 # Elements whose text is none of the page's, elements that are no block of their own, that have no end, that end an open one of their kind, and that end an open p.
 SILENT = frozenset("script style noscript template svg iframe select button title".split())
+SIMPLE = frozenset("button select title".split())
+BEYOND = "address|article|aside|blockquote|body|dl|fieldset|figure|footer|form|h[1-6]|head|header|html|li|link|main|meta|nav|ol|p|pre|script|section|style|table|td|th|tr|ul"
+ANY = re.compile(r"</?[A-Za-z]")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SAME = frozenset("p li dt dd tr td th option".split())
 ENDS_P = SAME - {"p"} | frozenset("ul ol div table section article aside form footer".split())
 
+#: A heading under which readers speak.
+REACTIONS = re.compile(r"(?i)(?:\d+ (?:comments?|responses?|replies|reply|reactions?|thoughts on .*)|(?:reader |user )?comments(?: \(\d+\))?|leave a (?:reply|comment).*)[.:]?")
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 PAGES, EPOCHS, RATE, DECAY = 800, 8, 0.2, 1e-4
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes) in order, kind text, open or close. Each character is passed a bounded number of times.
 
-    A < that begins no tag is text, and so is the rest of a page in which no tag ends any more. A comment or silent element
-    without end takes the rest. Once a quote in a tag finds no end, quotes count for nothing in the tags that follow.
+    A < that begins no tag is text, and so is the rest of a page in which no tag ends any more. A comment without end takes the
+    rest. A silent element ends at its end tag; without one, or where it holds no other elements, at the next tag that
+    cannot be in it; self-closed vector graphics hold nothing. Once a quote in a tag finds no end, quotes count for nothing in the tags that follow.
     """
-    at, quotes = 0, True
+    at, quotes, last = 0, True, {}
     while (lt := page.find("<", at)) >= 0:
         name = NAME.match(page, lt + 1)
         if name is None:
@@ -72,17 +81,24 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         yield "open", tag, page[name.end() : end - 1]
         if tag in SILENT:
-            m = ending(tag).search(page, at)
-            if m is None:
-                return
-            at = m.end()
+            if not (tag == "svg" and page[end - 2] == "/"):
+                m = ending(tag).search(page, at) if last.get(tag, at) >= at else None
+                if m is None:
+                    last[tag] = -1
+                    m = ANY.search(page, at)
+                    if m is None:
+                        return
+                    at = m.start()
+                else:
+                    at = m.end() if m[0][:2] == "</" and m[0][2 : 2 + len(tag)].lower() == tag else m.start()
             yield "close", tag, ""
     yield "text", page[at:], ""
 
 
 @functools.cache
 def ending(tag: str) -> re.Pattern:
-    return re.compile(rf"(?i)</{tag}\s*+>")
+    """A silent element's end tag, or for those without elements in them what shows that it has none."""
+    return re.compile(rf"(?i)</{tag}\s*+>" + (rf"|</?(?:{BEYOND})(?=[\s>/])|<{tag}(?=[\s>/])" if tag in SIMPLE else ""))
 
 
 class Open:
@@ -90,6 +106,7 @@ class Open:
 
     def __init__(self, known: frozenset | None):
         self.known, self.stack, self.blocks = known, [], []
+        self.marked, self.reacting = [], 0
         self.names, self.tags, self.words = Counter(), Counter(), Counter()
 
     def count(self, counter: Counter, key: str, prefix: str, by: int) -> None:
@@ -100,17 +117,28 @@ class Open:
 
     def push(self, tag: str, words: tuple[str, ...]) -> None:
         self.stack.append((tag, words))
+        self.marked.append(False)
         self._change(tag, words, 1)
         if tag not in INLINE:
             self.blocks.append(tag)
 
     def pop(self) -> str:
         tag, words = self.stack.pop()
+        self.reacting -= self.marked.pop()
         self._change(tag, words, -1)
         if tag not in INLINE:
             self.blocks.pop()
         return tag
 
+    def react(self) -> None:
+        """What holds the block at hand holds what readers say."""
+        at = len(self.stack) - 1
+        while at >= 0 and self.stack[at][0] in INLINE:
+            at -= 1
+        if at > 0 and not self.marked[at - 1]:
+            self.marked[at - 1] = True
+            self.reacting += 1
+
     def _change(self, tag: str, words: tuple[str, ...], by: int) -> None:
         self.names[tag] += by
         if tag not in INLINE:
@@ -127,7 +155,10 @@ def blocks_of(page: str | None, known: frozenset | None = None) -> list[tuple[st
         nonlocal linked
         whole = " ".join("".join(text).split())
         if whole:
-            out.append((whole, tree.blocks[-1] if tree.blocks else "", tuple(tree.tags), tuple(tree.words), min(1.0, linked / len(whole))))
+            if len(whole) < 60 and tree.blocks and tree.blocks[-1] in HEADINGS and REACTIONS.fullmatch(whole):
+                tree.react()
+            words = (*tree.words, "*reactions") if tree.reacting else tuple(tree.words)
+            out.append((whole, tree.blocks[-1] if tree.blocks else "", tuple(tree.tags), words, min(1.0, linked / len(whole))))
         text.clear()
         linked = 0
 
@@ -167,6 +198,9 @@ def features_of(blocks) -> list[list[str]]:
     out = []
     shapes = ["", *(shape(b[0], b[4]) for b in blocks), ""]
     for i, (text, tag, tags, words, linked) in enumerate(blocks):
+        if "*reactions" in words:  # what they look like tells nothing of other blocks
+            out.append(["reactions"])
+            continue
         n, spaces, ends = len(text), text.count(" "), text[-1] in ".!?:;\"'»”…"
         f = ["bias", f"tag:{tag}", f"length:{min(6, n.bit_length() // 2)}", f"links:{int(linked * 4)}", f"stop:{ends}", f"words:{min(6, (spaces + 1).bit_length())}:{ends}"]
         f += [f"commas:{min(3, text.count(','))}", f"before:{shapes[i]}", f"after:{shapes[i + 2]}", f"sentences:{min(3, text.count('. '))}"]
@@ -234,6 +268,31 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
 
         around(r.choice(kinds), untold if kinds is PLAIN else inner)
 
+    def reactions():
+        """A part of its own, told by its heading alone."""
+        out.append(opened := r.choice(("<div>", "<section>", "<ul>", "<div><div>")))
+        n = r.randint(1, 40)
+        block(r.choice(("h2", "h3", "h4")), r.choice((f"{n} comments", f"{n} responses", f"{n} replies", "Comments", f"Comments ({n})", f"{n} reactions", "Leave a reply")), 0)
+        for _ in range(r.randint(1, 6)):
+            block("li" if opened == "<ul>" else r.choice(("p", "div", "h5")), words(2, 60) + r.choice((".", "")), 0)
+        out.append(re.sub("<", "</", opened))
+
+    def table():
+        out.append("<table>")
+        for i in range(r.randint(1, 5)):
+            out.append("<tr>")
+            for _ in range(r.randint(2, 4)):
+                block("th" if i == 0 and r.random() < 0.5 else "td", words(1, 4) if r.random() < 0.6 else str(r.randint(1, 3000)), 1)
+            out.append("</tr>")
+        out.append("</table>")
+
+    def items():
+        kind = r.choice(("ul", "ol"))
+        out.append(f"<{kind}>")
+        for _ in range(r.randint(2, 6)):
+            block("li", r.choice((words(1, 6), words(1, 6), words(1, 3) + " " + link(), link())), 1)
+        out.append(f"</{kind}>")
+
     def main():
         if r.random() < 0.8:
             block("h1", words(2, 10) + r.choice((".", "")), 1)
@@ -245,6 +304,8 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
                 block(r.choice(("h2", "h3", "blockquote", "pre")), words(1, 12), 1)
             elif style < 0.85:
                 block("li", words(3, 15), 1)
+            elif not plain and style < 0.95:
+                r.choice((table, items))()
             elif not plain:
                 other([k for k in OTHER if k not in ("nav", "header", "footer")])
         if not plain and r.random() < 0.4:
@@ -254,6 +315,8 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
         other(PLAIN if plain and r.random() < 0.7 else OTHER)
     place = r.choice(PLAIN if plain else MAIN)
     around(place, main) if r.random() < 0.7 else around("div", lambda: around(place, main))
+    if r.random() < 0.12:
+        reactions()
     for _ in range(r.randint(0, 4)):
         other(PLAIN if plain and r.random() < 0.7 else OTHER)
     return "".join(out) + "</body></html>", labels
