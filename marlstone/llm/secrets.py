@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer of source and configuration syntax.
 
 The lexer reads name-literal pairs: assignments and mappings (`name = "x"`, `name: x`, `"name": 'x'`, `name := x`,
-`name => x`, `table["name"] = x`), calls (`set("name", "x")`), and block scalars (`name: |` and the lines indented below it).
-The right side may join literals and names by `+`, be a call of literals, or be a literal in triple quotes. Names that
-hold literals are constants; a constant that reaches a sensitive name is reported at the place of its literal. A pair is
+`name => x`, `table["name"] = x`), calls (`set("name", "x")`), block scalars (`name: |` and the lines indented below it),
+elements (`<name>x</name>`), attributes (`key="name" value="x"`) and passwords in addresses (`scheme://user:x@host`).
+The right side may join literals and names by `+`, be a call of literals, a list or parentheses over lines, a choice between
+literals (`"x" if a else "y"`, `a ? "x" : "y"`), or a literal in triple quotes. Names that hold literals are constants; a constant that reaches a sensitive name is reported at the place of its literal. A pair is
 reported if the name is sensitive enough for what the literal looks like. Comments are read like code.
 """
 
@@ -39,6 +40,18 @@ ARGUMENTS = re.compile(r"\(([^()\n]*+)\)")
 COMMA = re.compile(r"[ \t]*,")
 #: A name given as a call's argument, before the next one.
 NAMED = re.compile(r"""\([ \t]*+(["'])([A-Za-z_][\w.-]*+)\1[ \t]*+,""")
+#: What may stand before a value: an anchor or a tag of a mapping.
+ANCHOR = re.compile(r"[ \t]+[&!][\w!./-]*+(?=[ \t])")
+OPENS = re.compile(r"[ \t]*[\[(]")
+GAP = re.compile(r"[\s,+]*+")
+QUOTED = re.compile(r"""(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)""")
+#: A choice after its first literal, and one after its condition.
+ELSE = re.compile(r"[ \t]+if\b[^\n;\"'`]*?\belse[ \t]+")
+CHOICE = re.compile(r"[^\n;\"'`?]*+\?[ \t]*")
+OTHERWISE = re.compile(r"[ \t]*:[ \t]*")
+ATTRIBUTES = re.compile(r"""\b(?:key|name|id)\s*=\s*(["'])([A-Za-z_][\w.:-]*+)\1\s+value\s*=\s*(?:"([^"<>]*+)"|'([^'<>]*+)')""")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)>([^<>]*+)</\1\s*>")
+ADDRESS = re.compile(r"""://[^\s:/@"'<>]*+:([^\s@/"'<>]++)@""")
 SCALAR = re.compile(r"[ \t]*[|>][-+0-9]*[ \t]*\r?\n")
 LINE = re.compile(r"([ \t]*)([^\n]*)(?:\n|\Z)")
 WORD_ONLY = re.compile(r"[A-Za-z_][A-Za-z_0-9.-]*")
@@ -47,8 +60,6 @@ NAMES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 THRESHOLD = 0.8
 #: Names from this score on make a literal with spaces a passphrase.
 STRONG = 0.9
-#: Longer values are no placeholders.
-PLACEHOLDER_CHARS = 256
 SPANS = "array<struct<kind string, start int, `end` int>>"
 
 
@@ -69,24 +80,25 @@ def name_score(name: str) -> float:
 class Joined:
     """A value joined from own literals (value, start, end) and constants, which are shared and not copied."""
 
-    __slots__ = ("own", "constants", "length", "counts", "value")
+    __slots__ = ("own", "constants", "length", "counts", "placeholder")
 
     def __init__(self, parts: list):
         self.own = [p for p in parts if not isinstance(p, Joined)]
         self.constants = list(dict.fromkeys(p for p in parts if isinstance(p, Joined)))
-        self.length, self.counts, values = 0, Counter(), []
+        self.length, self.counts = 0, Counter()
         for p in parts:
             shared = isinstance(p, Joined)
             self.length += p.length if shared else len(p[0])
             self.counts.update(p.counts if shared else p[0])
-            values.append(p.value if shared else p[0])
-        self.value = "".join(values) if self.length <= PLACEHOLDER_CHARS else None
+        # A placeholder as a whole, or, where constants come in, in every part: these are not put together.
+        own = PLACEHOLDER.match("".join(p[0] for p in self.own)) is not None
+        self.placeholder = (own or not self.own) and all(c.placeholder for c in self.constants)
 
 
 def literal_score(joined: Joined, strong: bool) -> float:
     """0 for what is plainly no secret; more for long values of many kinds of characters in no order. strong: spaces tell nothing."""
     n, counts = joined.length, joined.counts
-    if n < 6 or joined.value is not None and PLACEHOLDER.match(joined.value):
+    if n < 6 or joined.placeholder:
         return 0.0
     entropy = -sum(x / n * math.log2(x / n) for x in counts.values() if x / n)
     kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
@@ -106,8 +118,36 @@ def called(text: str, begin: int, end: int) -> list:
     return terms
 
 
+def listed(text: str, place: int) -> tuple[list, int]:
+    """The quoted literals from `place` on, whatever white space, line ends, commas and + part them, and where they end."""
+    terms = []
+    while (q := QUOTED.match(text, GAP.match(text, place).end())) is not None:
+        k, place = q.lastindex, q.end()
+        terms.append((q[k], None, q.start(k), q.end(k)))
+    return terms, place
+
+
+def choice(text: str, place: int, first: bool) -> list:
+    """The literals of a choice: after its first literal (`if ... else`) or at its condition (`? :`)."""
+    if first:
+        m = ELSE.match(text, place)
+        q = m and QUOTED.match(text, m.end())
+        return [(q[k], None, q.start(k), q.end(k))] if q and (k := q.lastindex) else []
+    terms = []
+    m = CHOICE.match(text, place)
+    while m is not None and (q := QUOTED.match(text, m.end())) is not None:
+        k = q.lastindex
+        terms.append((q[k], None, q.start(k), q.end(k)))
+        m = OTHERWISE.match(text, q.end()) if len(terms) < 2 else None
+    return terms
+
+
 def terms_at(text: str, place: int) -> list:
     """(value or None, name or None, start, end) of what stands at `place`, joined by +."""
+    if (m := ANCHOR.match(text, place)) is not None:
+        place = m.end()
+    if (m := OPENS.match(text, place)) is not None:
+        return listed(text, m.end())[0]
     terms = []
     while True:
         bare = place
@@ -121,8 +161,12 @@ def terms_at(text: str, place: int) -> list:
         else:
             if (t := TERM.match(text, place)) is None:
                 break
+            if t[4] == "new" and (made := TERM.match(text, t.end())) is not None and made.lastindex == 4:
+                t = made
             k, place = t.lastindex, t.end()
             inside = ARGUMENTS.match(text, place) if k == 4 else None
+            if not terms and k < 4 and (more := choice(text, place, True)) or not terms and k == 4 and not inside and (more := choice(text, place, False)):
+                return [(t[k], None, t.start(k), t.end(k)), *more] if k < 4 else more
             if inside:
                 terms += called(text, inside.start(1), inside.end(1))
                 place = inside.end()
@@ -192,12 +236,28 @@ def named_arguments(text: str):
                 yield m[2], [(t[k] if k < 4 else None, t[4], t.start(k), t.end(k))]
 
 
+def marked_up(text: str):
+    """Yields (name, terms) of elements and of attributes that name a value, and of passwords in addresses."""
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            if name_score(m[1]):
+                yield m[1], [(m[2], None, m.start(2), m.end(2))]
+    if "value" in text:
+        for m in ATTRIBUTES.finditer(text):
+            if name_score(m[2]):
+                k = m.lastindex
+                yield m[2], [(m[k], None, m.start(k), m.end(k))]
+    if "://" in text:
+        for m in ADDRESS.finditer(text):
+            yield "password", [(m[1], None, m.start(1), m.end(1))]
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     constants: dict[str, Joined] = {}
     found, reported = [], set()
     bound = pairs(text) if "=" in text or ":" in text else ()
     given = named_arguments(text) if "," in text else ()
-    for assigned, (name, terms) in chain(zip(repeat(True), bound), zip(repeat(False), given)):
+    for assigned, (name, terms) in chain(zip(repeat(True), bound), zip(repeat(False), given), zip(repeat(False), marked_up(text))):
         score, keep = name_score(name), assigned and (terms[0][0] is not None or terms[0][1] in constants)
         if not score and not keep:
             continue
