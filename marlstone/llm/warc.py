@@ -144,13 +144,14 @@ def read_warc(archives: DataFrame, *, split_bytes: int = 8 << 20, batch_bytes: i
 def archive_pages(pages: DataFrame, folder: str | None = None, *, key="page_id", uri="url", html="html", least_bytes=100, **options) -> DataFrame:
     """Writes a record a page and returns the manifest. Of pages with equal payloads of least_bytes or more that with the smallest key is the response, others revisit it.
 
-    Null html is an empty payload. Rows without a key revisit the smallest key of their payload, if any row has one; equal
-    rows with the smallest key are responses alike. Other columns are ignored.
+    Keys may be of any type that has a text form and an order; their text, percent-encoded, names the records. Null html is an empty
+    payload; long ones are written whole. An empty table writes no archive. Rows without a key revisit the smallest key of their payload, if any row has one; equal
+    rows with the smallest key are responses alike. Other columns are ignored, whatever their names.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("key"), F.col(uri).cast("string").alias("uri"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
-    urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
+    urn = lambda c: F.coalesce(F.concat(F.lit("urn:page:"), F.url_encode(F.col(c).cast("string"))), F.lit("urn:no-page"))
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("key"))
     records = rows.join(first, "digest", "left").select(
         urn("key").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, urn("first")).alias("refers_to"), "uri", "digest", "payload"
@@ -158,9 +159,13 @@ def archive_pages(pages: DataFrame, folder: str | None = None, *, key="page_id",
     return write_warc(records, folder or new_folder(pages.sparkSession, "warc"), **options)
 
 
-def page_records(archives: DataFrame, **options) -> DataFrame:
-    """Per record read back: page_id, payload_bytes, payload_digest, record_type, refers_to. What a revisit says of its payload comes from the response that it refers to."""
-    number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1)
+def page_records(archives: DataFrame, key_type: str = "long", **options) -> DataFrame:
+    """Per record read back: page_id, payload_bytes, payload_digest, record_type, refers_to. What a revisit says of its payload comes from the response that it refers to.
+
+    key_type: the type that keys had; they are kept as text in the records' names. Records whose names are no keys of this type
+    have a null page_id. Null keys, equal rows and long payloads come back as they were written; an empty table gives an empty result.
+    """
+    named = lambda c: F.when(F.col(c).startswith("urn:page:"), F.try_url_decode(F.substring(c, len("urn:page:") + 1, 1 << 30))).try_cast(key_type)
     back = store(
         read_warc(archives, **options).select(
             "record_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha")
@@ -169,5 +174,5 @@ def page_records(archives: DataFrame, **options) -> DataFrame:
     answer = back.filter("record_type = 'response'").withColumns({"whole_bytes": F.col("bytes"), "whole_sha": F.col("sha")})
     again = back.filter("record_type = 'revisit'").join(whole, ["refers_to", "digest"], "left")
     return answer.unionByName(again).select(
-        F.nullif(number("record_id"), F.lit("")).cast("long").alias("page_id"), F.col("whole_bytes").alias("payload_bytes"), F.col("whole_sha").alias("payload_digest"), "record_type", F.nullif(number("refers_to"), F.lit("")).cast("long").alias("refers_to")
+        named("record_id").alias("page_id"), F.col("whole_bytes").alias("payload_bytes"), F.col("whole_sha").alias("payload_digest"), "record_type", named("refers_to").alias("refers_to")
     )
