@@ -141,6 +141,10 @@ def read_warc(archives: DataFrame, *, split_bytes: int = 8 << 20, batch_bytes: i
     return ranges.repartition(max(1, min(n, 100_000))).mapInPandas(read, RECORD)
 
 
+#: Into how many parts the copies of a page are dealt.
+SALTS = 64
+
+
 def archive_pages(pages: DataFrame, folder: str | None = None, *, key="page_id", uri="url", html="html", least_bytes=100, **options) -> DataFrame:
     """Writes a record a page and returns the manifest. Of pages with equal payloads of least_bytes or more that with the smallest key is the response, others revisit it.
 
@@ -153,7 +157,10 @@ def archive_pages(pages: DataFrame, folder: str | None = None, *, key="page_id",
     first = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
     urn = lambda c: F.coalesce(F.concat(F.lit("urn:page:"), F.url_encode(F.col(c).cast("string"))), F.lit("urn:no-page"))
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("key"))
-    records = rows.join(first, "digest", "left").select(
+    # Copies of one page are dealt out by a salt, so that no task gets the payloads of all of them.
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "uri", F.monotonically_increasing_id()), F.lit(SALTS)))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    records = salted.join(first, ["digest", "salt"], "left").select(
         urn("key").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, urn("first")).alias("refers_to"), "uri", "digest", "payload"
     )
     return write_warc(records, folder or new_folder(pages.sparkSession, "warc"), **options)
