@@ -46,58 +46,6 @@ def fluctuation_exponents(df: DataFrame, value: str, keys, order, qs=(-5, -3, -1
     return df.groupBy(*keys).applyInPandas(fit, schema)
 
 
-def _spline(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """The natural cubic spline through (at, values) on 0..n-1; straight beyond the ends."""
-    m, h = len(at), np.diff(at)
-    system, right = np.eye(m), np.zeros(m)
-    for i in range(1, m - 1):
-        system[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        right[i] = 6 * ((values[i + 1] - values[i]) / h[i] - (values[i] - values[i - 1]) / h[i - 1])
-    curve = np.linalg.solve(system, right)
-    t = np.arange(n)
-    j = np.clip(np.searchsorted(at, t, side="right") - 1, 0, m - 2)
-    a, b = at[j + 1] - t, t - at[j]
-    inside = (curve[j] * a**3 + curve[j + 1] * b**3) / (6 * h[j]) + (values[j] / h[j] - curve[j] * h[j] / 6) * a + (values[j + 1] / h[j] - curve[j + 1] * h[j] / 6) * b
-    return np.where(t < at[0], values[0], np.where(t > at[-1], values[-1], inside))
-
-
-def _sift(signal: np.ndarray, rounds: int, stop: float) -> np.ndarray | None:
-    h = signal
-    for turn in range(rounds):
-        d = np.sign(np.diff(h))
-        peaks, lows = np.flatnonzero(np.diff(d) < 0) + 1, np.flatnonzero(np.diff(d) > 0) + 1
-        if min(len(peaks), len(lows)) < 2:
-            return None if turn == 0 else h
-        new = h - (_spline(peaks, h[peaks], len(h)) + _spline(lows, h[lows], len(h))) / 2
-        moved = ((h - new) ** 2).sum() / max((h**2).sum(), 1e-12)
-        h = new
-        if moved < stop:
-            break
-    return h
-
-
-def mode_decomposition(df: DataFrame, value: str, keys, order, most: int = 9, rounds: int = 10, stop: float = 0.2, trials: int = 0, noise: float = 0.2) -> DataFrame:
-    """Adds modes: at each row the values of the intrinsic modes, fastest first, and the rest last; they sum to the value. With trials, the mean over that many pairs of runs with plus and minus the same noise, `noise` deviations strong, from fixed seeds. Missing values count as the one before."""
-
-    def split(v):
-        found = []
-        while len(found) < most and (mode := _sift(v, rounds, stop)) is not None:
-            found.append(mode)
-            v = v - mode
-        return np.array([*found, *[np.zeros(len(v))] * (most - len(found)), v])
-
-    def fit(p):
-        v = p[value].astype(float).replace([np.inf, -np.inf], np.nan).ffill().fillna(0.0).to_numpy()
-        if trials:
-            runs = (noise * v.std() * np.random.default_rng(i).standard_normal(len(v)) for i in range(trials))
-            modes = sum(split(v + e) + split(v - e) for e in runs) / (2 * trials)
-        else:
-            modes = split(v)
-        return {"modes": list(modes.T)}
-
-    return per_series(df, keys, order, {"modes": ArrayType(DoubleType())}, fit)
-
-
 def wavelet_energies(df: DataFrame, vector: str, levels: int = 5) -> DataFrame:
     """Adds energies: the mean square of the Haar details at each level, finest first; a level of odd length loses its last element, one of fewer than two gives null."""
     half = lambda a, sign: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size(a) / 2).cast("int"))), lambda i: (F.try_element_at(a, 2 * i - 1) + sign * F.try_element_at(a, 2 * i)) / 2**0.5)

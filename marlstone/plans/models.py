@@ -8,8 +8,10 @@ from marlstone.operators import decay as D
 from marlstone.operators import fractal as FR
 from marlstone.operators import halo as H
 from marlstone.operators import models as M
+from marlstone.operators import modes as D2
 from marlstone.operators import portfolio as P
 from marlstone.operators import regimes as R
+from marlstone.operators import signals as G
 from marlstone.operators import statespace as SP
 from marlstone.operators import windows as W
 from marlstone.plans.book import BOOK, rounded, snapshots
@@ -99,7 +101,22 @@ def window_exponents(spark, sf_dir):
 
 
 def mode_decomposition(spark, sf_dir):
-    return M.mode_decomposition(events(spark, sf_dir).select(ID, "ts", "user_id", "value"), "value", KEYS, ORDER, most=4).select(ID, "modes")
+    return D2.mode_decomposition(events(spark, sf_dir).select(ID, "ts", "user_id", "value"), "value", KEYS, ORDER, most=4).select(ID, "modes")
+
+
+def _noisy_modes(spark, sf_dir):
+    return D2.mode_decomposition(events(spark, sf_dir).select(ID, "ts", "user_id", "value"), "value", KEYS, ORDER, most=4, trials=4, abnormal=2).select(ID, "ts", "user_id", "modes")
+
+
+def noise_assisted_modes(spark, sf_dir):
+    """Up to two rough modes from four pairs of trials each, then the modes of the rest, neighbours of like disorder added up."""
+    return D2.merged_modes(_noisy_modes(spark, sf_dir), KEYS, ORDER).select("user_id", ID, "component", "x")
+
+
+def component_forecasts(spark, sf_dir):
+    """How good the sums of the components' forecasts are on the last fifth of each user's rows."""
+    merged = D2.merged_modes(_noisy_modes(spark, sf_dir), KEYS, ORDER)
+    return G.errors(D2.component_forecasts(merged, KEYS, ORDER).filter("NOT is_train"), "actual", "guess", KEYS)
 
 
 def rolling_factors(spark, sf_dir):
@@ -141,7 +158,7 @@ def metaorders(spark, sf_dir):
     return M.metaorders(rows, "at", "score", "sign", KEYS, ORDER, 0.7, 0.4, 5 * 86400.0, 3)
 
 
-QUERIES = {f.__name__: f for f in (decayed_flow, weighted_mean, online_slope, inventory_pressure, kalman_line, smoothed_line, fitted_line, regime_regression, regime_forecasts, regime_report, fluctuation_exponents, window_exponents, mode_decomposition, rolling_factors, precision_strength, ridge_precision, wavelet_energies, self_excitation, metaorders)}
+QUERIES = {f.__name__: f for f in (decayed_flow, weighted_mean, online_slope, inventory_pressure, kalman_line, smoothed_line, fitted_line, regime_regression, regime_forecasts, regime_report, fluctuation_exponents, window_exponents, mode_decomposition, noise_assisted_modes, component_forecasts, rolling_factors, precision_strength, ridge_precision, wavelet_energies, self_excitation, metaorders)}
 
 _BY = "PARTITION BY user_id ORDER BY ts, event_id"
 _MEANS = """WITH w AS (SELECT a.{id} AS id, sum(pow({keep}, a.i - b.i)) AS w, sum(pow({keep}, 2 * (a.i - b.i))) AS w2, sum(pow({keep}, a.i - b.i) * b.v) AS x, sum(pow({keep}, a.i - b.i) * b.v * b.v) AS xx

@@ -38,13 +38,6 @@ def test_short_series_give_null(spark):
     assert M.fluctuation_exponents(series(spark, v=[1, 2]), "v", ["k"], ["t"]).first().h is None
 
 
-def test_modes_sum_to_the_value(spark):
-    t = np.arange(200)
-    v = np.sin(t / 3) + np.sin(t / 20) + t / 50
-    got = np.stack(column(M.mode_decomposition(series(spark, v=v), "v", ["k"], ["t"]), "modes"))
-    assert np.allclose(got.sum(1), v) and np.corrcoef(got[20:180, 0], np.sin(t / 3)[20:180])[0, 1] > 0.9
-
-
 def test_noise_has_exponent_one_half(spark):
     h = M.fluctuation_exponents(series(spark, v=np.random.default_rng(3).normal(size=4000)), "v", ["k"], ["t"]).first().h
     assert h[4] == pytest.approx(0.5, abs=0.08)
