@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import decay as D
+from marlstone.operators import halo as H
 from marlstone.operators import labels as L
 from marlstone.operators import models as M
 from marlstone.operators import portfolio as P
@@ -28,7 +29,7 @@ def model_samples(
     out = D.weighted_mean(out, "ret", keys, order, span).withColumnRenamed("ewm_sd", "ewm_vol").drop("ewm")
     out = L.pre_averaged_variance(out, "close", keys, order, average, rows)
     out = W.drift_burst(W.hurst(out, "close", keys, order, rows), "close", keys, order, blocks, block_rows).withColumnRenamed("burst", "drift_z")
-    out = M.self_excitation(W.exceedances(out, "ret", "ewm_vol", theta), "event", keys, order, lags).drop("event")
+    out = H.self_excitation(W.exceedances(out, "ret", "ewm_vol", theta), "event", keys, order, lags).drop("event", "slope")
     out = W.signature(out, "close", keys, order, path)
     names = ("ewm_vol", "pav_rv", "hurst", "drift_z", "intensity", *PATH)
     labelled = L.triple_barrier(out.withColumnRenamed("ret", "own_return"), "close", "ewm_vol", keys, order, up, down, horizon)

@@ -22,24 +22,28 @@ OWN = 4096
 
 
 class Halo:
-    """The rows of df per `keys`, in the order of `order`, in chunks with `before` rows of halo. vector: an array<double> column of `width` numbers a row, null elements as NaN."""
+    """The rows of df per `keys`, in the order of `order`, in chunks with `before` rows of halo ahead and `after` rows behind. vector: an array<double> column of `width` numbers a row, null elements as NaN; with numbered, the row's number in its series, from 0, comes first."""
 
-    def __init__(self, df: DataFrame, vector: Column, width: int, keys: Sequence[str], order: Sequence[str], before: int, own: int | None = None):
-        own = own or max(OWN, 4 * before)
-        if own < before:
+    def __init__(self, df: DataFrame, vector: Column, width: int, keys: Sequence[str], order: Sequence[str], before: int, own: int | None = None, after: int = 0, numbered: bool = False):
+        own = self.own = own or max(OWN, 4 * before, 4 * after)
+        if own < max(before, after):
             raise ValueError("a chunk must be at least as long as the halo")
-        self.columns, self.width, self.keys = df.columns, width, [f"key_{i}" for i in range(len(keys))]
+        self.columns, self.width, self.keys = df.columns, width + numbered, [f"key_{i}" for i in range(len(keys))]
         value = F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(math.nan)))
         named = df.select(*[F.col(k).alias(n) for k, n in zip(keys, self.keys)], F.struct(*order).alias("at"), value.alias("v"), F.struct("*").alias("row"))
-        numbered = row_numbers(named, self.keys, ["at"], "i").withColumn("i", F.col("i") - 1)
+        rows = row_numbers(named, self.keys, ["at"], "i").withColumn("i", F.col("i") - 1)
+        if numbered:
+            rows = rows.withColumn("v", F.concat(F.array(F.col("i").cast("double")), "v"))
         chunk = F.floor(F.col("i") / own)
-        where = F.array_compact(F.array(F.struct(chunk.alias("chunk"), F.lit(True).alias("mine")), F.when(F.col("i") % own >= own - before, F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("mine"))))) if before else F.array(F.struct(chunk.alias("chunk"), F.lit(True).alias("mine")))
-        dealt = numbered.select(*self.keys, "i", "v", "row", F.explode(where).alias("w")).select(*self.keys, "w.chunk", "i", "v", "w.mine", F.when(F.col("w.mine"), F.col("row")).alias("row"))
+        place = lambda c, mine: F.struct(c.alias("chunk"), F.lit(mine).alias("mine"))
+        also = [F.when(F.col("i") % own >= own - before, place(chunk + 1, False))] * bool(before) + [F.when((F.col("i") % own < after) & (chunk > 0), place(chunk - 1, False))] * bool(after)
+        where = F.array_compact(F.array(place(chunk, True), *also))
+        dealt = rows.select(*self.keys, "i", "v", "row", F.explode(where).alias("w")).select(*self.keys, "w.chunk", "i", "v", "w.mine", F.when(F.col("w.mine"), F.col("row")).alias("row"))
         packed = dealt.groupBy(*self.keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("i", "v", "mine", "row"))).alias("items"))
         mine = F.filter("items", lambda x: x["mine"])
         # The last chunk's halo alone is no chunk: it has no rows of its own.
         self.packed = stored(
-            packed.select(*self.keys, "chunk", F.flatten(F.transform("items", lambda x: x["v"])).alias("data"), F.size(F.filter("items", lambda x: ~x["mine"])).alias("skip"), F.transform(mine, lambda x: x["row"]).alias("rows")).filter(F.size("rows") > 0), "halo"
+            packed.select(*self.keys, "chunk", F.flatten(F.transform("items", lambda x: x["v"])).alias("data"), F.size(F.filter("items", lambda x: ~x["mine"] & (x["i"] < F.col("chunk") * own))).alias("skip"), F.transform(mine, lambda x: x["row"]).alias("rows")).filter(F.size("rows") > 0), "halo"
         )
 
     def sums(self, local: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:

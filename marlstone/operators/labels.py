@@ -2,35 +2,69 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.halo import OWN, Halo
 from marlstone.operators.joins import hops
 from marlstone.operators.series import trailing
 
 
-def triple_barrier(df: DataFrame, value: str, sigma: str, keys, order, up: float = 2.0, down: float = 1.5, horizon: int = 2700) -> DataFrame:
+def highest(v: np.ndarray, span: int) -> list[np.ndarray]:
+    """At level k the greatest of the 2^k values from each place on, what lies beyond the end counting as -inf; levels up to `span` values."""
+    levels = [v]
+    while len(levels) < span.bit_length():
+        step = 1 << (len(levels) - 1)
+        levels.append(np.maximum(levels[-1], np.concatenate([levels[-1][step:], np.full(min(step, len(v)), -np.inf)])))
+    return levels
+
+
+def first_reach(levels: list[np.ndarray], start: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """For each start the first place from it on whose value is the bound or more, the length if there is none within the levels' span. Runs that stay below are leapt over, the longest first."""
+    n, at = len(levels[0]), start.copy()
+    for k in range(len(levels) - 1, -1, -1):
+        low = at < n
+        low[low] = levels[k][at[low]] < bound[low]
+        at = np.where(low, at + (1 << k), at)
+    return np.minimum(at, n)
+
+
+def triple_barrier(df: DataFrame, value: str, sigma: str, keys, order, up: float = 2.0, down: float = 1.5, horizon: int = 2700, own: int | None = None) -> DataFrame:
     """Adds label, t_hit and ret: which of value * (1 + up * sigma) and value * (1 - down * sigma) the next `horizon` rows touch first.
 
     sigma is the last one known. label: 1 above, -1 below, 0 for neither; a row that touches both counts as above if it
     is the next one, as below otherwise. t_hit: the row (from 0) of the touch, or the last row looked at; ret: the
-    return up to it. A key's last row has neither.
+    return up to it. A key's last row has neither. Chunks of `own` rows carry the `horizon` rows behind them, and an index of
+    maxima over powers of two finds a touch in as many steps as the horizon has bits.
     """
+
+    size = own or max(OWN, 4 * horizon)
+
+    def local(data, skip):
+        number, v, s = data.T
+        n, mine = len(data), np.flatnonzero(np.floor(number / size) == np.floor(number[skip] / size))
+        price, width = v[mine], s[mine]
+        last = np.minimum(mine + horizon, n - 1)
+
+        def touch(series, bound):
+            bound = np.where(np.isfinite(bound), bound, np.inf)
+            at = first_reach(highest(np.where(np.isnan(series), -np.inf, series), horizon), mine + 1, bound)
+            return np.where((at <= last) & np.isfinite(bound), at, n)
+
+        a, b = touch(v, price * (1 + up * width)), touch(-v, -(price * (1 - down * width)))
+        above = (a < n) & ((a < b) | (a == b) & (a == mine + 1))
+        label = np.where(above, 1, np.where(b < n, -1, 0))
+        hit = np.where(above, a, np.where(b < n, b, last))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ret = np.where((hit > mine) & (price != 0), v[hit] / price - 1, np.nan)
+        return {"label": label, "t_hit": np.where(hit > mine, number[hit], np.nan), "ret": ret}
+
     w = Window.partitionBy(*keys).orderBy(*order)
-    ahead = w.rowsBetween(1, horizon)
-    known = F.last(sigma, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.select("*", known.alias("sigma_known"), F.row_number().over(w).alias("row_at"))
-    path = F.collect_list(F.struct(F.col("row_at").alias("i"), F.col(value).alias("v"))).over(ahead)
-    rows = rows.withColumns({"path_ahead": path, "end_ahead": F.last("row_at").over(ahead), "end_value": F.last(value).over(ahead)})
-    first = lambda holds: F.try_element_at(F.filter("path_ahead", holds), F.lit(1))
-    over = first(lambda p: p["v"] >= F.col(value) * (1 + up * F.col("sigma_known")))
-    under = first(lambda p: p["v"] <= F.col(value) * (1 - down * F.col("sigma_known")))
-    rows = rows.withColumns({"touch_up": over, "touch_down": under}).drop("path_ahead")
-    a, b = F.col("touch_up.i"), F.col("touch_down.i")
-    above = a.isNotNull() & (b.isNull() | (a < b) | ((a == b) & (a == F.col("row_at") + 1)))
-    hit = F.when(above, F.col("touch_up")).when(b.isNotNull(), F.col("touch_down")).otherwise(F.struct(F.col("end_ahead").alias("i"), F.col("end_value").alias("v")))
-    out = rows.withColumns({"label": F.when(above, 1).when(b.isNotNull(), -1).otherwise(0), "t_hit": hit["i"] - 1, "ret": F.try_divide(hit["v"], F.col(value)) - 1})
-    return out.drop("sigma_known", "row_at", "end_ahead", "end_value", "touch_up", "touch_down")
+    known = df.withColumn("_sigma", F.last(sigma, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    halo = Halo(known, F.array(F.col(value), F.col("_sigma")), 2, keys, order, 0, size, after=horizon, numbered=True)
+    found = halo.rows_with(local, {"label": "int", "t_hit": "double", "ret": "double"}).withColumn("t_hit", F.col("t_hit").cast("int"))
+    return found.drop("_sigma")
 
 
 def pre_averaged_variance(df: DataFrame, value: str, keys, order, span: int = 30, rows: int = 1800) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import fractal, halo, running
+from marlstone.operators import fractal, halo, labels, running
 
 
 def frame(spark, series):
@@ -108,3 +108,28 @@ def test_exponents_of_known_walks(spark):
     assert len(of("noise")) == 16 and not of("short") and [x.t for x in sorted(of("noise"), key=lambda x: x.window)][:2] == [255, 315]
     assert np.mean([x.h[4] for x in of("noise")]) == pytest.approx(0.5, abs=0.1) and np.mean([x.h[4] for x in of("trend")]) > 1.2
     assert {x.regime for x in of("flat")} == {"insufficient"} and {x.regime for x in of("trend")} == {"strong trend"}
+
+
+@pytest.mark.parametrize(("horizon", "own"), [(5, 7), (13, 13), (64, 70), (2700, None)])
+def test_barriers_equal_a_loop(spark, horizon, own):
+    r = np.random.default_rng(horizon)
+    series = {"a": 100 * np.exp(np.cumsum(0.02 * r.normal(size=160))), "b": 50 + r.normal(size=40), "flat": np.full(9, 7.0), "one": np.ones(1)}
+    sigma = {k: np.where(r.random(len(v)) < 0.6, 0.01 * (1 + r.random(len(v))), np.nan) for k, v in series.items()}
+    series["b"][5], series["b"][20] = np.nan, 0.0
+    none = lambda x: None if np.isnan(x) else float(x)
+    df = spark.createDataFrame([(k, i, none(x), none(s)) for k, v in series.items() for i, (x, s) in enumerate(zip(v, sigma[k]))], "k string, t int, v double, s double")
+    got = {(x.k, x.t): x for x in labels.triple_barrier(df, "v", "s", ["k"], ["t"], 2.0, 1.5, horizon, own).collect()}
+    assert len(got) == len(df.collect())
+    for k, v in series.items():
+        known = np.nan
+        for i, x in enumerate(v):
+            known = sigma[k][i] if not np.isnan(sigma[k][i]) else known
+            ahead = range(i + 1, min(i + horizon, len(v) - 1) + 1)
+            a = next((j for j in ahead if v[j] >= x * (1 + 2 * known)), None)
+            b = next((j for j in ahead if v[j] <= x * (1 - 1.5 * known)), None)
+            above = a is not None and (b is None or a < b or a == b == i + 1)
+            hit = a if above else b if b is not None else ahead[-1] if ahead else None
+            row = got[k, i]
+            assert row.label == (1 if above else -1 if b is not None else 0) and row.t_hit == hit
+            want = v[hit] / x - 1 if hit is not None and x != 0 else np.nan
+            assert (row.ret is None) == bool(np.isnan(want)) and (row.ret is None or abs(row.ret - want) < 1e-9)
