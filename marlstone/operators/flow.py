@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.scalars import correlation
+from marlstone.functions.stored import stored
 from marlstone.operators.decay import decayed_flow, power_law_mixture
 from marlstone.operators.models import metaorders
 from marlstone.operators.series import as_of
@@ -70,7 +71,8 @@ def flow_engine(
     grid = grid.select(*keys, (F.col("a") + F.col("n") * step).alias(time), F.col("n").alias(row_id))
 
     mids = quotes.withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
-    at_grid = as_of(as_of(grid, mids, keys, time, row_id, ["bid", "ask", "mid"]), depth, keys, time, row_id, ["bid_sz", "ask_sz"])
+    # Several steps read the grid, the signed trades and the signal: each is worked out once.
+    at_grid = stored(as_of(as_of(grid, mids, keys, time, row_id, ["bid", "ask", "mid"]), depth, keys, time, row_id, ["bid_sz", "ask_sz"]), "flow-grid")
     # Signs: by the mid of the last grid time, the first one's for trades before it, and by the tick on it.
     firsts = at_grid.groupBy(*keys).agg(F.min_by("mid", time).alias("first_mid"), F.min(time).alias("begin"))
     w_trade = Window.partitionBy(*keys).orderBy(time, row_id)
@@ -78,7 +80,7 @@ def flow_engine(
     rule = F.signum(F.col("price") - F.col("mid"))
     tick_rule = F.signum(F.col("price") - F.lag("price").over(w_trade))
     sign = F.coalesce(F.nullif(F.col("aggressor").cast("double"), F.lit(0.0)), F.nullif(rule, F.lit(0.0)), F.nullif(tick_rule, F.lit(0.0)), F.lit(1.0))
-    signed = signed.withColumn("q", concave(sign, F.col("qty"), power))
+    signed = stored(signed.withColumn("q", concave(sign, F.col("qty"), power)).select(*keys, time, row_id, "q"), "flow-trades")
 
     # The states are not decayed between a grid time and the trade before it: the signal is that trade's.
     taus, weights = power_law_mixture(eps, mixtures, shortest, longest)
@@ -89,6 +91,7 @@ def flow_engine(
     signal = signal.withColumn("y", F.when((ahead > 0) & (F.col("mid") > 0), F.ln(ahead / F.col("mid"))))
     start = 1e-6  # what the mean of squares begins with
     signal = signal.withColumns({"seen": F.count("y").over(w.rowsBetween(Window.unboundedPreceding, 0)), "xx": F.when(F.col("y").isNotNull(), F.col("x") * F.col("x")), "xy": F.col("x") * F.col("y")})
+    signal = stored(signal, "flow-signal")
     known = signal.filter("y IS NOT NULL")
     # Decayed means that begin with 0, not with the first value.
     known = known.withColumns({"mxx": decayed_mean("xx", keys, [time], alpha), "mxy": decayed_mean("xy", keys, [time], alpha), "x1": F.first("xx").over(w), "y1": F.first("xy").over(w)})
