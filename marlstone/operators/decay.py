@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.series import trailing
 from marlstone.operators.windows import decayed_mean
 
 SPAN = 20.0
@@ -43,22 +42,32 @@ def decayed_flow(df: DataFrame, time: str, amount: str, keys, row_id: str, taus:
     return rows.groupBy(*keys, row_id).agg(F.sum(F.col("_weight") * value).alias("flow"))
 
 
-def weighted_mean(df: DataFrame, value: str, keys, order, span: float, tolerance: float = 1e-12) -> DataFrame:
-    """Adds ewm: the mean with weights (1 - alpha)^age, alpha = 2 / (span + 1), over the rows so far, and ewm_sd, the bias-corrected deviation; null for a single value.
+def weighted_mean(df: DataFrame, value: str, keys, order, span: float) -> DataFrame:
+    """Adds ewm: the mean with weights (1 - alpha)^age, alpha = 2 / (span + 1), over the values so far, and ewm_sd, the bias-corrected deviation; null for a single value. Null values have no age.
 
-    The frame ends where weights fall below `tolerance`.
+    The sums of weights have closed forms. Those of values are running sums of rescaled values within buckets, over which weights fall by
+    exp(-SPAN), and what the two buckets before hold; so a row costs the same at every span.
     """
-    alpha = 2 / (span + 1)
-    frame = trailing(keys, order, math.ceil(math.log(tolerance) / math.log(1 - alpha)))
-    seen = F.collect_list(value).over(frame)
-    fold = F.aggregate(
-        seen, F.struct(*[F.lit(0.0).alias(n) for n in ("w", "w2", "x", "xx")]),
-        lambda s, v: F.struct((s["w"] * (1 - alpha) + 1).alias("w"), (s["w2"] * (1 - alpha) ** 2 + 1).alias("w2"), (s["x"] * (1 - alpha) + v).alias("x"), (s["xx"] * (1 - alpha) + v * v).alias("xx")),
-    )
-    df = df.withColumn("_s", fold)
-    mean = F.try_divide("_s.x", "_s.w")
-    bias = F.try_divide(F.col("_s.w") * F.col("_s.w"), F.nullif(F.round(F.col("_s.w") * F.col("_s.w") - F.col("_s.w2"), 12), F.lit(0.0)))
-    return df.withColumns({"ewm": mean, "ewm_sd": F.sqrt(F.greatest(F.try_divide("_s.xx", "_s.w") - mean * mean, F.lit(0.0)) * bias)}).drop("_s")
+    keep = 1 - 2 / (span + 1)
+    rows_of = max(1, math.floor(SPAN / -math.log(keep))) if keep > 0 else 1
+    given = df.drop("ewm", "ewm_sd").columns
+    running = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.select(F.struct(*given).alias("_row"), F.struct(F.lit(0), *keys).alias("_k"), F.struct(*order).alias("_at"), F.col(value).cast("double").alias("_v"), F.count(value).over(running).alias("_n"))
+    rows = rows.withColumns({"_b": F.floor((F.col("_n") - 1) / rows_of), "_i": F.pmod(F.col("_n") - 1, F.lit(rows_of))})
+    power = lambda e: F.pow(F.lit(keep), e) if keep > 0 else F.when(e == 0, 1.0).otherwise(0.0)
+    terms = {"x": F.col("_v") / power(F.col("_i")), "xx": F.col("_v") * F.col("_v") / power(F.col("_i"))}
+    group = ["_k", "_b"]
+    ends = rows.filter("_v IS NOT NULL").groupBy(*group).agg(*[(F.sum(e) * keep ** (rows_of - 1)).alias(f"end_{c}") for c, e in terms.items()])
+    w_bucket = Window.partitionBy("_k").orderBy("_b")  # every bucket up to the last holds values
+    before = {c: F.coalesce(F.lag(f"end_{c}").over(w_bucket), F.lit(0.0)) + F.coalesce(F.lag(f"end_{c}", 2).over(w_bucket), F.lit(0.0)) * keep**rows_of for c in terms}
+    ends = ends.select(*group, *[e.alias(f"before_{c}") for c, e in before.items()])
+    own = {f"own_{c}": F.sum(e).over(Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)) for c, e in terms.items()}
+    rows = rows.withColumns(own).join(ends, group, "left")
+    x, xx = (power(F.col("_i")) * (F.col(f"own_{c}") + keep * F.col(f"before_{c}")) for c in terms)
+    w, w2 = (1 - power(F.col("_n"))) / (1 - keep), (1 - power(2 * F.col("_n"))) / (1 - keep * keep)
+    rows = rows.select("_row.*", F.when(F.col("_n") > 0, x / w).alias("ewm"), F.when(F.col("_n") > 0, xx / w).alias("_m2"), F.when(F.col("_n") > 1, F.try_divide(w * w, w * w - w2)).alias("_bias"))
+    sd = F.sqrt(F.greatest(F.col("_m2") - F.col("ewm") * F.col("ewm"), F.lit(0.0)) * F.col("_bias"))
+    return rows.withColumn("ewm_sd", sd).drop("_m2", "_bias")
 
 
 def online_slope(df: DataFrame, x: str, y: str, keys, order, alpha: float = 0.05, ridge: float = 1e-6) -> DataFrame:

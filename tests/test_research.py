@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars
-from marlstone.operators import alpha, book, flow, labels, portfolio, pyramid, series
+from marlstone.operators import alpha, book, decay, flow, labels, portfolio, pyramid, series
 from marlstone.operators.decay import power_law_mixture
 
 
@@ -154,3 +154,27 @@ def test_constant_groups_have_no_correlation(spark):
     report = {r.feature: r.ic for r in pyramid.information_report(rows, ["x", "z"], "y").collect()}
     assert set(report) == {"x"}
     assert "z" not in pyramid.clean_features(rows.withColumn("w", F.col("y") + F.col("x")), ["w", "z"], "y")
+
+
+@pytest.mark.parametrize("span", [1, 3, 40, 900])
+def test_weighted_means_equal_a_loop(spark, span):
+    r = np.random.default_rng(span)
+    rows = [(["a", None, "b"][i % 3], i, None if i % 7 == 3 or i < 4 else float(100 + r.normal())) for i in range(600)]
+    got = {(x.k, x.t): x for x in decay.weighted_mean(spark.createDataFrame(rows, "k string, t int, v double"), "v", ["k"], ["t"], span).collect()}
+    keep = 1 - 2 / (span + 1)
+    for key in ("a", None, "b"):
+        seen = []
+        for _, t, v in (x for x in rows if x[0] == key):
+            seen += [] if v is None else [v]
+            x = got[key, t]
+            if not seen:
+                assert x.ewm is None and x.ewm_sd is None
+                continue
+            w = keep ** np.arange(len(seen))[::-1]
+            mean = (w * seen).sum() / w.sum()
+            assert math.isclose(x.ewm, mean, rel_tol=1e-9)
+            if len(seen) < 2:
+                assert x.ewm_sd is None
+            elif span > 1:
+                bias = w.sum() ** 2 / (w.sum() ** 2 - (w * w).sum())
+                assert math.isclose(x.ewm_sd, math.sqrt((w * (np.array(seen) - mean) ** 2).sum() / w.sum() * bias), rel_tol=1e-5)
