@@ -50,7 +50,7 @@ def exact_quantiles(df: DataFrame, value: str, keys: Sequence[str], at: Sequence
     ranks = value_ranks(df, value, keys)
     n = F.max("upto").alias("_n")
     total = ranks.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(n)
-    rows = ranks.join(total, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) if keys else ranks.crossJoin(total)
+    rows = ranks.join(total, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) if keys else ranks.withColumn("_n", F.lit(total.first()[0]))
     # Of sorted places 0 to n - 1, the one at p * (n - 1) lies between two; a value holds places upto - n to upto - 1.
     held = lambda place: (F.col("upto") - F.col("n") <= place) & (place < F.col("upto"))
     out = []
@@ -60,3 +60,12 @@ def exact_quantiles(df: DataFrame, value: str, keys: Sequence[str], at: Sequence
         a, b = F.max(F.when(held(low), F.col(value).cast("double"))), F.max(F.when(held(F.least(low + 1, F.col("_n") - 1)), F.col(value).cast("double")))
         out.append(a + (b - a) * F.max(part))
     return rows.groupBy(*keys).agg(F.array(*out).alias(into))
+
+
+def with_quantiles(df: DataFrame, value: str, keys: Sequence[str], at: Sequence[float], into: str = "_q") -> DataFrame:
+    """df with `into`, the array of exact_quantiles() of the row's key; null for a key without values. Null keys are a key."""
+    found = exact_quantiles(df, value, keys, at, into)
+    found = found.select(*[F.col(k).alias(f"_own_{i}") for i, k in enumerate(keys)], into)
+    if not keys:
+        return df.withColumn(into, F.lit(found.first()[0]))
+    return df.join(found, [F.col(k).eqNullSafe(F.col(f"_own_{i}")) for i, k in enumerate(keys)], "left").drop(*[f"_own_{i}" for i in range(len(keys))])

@@ -37,8 +37,13 @@ def box_dimension(df: DataFrame, value: str, keys, sizes=(2, 4, 8, 16, 32, 64, 1
 
 
 def quantiles(df: DataFrame, value: str, keys, at=(0.01, 0.25, 0.5, 0.75, 0.99)) -> DataFrame:
-    """Per key: n and the exact quantiles q01, q25, .. with linear interpolation."""
-    q = df.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, F.array(*map(F.lit, at))).alias("_q"))
+    """Per key: n and the exact quantiles q01, q25, .. with linear interpolation, from counted ranges; null for a key without values."""
+    from marlstone.operators.running import exact_quantiles
+
+    counts = df.groupBy(*keys).agg(F.count(value).alias("n"))
+    found = exact_quantiles(df, value, keys, at, "_q")
+    named = [F.col(k).alias(f"_own_{i}") for i, k in enumerate(keys)]
+    q = counts.join(found.select(*named, "_q"), [F.col(k).eqNullSafe(F.col(f"_own_{i}")) for i, k in enumerate(keys)], "left")
     return q.select(*keys, "n", *[F.col("_q")[i].alias(f"q{round(100 * p):02d}") for i, p in enumerate(at)])
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import fractal, halo, labels, running
+from marlstone.operators import fractal, halo, labels, running, series, signals
 
 
 def frame(spark, series):
@@ -133,3 +133,13 @@ def test_barriers_equal_a_loop(spark, horizon, own):
             assert row.label == (1 if above else -1 if b is not None else 0) and row.t_hit == hit
             want = v[hit] / x - 1 if hit is not None and x != 0 else np.nan
             assert (row.ret is None) == bool(np.isnan(want)) and (row.ret is None or abs(row.ret - want) < 1e-9)
+
+
+def test_winsorised_keys(spark):
+    rows = [("a", float(i)) for i in range(11)] + [(None, float(i)) for i in range(21)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = sorted(((r.k, r.v, r.clipped) for r in series.winsorize(df, "v", ["k"], 0.1, 0.9).collect()), key=repr)
+    clip = {"a": (1.0, 9.0), None: (2.0, 18.0)}
+    assert got == sorted(((k, v, None if v is None else min(max(v, clip[k][0]), clip[k][1])) for k, v in rows), key=repr)
+    q = {r.k: (r.n, r.q50) for r in signals.quantiles(df, "v", ["k"]).collect()}
+    assert q == {"a": (11, 5.0), None: (21, 10.0), "none": (0, None)}
