@@ -141,6 +141,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+#: Rows of texts, of sets or of pairs of sets that a Python worker takes at once.
+AT_ONCE = 1000
+
+
 def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", width=5, percent=80, bands=BANDS, rows=ROWS, keep_row=False) -> DataFrame:
     """Per row of docs: key, n_shingles, component_id (the least key reachable over links), kept (key = component_id), first (one row of each group).
 
@@ -153,7 +157,7 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", width=5, perc
     spark = docs.sparkSession
     prepare = F.pandas_udf(sketches(width, bands, rows), "struct<n long, same binary, odd array<long>, buckets array<long>>")
     row = F.struct("*") if keep_row else F.struct(F.col(key), F.col(text))
-    table = store(docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row"), F.col(key).alias("key"), prepare(F.col(text)).alias("s")), "sketches")
+    table = store(docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row"), F.col(key).alias("key"), prepare(F.col(text)).alias("s")), "sketches", AT_ONCE)
     flat = table.select("row_id", "key", "s.n", "s.same", "s.odd", "s.buckets")
 
     # Documents with equal sets: one node, named by its least row.
@@ -166,7 +170,7 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", width=5, perc
     some = mates.select("node").distinct()
     odd = store(nodes.select("node", "n", "odd").join(some, "node", "left_semi"), "parities")
     texts = table.select(F.col("row_id").alias("node"), F.col(f"row.`{text}`").alias("text")).join(some, "node", "left_semi")
-    sets = store(texts.select("node", F.pandas_udf(set_bytes(width), "binary")("text").alias("set")), "mate-sets")
+    sets = store(texts.select("node", F.pandas_udf(set_bytes(width), "binary")("text").alias("set")), "mate-sets", AT_ONCE)
     check = F.pandas_udf(confirm(percent), "boolean")
     differing = sum((F.bit_count(F.col("a_odd")[i].bitwiseXOR(F.col("b_odd")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col("a_odd")[0].bitwiseXOR(F.col("b_odd")[0])))
     close = (percent + 100) * differing <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
@@ -180,7 +184,7 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", width=5, perc
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
         copies = parts.join(named(sets, "a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-        links = store(dealt.join(copies.drop("parts"), ["a", "part"]).join(named(sets, "b"), "b").filter(check("a_set", "b_set")).select("a", "b"), "near-links")
+        links = store(dealt.join(copies.drop("parts"), ["a", "part"]).join(named(sets, "b"), "b").filter(check("a_set", "b_set")).select("a", "b"), "near-links", AT_ONCE)
         remove(spark, pairs)
         return links
 
