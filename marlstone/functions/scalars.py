@@ -28,6 +28,24 @@ def ratio_or_zero(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(F.try_divide(a, b))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as IEEE arithmetic has it: by 0 an infinity, 0 / 0 NaN."""
+    return F.when(b != 0, F.try_divide(a, b)).when(b == 0, F.signum(a) * float("inf"))
+
+
+def log(c: Column, zeros: bool = False) -> Column:
+    """Null unless c is positive; with `zeros`, minus infinity where c is 0."""
+    positive = F.when(c > 0, F.ln(c))
+    return positive.when(c == 0, float("-inf")) if zeros else positive
+
+
+def rounded_half(c: Column, places: int) -> Column:
+    """Half away from zero, decided on c * 10^places in floating point as SQL engines do; F.round decides on the shortest decimal form."""
+    scale = 10.0**places
+    out = F.round(c * scale) / scale
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), c).otherwise(out)
+
+
 def correlation(x: Column, y: Column) -> Column:
     """An aggregate: Pearson's correlation of the rows where neither is null; null where either is constant, which Spark's own raises for in ANSI mode."""
     sd = lambda a, b: F.stddev_pop(F.when(b.isNotNull(), a))

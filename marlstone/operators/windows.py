@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.scalars import ratio, sample_skewness
+from marlstone.functions.scalars import log, ratio, sample_skewness
 from marlstone.operators.series import at_least, trailing
 
 
@@ -23,10 +23,10 @@ def running(keys, order):
     return ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def returns(df: DataFrame, value: str, keys, order, lag: int = 1) -> DataFrame:
-    """Adds diff, pct (null after a zero) and logret (null unless both values are positive) over `lag` rows."""
+def returns(df: DataFrame, value: str, keys, order, lag: int = 1, zeros: bool = False) -> DataFrame:
+    """Adds diff, pct (null after a zero) and logret (null unless both values are positive) over `lag` rows. With `zeros` the log of 0 is minus infinity."""
     c, before = F.col(value), F.lag(value, lag).over(ordered(keys, order))
-    return df.withColumns({"diff": c - before, "pct": ratio(c, before) - 1, "logret": F.when((c > 0) & (before > 0), F.ln(c) - F.ln(before))})
+    return df.withColumns({"diff": c - before, "pct": ratio(c, before) - 1, "logret": log(c, zeros) - log(before, zeros)})
 
 
 def fills(df: DataFrame, value: str, keys, order) -> DataFrame:
@@ -152,10 +152,10 @@ def hurst(df: DataFrame, value: str, keys, order, rows: int, scales=(1, 2, 4, 8,
     return df.withColumn("hurst", at_least(rows, "_p", trailing(keys, order, rows), sum(terms[1:], terms[0]) / 2)).drop("_p", *[f"_d{h}" for h in scales])
 
 
-def drift_burst(df: DataFrame, value: str, keys, order, blocks: int, rows: int) -> DataFrame:
-    """Adds burst: mean over sd (population) of the mean steps in `blocks` blocks of `rows` rows of the detrended log value, held in +-5; 0 until the window is full."""
+def drift_burst(df: DataFrame, value: str, keys, order, blocks: int, rows: int, zeros: bool = False) -> DataFrame:
+    """Adds burst: mean over sd (population) of the mean steps in `blocks` blocks of `rows` rows of the detrended log value, held in +-5; 0 until the window is full. With `zeros` the log of 0 is minus infinity, and bursts over it are NaN, held at 5."""
     w, size = ordered(keys, order), blocks * rows
-    df = df.withColumn("_i", F.row_number().over(w).cast("double")).withColumn("_p", F.when(F.col(value) > 0, F.ln(value)))
+    df = df.withColumn("_i", F.row_number().over(w).cast("double")).withColumn("_p", log(F.col(value), zeros))
     frame = trailing(keys, order, size)
     beta = (F.sum(F.col("_i") * F.col("_p")).over(frame) - (F.col("_i") - (size - 1) / 2) * F.sum("_p").over(frame)) / (size * (size * size - 1) / 12)
     at = lambda back: F.lag("_p", back).over(w) if back else F.col("_p")
@@ -168,10 +168,10 @@ def drift_burst(df: DataFrame, value: str, keys, order, blocks: int, rows: int)
     return df.withColumn("burst", F.when(F.col("_n") == size, F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col("_mean") / sd))).otherwise(0.0)).drop("_i", "_p", "_beta", "_steps", "_n", "_mean")
 
 
-def signature(df: DataFrame, value: str, keys, order, rows: int) -> DataFrame:
-    """Adds s1_* and s2_*_*: the sums of the steps, and of their products, of the path (time, log value, both one row before) over the trailing window."""
+def signature(df: DataFrame, value: str, keys, order, rows: int, zeros: bool = False) -> DataFrame:
+    """Adds s1_* and s2_*_*: the sums of the steps, and of their products, of the path (time, log value, both one row before) over the trailing window. With `zeros` the log of 0 is minus infinity."""
     w = ordered(keys, order)
-    df = df.withColumn("_p", F.when(F.col(value) > 0, F.ln(value))).withColumn("_x1", F.col("_p") - F.lag("_p").over(w))
+    df = df.withColumn("_p", log(F.col(value), zeros)).withColumn("_x1", F.col("_p") - F.lag("_p").over(w))
     df = df.withColumns({"_x0": F.when(F.col("_x1").isNotNull(), F.lit(1.0 / (rows - 1))), "_x3": F.lag("_x1").over(w)}).withColumn("_x2", F.lag("_x0").over(w))
     frame = trailing(keys, order, rows - 1)
     full = lambda result: F.when(F.count("_x3").over(frame) == rows - 1, result)

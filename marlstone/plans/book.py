@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions.scalars import rounded_half
 from marlstone.operators import book as B
 
 KEYS, ORDER = ["symbol"], ["seq"]
@@ -11,7 +12,7 @@ KEYS, ORDER = ["symbol"], ["seq"]
 
 def rounded(df, *keys, places: int = 6):
     """The key columns as they are, the others rounded; minus zero becomes zero."""
-    return df.select(*keys, *[(F.round(F.col(c).cast("double"), places) + F.lit(0.0)).alias(c) for c in df.columns if c not in keys])
+    return df.select(*keys, *[(rounded_half(F.col(c).cast("double"), places) + F.lit(0.0)).alias(c) for c in df.columns if c not in keys])
 
 
 def snapshots(spark, sf_dir):
