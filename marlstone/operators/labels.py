@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.scalars import log, quotient, ratio
 from marlstone.operators.halo import OWN, Halo
 from marlstone.operators.joins import hops
-from marlstone.operators.series import trailing
 
 
 def highest(v: np.ndarray, span: int) -> list[np.ndarray]:
@@ -30,12 +30,12 @@ def first_reach(levels: list[np.ndarray], start: np.ndarray, bound: np.ndarray)
     return np.minimum(at, n)
 
 
-def triple_barrier(df: DataFrame, value: str, sigma: str, keys, order, up: float = 2.0, down: float = 1.5, horizon: int = 2700, own: int | None = None) -> DataFrame:
+def triple_barrier(df: DataFrame, value: str, sigma: str, keys, order, up: float = 2.0, down: float = 1.5, horizon: int = 2700, own: int | None = None, zeros: bool = False) -> DataFrame:
     """Adds label, t_hit and ret: which of value * (1 + up * sigma) and value * (1 - down * sigma) the next `horizon` rows touch first.
 
     sigma is the last one known. label: 1 above, -1 below, 0 for neither; a row that touches both counts as above if it
     is the next one, as below otherwise. t_hit: the row (from 0) of the touch, or the last row looked at; ret: the
-    return up to it. A key's last row has neither. Chunks of `own` rows carry the `horizon` rows behind them, and an index of
+    return up to it, null from 0 (with `zeros` an infinity, from 0 to 0 NaN). A key's last row has neither. Chunks of `own` rows carry the `horizon` rows behind them, and an index of
     maxima over powers of two finds a touch in as many steps as the horizon has bits.
     """
 
@@ -56,30 +56,27 @@ def triple_barrier(df: DataFrame, value: str, sigma: str, keys, order, up: float
         above = (a < n) & ((a < b) | (a == b) & (a == mine + 1))
         label = np.where(above, 1, np.where(b < n, -1, 0))
         hit = np.where(above, a, np.where(b < n, b, last))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ret = np.where((hit > mine) & (price != 0), v[hit] / price - 1, np.nan)
-        return {"label": label, "t_hit": np.where(hit > mine, number[hit], np.nan), "ret": ret}
+        return {"label": label, "t_hit": np.where(hit > mine, number[hit], np.nan), "ret": np.where(hit > mine, v[hit], np.nan)}
 
     w = Window.partitionBy(*keys).orderBy(*order)
     known = df.withColumn("_sigma", F.last(sigma, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     halo = Halo(known, F.array(F.col(value), F.col("_sigma")), 2, keys, order, 0, size, after=horizon, numbered=True)
-    found = halo.rows_with(local, {"label": "int", "t_hit": "double", "ret": "double"}).withColumn("t_hit", F.col("t_hit").cast("int"))
+    found = halo.rows_with(local, {"label": "int", "t_hit": "double", "ret": "double"}).withColumns({"t_hit": F.col("t_hit").cast("int"), "ret": (quotient if zeros else ratio)(F.col("ret"), F.col(value)) - 1})
     return found.drop("_sigma")
 
 
-def pre_averaged_variance(df: DataFrame, value: str, keys, order, span: int = 30, rows: int = 1800) -> DataFrame:
+def pre_averaged_variance(df: DataFrame, value: str, keys, order, span: int = 30, rows: int = 1800, zeros: bool = False) -> DataFrame:
     """Adds pav_rv: the mean square of pre-averaged log returns of blocks of `span` rows within the last `rows`, the last one known.
 
     A block's return weighs its `span` - 1 steps by k / span - 1/2. Blocks end `span`, 2 * `span`, ... rows before the own
-    one, the newest left out; so a mean is taken over rows of one remainder of the row number, by one window.
+    one, the newest left out; so a mean is taken over rows of one remainder of the row number, by one window. With `zeros` the log of 0 is minus infinity.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    logs = df.withColumns({"row_at": F.row_number().over(w) - 1, "log_value": F.when(F.col(value) > 0, F.ln(value))})
+    logs = df.withColumns({"row_at": F.row_number().over(w) - 1, "log_value": log(F.col(value), zeros)})
     logs = logs.withColumn("step", F.col("log_value") - F.lag("log_value").over(w))
-    frame = trailing(keys, order, span - 1)
-    k = F.sum(F.col("row_at") * F.col("step")).over(frame) - (F.col("row_at") - span + 1) * F.sum("step").over(frame)
-    block = F.when(F.count("step").over(frame) == span - 1, k / span - F.sum("step").over(frame) / 2)
-    logs = logs.withColumn("block_square", block * block)
+    # Step by step: a step of infinite size must meet its own weight, which differences of sums lose.
+    block = sum(F.lit(k / span - 0.5) * F.lag("step", span - 1 - k).over(w) for k in range(1, span))
+    logs = logs.withColumn("block", block).withColumn("block_square", F.col("block") * F.col("block")).drop("block")
     blocks = rows // span - 1
     same = Window.partitionBy(*keys, F.pmod("row_at", F.lit(span))).orderBy(*order).rowsBetween(-blocks, -1)
     mean = F.when((F.col("row_at") >= rows) & (F.count("block_square").over(same) == blocks), F.avg("block_square").over(same))

@@ -72,11 +72,11 @@ def clean_feature_set(spark, sf_dir):
 
 def triple_barriers(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("sigma", F.when(F.col(ID) % 5 != 0, F.abs(F.col("value") - 250) / 1000))
-    return rounded(L.triple_barrier(rows, "value", "sigma", KEYS, ORDER, horizon=45).select(ID, "label", "t_hit", "ret"), ID, "label", "t_hit")
+    return rounded(L.triple_barrier(rows, "value", "sigma", KEYS, ORDER, horizon=45, zeros=True).select(ID, "label", "t_hit", "ret"), ID, "label", "t_hit")
 
 
 def pre_averaged_variance(spark, sf_dir):
-    return rounded(L.pre_averaged_variance(events(spark, sf_dir), "value", KEYS, ORDER, 5, 30).select(ID, "pav_rv"), ID)
+    return rounded(L.pre_averaged_variance(events(spark, sf_dir), "value", KEYS, ORDER, 5, 30, zeros=True).select(ID, "pav_rv"), ID)
 
 
 def wilder_index(spark, sf_dir):
