@@ -14,13 +14,17 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.columns import cut, joined
 from marlstone.functions.stored import remove, stored
 
 #: Rows a chunk at least, so that small tables are not cut to pieces, and rows a range of the sorted input at most.
 LEAST, RANGE = 2048, 1_000_000
+#: Rows about whose results a worker holds at once: these come to many numbers a row.
+SHARE = 250_000
 
 Local = Callable[..., np.ndarray]
 Across = Callable[[list[np.ndarray]], list[np.ndarray]]
@@ -35,7 +39,7 @@ class Chunks:
 
     def __init__(self, df: DataFrame, numbers: Sequence[Column], keys: Sequence[str], order: Sequence[str], rows: int | None = None):
         total = df.count()
-        self.columns, self.width = df.columns, len(numbers)
+        self.columns, self.width, self.shares = df.columns, len(numbers), max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE))
         self.keys = [f"key_{i}" for i in range(len(keys))]
         ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
         size = rows or max(LEAST, math.isqrt(total))
@@ -74,11 +78,11 @@ class Chunks:
         width = self.width
         kind = ", ".join(f"`{n}` array<{t}>" for n, t in added.items())
 
-        def values(data: pd.Series, s: pd.Series) -> pd.DataFrame:
-            found = [local(np.asarray(d).reshape(-1, width), np.asarray(x)) for d, x in zip(data, s)]
-            return pd.DataFrame({n: pd.Series([f[n].tolist() for f in found], dtype=object) for n in added})
+        def values(data: pa.Array, s: pa.Array) -> pa.Array:
+            return joined([local(d.reshape(-1, width), x) for d, x in zip(cut(data), cut(s))], added)
 
-        rows = self.packed.select("chunk", "data", "rows").join(state, "chunk").select("rows", F.pandas_udf(values, f"struct<{kind}>")("data", "s").alias("_new"))
+        dealt = self.packed.select("chunk", "data", "rows").repartition(self.shares, "chunk").join(state.repartition(self.shares, "chunk"), "chunk")
+        rows = dealt.select("rows", F.arrow_udf(values, f"struct<{kind}>")("data", "s").alias("_new"))
         rows = rows.select("rows", "_new.*") if "rows" not in added else rows.select("rows", *[F.col(f"_new.{n}").alias(n) for n in added])
         one = rows.select(F.explode(F.arrays_zip("rows", *added)).alias("one"))
         return one.select(*[F.col(f"one.rows.`{c}`") for c in self.columns if c not in added], *[F.col(f"one.`{n}`") for n in added])

@@ -11,9 +11,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.columns import cut, joined
 from marlstone.functions.stored import stored
 from marlstone.operators.running import row_numbers
 
@@ -62,15 +64,20 @@ class Halo:
         width = self.width
         kind = ", ".join(f"`{n}` array<{t}>" for n, t in added.items())
 
-        def run(data: pd.Series, skip: pd.Series, *own: pd.Series) -> pd.DataFrame:
-            found = [local(np.asarray(d).reshape(-1, width), int(s), *[np.asarray(x) for x in rest]) for d, s, *rest in zip(data, skip, *own)]
-            return pd.DataFrame({n: pd.Series([f[n].tolist() for f in found], dtype=object) for n in added})
+        def results(data: pa.Array, skip: pa.Array, *own: pa.Array) -> pa.Array:
+            return joined([local(d.reshape(-1, width), s, *rest) for d, s, *rest in zip(cut(data), skip.to_pylist(), *map(cut, own))], added)
+
+        def run(data: pa.Array, skip: pa.Array) -> pa.Array:
+            return results(data, skip)
+
+        def run_with(data: pa.Array, skip: pa.Array, p: pa.Array) -> pa.Array:
+            return results(data, skip, p)
 
         rows = self.packed
         if params is not None:
             params = params.select(*[F.col(k).alias(f"own_{k}") for k in self.keys], "p")
             rows = rows.join(params, [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in self.keys])
-        new = F.pandas_udf(run, f"struct<{kind}>")("data", "skip", *(["p"] if params is not None else []))
+        new = F.arrow_udf(run, f"struct<{kind}>")("data", "skip") if params is None else F.arrow_udf(run_with, f"struct<{kind}>")("data", "skip", "p")
         one = rows.select("rows", new.alias("new")).select("rows", *[F.col(f"new.{n}").alias(f"new_{i}") for i, n in enumerate(added)]).select(F.explode(F.arrays_zip("rows", *[f"new_{i}" for i in range(len(added))])).alias("one"))
         return one.select(*[F.col(f"one.rows.`{c}`") for c in self.columns if c not in added], *[F.col(f"one.new_{i}").alias(n) for i, n in enumerate(added)])
 

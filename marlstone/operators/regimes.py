@@ -34,6 +34,42 @@ def log_of(p: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(p, 1e-300))
 
 
+def passes(steps: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(now, later), one more than steps: now from `first` on times step after step, each made to sum to 1; later from `after` at the end back, step times what follows, each made to have 1 as its greatest.
+
+    A scan in two levels within a chunk too: all its pieces go step by step together, so Python's steps are of the order of
+    the square root of the chunk.
+    """
+    n, k = len(steps), len(first)
+    length = max(1, math.isqrt(n))
+    pieces = -(-n // length)
+    whole = np.broadcast_to(np.eye(k), (pieces * length, k, k)).copy()
+    whole[:n] = steps
+    whole = whole.reshape(pieces, length, k, k)
+    share = lambda p: p / np.maximum(p.sum(-1, keepdims=True), 1e-300)
+    top = lambda p: p / np.maximum(p.max(-1, keepdims=True), 1e-300)
+    product = np.broadcast_to(np.eye(k), (pieces, k, k))
+    for i in range(length):
+        product = product @ whole[:, i]
+        product = product / np.maximum(product.max((1, 2), keepdims=True), 1e-300)
+    begin, final = np.empty((pieces, k)), np.empty((pieces, k))
+    p = share(first)
+    for j in range(pieces):
+        begin[j], p = p, share(p @ product[j])
+    p = after
+    for j in range(pieces - 1, -1, -1):
+        final[j], p = p, top(product[j] @ p)
+    now, later = np.empty((pieces, length, k)), np.empty((pieces, length, k))
+    p, q = begin, final
+    for i in range(length):
+        p = share((p[:, None, :] @ whole[:, i])[:, 0])
+        now[:, i] = p
+    for i in range(length - 1, -1, -1):
+        q = top((whole[:, i] @ q[:, :, None])[:, :, 0])
+        later[:, i] = q
+    return np.concatenate([share(first)[None], now.reshape(-1, k)[:n]]), np.concatenate([later.reshape(-1, k)[:n], after[None]])
+
+
 class Regimes:
     """The steps of the scan. Parameters of a series: move (k, k), start (k), coef (k, d), sd (k), means of the features (d), log likelihood, the one before it, rounds done, whether it has converged, whether there are rows enough."""
 
@@ -142,15 +178,9 @@ class Regimes:
         begins, end, after = unpack(s[self.size :], (), (self.k,), (self.k,))
         like, _ = self.likelihoods(s, data, fitting)
         n = len(like)
-        ahead, now, later = np.empty((n, self.k)), np.empty((n, self.k)), np.empty((n, self.k))
-        for t in range(n):
-            ahead[t] = (start if begins else end @ move) if t == 0 else now[t - 1] @ move
-            p = ahead[t] * like[t]
-            now[t] = p / max(p.sum(), 1e-300)
-        later[-1] = after
-        for t in range(n - 2, -1, -1):
-            p = move @ (like[t + 1] * later[t + 1])
-            later[t] = p / max(p.max(), 1e-300)
+        first = start if begins else end @ move
+        now, later = passes(move * like[1:, None, :], first * like[0], after)
+        ahead = np.concatenate([first[None], now[:-1] @ move])
         smooth = now * later
         smooth /= np.maximum(smooth.sum(1, keepdims=True), 1e-300)
         before = now[:-1] if begins else np.concatenate([end[None], now[:-1]])
