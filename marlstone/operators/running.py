@@ -18,10 +18,14 @@ from marlstone.functions.stored import stored
 RANGE = 1_000_000
 
 
+def share_of(df: DataFrame) -> int:
+    """Partitions for all rows of df, RANGE at most in each on average: what a task holds does not grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / RANGE))
+
+
 def running_total(df: DataFrame, value: Column, keys: Sequence[str], order: Sequence[str], into: str) -> DataFrame:
     """Adds `into`: the sum of `value` over the rows of the key up to and with this one, in the order of `order` (which tells the rows of a key apart). Columns of df named like `into` are replaced. Null keys are a key; null values count 0."""
-    total = df.count()
-    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / RANGE))
+    ranges = share_of(df)
     keyed = [f"key_{i}" for i in range(len(keys))]
     rows = df.drop(into).select(F.struct("*").alias("row"), *[F.col(k).alias(n) for k, n in zip(keys, keyed)], F.struct(*order).alias("at"), F.coalesce(value, F.lit(0)).alias("v"))
     placed = stored(rows.repartitionByRange(ranges, *keyed, "at").withColumn("part", F.spark_partition_id()), "ranges")
@@ -34,6 +38,20 @@ def running_total(df: DataFrame, value: Column, keys: Sequence[str], order: Sequ
     return joined.select("row.*", (F.col("start") + F.col("within")).alias(into))
 
 
+def lagged(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], into: str) -> DataFrame:
+    """Adds `into`: the value of the row before, as F.lag over a window of the key. A range's first row of a key takes it from the last one of the range before. Null keys are a key."""
+    keyed = [f"key_{i}" for i in range(len(keys))]
+    rows = df.drop(into).select(F.struct("*").alias("row"), *[F.col(k).alias(n) for k, n in zip(keys, keyed)], F.struct(*order).alias("at"), F.struct(F.col(value).alias("x")).alias("v"))
+    placed = stored(rows.repartitionByRange(share_of(df), *keyed, "at").withColumn("part", F.spark_partition_id()), "ranges")
+    ends = placed.groupBy(*keyed, "part").agg(F.max_by("v", "at").alias("end"))
+    come = F.lag("end").over(Window.partitionBy(*keyed).orderBy("part"))
+    starts = ends.select(*[F.col(k).alias(f"own_{k}") for k in keyed], F.col("part").alias("own_part"), come.alias("come"))
+    within = F.lag("v").over(Window.partitionBy(*keyed, "part").orderBy("at"))
+    same = [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keyed]
+    found = placed.withColumn("within", within).join(starts, [*same, F.col("part") == F.col("own_part")])
+    return found.select("row.*", F.coalesce("within", "come")["x"].alias(into))
+
+
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str = "i") -> DataFrame:
     """Adds `into`: 1, 2, ... in the order of `order` within each key."""
     return running_total(df, F.lit(1).cast("long"), keys, order, into)
@@ -45,6 +63,24 @@ def value_ranks(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return running_total(counts, F.col("n"), keys, [value], "upto")
 
 
+def rank_moments(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
+    """Per group of `by`: n, and sxx, syy and sxy, the sums of squares and products of the average ranks about their mean, (n + 1) / 2, over the rows with both. Equal pairs are counted first; ranks come from counted values."""
+    keyed = [f"by_{i}" for i in range(len(by))]
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(by, keyed)], F.col(x).alias("x"), F.col(y).alias("y"))
+    pairs = stored(both.groupBy(*keyed, "x", "y").agg(F.count("*").alias("c")), "pairs")
+    sizes = pairs.groupBy(*keyed).agg(F.sum("c").alias("n"))
+    same = lambda own: [F.col(k).eqNullSafe(F.col(f"{own}_{k}")) for k in keyed]
+    named = lambda own: [F.col(k).alias(f"{own}_{k}") for k in keyed]
+    ranked = pairs.join(F.broadcast(sizes.select(*named("all"), "n")), same("all")) if keyed else pairs.crossJoin(sizes)
+    for c in ("x", "y"):
+        upto = running_total(pairs.groupBy(*keyed, c).agg(F.sum("c").alias("held")), F.col("held"), keyed, [c], "upto")
+        rank = upto.select(*named(c), F.col(c).alias(f"{c}_value"), (F.col("upto") - (F.col("held") - 1) / 2).alias(f"{c}_rank"))
+        ranked = ranked.join(rank, [*same(c), F.col(c) == F.col(f"{c}_value")]).withColumn(f"{c}_off", F.col(f"{c}_rank") - (F.col("n") + 1) / 2)
+    sums = {name: F.sum(F.col("c") * F.col(f"{a}_off") * F.col(f"{b}_off")).alias(name) for name, a, b in (("sxx", "x", "x"), ("syy", "y", "y"), ("sxy", "x", "y"))}
+    found = ranked.groupBy(*keyed).agg(F.sum("c").alias("n"), *sums.values())
+    return found.select(*[F.col(n).alias(k) for k, n in zip(by, keyed)], "n", *sums)
+
+
 def exact_quantiles(df: DataFrame, value: str, keys: Sequence[str], at: Sequence[float], into: str = "q") -> DataFrame:
     """Per key: `into`, the array of the exact quantiles at `at`, linear between neighbours. A key without values has no row."""
     ranks = value_ranks(df, value, keys)

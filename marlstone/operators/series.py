@@ -11,8 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from marlstone.functions.scalars import correlation
-
 
 def trailing(keys: Sequence[str], order: Sequence[str], rows: int) -> WindowSpec:
     """The current row and the rows before it, `rows` in all."""
@@ -106,18 +104,18 @@ def winsorize(df: DataFrame, value: str, keys, low: float, high: float) -> DataF
 
 
 def rank_correlation(df: DataFrame, x: str, y: str, by) -> DataFrame:
-    """Per group of `by`: ic, Spearman's correlation with average ranks for ties, and n; null for fewer than three rows."""
-
-    def ranks(c):
-        w = Window.partitionBy(*by)
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
+    """Per group of `by`: ic, Spearman's correlation with average ranks for ties, and n; null for fewer than three rows. No task holds a whole group."""
+    from marlstone.operators.running import rank_moments
 
-    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": ranks(x), "_y": ranks(y)})
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation(F.col("_x"), F.col("_y")).alias("ic")).withColumn("ic", F.when(F.col("n") >= 3, F.col("ic")))
+    ic = F.try_divide(F.col("sxy"), F.nullif(F.sqrt("sxx") * F.sqrt("syy"), F.lit(0.0)))
+    return rank_moments(df, x, y, by).select(*by, "n", F.when(F.col("n") >= 3, ic).alias("ic"))
 
 
 def volume_bars(df: DataFrame, price: str, quantity: str, keys, order, size: float) -> DataFrame:
     """Bars of about `size` of quantity per key: open, close, average price by quantity, quantity. A row belongs to the bar in which its quantity begins."""
+    from marlstone.operators.running import share_of
+
+    df = df.repartition(share_of(df), *keys)
     so_far = F.sum(quantity).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(quantity)
     at = F.struct(*order)
     return (
