@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions.scalars import log
 from marlstone.operators import decay as D
 from marlstone.operators import fractal as FR
 from marlstone.operators import halo as H
@@ -11,6 +12,7 @@ from marlstone.operators import models as M
 from marlstone.operators import modes as D2
 from marlstone.operators import portfolio as P
 from marlstone.operators import regimes as R
+from marlstone.operators import running as U
 from marlstone.operators import signals as G
 from marlstone.operators import statespace as SP
 from marlstone.operators import windows as W
@@ -95,7 +97,8 @@ def fluctuation_exponents(spark, sf_dir):
 
 def window_exponents(spark, sf_dir):
     """Of the log returns of each event type's values, windows of 256 every 60 rows."""
-    rows = W.returns(events(spark, sf_dir), "value", ["event_type"], ORDER).select(ID, "ts", "event_type", "logret")
+    rows = U.lagged(events(spark, sf_dir), "value", ["event_type"], ORDER, "before")
+    rows = rows.select(ID, "ts", "event_type", (log(F.col("value")) - log(F.col("before"))).alias("logret"))
     found = FR.window_exponents(rows, "logret", ["event_type"], ORDER)
     return rounded(found.select("event_type", "window", ID, *[F.col("h")[i].alias(f"h{i + 1}") for i in range(7)]), "event_type", "window", ID).withColumn("regime", FR.regime(F.col("h1"), F.col("h4"), F.col("h7")))
 
