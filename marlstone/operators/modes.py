@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.columns import cut, joined
 from marlstone.functions.stored import stored
+from marlstone.operators.chunks import SHARE
 from marlstone.operators.signals import merge_alike, permutation_entropy
 
 
@@ -87,15 +90,21 @@ def height_dimension(v: np.ndarray) -> float:
     return float(np.polyfit(np.log(sizes), np.log(counts), 1)[0])
 
 
+def known(v: np.ndarray) -> np.ndarray:
+    """Values that are not finite as the last finite one before, 0 at first."""
+    at = np.maximum.accumulate(np.where(np.isfinite(v), np.arange(len(v)), -1))
+    return np.where(at >= 0, v[at], 0.0)
+
+
 def _as_rows(df: DataFrame, value: str, keys, order) -> DataFrame:
     """(key_0, ..., v, rows): one row a series, its values (missing ones as the one before, 0 at first) and its rows in order."""
     named = df.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.struct(F.struct(*order).alias("at"), F.col(value).cast("double").alias("v"), F.struct("*").alias("row")).alias("item"))
     packed = named.groupBy(*[f"key_{i}" for i in range(len(keys))]).agg(F.sort_array(F.collect_list("item")).alias("items"))
 
-    def filled(series: pd.Series) -> pd.Series:
-        return pd.Series([pd.Series(v, dtype=float).replace([np.inf, -np.inf], np.nan).ffill().fillna(0.0).tolist() for v in series], dtype=object)
+    def filled(series: pa.Array) -> pa.Array:
+        return joined([{"v": known(v)} for v in cut(series)], {"v": "double"}).field("v")
 
-    return packed.select(*[f"key_{i}" for i in range(len(keys))], F.monotonically_increasing_id().alias("series"), F.pandas_udf(filled, "array<double>")(F.transform("items", lambda x: x["v"])).alias("v"), F.transform("items", lambda x: x["row"]).alias("rows"))
+    return packed.select(*[f"key_{i}" for i in range(len(keys))], F.monotonically_increasing_id().alias("series"), F.arrow_udf(filled, "array<double>")(F.transform("items", lambda x: x["v"])).alias("v"), F.transform("items", lambda x: x["row"]).alias("rows"))
 
 
 def mode_decomposition(df: DataFrame, value: str, keys, order, most: int = 9, rounds: int = 10, stop: float = 0.2, trials: int = 0, noise: float = 0.2, least_dimension: float = 1.22, abnormal: int = 9) -> DataFrame:
@@ -109,41 +118,43 @@ def mode_decomposition(df: DataFrame, value: str, keys, order, most: int = 9, ro
     table = stored(_as_rows(df, value, keys, order), "series")
     names = [c for c in table.columns if c.startswith("key_")]
     taken = abnormal if trials else 0
+    total = table.agg(F.sum(F.size("v"))).first()[0] or 0
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = table.select("series", F.xxhash64(*names, F.lit(7)).alias("seed"), F.col("v").alias("rest"), F.array().cast("array<array<double>>").alias("found"), F.lit(bool(trials)).alias("going"))
 
-    def pair(rest: pd.Series, seed: pd.Series, trial: pd.Series) -> pd.Series:
+    def pair(rest: pa.Array, seed: pa.Array, trial: pa.Array) -> pa.Array:
         out = []
-        for v, s, t in zip(rest, seed, trial):
-            v = np.asarray(v, float)
+        for v, s, t in zip(cut(rest), seed.to_pylist(), trial.to_pylist()):
             e = np.random.default_rng([abs(int(s)), int(t)]).standard_normal(len(v)) * noise * v.std()
-            out.append(((sifted(v + e, rounds, stop) + sifted(v - e, rounds, stop)) / 2).tolist())
-        return pd.Series(out, dtype=object)
+            out.append({"v": (sifted(v + e, rounds, stop) + sifted(v - e, rounds, stop)) / 2})
+        return joined(out, {"v": "double"}).field("v")
 
     for turn in range(taken):
         state = stored(state, "modes")
         runs = state.filter("going").select("series", "rest", F.hash("seed", F.lit(turn)).cast("long").alias("seed"), F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
         if not runs.limit(1).count():
             break
-        modes = runs.repartition("series", "trial").select("series", F.posexplode(F.pandas_udf(pair, "array<double>")("rest", "seed", "trial")).alias("i", "x"))
+        modes = runs.repartition(max(least, -(-total * trials // SHARE)), "series", "trial").select("series", F.posexplode(F.arrow_udf(pair, "array<double>")("rest", "seed", "trial")).alias("i", "x"))
         mean = modes.groupBy("series", "i").agg(F.avg("x").alias("x")).groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mode"))
         rough = F.pandas_udf(lambda s: pd.Series([height_dimension(np.asarray(v, float)) > least_dimension for v in s]), "boolean")
-        judged = mean.select(F.col("series").alias("own"), "mode", rough("mode").alias("rough"))
+        judged = mean.select(F.col("series").alias("own"), "mode", rough("mode").alias("rough")).hint("merge")
         both = state.join(judged, F.col("series") == F.col("own"), "left").withColumn("rough", F.coalesce("rough", F.lit(False)))
         state = both.select(
             "series", "seed", F.when(F.col("rough"), F.zip_with("rest", "mode", lambda a, b: a - b)).otherwise(F.col("rest")).alias("rest"),
             F.when(F.col("rough"), F.concat("found", F.array("mode"))).otherwise(F.col("found")).alias("found"), F.col("rough").alias("going"),
         )
 
-    def whole(rest: pd.Series, found: pd.Series) -> pd.Series:
+    def whole(rest: pa.Array, found: pa.Array) -> pa.Array:
         out = []
-        for v, rough in zip(rest, found):
-            v = np.asarray(v, float)
+        for v, rough in zip(cut(rest), cut(found)):
             *modes, left = decomposed(v, most, rounds, stop)
-            modes = [*(np.asarray(m, float) for m in rough), *modes]
-            out.append(np.stack([*modes, *[np.zeros(len(v))] * (taken + most - len(modes)), left], axis=1).tolist())
-        return pd.Series(out, dtype=object)
+            modes = [*rough.reshape(-1, len(v)), *modes]
+            out.append({"modes": np.stack([*modes, *[np.zeros(len(v))] * (taken + most - len(modes)), left], axis=1)})
+        return joined(out, {"modes": "array<double>"}).field("modes")
 
-    split = state.select(F.col("series").alias("own"), F.pandas_udf(whole, "array<array<double>>")("rest", "found").alias("modes"))
+    # Stored, so that later steps, which read the modes more than once, do not sift again.
+    dealt = state.repartition(max(least, -(-total // SHARE)), "series")
+    split = stored(dealt.select(F.col("series").alias("own"), F.arrow_udf(whole, "array<array<double>>")("rest", F.flatten("found")).alias("modes")), "split")
     one = table.join(split, F.col("series") == F.col("own")).select(F.explode(F.arrays_zip("rows", "modes")).alias("one"))
     return one.select(*[F.col(f"one.rows.`{c}`") for c in df.columns if c != "modes"], F.col("one.modes").alias("modes"))
 
@@ -152,9 +163,10 @@ def merged_modes(modes: DataFrame, keys, order, tolerance: float = 0.1, m: int =
     """keys, order, component, x: the modes of mode_decomposition() in long form, neighbours whose permutation entropies differ by less than `tolerance` added up. Modes that are 0 throughout a series are left out; series too short for an entropy are one component."""
     long = modes.select(*keys, *[c for c in order if c not in keys], F.posexplode("modes").alias("mode", "x"))
     used = Window.partitionBy(*keys, "mode")
-    long = long.withColumn("_used", F.max(F.abs("x")).over(used)).filter("_used > 0").drop("_used")
+    long = stored(long.withColumn("_used", F.max(F.abs("x")).over(used)).filter("_used > 0").drop("_used"), "long")
     disorder = merge_alike(permutation_entropy(long, "x", [*keys, "mode"], order, m), keys, "mode", "entropy", tolerance)
-    numbered = long.join(disorder.select(*keys, "mode", "merged"), [*keys, "mode"], "left")
+    # A row a series and mode grows with the table: never gathered in the driver to be broadcast.
+    numbered = long.join(disorder.select(*keys, "mode", "merged").hint("merge"), [*keys, "mode"], "left")
     return numbered.groupBy(*keys, *[c for c in order if c not in keys], F.coalesce("merged", F.lit(0)).cast("int").alias("component")).agg(F.sum("x").alias("x"))
 
 
@@ -165,6 +177,7 @@ def component_forecasts(components: DataFrame, keys, order, lags: int = 5, share
     with coefficients of its own for each number of component (numbers from the ninth on share theirs). Rows with less than `lags` before them are left out.
     """
     own = [c for c in order if c not in keys]
+    components = stored(components, "components")  # read by the fit and by the forecasts
     w = Window.partitionBy(*keys, "component").orderBy(*order)
     whole = Window.partitionBy(*keys, "component")
     rows = components.withColumn("is_train", F.row_number().over(w) <= F.floor(share * F.count("*").over(whole)))
