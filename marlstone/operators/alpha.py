@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.stored import stored
 from marlstone.operators import decay as D
 from marlstone.operators import halo as H
 from marlstone.operators import labels as L
@@ -68,6 +69,7 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, keys, order,
     from pyspark.ml.functions import vector_to_array
 
     rows = P.embargoed_folds(df.select(*keys, *order, *features, F.col(label).alias("label")), keys, order, folds, embargo)
+    rows = stored(rows, "folds")  # read three times a fold
     rows = VectorAssembler(inputCols=list(features), outputCol="vector", handleInvalid="skip").transform(rows).withColumn("target", (F.col("label") > 0).cast("double"))
     out = None
     for fold in range(folds):
