@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from marlstone.llm.shared import HASHES, remove, store, words_of
 
 ORDER, MOST_ORDER, GOOD = 3, 7, 5
-CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 600_000
+CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 300_000
+#: Texts that a worker is handed at once: Arrow's buffers for larger batches stay with the executor to its end.
+TEXTS = 500
 #: Rows of the table whose n-grams are shuffled together: larger groups repeat fewer word numbers.
-GROUP = 4
+GROUP = 6
 #: A word that comes more than HOT * bucket_tokens times is spread over rows.
-HOT = 1.5
+HOT = 3
 #: A word with a greater share than 1 / BALANCE is spread, so that no task has much more to do than others.
 BALANCE = 150
 #: Frequent words that a partition of the words reports to size the spread part of the table.
@@ -534,7 +536,7 @@ def score_texts(docs: DataFrame, *, key="doc_id", text="text", held_out=(7, 2),
     name = F.col(key).cast("string")
     held = F.pmod(F.crc32(F.coalesce(name, F.lit("")).cast("binary")), F.lit(mod)) == out
     rows = docs.select(name.alias("key"), held.alias("held_out"), F.col(text).alias("text"))
-    texts = store(rows.mapInPandas(chunks(chunk_tokens), CHUNK), "lm-chunks")
+    texts = store(rows.mapInPandas(chunks(chunk_tokens), CHUNK), "lm-chunks", TEXTS)
 
     def as_request(batches):
         for batch in batches:

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from marlstone.llm import katz
 from marlstone.llm.katz import GOOD, count_of_counts, discounts, score_texts
 
 
@@ -88,3 +89,14 @@ def test_odd_rows(spark):
     assert score_texts(docs.limit(0)).count() == 0
     only_held = spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in score_texts(only_held).collect()} == {(0, 0, 0.0, 0.0)}
+
+
+def test_texts_are_handed_over_in_small_batches(spark, monkeypatch):
+    """A batch of 10,000 whole texts stays in the executor's Arrow buffers; a row of the table has no more n-grams than half a group of before."""
+    taken, write = {}, katz.store
+    monkeypatch.setattr(katz, "store", lambda df, label, rows=None: (taken.setdefault(label, rows), write(df, label, rows))[1])
+    docs = spark.createDataFrame([(i, f"a b {i % 7}") for i in range(40)], "doc_id long, text string")
+    assert katz.score_texts(docs).count() == 40
+    assert taken["lm-chunks"] is not None and taken["lm-chunks"] <= 1000
+    tokens = np.full(5000, 1000)
+    assert max(np.add.reduceat(tokens, katz.slices(tokens, katz.BUCKET_TOKENS))) <= 301_000
