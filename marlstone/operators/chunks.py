@@ -49,6 +49,8 @@ class Chunks:
         within = F.row_number().over(Window.partitionBy(*self.keys, "part").orderBy("at")) - 1
         placed = placed.withColumn("piece", F.floor(within / size))
         packed = placed.groupBy(*self.keys, "part", "piece").agg(F.sort_array(F.collect_list(F.struct("at", "v", "row"))).alias("items"))
+        # Ranges of a long series are few: unless its chunks are dealt out, few tasks do every pass, with all rows of a range each.
+        packed = packed.repartition(self.shares, *self.keys, "part", "piece")
         self.packed = stored(
             packed.select(F.monotonically_increasing_id().alias("chunk"), *self.keys, F.struct("part", "piece").alias("place"), F.flatten(F.transform("items", lambda x: x["v"])).alias("data"), F.transform("items", lambda x: x["row"]).alias("rows")), "chunks"
         )

@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.stored import remove, stored
 from marlstone.operators.chunks import Chunks, pack, reduced, unpack
+from marlstone.operators.running import row_numbers
 
 
 def times(a, b):
@@ -303,9 +305,15 @@ def regime_regression(df: DataFrame, features, y: str, keys, order, states: int
 
 def walk_forward(df: DataFrame, features: Sequence[str], y: str, keys, order, *, states: int = 3, share: float = 0.7, rounds: int = 80, ridge: float = 1e-3, intercept: bool = False) -> DataFrame:
     """Adds is_train (the first `share` of a series) and the columns of markov_regression(), fitted on those rows alone, on features standardised by their mean and deviation over them: guess on the rest is what could have been known."""
-    w = Window.partitionBy(*keys)
-    parted = df.withColumn("is_train", F.row_number().over(w.orderBy(*order)) <= F.floor(share * F.count("*").over(w)))
-    stats = parted.filter("is_train").groupBy(*keys).agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.nullif(F.stddev_pop(c), F.lit(0.0)).alias("sd")).alias(f"f{i}") for i, c in enumerate(features)]).alias("_stats"))
-    scaled = parted.join(stats, list(keys)).withColumns({f"_z{i}": F.coalesce((F.col(c) - F.col(f"_stats.f{i}.m")) / F.col(f"_stats.f{i}.sd"), F.when(F.col(c).isNotNull(), 0.0)) for i, c in enumerate(features)})
+    own = [f"own_{i}" for i in range(len(keys))]
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)]
+    numbered = stored(row_numbers(df, keys, order, "_at"), "numbered")
+    sizes = numbered.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own)]).agg(F.count("*").alias("_rows"))
+    parted = numbered.join(sizes, same).withColumn("is_train", F.col("_at") <= F.floor(share * F.col("_rows"))).drop("_at", "_rows", *own)
+    stats = parted.filter("is_train").groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own)]).agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.nullif(F.stddev_pop(c), F.lit(0.0)).alias("sd")).alias(f"f{i}") for i, c in enumerate(features)]).alias("_stats"))
+    scaled = parted.join(stats, same, "left").drop(*own).withColumns({f"_z{i}": F.coalesce((F.col(c) - F.col(f"_stats.f{i}.m")) / F.col(f"_stats.f{i}.sd"), F.when(F.col(c).isNotNull(), 0.0)) for i, c in enumerate(features)})
+    scaled = stored(scaled.drop("_stats"), "scaled")  # read three times to be cut into chunks
+    remove(numbered)
     found = markov_regression(scaled, [f"_z{i}" for i in range(len(features))], y, keys, order, states=states, rounds=rounds, ridge=ridge, intercept=intercept, train=F.col("is_train"))
-    return found.drop("_stats", *[f"_z{i}" for i in range(len(features))])
+    remove(scaled)
+    return found.drop(*[f"_z{i}" for i in range(len(features))])

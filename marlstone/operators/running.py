@@ -52,6 +52,28 @@ def lagged(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str],
     return found.select("row.*", F.coalesce("within", "come")["x"].alias(into))
 
 
+def neighbours(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], into: dict[str, int]) -> DataFrame:
+    """Adds a column for each of `into` (name: offset): the value so many rows ahead, or before if the offset is negative, as F.lead and F.lag over a window of the key. What lies beyond a range comes from the rows at the ends of the ranges next to it. Null keys are a key."""
+    most = max(map(abs, into.values()))
+    keyed = [f"key_{i}" for i in range(len(keys))]
+    rows = df.drop(*into).select(F.struct("*").alias("row"), *[F.col(k).alias(n) for k, n in zip(keys, keyed)], F.struct(*order).alias("at"), F.struct(F.col(value).alias("x")).alias("v"))
+    placed = stored(rows.repartitionByRange(share_of(df), *keyed, "at").withColumn("part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy(*keyed, "part").orderBy("at")
+    held = placed.withColumns({"i": F.row_number().over(w)} | {f"l{k}": F.lag("v", k).over(w) for k in range(1, most + 1)} | {f"r{k}": F.lead("v", k).over(w) for k in range(1, most + 1)})
+    # The last `most` rows of a range lie in its last row's lags, the first ones in its first row's leads. A range that holds a key has a row of it, so `most` ranges on a side are enough.
+    last = F.array(*[F.col(f"l{k}") for k in range(most - 1, 0, -1)], F.col("v"))
+    first = F.array(F.col("v"), *[F.col(f"r{k}") for k in range(1, most)])
+    ends = held.groupBy(*keyed, "part").agg(F.max_by(last, "at").alias("last"), F.min_by(first, "at").alias("first"), F.count("*").alias("n"))
+    w_part = Window.partitionBy(*keyed).orderBy("part")
+    near = lambda c, a, b: F.filter(F.flatten(F.collect_list(c).over(w_part.rowsBetween(a, b))), lambda v: v.isNotNull())
+    starts = ends.select(*[F.col(k).alias(f"own_{k}") for k in keyed], F.col("part").alias("own_part"), "n", near("last", -most, -1).alias("come"), near("first", 1, most).alias("go"))
+    same = [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keyed]
+    found = held.join(starts, [*same, F.col("part") == F.col("own_part")])
+    back = lambda k: F.when(F.col("i") > k, F.col(f"l{k}")).otherwise(F.try_element_at("come", (F.col("i") - 1 - k).cast("int")))
+    ahead = lambda k: F.when(F.col("i") + k <= F.col("n"), F.col(f"r{k}")).otherwise(F.try_element_at("go", (F.col("i") + k - F.col("n")).cast("int")))
+    return found.select("row.*", *[(ahead(k) if k > 0 else back(-k))["x"].alias(c) for c, k in into.items()])
+
+
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str = "i") -> DataFrame:
     """Adds `into`: 1, 2, ... in the order of `order` within each key."""
     return running_total(df, F.lit(1).cast("long"), keys, order, into)

@@ -19,6 +19,21 @@ def test_lags_cross_ranges(spark, monkeypatch):
     assert got == want
 
 
+def test_neighbours_cross_ranges(spark, monkeypatch):
+    monkeypatch.setattr(running, "RANGE", 9)
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 7 == 0 else "abc"[i % 3] if i % 50 else "z", i, None if i % 11 == 0 else float(rng.normal())) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, t int, v double").repartition(5)
+    offsets = {"b1": -1, "b2": -2, "a1": 1, "a3": 3}
+    got = {r.t: tuple(r[c] for c in offsets) for r in running.neighbours(df, "v", ["k"], ["t"], offsets).collect()}
+    want = {}
+    for key in {k for k, _, _ in rows}:
+        own = [(t, v) for k, t, v in rows if k == key]
+        for i, (t, _) in enumerate(own):
+            want[t] = tuple(own[i + o][1] if 0 <= i + o < len(own) else None for o in offsets.values())
+    assert got == want
+
+
 def test_rank_correlation_equals_a_plain_one(spark, monkeypatch):
     monkeypatch.setattr(running, "RANGE", 40)
     rng = np.random.default_rng(4)

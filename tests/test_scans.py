@@ -213,6 +213,25 @@ def test_walk_forward_knows_no_later_row(spark):
     assert np.mean([int(r.path) == s for r, s in zip(a, truth)]) > 0.97 and np.mean([int(r.path) == s for r, s in list(zip(a, truth))[280:]]) > 0.95
 
 
+def test_walk_forward_keeps_every_series_and_sorts_none_in_one_task(spark):
+    rows, _ = switching(60, 7, 2)
+    df = frame(spark, {"a": rows, "b": rows[:1]}, ["x", "y"]).unionByName(frame(spark, {"c": rows[:40]}, ["x", "y"]).withColumn("k", F.lit(None).cast("string")))
+    found = regimes.walk_forward(df, ["x"], "y", ["k"], ["t"], states=2, rounds=2, intercept=True)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = by_key(found)
+    assert {k: len(v) for k, v in got.items()} == {"a": 60, "b": 1, None: 40}
+    assert got["b"][0].guess is None and not got["b"][0].is_train
+    assert sum(r.is_train for r in got[None]) == 28 and all(r.guess is not None for r in got[None])
+
+
+def test_chunks_are_dealt_out(spark):
+    """Two long series: the passes have no task with most of the rows."""
+    rows = spark.range(40000).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"), F.rand(1).alias("v"))
+    made = chunks.Chunks(rows, [F.col("v")], ["k"], ["t"], 100)
+    sizes = [r.n for r in made.packed.groupBy(F.input_file_name()).agg(F.sum(F.size("data")).alias("n")).collect()]
+    assert len(sizes) == made.shares and max(sizes) < 0.4 * 40000
+
+
 def test_means_and_variances_that_switch(spark):
     r = np.random.default_rng(3)
     y = np.concatenate([r.normal(0, 1, 150), r.normal(6, 0.3, 150)])
