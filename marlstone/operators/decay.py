@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.windows import decayed_mean
@@ -70,6 +70,28 @@ def weighted_mean(df: DataFrame, value: str, keys, order, span: float) -> DataFr
     return rows.withColumn("ewm_sd", sd).drop("_m2", "_bias")
 
 
+def decayed_sums(df: DataFrame, values: dict[str, str], keys, order, keep: float, number: Column | None = None) -> DataFrame:
+    """Adds a column for each of `values` (name: column): the sum of the column up to the row, a row's value weighing keep^age, 0 < keep < 1. Nulls count 0, and rows where all of `values` are null have no age.
+
+    Running sums of rescaled values within buckets, over which weights fall by exp(-SPAN), and what the two buckets before hold, as in weighted_mean().
+    number: how many rows with an age there are up to the row, where that is known.
+    """
+    rows_of = max(1, math.floor(SPAN / -math.log(keep)))
+    if number is None:
+        number = F.count(F.coalesce(*values.values())).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    given = [c for c in df.columns if c not in values]
+    rows = df.select(F.struct(*given).alias("_row"), F.struct(F.lit(0), *keys).alias("_k"), F.struct(*order).alias("_at"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_v{i}") for i, c in enumerate(values.values())], number.alias("_n"))
+    rows = rows.withColumns({"_b": F.floor((F.col("_n") - 1) / rows_of), "_i": F.pmod(F.col("_n") - 1, F.lit(rows_of))})
+    within = Window.partitionBy("_k", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    terms = [F.col(f"_v{i}") / F.pow(F.lit(keep), F.col("_i")) for i in range(len(values))]
+    ends = rows.groupBy("_k", "_b").agg(*[(F.sum(t) * keep**rows_of).alias(f"_end{i}") for i, t in enumerate(terms)])
+    w_bucket = Window.partitionBy("_k").orderBy("_b")  # every bucket up to the last has rows; what comes before the first row with an age is 0
+    end = lambda i, back: F.coalesce(F.lag(f"_end{i}", back).over(w_bucket), F.lit(0.0))
+    ends = ends.select("_k", "_b", *[(end(i, 1) + end(i, 2) * keep**rows_of).alias(f"_before{i}") for i in range(len(values))])
+    rows = rows.withColumns({f"_own{i}": F.sum(t).over(within) for i, t in enumerate(terms)}).join(ends, ["_k", "_b"], "left")
+    return rows.select("_row.*", *[(F.pow(F.lit(keep), F.col("_i")) * (F.col(f"_own{i}") + F.col(f"_before{i}"))).alias(n) for i, n in enumerate(values)])
+
+
 def online_slope(df: DataFrame, x: str, y: str, keys, order, alpha: float = 0.05, ridge: float = 1e-6) -> DataFrame:
     """Adds beta: the decayed mean of x * y over that of x * x plus `ridge`, rows before the current one only, so that beta * x is a forecast."""
     df = df.withColumns({"_xx": F.col(x) * F.col(x), "_xy": F.col(x) * F.col(y)})

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.scalars import correlation
 from marlstone.functions.stored import stored
-from marlstone.operators.decay import decayed_flow, power_law_mixture
+from marlstone.operators.decay import decayed_flow, decayed_sums, power_law_mixture
 from marlstone.operators.models import metaorders
 from marlstone.operators.series import as_of
-from marlstone.operators.windows import decayed_mean
 
 
 def concave(sign: Column, quantity: Column, power: float = 0.5) -> Column:
@@ -92,13 +91,9 @@ def flow_engine(
     start = 1e-6  # what the mean of squares begins with
     signal = signal.withColumns({"seen": F.count("y").over(w.rowsBetween(Window.unboundedPreceding, 0)), "xx": F.when(F.col("y").isNotNull(), F.col("x") * F.col("x")), "xy": F.col("x") * F.col("y")})
     signal = stored(signal, "flow-signal")
-    known = signal.filter("y IS NOT NULL")
-    # Decayed means that begin with 0, not with the first value.
-    known = known.withColumns({"mxx": decayed_mean("xx", keys, [time], alpha), "mxy": decayed_mean("xy", keys, [time], alpha), "x1": F.first("xx").over(w), "y1": F.first("xy").over(w)})
-    rest = F.pow(F.lit(1 - alpha), F.col("seen"))
-    known = known.withColumns({"mxx": F.col("mxx") - rest * F.col("x1") + rest * start, "mxy": F.col("mxy") - rest * F.col("y1")})
-    beta = known.select(*keys, time, (F.col("mxy") / (F.col("mxx") + ridge)).alias("b"))
-    rows = signal.join(beta, [*keys, time], "left").withColumn("b", F.coalesce(F.last("b", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    # Decayed means that begin with 0, not with the first value: no row looks back over a frame of rows. Rows without y have no age, so they keep the last one's.
+    rows = decayed_sums(signal, {"mxx": "xx", "mxy": "xy"}, keys, [time], 1 - alpha, F.col("seen"))
+    rows = rows.withColumn("b", alpha * F.col("mxy") / (alpha * F.col("mxx") + F.pow(F.lit(1 - alpha), F.col("seen")) * start + ridge))
     rows = rows.withColumns({"guess": F.col("b") * F.col("x"), "price_now": F.greatest(F.col("mid"), F.lit(1e-6)), "half": (F.col("ask") - F.col("bid")) / tick / 2})
     open_now = (2 * F.col("half") <= widest) & (F.col("bid_sz") + F.col("ask_sz") >= least_depth) & F.col("y").isNotNull() & (F.abs("guess") > (F.col("half") + slip_ticks) * tick / F.col("price_now"))
     rows = rows.withColumn("traded", F.coalesce(open_now, F.lit(False)))
