@@ -28,13 +28,15 @@ def model_samples(
     out = W.returns(df.select(*keys, *order, F.col(value).alias("close")), "close", keys, order).withColumn("raw", F.coalesce("logret", F.lit(0.0))).select(*keys, *order, "close", "raw")
     out = S.winsorize(out, "raw", keys, share, 1 - share).withColumnRenamed("clipped", "ret").drop("raw")
     out = D.weighted_mean(out, "ret", keys, order, span).withColumnRenamed("ewm_sd", "ewm_vol").drop("ewm")
+    # The steps that deal rows anew carry narrow ones; what is wide comes last, from windows of one shuffle.
+    out = stored(out.select(*keys, *order, "close", "ret", "ewm_vol"), "samples")
+    out = H.self_excitation(W.exceedances(out, "ret", "ewm_vol", theta), "event", keys, order, lags).drop("event", "slope")
+    out = L.triple_barrier(out.withColumnRenamed("ret", "own_return"), "close", "ewm_vol", keys, order, up, down, horizon).drop("ret", "t_hit")
     out = L.pre_averaged_variance(out, "close", keys, order, average, rows)
     out = W.drift_burst(W.hurst(out, "close", keys, order, rows), "close", keys, order, blocks, block_rows).withColumnRenamed("burst", "drift_z")
-    out = H.self_excitation(W.exceedances(out, "ret", "ewm_vol", theta), "event", keys, order, lags).drop("event", "slope")
     out = W.signature(out, "close", keys, order, path)
     names = ("ewm_vol", "pav_rv", "hurst", "drift_z", "intensity", *PATH)
-    labelled = L.triple_barrier(out.withColumnRenamed("ret", "own_return"), "close", "ewm_vol", keys, order, up, down, horizon)
-    return labelled.select(*keys, *order, F.col("own_return").alias("ret"), *names, "label")
+    return out.select(*keys, *order, F.col("own_return").alias("ret"), *names, "label")
 
 
 def wavelet_clusters(df: DataFrame, value: str, keys, order, rows: int = 3600, step: int = 60, clusters: int = 4, levels: int = 5, seed: int = 42) -> DataFrame:
