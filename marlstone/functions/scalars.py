@@ -34,9 +34,9 @@ def quotient(a: Column, b: Column) -> Column:
 
 
 def log(c: Column, zeros: bool = False) -> Column:
-    """Null unless c is positive; with `zeros`, minus infinity where c is 0."""
+    """Null unless c is positive; with `zeros`, as IEEE arithmetic has it: minus infinity where c is 0, NaN below."""
     positive = F.when(c > 0, F.ln(c))
-    return positive.when(c == 0, float("-inf")) if zeros else positive
+    return positive.when(c == 0, float("-inf")).when(c < 0, float("nan")) if zeros else positive
 
 
 def rounded_half(c: Column, places: int) -> Column:

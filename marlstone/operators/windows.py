@@ -24,7 +24,7 @@ def running(keys, order):
 
 
 def returns(df: DataFrame, value: str, keys, order, lag: int = 1, zeros: bool = False) -> DataFrame:
-    """Adds diff, pct (null after a zero) and logret (null unless both values are positive) over `lag` rows. With `zeros` the log of 0 is minus infinity."""
+    """Adds diff, pct (null after a zero) and logret (null unless both values are positive) over `lag` rows. With `zeros` the log of 0 is minus infinity, of less NaN."""
     c, before = F.col(value), F.lag(value, lag).over(ordered(keys, order))
     return df.withColumns({"diff": c - before, "pct": ratio(c, before) - 1, "logret": log(c, zeros) - log(before, zeros)})
 
@@ -153,7 +153,7 @@ def hurst(df: DataFrame, value: str, keys, order, rows: int, scales=(1, 2, 4, 8,
 
 
 def drift_burst(df: DataFrame, value: str, keys, order, blocks: int, rows: int, zeros: bool = False) -> DataFrame:
-    """Adds burst: mean over sd (population) of the mean steps in `blocks` blocks of `rows` rows of the detrended log value, held in +-5; 0 until the window is full. With `zeros` the log of 0 is minus infinity, and bursts over it are NaN, held at 5."""
+    """Adds burst: mean over sd (population) of the mean steps in `blocks` blocks of `rows` rows of the detrended log value, held in +-5; 0 until the window is full. With `zeros` the log of 0 is minus infinity, of less NaN, and bursts over them are NaN, held at 5."""
     w, size = ordered(keys, order), blocks * rows
     df = df.withColumn("_i", F.row_number().over(w).cast("double")).withColumn("_p", log(F.col(value), zeros))
     frame = trailing(keys, order, size)
@@ -169,7 +169,7 @@ def drift_burst(df: DataFrame, value: str, keys, order, blocks: int, rows: int,
 
 
 def signature(df: DataFrame, value: str, keys, order, rows: int, zeros: bool = False) -> DataFrame:
-    """Adds s1_* and s2_*_*: the sums of the steps, and of their products, of the path (time, log value, both one row before) over the trailing window. With `zeros` the log of 0 is minus infinity."""
+    """Adds s1_* and s2_*_*: the sums of the steps, and of their products, of the path (time, log value, both one row before) over the trailing window. With `zeros` the log of 0 is minus infinity, of less NaN."""
     w = ordered(keys, order)
     df = df.withColumn("_p", log(F.col(value), zeros)).withColumn("_x1", F.col("_p") - F.lag("_p").over(w))
     df = df.withColumns({"_x0": F.when(F.col("_x1").isNotNull(), F.lit(1.0 / (rows - 1))), "_x3": F.lag("_x1").over(w)}).withColumn("_x2", F.lag("_x0").over(w))
