@@ -69,7 +69,7 @@ def pre_averaged_variance(df: DataFrame, value: str, keys, order, span: int = 30
     """Adds pav_rv: the mean square of pre-averaged log returns of blocks of `span` rows within the last `rows`, the last one known.
 
     A block's return weighs its `span` - 1 steps by k / span - 1/2. Blocks end `span`, 2 * `span`, ... rows before the own
-    one, the newest left out; so a mean is taken over rows of one remainder of the row number, by one window. With `zeros` the log of 0 is minus infinity.
+    one, the newest left out; so a mean is taken over rows of one remainder of the row number, by one window. With `zeros` the log of 0 is minus infinity, of less NaN.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     logs = df.withColumns({"row_at": F.row_number().over(w) - 1, "log_value": log(F.col(value), zeros)})

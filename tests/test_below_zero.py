@@ -22,3 +22,10 @@ def test_paths_below_zero_are_whole_and_nan(spark):
     got = {r.t: r for r in windows.signature(df, "v", ["k"], ["t"], 3, zeros=True).collect()}
     assert same([got[t].s1_0 for t in range(2, 8)], [None, 1.0, 1.0, 1.0, 1.0, 1.0]) and same([got[t].s1_1 for t in range(3, 7)], [NAN, NAN, 0.0, 0.0])
     assert all(got[t].s1_0 is None for t in range(3)) and same([got[t].s1_3 for t in (4, 5, 6, 7)], [NAN, NAN, 0.0, 0.0])
+
+
+def test_variance_below_zero_is_nan(spark):
+    """Blocks of three steps of three rows weigh two steps by -1/6 and 1/6; row t takes the block of rows t - 5 to t - 3."""
+    df = series(spark, [1, 2, -3, 4, 4, 4, 4, 4, 8, 8])
+    got = [r.pav_rv for r in labels.pre_averaged_variance(df, "v", ["k"], ["t"], 3, 6, zeros=True).orderBy("t").collect()]
+    assert same(got, [None] * 6 + [NAN, NAN, 0.0, 0.0])
