@@ -29,3 +29,10 @@ def test_variance_below_zero_is_nan(spark):
     df = series(spark, [1, 2, -3, 4, 4, 4, 4, 4, 8, 8])
     got = [r.pav_rv for r in labels.pre_averaged_variance(df, "v", ["k"], ["t"], 3, 6, zeros=True).orderBy("t").collect()]
     assert same(got, [None] * 6 + [NAN, NAN, 0.0, 0.0])
+
+
+def test_log_returns_below_zero_are_nan(spark):
+    df = series(spark, [2, -1, 3, None, -0.0, 4])
+    got = windows.returns(df, "v", ["k"], ["t"], zeros=True).orderBy("t").collect()
+    assert same([r.logret for r in got], [None, NAN, NAN, None, None, INF]) and same([r.pct for r in got], [None, -1.5, -4.0, None, None, None])
+    assert same([r.logret for r in windows.returns(df, "v", ["k"], ["t"]).orderBy("t").collect()], [None] * 6)
