@@ -29,8 +29,8 @@ def ratio_or_zero(a: Column, b: Column) -> Column:
 
 
 def quotient(a: Column, b: Column) -> Column:
-    """a / b as IEEE arithmetic has it: by 0 an infinity, 0 / 0 NaN."""
-    return F.when(b != 0, F.try_divide(a, b)).when(b == 0, F.signum(a) * float("inf"))
+    """a / b as IEEE arithmetic has it: by 0 an infinity, of the other sign by minus 0, 0 / 0 NaN."""
+    return F.when(b != 0, F.try_divide(a, b)).when(b == 0, a * F.pow(b, F.lit(-1.0)))
 
 
 def log(c: Column, zeros: bool = False) -> Column:

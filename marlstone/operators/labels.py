@@ -11,12 +11,22 @@ from marlstone.operators.halo import OWN, Halo
 from marlstone.operators.joins import hops
 
 
+#: Below the sort key of every number.
+LOWEST = np.iinfo(np.int64).min
+
+
+def sort_keys(v: np.ndarray) -> np.ndarray:
+    """Integers in the order of v as SQL has it: NaN equals itself and is above all others, minus 0 equals 0. Their negatives have the opposite order."""
+    bits = (v + 0.0).view(np.int64)
+    return np.where(np.isnan(v), np.iinfo(np.int64).max, np.where(bits < 0, bits ^ np.iinfo(np.int64).max, bits))
+
+
 def highest(v: np.ndarray, span: int) -> list[np.ndarray]:
-    """At level k the greatest of the 2^k values from each place on, what lies beyond the end counting as -inf; levels up to `span` values."""
+    """At level k the greatest of the 2^k sort keys from each place on, what lies beyond the end counting as the lowest; levels up to `span` keys."""
     levels = [v]
     while len(levels) < span.bit_length():
         step = 1 << (len(levels) - 1)
-        levels.append(np.maximum(levels[-1], np.concatenate([levels[-1][step:], np.full(min(step, len(v)), -np.inf)])))
+        levels.append(np.maximum(levels[-1], np.concatenate([levels[-1][step:], np.full(min(step, len(v)), LOWEST)])))
     return levels
 
 
@@ -35,34 +45,42 @@ def triple_barrier(df: DataFrame, value: str, sigma: str, keys, order, up: float
 
     sigma is the last one known. label: 1 above, -1 below, 0 for neither; a row that touches both counts as above if it
     is the next one, as below otherwise. t_hit: the row (from 0) of the touch, or the last row looked at; ret: the
-    return up to it, null from 0 (with `zeros` an infinity, from 0 to 0 NaN). A key's last row has neither. Chunks of `own` rows carry the `horizon` rows behind them, and an index of
+    return up to it, null from 0 (with `zeros` an infinity, from 0 to 0 NaN). A key's last row has neither. NaN is missing as null is, and infinite
+    barriers are never touched; with `zeros` only null is missing, and NaN is above all numbers. Chunks of `own` rows carry the `horizon` rows behind them, and an index of
     maxima over powers of two finds a touch in as many steps as the horizon has bits.
     """
 
     size = own or max(OWN, 4 * horizon)
 
     def local(data, skip):
-        number, v, s = data.T
+        number, v, s, *gaps = data.T
         n, mine = len(data), np.flatnonzero(np.floor(number / size) == np.floor(number[skip] / size))
         price, width = v[mine], s[mine]
         last = np.minimum(mine + horizon, n - 1)
+        void, unknown = [g == 1 for g in gaps] if zeros else [np.isnan(v), np.isnan(s)]
+        told = ~(void | unknown)[mine]
 
-        def touch(series, bound):
-            bound = np.where(np.isfinite(bound), bound, np.inf)
-            at = first_reach(highest(np.where(np.isnan(series), -np.inf, series), horizon), mine + 1, bound)
-            return np.where((at <= last) & np.isfinite(bound), at, n)
+        def touch(way, share):
+            with np.errstate(over="ignore", invalid="ignore"):
+                bound = price * (1 + share * width)
+            at = first_reach(highest(np.where(void, LOWEST, way * sort_keys(v)), horizon), mine + 1, way * sort_keys(bound))
+            return np.where((at <= last) & (told if zeros else told & np.isfinite(bound)), at, n)
 
-        a, b = touch(v, price * (1 + up * width)), touch(-v, -(price * (1 - down * width)))
+        a, b = touch(1, up), touch(-1, -down)
         above = (a < n) & ((a < b) | (a == b) & (a == mine + 1))
         label = np.where(above, 1, np.where(b < n, -1, 0))
         hit = np.where(above, a, np.where(b < n, b, last))
-        return {"label": label, "t_hit": np.where(hit > mine, number[hit], np.nan), "ret": np.where(hit > mine, v[hit], np.nan)}
+        # A NaN that is no gap is told apart from null, as which it would be handed on.
+        return {"label": label, "t_hit": np.where(hit > mine, number[hit], np.nan), "ret": np.where(hit > mine, v[hit], np.nan)} | ({"_nan": (hit > mine) & np.isnan(v[hit]) & ~void[hit]} if zeros else {})
 
     w = Window.partitionBy(*keys).orderBy(*order)
     known = df.withColumn("_sigma", F.last(sigma, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    halo = Halo(known, F.array(F.col(value), F.col("_sigma")), 2, keys, order, 0, size, after=horizon, numbered=True)
-    found = halo.rows_with(local, {"label": "int", "t_hit": "double", "ret": "double"}).withColumns({"t_hit": F.col("t_hit").cast("int"), "ret": (quotient if zeros else ratio)(F.col("ret"), F.col(value)) - 1})
-    return found.drop("_sigma")
+    numbers = [F.col(value), F.col("_sigma"), *([F.col(c).isNull().cast("double") for c in (value, "_sigma")] if zeros else [])]
+    halo = Halo(known, F.array(*numbers), len(numbers), keys, order, 0, size, after=horizon, numbered=True)
+    found = halo.rows_with(local, {"label": "int", "t_hit": "double", "ret": "double"} | ({"_nan": "int"} if zeros else {}))
+    if zeros:
+        found = found.withColumn("ret", F.when(F.col("_nan") == 1, float("nan")).otherwise(F.col("ret")))
+    return found.withColumns({"t_hit": F.col("t_hit").cast("int"), "ret": (quotient if zeros else ratio)(F.col("ret"), F.col(value)) - 1}).drop("_sigma", "_nan")
 
 
 def pre_averaged_variance(df: DataFrame, value: str, keys, order, span: int = 30, rows: int = 1800, zeros: bool = False) -> DataFrame:

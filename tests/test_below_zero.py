@@ -36,3 +36,22 @@ def test_log_returns_below_zero_are_nan(spark):
     got = windows.returns(df, "v", ["k"], ["t"], zeros=True).orderBy("t").collect()
     assert same([r.logret for r in got], [None, NAN, NAN, None, None, INF]) and same([r.pct for r in got], [None, -1.5, -4.0, None, None, None])
     assert same([r.logret for r in windows.returns(df, "v", ["k"], ["t"]).orderBy("t").collect()], [None] * 6)
+
+
+def test_barriers_order_values_as_sql_does(spark):
+    """NaN is above every number and touches upper barriers; null touches none; a barrier of NaN is touched from below by all."""
+    df = series(spark, [10, None, NAN, -0.0, 5, NAN]).withColumn("s", F.lit(0.1))
+    got = labels.triple_barrier(df, "v", "s", ["k"], ["t"], 2.0, 1.5, 3, zeros=True).orderBy("t").collect()
+    assert [(r.label, r.t_hit) for r in got] == [(1, 2), (0, 4), (-1, 3), (1, 4), (1, 5), (0, None)]
+    assert same([r.ret for r in got], [NAN, None, NAN, -INF, NAN, None])
+    plain = labels.triple_barrier(df, "v", "s", ["k"], ["t"], 2.0, 1.5, 3).orderBy("t").collect()
+    assert [(r.label, r.t_hit) for r in plain][:2] == [(-1, 3), (0, 4)]
+
+
+def test_sort_keys_follow_the_order_of_sql():
+    import numpy as np
+
+    v = np.array([-INF, -1e300, -1.0, -1e-300, 0.0, 1e-300, 1.0, 1e300, INF, NAN])
+    keys = labels.sort_keys(v)
+    assert (np.diff(keys.astype(object)) > 0).all() and (np.diff((-keys).astype(object)) < 0).all() and keys.min() > labels.LOWEST and (-keys).min() > labels.LOWEST
+    assert labels.sort_keys(np.array([-0.0]))[0] == labels.sort_keys(np.array([0.0]))[0] and labels.sort_keys(np.array([-NAN]))[0] == keys[-1]
