@@ -52,11 +52,31 @@ class Chunks:
         # Ranges of a long series are few: unless its chunks are dealt out, few tasks do every pass, with all rows of a range each.
         packed = packed.repartition(self.shares, *self.keys, "part", "piece")
         self.packed = stored(
-            packed.select(F.monotonically_increasing_id().alias("chunk"), *self.keys, F.struct("part", "piece").alias("place"), F.flatten(F.transform("items", lambda x: x["v"])).alias("data"), F.transform("items", lambda x: x["row"]).alias("rows")), "chunks"
+            packed.select(F.monotonically_increasing_id().alias("chunk"), *self.keys, F.struct("part", "piece").alias("place"), F.size("items").alias("n"), F.flatten(F.transform("items", lambda x: x["v"])).alias("data"), F.transform("items", lambda x: x["row"]).alias("rows")), "chunks"
         )
 
-    def step(self, state: DataFrame | None, local: Local, across: Across) -> DataFrame:
-        """(chunk, s): local(matrix of a chunk's numbers, its s) sums up each chunk; across(the sums of a series' chunks, in order) gives each its next s. `state` goes, as it is no longer read."""
+    def parted(self, most: int) -> tuple[DataFrame, DataFrame]:
+        """(chunk, s) with an empty s for the chunks of series of at most `most` rows, and for those of longer ones."""
+        sizes = self.packed.select("chunk", F.sum("n").over(Window.partitionBy(*self.keys)).alias("all"), F.array().cast("array<double>").alias("s"))
+        return tuple(stored(sizes.filter(c).drop("all"), "scan") for c in (F.col("all") <= most, F.col("all") > most))
+
+    def whole(self, state: DataFrame, local: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+        """(chunk, s) of the chunks of `state`, which has all those of a series or none: local(matrices of the numbers of some series) gives each its s. A series lies in one row meanwhile. `state` goes."""
+        width = self.width
+
+        def results(data: pd.Series) -> pd.Series:
+            return pd.Series([x.tolist() for x in local([np.asarray(d).reshape(-1, width) for d in data])], dtype=object)
+
+        rows = self.packed.select("chunk", *self.keys, "place", "data").join(state.select("chunk"), "chunk")
+        series = rows.groupBy(*self.keys).agg(F.sort_array(F.collect_list(F.struct("place", "chunk", "data"))).alias("all"))
+        series = series.select(F.transform("all", lambda x: x["chunk"]).alias("chunks"), F.flatten(F.transform("all", lambda x: x["data"])).alias("data"))
+        found = series.select("chunks", F.pandas_udf(results, "array<double>")("data").alias("s"))
+        out = stored(found.select(F.explode("chunks").alias("chunk"), "s"), "scan")
+        remove(state)
+        return out
+
+    def step(self, state: DataFrame | None, local: Local, across: Across, few: bool = False) -> DataFrame:
+        """(chunk, s): local(matrix of a chunk's numbers, its s) sums up each chunk; across(the sums of a series' chunks, in order) gives each its next s. `state` goes, as it is no longer read. With `few` it goes to all tasks, so that no chunk is shuffled; chunks that it lacks are left out."""
         width = self.width
 
         def sums(data: pd.Series, before: pd.Series) -> pd.Series:
@@ -66,7 +86,7 @@ class Chunks:
             return pd.Series([[x.tolist() for x in across([np.asarray(s) for s in sums])] for sums in series], dtype=object)
 
         rows = self.packed.select("chunk", *self.keys, "place", "data")
-        rows = rows.withColumn("before", F.array().cast("array<double>")) if state is None else rows.join(state.withColumnRenamed("s", "before"), "chunk")
+        rows = rows.withColumn("before", F.array().cast("array<double>")) if state is None else rows.join((F.broadcast if few else lambda x: x)(state.withColumnRenamed("s", "before")), "chunk")
         found = rows.select("chunk", *self.keys, "place", F.pandas_udf(sums, "array<double>")("data", "before").alias("s"))
         series = found.groupBy(*self.keys).agg(F.sort_array(F.collect_list(F.struct("place", "chunk", "s"))).alias("all"))
         series = series.select(F.transform("all", lambda x: x["chunk"]).alias("chunk"), F.pandas_udf(along, "array<array<double>>")(F.transform("all", lambda x: x["s"])).alias("s"))

@@ -16,14 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.stored import remove, stored
-from marlstone.operators.chunks import Chunks, pack, reduced, unpack
+from marlstone.operators.chunks import SHARE, Chunks, pack, reduced, unpack
 from marlstone.operators.running import row_numbers
 
+#: Rows at most of series that are fitted side by side, and rows of these at once.
+SHORT, SIDE = 1024, 1 << 18
+
 
 def times(a, b):
     """Products of matrices held as (matrix, log of what was taken out)."""
     m = a[0] @ b[0]
-    top = np.maximum(m.max((-1, -2)), 1e-300)
+    top = np.maximum(over(np.maximum, m.reshape(len(m), -1)), 1e-300)
     return m / top[:, None, None], a[1] + b[1] + np.log(top)
 
 
@@ -32,6 +35,14 @@ def best(a, b):
     return ((a[0][..., :, :, None] + b[0][..., None, :, :]).max(-2),)
 
 
+def over(states, p: np.ndarray) -> np.ndarray:
+    """states (np.add, np.maximum) over the last axis, which is short: faster than numpy's own reductions of such."""
+    out = p[..., 0]
+    for i in range(1, p.shape[-1]):
+        out = states(out, p[..., i])
+    return out
+
+
 def log_of(p: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(p, 1e-300))
 
@@ -48,12 +59,12 @@ def passes(steps: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.
     whole = np.broadcast_to(np.eye(k), (pieces * length, k, k)).copy()
     whole[:n] = steps
     whole = whole.reshape(pieces, length, k, k)
-    share = lambda p: p / np.maximum(p.sum(-1, keepdims=True), 1e-300)
-    top = lambda p: p / np.maximum(p.max(-1, keepdims=True), 1e-300)
+    share = lambda p: p / np.maximum(over(np.add, p), 1e-300)[..., None]
+    top = lambda p: p / np.maximum(over(np.maximum, p), 1e-300)[..., None]
     product = np.broadcast_to(np.eye(k), (pieces, k, k))
     for i in range(length):
         product = product @ whole[:, i]
-        product = product / np.maximum(product.max((1, 2), keepdims=True), 1e-300)
+        product = product / np.maximum(over(np.maximum, product.reshape(pieces, k * k)), 1e-300)[:, None, None]
     begin, final = np.empty((pieces, k)), np.empty((pieces, k))
     p = share(first)
     for j in range(pieces):
@@ -94,7 +105,7 @@ class Regimes:
         x, y, seen = self.split(data, fitting)
         logs = np.zeros((len(x), self.k))
         logs[seen] = -0.5 * ((y[seen, None] - x[seen] @ coef.T) / sd) ** 2 - np.log(sd) - 0.5 * math.log(2 * math.pi)
-        top = logs.max(1)
+        top = over(np.maximum, logs)
         return np.exp(logs - top[:, None]), top
 
     # -- starting values: least squares, then shares of the states by where a residual lies
@@ -121,10 +132,11 @@ class Regimes:
         means, enough = unpack(sums[0], (self.d,), ())
         coef, sd = self.regressions(sum(s[self.d + 1 :] for s in sums), np.zeros((self.k, self.d)), np.ones(self.k))
         move = np.full((self.k, self.k), 0.1 / self.k) + 0.9 * np.eye(self.k)
-        return [pack(move, np.full(self.k, 1 / self.k), coef, sd, means, 0.0, 0.0, 0, 0, enough)] * len(sums)
+        return [pack(move, np.full(self.k, 1 / self.k), coef, sd, means, 0.0, 0.0, 0, not enough, enough)] * len(sums)
 
     def weighed(self, x, y, w):
-        return pack(w.sum(0), np.einsum("ts,ti,tj->sij", w, x, x), np.einsum("ts,ti,t->si", w, x, y), w.T @ (y * y))
+        squares = (x[:, :, None] * x[:, None, :]).reshape(len(x), self.d * self.d)
+        return pack(w.sum(0), w.T @ squares, w.T @ (x * y[:, None]), w.T @ (y * y))
 
     def regressions(self, sums, coef, sd):
         n, xx, xy, yy = unpack(sums, (self.k,), (self.k, self.d, self.d), (self.k, self.d), (self.k,))
@@ -146,6 +158,8 @@ class Regimes:
         return m[0], log[0] + top.sum()
 
     def total(self, data, s):
+        if s[self.size - 2]:  # done: no round changes it
+            return pack(s[: self.size], np.eye(self.k), 0.0)
         return pack(s[: self.size], *self.matrix(data, s))
 
     def around(self, sums):
@@ -170,7 +184,8 @@ class Regimes:
         out = []
         for i, (s, pair) in enumerate(zip(sums, around)):
             p = self.parts(s[: self.size].copy())
-            p[6], p[5] = p[5], ll
+            if not p[8]:
+                p[6], p[5] = p[5], ll
             out.append(pack(*p, i == 0, *pair))
         return out
 
@@ -184,14 +199,17 @@ class Regimes:
         now, later = passes(move * like[1:, None, :], first * like[0], after)
         ahead = np.concatenate([first[None], now[:-1] @ move])
         smooth = now * later
-        smooth /= np.maximum(smooth.sum(1, keepdims=True), 1e-300)
+        smooth /= np.maximum(over(np.add, smooth), 1e-300)[:, None]
         before = now[:-1] if begins else np.concatenate([end[None], now[:-1]])
         arrive = (like * later)[len(like) - len(before) :]
-        both = before[:, :, None] * move * arrive[:, None, :]
-        both = (both / np.maximum(both.sum((1, 2), keepdims=True), 1e-300)).sum(0) if len(before) else np.zeros((self.k, self.k))
+        # Of each step's table, before x move x arrive, the sum is that of what it arrives at; the tables themselves need not be made.
+        sums = np.maximum(over(np.add, (before @ move) * arrive), 1e-300)
+        both = move * (before.T @ (arrive / sums[:, None]))
         return ahead, now, smooth, both
 
     def moments(self, data, s):
+        if s[self.size - 2]:
+            return s[: self.size]
         x, y, seen = self.split(data)
         _, _, smooth, both = self.posteriors(data, s, True)
         begins = s[self.size]
@@ -210,6 +228,93 @@ class Regimes:
             rounds += 1
         return [pack(move, start, coef, sd, means, ll, before, rounds, done, enough)] * len(sums)
 
+    # -- all rounds of series that need not be cut
+
+    def fit(self, series: list[np.ndarray], rounds: int) -> list[np.ndarray]:
+        """The parameters of each series: short ones side by side, those of about one length together, the others one by one."""
+        out, at = [None] * len(series), sorted(range(len(series)), key=lambda i: len(series[i]))
+        while at and len(series[at[0]]) <= SHORT:
+            n = 1
+            while n < len(at) and len(series[at[n]]) <= SHORT and (n + 1) * len(series[at[n]]) <= SIDE:
+                n += 1
+            for i, s in zip(at[:n], self.side_by_side([series[i] for i in at[:n]], rounds)):
+                out[i] = s
+            at = at[n:]
+        for i in at:
+            s = self.begin([self.shares(series[i], self.line([self.products(series[i], None)])[0])])[0]
+            for _ in range(rounds):
+                if s[self.size - 2]:
+                    break
+                s = self.fitted([self.moments(series[i], self.ends([self.total(series[i], s)])[0])])[0]
+            out[i] = s
+        return out
+
+    def lines(self, sums, coef, sd):
+        """As regressions(), for the sums of many series: (series, state, ...) with the last axis of x x', x y, y y and 1."""
+        d = self.d
+        xx, xy, yy, n = sums[..., : d * d].reshape(*sums.shape[:-1], d, d), sums[..., d * d : -2], sums[..., -2], sums[..., -1]
+        some = n >= 1e-6
+        found = np.linalg.solve(np.where(some[..., None, None], xx + self.ridge * np.eye(d), np.eye(d)), xy[..., None])[..., 0]
+        left = yy - 2 * (found * xy).sum(-1) + np.einsum("...i,...ij,...j->...", found, xx, found)
+        wide = np.maximum(np.sqrt(np.maximum(left, 0.0) / np.where(some, n, 1.0)), 1e-6)
+        return np.where(some[..., None], found, coef), np.where(some, wide, sd)
+
+    def side_by_side(self, series: list[np.ndarray], rounds: int) -> list[np.ndarray]:
+        """The same rounds for many short series, filled up to one length with rows that tell nothing: each of Python's steps serves all."""
+        b, k, d, size = len(series), self.k, self.d, max(map(len, series))
+        data = np.full((b, size, d + 2), np.nan)
+        for i, one in enumerate(series):
+            data[i, : len(one)] = one
+        inside = np.arange(size) < np.array([len(one) for one in series])[:, None]
+        seen = np.isfinite(data[..., : d + 1]).all(-1) & (data[..., d + 1] == 1)
+        x, y = np.where(seen[..., None], data[..., :d], 0.0), np.where(seen, data[..., d], 0.0)
+        terms = np.concatenate([(x[..., :, None] * x[..., None, :]).reshape(b, size, d * d), x * y[..., None], (y * y)[..., None], seen[..., None]], -1)
+        # Least squares, then shares of the states by where a residual lies.
+        n = seen.sum(1)
+        means, enough = x.sum(1) / np.maximum(n, 1)[:, None], n >= max(10, k * (d + 2))
+        line, wide = self.lines(terms.sum(1), np.zeros((b, d)), np.full(b, 1e-6))
+        centres = np.array([NormalDist().inv_cdf((i + 0.5) / k) for i in range(k)])
+        w = np.exp(-2.0 * (((y - np.einsum("bti,bi->bt", x, line)) / wide[:, None])[..., None] - centres) ** 2) + 1e-6
+        coef, sd = self.lines(np.matmul((w / w.sum(-1, keepdims=True)).transpose(0, 2, 1), terms), np.zeros((b, k, d)), np.ones((b, k)))
+        move, start = np.broadcast_to(np.full((k, k), 0.1 / k) + 0.9 * np.eye(k), (b, k, k)).copy(), np.full((b, k), 1 / k)
+        ll, before, done, count = np.zeros(b), np.zeros(b), ~enough, np.zeros(b)
+        at = np.flatnonzero(~done)
+        for _ in range(rounds):
+            if not len(at):
+                break
+            own = slice(None) if len(at) == b else at
+            found = self.one_round(x[own], y[own], seen[own], inside[own], terms[own], move[at], start[at], coef[at], sd[at])
+            before[at] = ll[at]
+            move[at], start[at], coef[at], sd[at], ll[at] = found
+            done[at] = (count[at] > 5) & (np.abs(ll[at] - before[at]) < self.tol)
+            count[at] += 1
+            at = at[~done[at]]
+        return [pack(*p) for p in zip(move, start, coef, sd, means, ll, before, count, done, enough)]
+
+    def one_round(self, x, y, seen, inside, terms, move, start, coef, sd):
+        """(move, start, coef, sd, log likelihood before the round) of many series."""
+        logs = -0.5 * ((y[..., None] - x @ coef.transpose(0, 2, 1)) / sd[:, None]) ** 2 - np.log(sd)[:, None] - 0.5 * math.log(2 * math.pi)
+        logs[~seen] = 0.0
+        top = over(np.maximum, logs)
+        like = np.ascontiguousarray(np.exp(logs - top[..., None]).transpose(1, 0, 2))
+        now, later, scale = np.empty_like(like), np.empty_like(like), np.empty(like.shape[:2])
+        p = start
+        for t in range(len(like)):
+            p = (p if t == 0 else (p[:, :, None] * move).sum(1)) * like[t]
+            scale[t] = np.maximum(over(np.add, p), 1e-300)
+            now[t] = p = p / scale[t][:, None]
+        q = later[-1] = np.ones_like(p)
+        for t in range(len(like) - 1, 0, -1):
+            q = (move * (like[t] * q)[:, None, :]).sum(2)
+            later[t - 1] = q = q / np.maximum(over(np.maximum, q), 1e-300)[:, None]
+        smooth = now * later
+        smooth /= np.maximum(over(np.add, smooth), 1e-300)[..., None]
+        before, arrive = now[:-1].transpose(1, 0, 2), (like * later)[1:].transpose(1, 0, 2)
+        arrive = arrive * (inside[:, 1:] / np.maximum(over(np.add, (before @ move) * arrive), 1e-300))[..., None]
+        both = move * (before.transpose(0, 2, 1) @ arrive) + 1e-12
+        ll = np.where(inside, np.log(scale.T) + top, 0.0).sum(1)
+        return both / both.sum(2, keepdims=True), smooth[0], *self.lines(np.matmul(smooth.transpose(1, 2, 0), terms), coef, sd), ll
+
     # -- with the parameters: all rows, states numbered by rising fitted mean
 
     def named(self, s):
@@ -282,16 +387,23 @@ def markov_regression(df: DataFrame, features: Sequence[str], y: str, keys, orde
     the log likelihood moves by less than `tol`; the other rows are told by the parameters so found, each forecast from all values
     of y before it. A row without y or a feature tells nothing of its state. Without features and with an intercept the states
     are means and variances that switch. States are numbered by rising fitted mean. Series with less than ten rows to fit on, or
-    states * (coefficients + 2), get nulls. rows: rows a chunk, by default the square root of all.
+    states * (coefficients + 2), get nulls. rows: rows a chunk, by default the square root of all. A series of at most a chunk (by
+    default, of at most SHARE rows) goes through all rounds in one task; longer ones go through them chunk by chunk, all together.
     """
     numbers = [*([F.lit(1.0)] if intercept else []), *map(F.col, features), F.col(y), F.lit(1.0) if train is None else train.cast("double")]
     model, chunks = Regimes(states, len(numbers) - 2, ridge, tol), Chunks(df, numbers, keys, order, rows)
-    state = chunks.step(chunks.step(None, model.products, model.line), model.shares, model.begin)
-    going = F.get("s", F.lit(model.size - 2)) == 0
-    for i in range(rounds):
-        state = chunks.step(chunks.step(state, model.total, model.ends), model.moments, model.fitted)
-        if i > 5 and not state.filter(going).limit(1).count():
-            break
+    short, state = chunks.parted(rows or SHARE)
+    short = chunks.whole(short, lambda series: model.fit(series, rounds))
+    if state.limit(1).count():
+        state = chunks.step(chunks.step(state, model.products, model.line, few=True), model.shares, model.begin, few=True)
+        going = F.get("s", F.lit(model.size - 2)) == 0
+        for _ in range(rounds):
+            if not state.filter(going).limit(1).count():
+                break
+            state = chunks.step(chunks.step(state, model.total, model.ends, few=True), model.moments, model.fitted, few=True)
+    both = stored(short.unionByName(state), "scan")
+    remove(short, state)
+    state = both
     return chunks.rows_with(chunks.step(state, model.decoded, model.paths), model.rows, ADDED)
 
 

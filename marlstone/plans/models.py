@@ -74,7 +74,7 @@ def fitted_line(spark, sf_dir):
 
 def regime_regression(spark, sf_dir):
     rows = W.returns(events(spark, sf_dir), "value", KEYS, ORDER).withColumn("before", F.lag("diff").over(W.ordered(KEYS, ORDER)))
-    return R.regime_regression(rows.select(ID, "user_id", "ts", "before", "diff"), ["before"], "diff", KEYS, ORDER, rounds=8).select(ID, "state", "p_state", "fitted", "loglik")
+    return R.regime_regression(rows.select(ID, "user_id", "ts", "before", "diff"), ["before"], "diff", KEYS, ORDER).select(ID, "state", "p_state", "fitted", "loglik")
 
 
 def regime_forecasts(spark, sf_dir):
