@@ -81,7 +81,7 @@ def regime_forecasts(spark, sf_dir):
     """The next change, by regimes fitted on the first 70 % of each event type's rows."""
     rows = U.neighbours(events(spark, sf_dir), "value", ["event_type"], ORDER, {"b1": -1, "b2": -2, "a1": 1})
     rows = rows.withColumns({"before": F.col("b1") - F.col("b2"), "diff": F.col("value") - F.col("b1"), "next": F.col("a1") - F.col("value")})
-    found = R.walk_forward(rows.select(ID, "event_type", "user_id", "ts", "before", "diff", "next"), ["before", "diff"], "next", ["event_type"], ORDER, states=2, rounds=8)
+    found = R.walk_forward(rows.select(ID, "event_type", "user_id", "ts", "before", "diff", "next"), ["before", "diff"], "next", ["event_type"], ORDER)
     return found.select(ID, "event_type", "is_train", "p_ahead", "p_filtered", "state", "path", "guess", "next")
 
 
