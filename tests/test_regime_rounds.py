@@ -51,7 +51,7 @@ def test_chunks_without_training_rows_equal_a_series_in_one(spark):
         assert np.allclose(cut[at].p_smoothed, r.p_smoothed, atol=1e-5) and cut[at].path == r.path and cut[at].loglik == pytest.approx(r.loglik, abs=1e-4)
 
 
-@pytest.mark.parametrize(("query", "operator", "states"), [("regime_regression", "regime_regression", 2), ("regime_forecasts", "walk_forward", 3)])
+@pytest.mark.parametrize(("query", "operator", "states"), [("regime_regression", "regime_regression", 2), ("regime_forecasts", "walk_forward", 3), ("regime_report", "walk_forward", 3)])
 def test_queries_take_the_whole_number_of_rounds_and_states(spark, monkeypatch, query, operator, states):
     plain, seen = getattr(regimes, operator), {}
 
